@@ -30,7 +30,9 @@ MAGIC = b"DAC1"
 STRIDE = 512
 SEGMENT_TOKENS = 1 << 20
 #: Encoded pieces that a worker remembers.
-CACHE = 500_000
+CACHE = 2_000_000
+#: Pieces encoded at once: the library's results are large.
+BATCH = 2048
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -133,7 +135,7 @@ def cut(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes whole texts by a byte-level BPE file; ids of pieces are kept by the hash of their bytes."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 22
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,7 +195,8 @@ class Encoder:
             data = raw.tobytes()
             texts = [data[a:b].decode() for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)]
             n = len(self.first)
-            self._keep(new, [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            coded = [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
+            self._keep(new, coded)
             entry[miss] = n + back
         entry = np.insert(entry, np.searchsorted(starts, offs[1:]), 0)
         length = self.length[entry]
