@@ -206,11 +206,16 @@ class Encoder:
         return ids, np.concatenate([[0], total[closes]])
 
 
+def encoder(path: str, end: int) -> Encoder:
+    """The worker's encoder. Tasks call this by name: what a closure holds itself is new in every task."""
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, end) not in _encoders:
-            _encoders[path, end] = Encoder(path, end)
-        coder = _encoders[path, end]
+        coder = encoder(path, end)
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Array] = []
         found: list[np.ndarray] = []
