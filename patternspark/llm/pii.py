@@ -83,8 +83,12 @@ def _luhn_digit(fifteen: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")).cast("binary"), 512)
+def stream_of(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
+    """128 keyed hex digits for an entity and an attempt."""
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")).cast("binary"), 512)
+
+
+def surrogate(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
     keep = F.when(kind == "email", F.length(F.substring_index(norm, ".", -1))).otherwise(0)
     free = _chars(norm, lambda c, i: F.when((i > F.length(norm) - keep) | (kind.isin("phone", "card") & (i == 1)) | ((kind == "iban") & (i <= 2)), c).otherwise(_letter(c, _byte(stream, i))))
     fifteen = F.substring(free, 1, 15)
@@ -115,7 +119,8 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     real = entities.select("kind", F.col("norm").alias("new")).withColumn("real", F.lit(True))
     now = entities.withColumn("attempt", F.lit(0))
     for _ in range(MOST_ROUNDS):
-        drawn = scratch.written(now.withColumn("new", surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt"))), "drawn")
+        keyed = now.withColumn("stream", stream_of(F.col("kind"), F.col("norm"), key, F.col("attempt")))
+        drawn = scratch.written(keyed.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("stream"), F.col("attempt")).alias("new")), "drawn")
         owner = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "norm")).alias("o")).select("kind", "new", F.col("o.norm").alias("owner"))
         owner = scratch.written(owner.join(real, ["kind", "new"], "left"), "owners")
         checked = scratch.written(drawn.join(owner, ["kind", "new"]).withColumn("again", (F.col("owner") != F.col("norm")) | F.coalesce("real", F.lit(False))), "checked")
@@ -138,14 +143,14 @@ def pseudonymise(docs: DataFrame, key: str = "patternspark", text_col: str = "te
     holds = (text.rlike(MARK) | text.rlike(EXPRESSIONS["name"])) & text.rlike(ALL)
     marked = docs.withColumn("_pii_found", F.when(holds, F.regexp_extract_all(text, F.lit(ALL), F.lit(0))))
     hits = marked.where("_pii_found is not null").withColumn("_pii_gaps", F.split(text, ALL, -1)).withColumn("_pii_row", F.monotonically_increasing_id())
-    hits = scratch.written(hits, "hits")  # the row numbers are fixed by writing them
+    hits = scratch.written(hits.drop(text_col), "hits")  # the row numbers are fixed by writing them
     seen = hits.select("_pii_row", F.posexplode("_pii_found").alias("at", "value")).withColumn("kind", _kind(F.col("value"))).withColumn("norm", _norm(F.col("kind"), F.col("value")))
     entities = scratch.written(seen.select("kind", "norm").distinct(), "entities")
     names = assign(entities, key, scratch)
     told = seen.join(names, ["kind", "norm"]).select("_pii_row", F.struct("at", _rendered(F.col("kind"), F.col("value"), F.col("new")).alias("new"), "kind").alias("x"))
     told = scratch.written(told.groupBy("_pii_row").agg(F.array_sort(F.collect_list("x")).alias("_pii_new")), "told")
     both = F.zip_with("_pii_gaps", "_pii_new", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit(""))))
-    fresh = hits.join(told, "_pii_row").withColumns({text_col: F.array_join(both, ""), "_pii_count": F.size("_pii_new"), "_pii_kinds": F.array_join(F.transform("_pii_new", lambda x: x["kind"]), ",")})
+    fresh = hits.drop("_pii_found").join(told, "_pii_row").withColumns({text_col: F.array_join(both, ""), "_pii_count": F.size("_pii_new"), "_pii_kinds": F.array_join(F.transform("_pii_new", lambda x: x["kind"]), ",")})
     clean = docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"_pii_count": F.lit(0), "_pii_kinds": F.lit("")})
     columns = [*docs.columns, "_pii_count", "_pii_kinds"]
     return fresh.select(*columns).unionByName(clean.select(*columns))
