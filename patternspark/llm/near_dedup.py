@@ -7,10 +7,13 @@ are one class and are compared once. Inverted lists of retained values find over
 * of those, sketches of up to 256 values are indexed by their rarest values only. Two sketches that must
   share m of their s values share one of the s-m+1 rarest of each, so frequent passages list nothing.
 
-Each list first compares its members with one hub; then only members that are still in different components
-are compared with each other, each pair once, at its first common value. Hence a family of thousands of
-near copies costs about one comparison a member. The union sketch of a pair estimates its similarity;
-pairs within six standard errors of the threshold go on to exact Jaccard on full sets.
+Each list first compares its members with one hub, which puts most of a family of near copies into one component.
+Members that are left over are compared with others of other components only. Where both lie near their hub, the
+differences from it decide: if Dx and Dy are the shingles in which x and y differ from the hub, x and y differ in
+|Dx| + |Dy| - 2 |Dx & Dy| shingles, so a join over these short lists finds the exact Jaccard and returns nothing but
+links. Distance is a metric, so of the others only pairs remain that both lie far from the hub; each comes up once, at
+its first common value. The union sketch of such a pair estimates its similarity, and pairs within six standard
+errors of the threshold go on to exact Jaccard on full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SKETCH = 256
 #: Of a full probe a partner shares 12.8 values on average; under 4 has a chance of 1e-8.
 PROBE_SHARED = 0.25
 ERRORS = 4
+#: Jaccard distance from a hub up to which differences from it are kept.
+NEAR = 0.6
 NO_ID = -(1 << 63)
 
 
@@ -75,22 +80,28 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> tuple[float
     return float((counts[:m] == 2).sum()) / max(m, 1), m
 
 
+def _both_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    sides = []
+    for name in ("a_set", "b_set"):
+        lists = batch.column(name)
+        o = lists.offsets.to_numpy()
+        sides.append((lists.flatten().to_numpy(zero_copy_only=False), o - o[0]))
+    (av, ao), (bv, bo) = sides
+    for i in range(batch.num_rows):
+        yield i, av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
+
+
 def _verify(percent: int):
+    """Pairs (a, b) with their sets to those of the given similarity."""
+    t = percent / 100
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for name in ("a_set", "b_set"):
-                lists = batch.column(name)
-                sides.append((lists.flatten().to_numpy(zero_copy_only=False), (o := lists.offsets.to_numpy()) - o[0]))
-            (av, ao), (bv, bo) = sides
-            for i in range(batch.num_rows):
-                a, b = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
+            for i, a, b in _both_sets(batch):
                 guess, m = union_estimate(a, b)
-                t = percent / 100
-                if len(a) > SKETCH or len(b) > SKETCH:
-                    if guess < t - 6 * math.sqrt(t * (1 - t) / m):
-                        continue
+                if max(len(a), len(b)) > SKETCH and guess < t - 6 * math.sqrt(t * (1 - t) / m):
+                    continue
                 both = np.concatenate([a, b])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -101,10 +112,38 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+STAR = "a long, b long, n long, linked boolean, distance double, diff array<long>"
+
+
+def _to_hub(percent: int):
+    """Members a and hubs b with their sets to the members' distances and, near the hub, differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, linked, distance, diffs, size = [], [], [], [], [0]
+            for _, a, b in _both_sets(batch):
+                both = np.concatenate([a, b])
+                both.sort()
+                twice = both[1:] == both[:-1]
+                shared = int(twice.sum())
+                union = len(both) - shared
+                n.append(len(a))
+                linked.append(100 * shared >= percent * union > 0)
+                distance.append(1 - shared / union)
+                once = np.ones(len(both), bool)
+                once[1:] &= ~twice
+                once[:-1] &= ~twice
+                diffs.append(both[once] if distance[-1] <= NEAR else both[:0])
+                size.append(size[-1] + len(diffs[-1]))
+            flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), K.list_array(flat, np.array(size), pa.int64())], ["a", "b", "n", "linked", "distance", "diff"])
+
+    return run
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("values").alias(f"{x}_set"))
-    full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return full.mapInArrow(_verify(percent), "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,15 +188,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     entries = listed.select("cid", "n", "copies", F.explode("rare").alias("value"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
     hubs = scratch.written(entries.groupBy("value").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("value", "h.hub", "h.hub_n"), "hubs")
-    star = entries.join(hubs, "value").where((F.col("cid") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n"))
-    star = star.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
-    star_links = scratch.written(_links(star, sets, percent), "star-links")
+    pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    star = scratch.written(_with_sets(pairs, sets).mapInArrow(_to_hub(percent), STAR), "star")
+    star_links = star.where("linked").select("a", "b")
     roots = scratch.written(components(star_links, scratch), "roots")
-    joined = scratch.written(listed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rare", F.coalesce("root", "cid").alias("root"), F.explode("rare").alias("value")), "joined")
-    left = joined.select("value", *(F.col(x).alias(f"{x}_a") for x in ("cid", "n", "rare", "root")))
-    right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root")))
-    cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
-    cross_links = scratch.written(_links(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")), sets, percent), "cross-links")
+    rooted = lambda df, key: df.join(roots.select(F.col("node").alias(key), "root"), key, "left").withColumn("root", F.coalesce("root", key))
+    loose = star.where(~F.col("linked") & (F.col("distance") <= NEAR))
+    family = scratch.written(rooted(star.where(F.col("distance") <= NEAR).join(loose.select("b").distinct(), "b", "left_semi"), "a"), "family")
+    side = lambda x, df: df.select(F.col("b").alias(f"hub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "linked", "diff", "root")))
+    room = (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    apart = F.size("diff_x") + F.size("diff_y") - 2 * F.size(F.array_intersect("diff_x", "diff_y"))
+    near = side("x", family.where(~F.col("linked"))).join(
+        side("y", family),
+        (F.col("hub_x") == F.col("hub_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("linked_y") | (F.col("a_x") < F.col("a_y"))) & (F.abs(F.size("diff_x") - F.size("diff_y")) * (100 + percent) <= room) & (apart * (100 + percent) <= room),
+    )
+    near_links = scratch.written(near.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")), "near-links")
+    # both far from the hub of their list; within the threshold of each other, so not far apart in that
+    far = star.where(F.col("distance") > NEAR - (1 - t)).select(F.col("a").alias("cid"), F.col("b").alias("hub"), "distance")
+    far_entries = entries.select("cid", "n", "value").join(hubs.select("value", "hub"), "value").join(far, ["cid", "hub"])
+    joined = rooted(far_entries, "cid").join(listed.select("cid", "rare"), "cid")
+    joined = scratch.written(joined.select("cid", "n", "value", "distance", "root", "rare"), "joined")
+    left = joined.select("value", *(F.col(x).alias(f"{x}_a") for x in ("cid", "n", "rare", "root", "distance")))
+    right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root", "distance")))
+    lies = (F.greatest("distance_a", "distance_b") > NEAR) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - t + 1e-9)
+    cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
+    cross = _with_sets(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), sets).mapInArrow(_verify(percent), "a long, b long")
+    cross_links = scratch.written(cross.unionByName(near_links), "cross-links")
     root_links = cross_links.unionByName(star_links)
     final = scratch.written(components(root_links, scratch), "components")
     scratch.drop(sets, frequency, listed, hubs, joined, roots)
