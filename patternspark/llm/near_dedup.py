@@ -35,6 +35,8 @@ SKETCH = 256
 #: Of a full probe a partner shares 12.8 values on average; under 4 has a chance of 1e-8.
 PROBE_SHARED = 0.25
 ERRORS = 4
+#: Rows of ids that are broadcast rather than joined by a shuffle of texts: some 50 MB on an executor.
+BROADCAST_ROWS = 2_000_000
 #: Jaccard distance from a hub up to which differences from it are kept.
 NEAR = 0.6
 NO_ID = -(1 << 63)
@@ -142,7 +144,9 @@ def _to_hub(percent: int):
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("values").alias(f"{x}_set"))
+    def side(x: str) -> DataFrame:
+        return sets.join(pairs.select(F.col(x).alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias(x), F.col("values").alias(f"{x}_set"))
+
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
 
 
@@ -173,9 +177,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
         "suspects",
     )
     scratch.drop(shared)
-    wanted = source.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(suspects.select("rep").distinct(), "rep", "left_semi")
+    # few suspects go to the texts; beyond the bound both sides are shuffled
+    sized = F.broadcast if suspects.count() <= BROADCAST_ROWS else (lambda df: df)
+    wanted = source.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(sized(suspects.select("rep").distinct()), "rep", "left_semi")
     full = wanted.select("doc_id", "text").mapInArrow(_digests(shingle, True), DIGEST)
-    sets = scratch.written(full.join(suspects.select("cid", "check", "copies"), ["cid", "check"]).groupBy("cid").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values")), "sets")
+    sets = full.join(sized(suspects.select("cid", "check", "copies")), ["cid", "check"]).groupBy("cid", "check").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
+    sets = scratch.written(sets.drop("check"), "sets")
 
     t = percent / 100
     s, k = F.least("n", F.lit(SKETCH)), t * SKETCH
@@ -189,6 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
     hubs = scratch.written(entries.groupBy("value").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("value", "h.hub", "h.hub_n"), "hubs")
     pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = scratch.written(pairs, "pairs")
     star = scratch.written(_with_sets(pairs, sets).mapInArrow(_to_hub(percent), STAR), "star")
     star_links = star.where("linked").select("a", "b")
     roots = scratch.written(components(star_links, scratch), "roots")
@@ -212,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root", "distance")))
     lies = (F.greatest("distance_a", "distance_b") > NEAR) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - t + 1e-9)
     cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
-    cross = _with_sets(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), sets).mapInArrow(_verify(percent), "a long, b long")
+    cross = scratch.written(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross")
+    cross = _with_sets(cross, sets).mapInArrow(_verify(percent), "a long, b long")
     cross_links = scratch.written(cross.unionByName(near_links), "cross-links")
     root_links = cross_links.unionByName(star_links)
     final = scratch.written(components(root_links, scratch), "components")
