@@ -1,14 +1,310 @@
-"""Registered queries of the rule-learning operators."""
+"""Registered queries of the rule-learning operators and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as X
+from ..operators import binarize as B
+from ..operators import lazy, metrics, mine, predict, score, split
+from . import pipeline as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+NUMERIC = list(X.DOC_NUMERIC)
+#: Fixed cuts and rules, so that every step can be checked on its own: (feature, threshold) is bit i.
+CUTS = (("letter_ratio", 0.9), ("punct_ratio", 0.02), ("n_words", 150.0), ("n_lines", 8.0), ("digit_ratio", 0.001), ("n_chars", 2000.0))
+RULES = ((1, 0b000001, 0b000000, 0.99, 200, 0.9), (0, 0b000011, 0b000001, 0.9, 30, 0.7), (1, 0b010100, 0b010000, 0.85, 60, 0.6), (0, 0b101001, 0b100001, 0.8, 12, 0.3), (1, 0b001000, 0b001000, 0.7, 20, 0.04))
+
+
+def _cuts() -> list[B.Cut]:
+    return [B.Cut(i, f, t) for i, (f, t) in enumerate(CUTS)]
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return X.doc_features(spark, sf)
+
+
+def _bits(spark: SparkSession, sf: str) -> DataFrame:
+    return B.transform(_docs(spark, sf), _cuts())
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *r, "fixed") for i, r in enumerate(RULES)], mine.RULES)
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_extendedprice") > 40000).cast("int").alias("label"), "l_quantity", "l_discount", "l_tax")
+
+
+def _query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_DOC = """doc AS (SELECT d.doc_id AS row_id, l.quality AS label,
+  round(length(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) / greatest(length(text), 1), 6) AS letter_ratio,
+  round(length(regexp_replace(text, '[^.!?]', '', 'g')) / greatest(length(text), 1), 6) AS punct_ratio,
+  round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1), 6) AS digit_ratio,
+  (length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS n_words,
+  (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS n_lines, n_chars::DOUBLE AS n_chars, lang
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_BIT = _DOC + ", bit AS (SELECT row_id, label, (" + " + ".join(f"CASE WHEN {f} <= {t} THEN {1 << i} ELSE 0 END" for i, (f, t) in enumerate(CUTS)) + ")::BIGINT AS bits FROM doc)"
+_PAT = _BIT + """, pat AS (SELECT bits, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1,
+  min(row_id) FILTER (label = 0) AS first0, min(row_id) FILTER (label = 1) AS first1 FROM bit GROUP BY bits)"""
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, label FROM doc" for f in NUMERIC) + ")"
+_HIST = "hist AS (SELECT feature, x, count(*) AS n, sum(label)::BIGINT AS pos FROM long GROUP BY feature, x)"
+_CAND = """run AS (SELECT feature, (x + lead(x) OVER w) / 2 AS t, sum(n) OVER r AS nl, sum(pos) OVER r AS pl, sum(n) OVER a AS n, sum(pos) OVER a AS p,
+  min(x) OVER a AS lo, max(x) OVER a AS hi FROM hist
+  WINDOW w AS (PARTITION BY feature ORDER BY x), r AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature)),
+cand AS (SELECT feature, t, nl::BIGINT AS nl, (n - nl)::BIGINT AS nr, power((pl * (n - nl) - (p - pl) * nl)::DOUBLE, 2) / (n::DOUBLE * n * nl * (n - nl)) AS gain, lo, hi
+  FROM run WHERE t IS NOT NULL AND nl >= 5 AND n - nl >= 5 AND pl * (n - nl) <> (p - pl) * nl)"""
+_FIT = f"{_DOC}, {_LONG}, {_HIST}, {_CAND}"
+_LINE = "line AS (SELECT (l_extendedprice > 40000)::INT AS label, l_quantity, l_discount, l_tax FROM lineitem)"
+_RULE = "rule(rule_rank, label, mask, vals, weight) AS (VALUES " + ", ".join(f"({i}, {r[0]}, {r[1]}::BIGINT, {r[2]}::BIGINT, {r[5]}::DOUBLE)" for i, r in enumerate(RULES)) + ")"
+_FIRE = _BIT + f""", {_RULE}, pair AS (SELECT row_id, bit.label, rule_rank, rule.label AS rl, weight, (bits & mask) = vals AS fires,
+  round(1 - bit_count(xor(bits, vals) & mask) / bit_count(mask), 12) AS overlap, round((1 - bit_count(xor(bits, vals) & mask) / bit_count(mask)) * weight, 12) AS worth FROM bit, rule)"""
+
+
+def _best(score: str) -> str:
+    return f"""best AS (SELECT row_id, label, coalesce(min_by(rl, rule_rank) FILTER (fires), max_by(rl, (({score}) * 1000000 - rule_rank)) FILTER (weight >= 0.05)) AS pred,
+  CASE WHEN bool_or(fires) THEN 1.0 ELSE max({score}) FILTER (weight >= 0.05) END AS conf, bool_or(fires) AS is_exact FROM pair GROUP BY row_id, label)"""
+
+
+_SOFT = """vote AS (SELECT row_id, label, coalesce(sum(weight) FILTER (fires), 0) AS w, coalesce(sum(weight) FILTER (fires AND rl = 1), 0) AS w1 FROM pair GROUP BY row_id, label),
+soft AS (SELECT vote.row_id, vote.label, CASE WHEN w > 0 THEN (round(w1 / w, 12) >= 0.5)::INT ELSE best.pred END AS pred,
+  round(CASE WHEN w > 0 THEN greatest(w1 / w, 1 - w1 / w) ELSE best.conf END, 9) AS conf FROM vote JOIN best USING (row_id))"""
+
+
+@_query("SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM labels GROUP BY quality")
+def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/labels.parquet").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("label", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
+@_query(f"WITH {_DOC} SELECT * FROM doc")
+def doc_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf)
+
+
+@_query("""WITH v AS (SELECT doc_id, trim(source) AS source, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 0 ELSE -1 END AS lang_map FROM documents),
+c AS (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS code FROM v GROUP BY source)
+SELECT doc_id AS row_id, source, lang_map, coalesce(code, -1)::INT AS source_code FROM v LEFT JOIN c USING (source)""")
+def clean_encode(spark: SparkSession, sf: str) -> DataFrame:
+    d = X.trim_all(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "lang", "source"))
+    return X.factorize(d.withColumn("lang_map", X.map_values(F.col("lang"), {"en": 1, "de": 0}, F.lit(-1))), "source").select("row_id", "source", "lang_map", "source_code")
+
+
+_ORDERED = "row_number() OVER (PARTITION BY quality ORDER BY md5('42-' || doc_id), doc_id)"
+
+
+@_query(f"SELECT doc_id AS row_id, quality AS label, {_ORDERED} <= round(count(*) OVER (PARTITION BY quality) * 0.25) AS is_test FROM labels")
+def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    return split.stratified_split(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")))
+
+
+@_query(f"SELECT doc_id AS row_id, quality AS label, (({_ORDERED} - 1) % 5)::INT AS fold FROM labels")
+def kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return split.kfold(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")))
+
+
+@_query(f"WITH {_FIT} SELECT feature, t, nl, nr, round(gain, 9) AS gain FROM cand")
+def gini_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return B.candidates(B.histogram(_docs(spark, sf), NUMERIC)).select("feature", "t", "nl", "nr", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"""WITH {_LINE}, long AS (SELECT 'l_quantity' AS feature, l_quantity AS x, label FROM line UNION ALL SELECT 'l_discount', l_discount, label FROM line UNION ALL SELECT 'l_tax', l_tax, label FROM line),
+{_HIST}, {_CAND} SELECT feature, round(t, 6) AS t, nl, nr, round(gain, 9) AS gain FROM cand""")
+def gini_candidates_lines(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.candidates(B.histogram(_lines(spark, sf), ["l_quantity", "l_discount", "l_tax"]))
+    return c.select("feature", F.round("t", 6).alias("t"), "nl", "nr", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t DESC) <= 5")
+def topk_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "greedy", 5)
+    return c.select("feature", "t", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) = 1")
+def mode_one_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "one").select("feature", "t", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"WITH {_FIT} SELECT feature, t FROM cand QUALIFY t = min(t) OVER (PARTITION BY feature) OR t = max(t) OVER (PARTITION BY feature)")
+def mode_two_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "two").select("feature", "t")
+
+
+@_query(f"""WITH RECURSIVE {_FIT}, num AS (SELECT feature, t, gain, row_number() OVER (PARTITION BY feature ORDER BY t) AS i, (max(hi) OVER (PARTITION BY feature) - min(lo) OVER (PARTITION BY feature)) * 0.02 AS gap FROM cand),
+walk AS (SELECT feature, i, t AS last, gain AS g, i AS slot, gap FROM num WHERE i = 1
+  UNION ALL SELECT n.feature, n.i, CASE WHEN n.t - w.last < w.gap AND NOT n.gain > w.g THEN w.last ELSE n.t END, CASE WHEN n.t - w.last < w.gap AND NOT n.gain > w.g THEN w.g ELSE n.gain END,
+    CASE WHEN n.t - w.last < w.gap THEN w.slot ELSE n.i END, w.gap FROM walk w JOIN num n ON n.feature = w.feature AND n.i = w.i + 1)
+SELECT feature, max_by(last, i) AS t, round(max_by(g, i), 9) AS gain FROM walk GROUP BY feature, slot""")
+def distance_prune(spark: SparkSession, sf: str) -> DataFrame:
+    return B.distance_prune(B.candidates(B.histogram(_docs(spark, sf), NUMERIC))).select("feature", "t", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"""WITH {_DOC}, v AS (SELECT lang AS v, count(*) AS n, sum(label) AS pos, row_number() OVER (ORDER BY lang) - 1 AS i FROM doc GROUP BY lang),
+m AS (SELECT unnest(range(1, (1 << (SELECT count(*)::INT FROM v)) - 1)) AS mask),
+s AS (SELECT mask, string_agg(v, ',' ORDER BY v) AS members, sum(n) AS nl, sum(pos) AS pl FROM m, v WHERE (mask >> i::INT) & 1 = 1 AND bit_count(mask) <= 3 GROUP BY mask),
+t AS (SELECT sum(n) AS n, sum(pos) AS p FROM v)
+SELECT members, nl::BIGINT AS nl, round(power((pl * (n - nl) - (p - pl) * nl)::DOUBLE, 2) / (n::DOUBLE * n * nl * (n - nl)), 9) AS gain FROM s, t WHERE nl >= 5 AND n - nl >= 5 AND pl * (n - nl) <> (p - pl) * nl""")
+def categorical_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.categorical(_docs(spark, sf), "lang").select("members", "nl", F.round("gain", 9).alias("gain"))
+
+
+@_query(f"WITH {_BIT} SELECT * FROM bit")
+def binarize_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return _bits(spark, sf)
+
+
+@_query(f"WITH {_PAT} SELECT * FROM pat")
+def pattern_table(spark: SparkSession, sf: str) -> DataFrame:
+    return score.pattern_table(_bits(spark, sf))
+
+
+def _lad(cw: float) -> str:
+    boost = f"CASE WHEN n1 > n0 THEN {cw} ELSE 1.0 END"
+    return f"WITH {_PAT} SELECT round(sum({boost} * greatest(n0, n1))::DOUBLE / sum({boost} * (n0 + n1))::DOUBLE, 9) AS score, count(*) AS patterns, max(least(n0, n1)) = 0 AS consistent FROM pat"
+
+
+@_query(_lad(1.0))
+def lad_score(spark: SparkSession, sf: str) -> DataFrame:
+    return score.lad_score(score.pattern_table(_bits(spark, sf)))
+
+
+@_query(_lad(1.5))
+def lad_score_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return score.lad_score(score.pattern_table(_bits(spark, sf)), 1.5)
+
+
+@_query(f"WITH {_PAT} SELECT bits, n0, n1 FROM pat WHERE n0 > 0 AND n1 > 0")
+def inconsistent_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return score.inconsistent(score.pattern_table(_bits(spark, sf)))
+
+
+@_query(f"WITH {_PAT} SELECT bit.row_id, bit.label, bit.bits FROM bit JOIN pat USING (bits) WHERE bit.label = CASE WHEN n1 > n0 THEN 1 WHEN n0 > n1 THEN 0 WHEN first1 < first0 THEN 1 ELSE 0 END")
+def remove_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return score.remove_conflicts(_bits(spark, sf))
+
+
+@_query(f"""WITH {_BIT}, one AS (SELECT i AS cut_id, (bits >> i) & 1 AS v, label FROM bit, (SELECT unnest(range(0, {len(CUTS)}))::INT AS i)),
+c AS (SELECT cut_id, v, label, count(*) AS n FROM one GROUP BY ALL),
+m AS (SELECT cut_id, n, sum(n) OVER (PARTITION BY cut_id) AS t, sum(n) OVER (PARTITION BY cut_id, v) AS r, sum(n) OVER (PARTITION BY cut_id, label) AS k FROM c)
+SELECT cut_id, round(sum(n / t * ln(n * t / (r * k)::DOUBLE)), 9) AS mi FROM m GROUP BY cut_id""")
+def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
+    return score.mutual_information(score.pattern_table(_bits(spark, sf)), len(CUTS))
+
+
+@_query(f"WITH {_FIRE}, {_best('worth')} SELECT row_id, label, pred, round(conf, 9) AS conf, is_exact FROM best")
+def best_match(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.best_match(_bits(spark, sf), _rules(spark))
+
+
+@_query(f"WITH {_FIRE}, {_best('overlap')} SELECT row_id, label, pred, round(conf, 9) AS conf, is_exact FROM best")
+def best_match_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.best_match(_bits(spark, sf), _rules(spark), "overlap_only")
+
+
+@_query(f"WITH {_FIRE}, {_best('worth')}, {_SOFT} SELECT * FROM soft")
+def soft_vote(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.soft_vote(_bits(spark, sf), _rules(spark))
+
+
+def _assume(d: int) -> str:
+    return f"WITH {_FIRE} SELECT row_id, label, CASE WHEN bool_or(fires AND rl = {1 - d}) THEN {1 - d} ELSE {d} END AS pred, coalesce(min_by(weight, rule_rank) FILTER (fires AND rl = {1 - d}), 1.0) AS conf FROM pair GROUP BY row_id, label"
+
+
+@_query(_assume(0))
+def assume_healthy(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.assume(_bits(spark, sf), _rules(spark), 0)
+
+
+@_query(_assume(1))
+def assume_sick(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.assume(_bits(spark, sf), _rules(spark), 1)
+
+
+@_query(f"""WITH {_FIRE}, {_best('worth')}, c AS (SELECT count(*) FILTER (pred = 0 AND label = 0) AS tn, count(*) FILTER (pred = 1 AND label = 0) AS fp, count(*) FILTER (pred = 0 AND label = 1) AS fn, count(*) FILTER (pred = 1 AND label = 1) AS tp FROM best)
+SELECT tn, fp, fn, tp, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 9) AS balanced_accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c""")
+def metrics_suite(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.metrics(best_match(spark, sf))
+
+
+@_query(f"""WITH {_FIRE}, {_best('worth')}, {_SOFT}, r AS (SELECT label, rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS r FROM soft)
+SELECT round((sum(r) FILTER (label = 1) - (count(*) FILTER (label = 1)) * ((count(*) FILTER (label = 1)) + 1) / 2) / ((count(*) FILTER (label = 1)) * (count(*) FILTER (label = 0))), 9) AS auc FROM r""")
+def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.roc_auc(soft_vote(spark, sf))
+
+
+@_query(f"""WITH {_BIT}, one AS (SELECT i AS cut_id, (bits >> i) & 1 AS v, label FROM bit, (SELECT unnest(range(0, {len(CUTS)}))::INT AS i)),
+c AS (SELECT cut_id, v, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM one GROUP BY ALL)
+SELECT cut_id, round(max(CASE WHEN n0 + n1 >= 3 THEN greatest(n0, n1) / (n0 + n1) ELSE 0 END), 9) AS weight FROM c GROUP BY cut_id""")
+def lazy_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return lazy.weights(score.pattern_table(_bits(spark, sf)), len(CUTS))
+
+
+_LEVELS = ", ".join(f"({k + 1}, {(1 << (k + 1)) - 1}::BIGINT)" for k in range(len(CUTS)))
+
+
+@_query(f"""WITH {_BIT}, lev(level, mask) AS (VALUES {_LEVELS}), tr AS (SELECT * FROM bit WHERE row_id % 4 <> 0), te AS (SELECT * FROM bit WHERE row_id % 4 = 0),
+g AS (SELECT level, bits & mask AS key, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tr, lev GROUP BY ALL HAVING count(*) >= 3 AND greatest(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) / count(*) >= 0.75),
+h AS (SELECT row_id, max(lev.level) AS level, max_by(n0, lev.level) AS n0, max_by(n1, lev.level) AS n1 FROM te, lev JOIN g ON g.level = lev.level AND g.key = bits & mask GROUP BY row_id),
+b AS (SELECT count(*) FILTER (label = 0) AS b0, count(*) FILTER (label = 1) AS b1 FROM tr)
+SELECT te.row_id, te.label, CASE WHEN level IS NULL THEN (b1 > b0)::INT ELSE (n1 > n0)::INT END AS pred, round(CASE WHEN level IS NULL THEN 0.5 ELSE greatest(n0, n1) / (n0 + n1) END, 9) AS purity,
+  CASE WHEN level IS NULL THEN b0 + b1 ELSE n0 + n1 END AS support, CASE WHEN level IS NULL THEN 'fallback' WHEN level = {len(CUTS)} THEN 'exact' ELSE 'pruned' END AS stage FROM te LEFT JOIN h USING (row_id), b""")
+def lazy_predict(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _bits(spark, sf)
+    return lazy.predict(rows.where("row_id % 4 <> 0"), rows.where("row_id % 4 = 0"), list(range(len(CUTS))))
+
+
+@_query()
+def tree_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return B.tree_thresholds(B.histogram(_docs(spark, sf), NUMERIC))
+
+
+def _mined(name: str, **kw):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        table = mine.Table.of(score.remove_conflicts(_bits(spark, sf)), len(CUTS))
+        return mine.rules_frame(spark, mine.miner(name, **kw)(table))
+
+    QUERIES[f"mine_{name}"] = run
+
+
+for _name in ("maxpatterns", "eager", "genetic", "hybrid_mp_eager", "hybrid_eager_mp"):
+    _mined(_name, purity=0.8)
+
+
+def _selected(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _bits(spark, sf)
+        subset = P.choose_features(rows, len(CUTS), P.Config(selector=name))
+        s = score.lad_score(score.pattern_table(rows, sum(1 << i for i in subset)))
+        return s.withColumn("subset", F.lit(",".join(map(str, subset))))
+
+    QUERIES[f"select_{name}"] = run
+
+
+for _name in ("greedy", "astar", "mutualinfo", "mutualinfo_astar"):
+    _selected(_name)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Split, binarize, select, mine and compare the four classifiers on the documents' quality."""
+    rows = split.stratified_split(_docs(spark, sf))
+    model = P.fit(rows.where("not is_test"), P.Config(numeric=tuple(NUMERIC), categoric=("lang",), purity=0.9, threshold=1, expansions=500))
+    return P.compare(model, rows.where("is_test"))
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+QUERIES["rule_pipeline"] = flagship
