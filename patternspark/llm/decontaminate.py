@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
 
     found = None
     for items in _slices(benchmark, "item_id", "text", shingle):
-        one = rows.mapInArrow(finder(items), HITS)
+        one = rows.mapInArrow(K.tidied(finder(items)), HITS)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -188,5 +188,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least
         return run
 
     for items in _slices(benchmark, "item_id", "text", shingle):
-        docs = docs.mapInArrow(cleaner(items, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(K.tidied(cleaner(items, docs.columns.index("text"))), docs.schema)
     return docs

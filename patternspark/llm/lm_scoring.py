@@ -29,7 +29,7 @@ from . import textkernel as K
 from .scratch import Scratch, bound_batches
 
 #: Bytes of text whose words share one list, and list entries in a slice.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 SLICE_ENTRIES = 1_500_000
 LONGEST_PIECE = 16
 RANK_SHIFT = 50
@@ -378,11 +378,11 @@ def score(docs: DataFrame, vocabulary: str, mod: int = 7, rest: int = 2, id_col:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one list entry for 40 bytes of text
     slices = max(2, math.ceil(size / 40 / SLICE_ENTRIES))
-    lists = scratch.written(rows.mapInArrow(_listing(slices, mod, rest), LISTS), "lists")
+    lists = scratch.written(rows.mapInArrow(K.tidied(_listing(slices, mod, rest)), LISTS), "lists")
     by_slice = lists.where("slice >= 0").select("chunk", "slice", "hashes", "tf", "words", "docs")
     words = scratch.written(by_slice.select("slice", "hashes", "tf", "words").groupBy("slice").applyInArrow(_merge, VOCABULARY), "words")
     tasks = max(1, math.ceil(size / (4 << 20)))
-    used = words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(_expectations(vocabulary), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    used = words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_expectations(vocabulary)), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     p = pieces(vocabulary)
     got = {r["piece"]: r["uses"] for r in used.collect()}  # at most one row for each piece of the vocabulary
     trained = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).where(F.crc32(F.col("k").cast("binary")) % mod != rest).count()
@@ -399,7 +399,7 @@ def score(docs: DataFrame, vocabulary: str, mod: int = 7, rest: int = 2, id_col:
     go_on = math.log1p(-math.exp(log_end))
     total = uses.sum() + in_bytes
     logp, byte = np.log(uses / total), math.log(in_bytes / 256 / total)
-    scored = scratch.written(words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(_scores(vocabulary, logp, byte, n_words, new), "slice int, part int, hashes binary, counts binary, logs binary"), "scored")
+    scored = scratch.written(words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_scores(vocabulary, logp, byte, n_words, new)), "slice int, part int, hashes binary, counts binary, logs binary"), "scored")
     answers = by_slice.select("chunk", "slice", "hashes", "docs").groupBy("slice").cogroup(scored.groupBy("slice")).applyInArrow(_answer, ANSWERS)
     whole = lists.where("slice < 0").select("chunk", "docs", "doc_ids", "n_words", "held")
     return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(n, v, trained, log_end, go_on), OUT)

@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     bound_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digests = scratch.written(source.mapInArrow(_digests(shingle, False), DIGEST), "digests")
+    digests = scratch.written(source.mapInArrow(K.tidied(_digests(shingle, False)), DIGEST), "digests")
     classes = scratch.written(
         digests.where("n_shingles > 0").groupBy("cid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("values").alias("values")),
         "classes",
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     # few suspects go to the texts; beyond the bound both sides are shuffled
     sized = F.broadcast if suspects.count() <= BROADCAST_ROWS else (lambda df: df)
     wanted = source.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(sized(suspects.select("rep").distinct()), "rep", "left_semi")
-    full = wanted.select("doc_id", "text").mapInArrow(_digests(shingle, True), DIGEST)
+    full = wanted.select("doc_id", "text").mapInArrow(K.tidied(_digests(shingle, True)), DIGEST)
     sets = full.join(sized(suspects.select("cid", "check", "copies")), ["cid", "check"]).groupBy("cid", "check").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
     sets = scratch.written(sets.drop("check"), "sets")
 
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     hubs = scratch.written(entries.groupBy("value").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("value", "h.hub", "h.hub_n"), "hubs")
     pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = scratch.written(pairs, "pairs")
-    star = scratch.written(_with_sets(pairs, sets).mapInArrow(_to_hub(percent), STAR), "star")
+    star = scratch.written(_with_sets(pairs, sets).mapInArrow(K.tidied(_to_hub(percent)), STAR), "star")
     star_links = star.where("linked").select("a", "b")
     roots = scratch.written(components(star_links, scratch), "roots")
     rooted = lambda df, key: df.join(roots.select(F.col("node").alias(key), "root"), key, "left").withColumn("root", F.coalesce("root", key))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     lies = (F.greatest("distance_a", "distance_b") > NEAR) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - t + 1e-9)
     cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
     cross = scratch.written(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross")
-    cross = _with_sets(cross, sets).mapInArrow(_verify(percent), "a long, b long")
+    cross = _with_sets(cross, sets).mapInArrow(K.tidied(_verify(percent)), "a long, b long")
     cross_links = scratch.written(cross.unionByName(near_links), "cross-links")
     root_links = cross_links.unionByName(star_links)
     final = scratch.written(components(root_links, scratch), "components")

@@ -98,7 +98,7 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Vectors of all words' and shapes' buckets, from the contexts of the whole corpus."""
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(_contexts, SUMS)
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(K.tidied(_contexts), SUMS)
     # two steps, so that no group grows with more than the square root of the partitions
     fan = max(1, math.isqrt(docs.rdd.getNumPartitions()))
     some = sums.withColumn("part", F.col("part") % fan).groupBy("part", "slice").applyInArrow(_add_up, SUMS)
@@ -223,9 +223,9 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, labe
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     word_vectors, shape_vectors = context_vectors(docs)
-    pooled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_pooled(word_vectors, shape_vectors), "doc_id long, vector binary")
+    pooled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(K.tidied(_pooled(word_vectors, shape_vectors)), "doc_id long, vector binary")
     pooled = scratch.written(pooled, "vectors")
-    return pooled.mapInArrow(_scoring(train(pooled, labels, mod, rest, label_col), mod, rest), SCORES)
+    return pooled.mapInArrow(K.tidied(_scoring(train(pooled, labels, mod, rest, label_col), mod, rest)), SCORES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
@@ -235,7 +235,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
     word_vectors, shape_vectors = context_vectors(docs)
     pool = _pooled(word_vectors, shape_vectors)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    net = train(scratch.written(labelled.mapInArrow(pool, "doc_id long, vector binary"), "vectors"), labels)
+    net = train(scratch.written(labelled.mapInArrow(K.tidied(pool), "doc_id long, vector binary"), "vectors"), labels)
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +245,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
             x = np.frombuffer(b"".join(got), np.float32).reshape(-1, FEATURES).astype(float)
             yield batch.filter(pa.array(net.probability(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidied(run), docs.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch, and its bytes, so that long texts don't add up in a Python worker.
 ARROW_ROWS = 2000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 _own: list[str] = []
 

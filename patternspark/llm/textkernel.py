@@ -8,13 +8,14 @@ longer than the bound is a chunk of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 4096
 DOC_SHIFT = np.uint64(52)
 HASH_BITS = np.uint64(64 - 52)
@@ -33,6 +34,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def tidy() -> None:
+    """Give freed memory back: workers live on between tasks, two to an executor of a few GB."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and tidy() at the end."""
+
+    def tidy_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return tidy_run
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256)

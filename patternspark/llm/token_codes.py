@@ -257,7 +257,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    sorted_rows.mapInArrow(_encode(tokenizer, end), SEGMENTS).write.parquet(path)
+    sorted_rows.mapInArrow(K.tidied(_encode(tokenizer, end)), SEGMENTS).write.parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and the crc32 of its ids (with the end id)."""
     bound_batches(spark)
-    return _segments(spark, path).mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _segments(spark, path).mapInArrow(K.tidied(_decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:

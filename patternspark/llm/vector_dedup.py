@@ -263,7 +263,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     bound_batches(spark)
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = scratch.written(rows.mapInArrow(_read, "vec_id long, cid long, unit binary"), "rows")
+    rows = scratch.written(rows.mapInArrow(K.tidied(_read), "vec_id long, cid long, unit binary"), "rows")
     classes = scratch.written(rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "classes")
     facts = classes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("b")).first()
     n, dims = facts["n"], (facts["b"] or 0) // 8
@@ -272,7 +272,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         return rows.select("vec_id", lone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(False).alias("reached"))
     drawn = classes.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, n // SAMPLE))) == 0).select("unit").limit(2 * SAMPLE).collect()
     c = centres(_stack(sorted(bytes(r["unit"]) for r in drawn) or [b""], dims), int(min(MOST_CENTRES, max(1, math.ceil(n * OVERLAP / SHARD_ROWS)))))
-    dealt = scratch.written(classes.select("cid", "copies", "unit").mapInArrow(_dealt(c, min(OVERLAP, len(c))), "cid long, copies long, unit binary, homes array<int>"), "dealt")
+    dealt = scratch.written(classes.select("cid", "copies", "unit").mapInArrow(K.tidied(_dealt(c, min(OVERLAP, len(c)))), "cid long, copies long, unit binary, homes array<int>"), "dealt")
     each = dealt.withColumn("home", F.explode("homes"))
     sizes = each.groupBy("home").count().select("home", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     # one row for each centre
@@ -297,7 +297,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 def audit(vectors: DataFrame, result: DataFrame, queries: int = 200, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Recall of links of a bounded sample of vectors, against brute force over all rows; 1.0 without links."""
     bound_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_read, "vec_id long, cid long, unit binary").where("cid is not null and vec_id is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(K.tidied(_read), "vec_id long, cid long, unit binary").where("cid is not null and vec_id is not null")
     asked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).collect()
     if not asked:
         return 1.0
@@ -309,7 +309,7 @@ def audit(vectors: DataFrame, result: DataFrame, queries: int = 200, least: floa
             x = _stack([u[: 8 * dims] for u in batch.column("unit").to_pylist()], dims)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((x @ q.T >= least).sum(0).astype(np.int64))], ["vec_id", "n"])
 
-    true = {r["vec_id"]: r["n"] - 1 for r in rows.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    true = {r["vec_id"]: r["n"] - 1 for r in rows.mapInArrow(K.tidied(run), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
     got = {r["vec_id"]: r["n_links"] for r in result.where(F.col("vec_id").isin(ids)).select("vec_id", "n_links").collect()}
     total = sum(true.values())
     return sum(min(got[k], x) for k, x in true.items()) / total if total else 1.0
