@@ -201,15 +201,19 @@ def _scoring(net: Network, mod: int, rest: int):
     return run
 
 
-def train(vectors: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label_col: str = "quality", most: int = TRAIN_ROWS) -> Network:
-    """Fit on labelled rows outside the held-out part: all, or the `most` of lowest id hash.
+def labelled_sample(labels: DataFrame, mod: int = 4, rest: int = 2, label_col: str = "quality", most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, y of labelled ids outside the held-out part: all, or the `most` of lowest id hash.
 
     Labels other than 0 and 1 count for nothing; of several labels of an id the lowest counts.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(key % mod != rest)
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = sorted((r["doc_id"], bytes(r["vector"]), r["y"]) for r in vectors.join(known, "doc_id").select("doc_id", "vector", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect())
+    return known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def train(vectors: DataFrame, sample: DataFrame, most: int = TRAIN_ROWS) -> Network:
+    """Fit on the vectors of a labelled sample."""
+    rows = sorted((r["doc_id"], bytes(r["vector"]), r["y"]) for r in vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "vector", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect())
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
     return Network(x, np.array([r[2] for r in rows], int))
 
@@ -225,7 +229,7 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, labe
     word_vectors, shape_vectors = context_vectors(docs)
     pooled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(K.tidied(_pooled(word_vectors, shape_vectors)), "doc_id long, vector binary")
     pooled = scratch.written(pooled, "vectors")
-    return pooled.mapInArrow(K.tidied(_scoring(train(pooled, labels, mod, rest, label_col), mod, rest)), SCORES)
+    return pooled.mapInArrow(K.tidied(_scoring(train(pooled, labelled_sample(labels, mod, rest, label_col)), mod, rest)), SCORES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
@@ -234,8 +238,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
     scratch = Scratch(docs.sparkSession, "quality")
     word_vectors, shape_vectors = context_vectors(docs)
     pool = _pooled(word_vectors, shape_vectors)
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    net = train(scratch.written(labelled.mapInArrow(K.tidied(pool), "doc_id long, vector binary"), "vectors"), labels)
+    sample = scratch.written(labelled_sample(labels), "sample")
+    # no more than TRAIN_ROWS ids
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    net = train(scratch.written(labelled.mapInArrow(K.tidied(pool), "doc_id long, vector binary"), "vectors"), sample)
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
