@@ -185,4 +185,4 @@ def miner(name: str, **kw):
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(i, r.label, r.mask, r.vals, round(r.purity, 9), r.repet, round(r.weight, 9), r.source) for i, r in enumerate(rules)], RULES)
+    return spark.createDataFrame([(i, r.label, r.mask, r.vals, round(float(r.purity), 9), r.repet, round(float(r.weight), 9), r.source) for i, r in enumerate(rules)], RULES)
