@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 MODES = ("one", "two", "all", "dense", "greedy")
+#: Ranges into which the values of a feature are cut for running sums.
+RANGES = 64
 
 
 @dataclass(frozen=True)
@@ -48,36 +52,90 @@ def gain(pl: Column, nl: Column, pr: Column, nr: Column) -> Column:
     return diff * diff / (n * n * nl * nr)
 
 
+def prefix_sums(hist: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Adds next_x, the following value of x, and for every column in sums l_<column>, its sum up to x, and t_<column>.
+
+    The values of a group are cut into ranges at approximate quantiles; running sums inside a range and the sums of
+    the ranges before it are exact wherever the cuts fall, so no task holds all values of a group.
+    """
+    quantiles = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, 1000)).alias("_splits"))  # a row a group
+    placed = hist.join(F.broadcast(splits), by).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("x")))).drop("_splits")
+    ranges = placed.groupBy(*by, "_range").agg(F.min("x").alias("_first"), *(F.sum(c).alias(f"_{c}") for c in sums))
+    w = Window.partitionBy(*by)
+    order = w.orderBy("_range")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(*by, "_range", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_{c}").over(w).alias(f"t_{c}") for c in sums))
+    inside = Window.partitionBy(*by, "_range").orderBy("x")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # RANGES rows a group
+    out = placed.join(F.broadcast(starts), [*by, "_range"]).withColumn("next_x", F.coalesce(F.lead("x").over(inside), "_next"))
+    out = out.withColumns({f"l_{c}": F.sum(c).over(upto) + F.col(f"_b_{c}") for c in sums})
+    return out.drop("_range", "_next", *(f"_b_{c}" for c in sums))
+
+
 def candidates(hist: DataFrame, min_support: int = 5) -> DataFrame:
     """feature, t, nl, nr, gain: midpoints of neighbouring values with support on both sides and a gain."""
-    by = Window.partitionBy("feature")
-    run = by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    c = hist.select("feature", ((F.col("x") + F.lead("x").over(by.orderBy("x"))) / 2).alias("t"), F.sum("n").over(run).alias("nl"), F.sum("pos").over(run).alias("pl"), F.sum("n").over(by).alias("n"), F.sum("pos").over(by).alias("p"), F.min("x").over(by).alias("lo"), F.max("x").over(by).alias("hi"))
-    c = c.where("t is not null").withColumn("nr", F.col("n") - F.col("nl")).withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("nr")))
+    ends = hist.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    c = prefix_sums(hist, ["feature"], ["n", "pos"]).where("next_x is not null").join(F.broadcast(ends), "feature")
+    c = c.select("feature", ((F.col("x") + F.col("next_x")) / 2).alias("t"), F.col("l_n").alias("nl"), (F.col("t_n") - F.col("l_n")).alias("nr"), F.col("l_pos").alias("pl"), (F.col("t_pos") - F.col("l_pos")).alias("pr"), "lo", "hi")
+    c = c.withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("pr"), F.col("nr")))
     return c.where((F.col("nl") >= min_support) & (F.col("nr") >= min_support) & (F.col("gain") > 0)).select("feature", "t", "nl", "nr", "gain", "lo", "hi")
 
 
 def distance_prune(cands: DataFrame, fraction: float = 0.02) -> DataFrame:
-    """Walk the thresholds upwards; one within fraction*range of the last kept replaces it if its gain is larger."""
+    """Walk the thresholds upwards; one within fraction*range of the last kept replaces it if its gain is larger.
+
+    The walk itself is one fold per feature. Before it, every cell of half a gap keeps only the thresholds with more
+    gain than all before them or at least that of all after them in the cell: the others can't change the walk. They
+    lie within a gap of each other, so the first that the walk accepts is followed up to the cell's later maximum.
+    """
+    if fraction <= 0:
+        return cands.select("feature", "t", "gain")
+    cell = Window.partitionBy("feature", F.floor((F.col("t") - F.col("lo")) / ((F.col("hi") - F.col("lo")) * fraction / 2))).orderBy("t")
+    before = F.max("gain").over(cell.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.max("gain").over(cell.rowsBetween(1, Window.unboundedFollowing))
+    told = cands.withColumn("_before", before).withColumn("_after", after).where("_before is null or _after is null or gain > _before or gain >= _after")
     kept = "array<struct<t:double,gain:double>>"
     walk = f"""aggregate(cuts, cast(array() as {kept}), (acc, c) -> CASE
         WHEN size(acc) = 0 OR NOT (c.t - element_at(acc, -1).t < gap) THEN concat(acc, array(c))
         WHEN c.gain > element_at(acc, -1).gain THEN concat(slice(acc, 1, size(acc) - 1), array(c))
         ELSE acc END)"""
-    grouped = cands.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("t", "gain"))).alias("cuts"), ((F.max("hi") - F.max("lo")) * fraction).alias("gap"))
+    grouped = told.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("t", "gain"))).alias("cuts"), ((F.max("hi") - F.max("lo")) * fraction).alias("gap"))
     return grouped.select("feature", F.explode(F.expr(walk)).alias("c")).select("feature", "c.t", "c.gain")
 
 
-def choose(cuts: DataFrame, mode: str = "greedy", top_k: int = 20) -> DataFrame:
-    """The mode's cuts: best one, outer two, all, or the top k by gain (ties: the higher threshold)."""
+def choose(cuts: DataFrame, mode: str = "greedy", top_k: int = 20, apart: DataFrame | None = None) -> DataFrame:
+    """The mode's cuts: best one, outer two, all, or the top k by gain (ties: the higher threshold).
+
+    apart: feature, gap. Mode two falls back to the best one where the outer two lie closer than the gap.
+    """
     assert mode in MODES, mode
     w = Window.partitionBy("feature")
     if mode in ("all", "dense"):
         return cuts
+    best = F.row_number().over(w.orderBy(F.desc("gain"), F.asc("t")))
+    if mode == "two":
+        gaps = cuts.select("feature").distinct().withColumn("gap", F.lit(0.0)) if apart is None else apart
+        c = cuts.join(F.broadcast(gaps), "feature").withColumn("a", F.min("t").over(w)).withColumn("b", F.max("t").over(w)).withColumn("r", best)
+        return c.where(F.when(F.col("b") - F.col("a") < F.col("gap"), F.col("r") == 1).otherwise((F.col("t") == F.col("a")) | (F.col("t") == F.col("b")))).drop("a", "b", "gap", "r")
+    if mode == "greedy":
+        best = F.row_number().over(w.orderBy(F.desc("gain"), F.desc("t")))
+    return cuts.withColumn("r", best).where(F.col("r") <= (1 if mode == "one" else top_k)).drop("r")
+
+
+def choose_members(cuts: DataFrame, mode: str = "greedy", top_k: int = 20) -> DataFrame:
+    """The mode's value subsets: best one, least and most gain, all, or the top k. Ties: fewer members, then in order."""
+    assert mode in MODES, mode
+    if mode in ("all", "dense"):
+        return cuts
+    made = [F.size(F.split("members", ",")), F.col("members")]
     if mode == "two":
-        return cuts.withColumn("a", F.min("t").over(w)).withColumn("b", F.max("t").over(w)).where("t = a or t = b").drop("a", "b")
-    first = [F.desc("gain"), F.asc("t")] if mode == "one" else [F.desc("gain"), F.desc("t")]
-    return cuts.withColumn("r", F.row_number().over(w.orderBy(*first))).where(F.col("r") <= (1 if mode == "one" else top_k)).drop("r")
+        ends = cuts.agg(F.min_by("members", F.struct("gain", *made)).alias("lo"), F.max("gain").alias("top"))
+        high = cuts.orderBy(F.desc("gain"), *made).limit(1)
+        low = cuts.join(F.broadcast(ends.select("lo")), F.col("members") == F.col("lo")).drop("lo")  # one row
+        return low.unionByName(high).distinct()
+    return cuts.orderBy(F.desc("gain"), *made).limit(1 if mode == "one" else top_k)
 
 
 def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: int = 5, label: str = "label") -> DataFrame:
@@ -93,7 +151,7 @@ def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: in
     return out.where((F.col("nl") >= min_support) & (F.col("n") - F.col("nl") >= min_support) & (F.col("gain") > 0)).select(F.array_join(F.transform("own", lambda v: v["v"]), ",").alias("members"), "nl", "gain")
 
 
-def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5) -> DataFrame:
+def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, least_fall: float = 0.0) -> DataFrame:
     """feature, t: thresholds of a one-column tree with balanced classes, grown level by level by prefix sums.
 
     A node is an interval of values; each level splits every interval at its best weighted Gini gain.
@@ -101,48 +159,84 @@ def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5) -> D
     totals = hist.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
     w1 = F.when(F.col("tp") > 0, F.pow(F.col("tn") / (2 * F.col("tp")), 2)).otherwise(0.0)
     w0 = F.when(F.col("tn") > F.col("tp"), F.pow(F.col("tn") / (2 * (F.col("tn") - F.col("tp"))), 2)).otherwise(0.0)
-    nodes = hist.join(F.broadcast(totals), "feature").select("feature", "x", "n", (F.col("pos") * w1).alias("a"), ((F.col("n") - F.col("pos")) * w0).alias("b"), F.lit(1).cast("long").alias("node"))
+    nodes = hist.join(F.broadcast(totals), "feature").select("feature", "x", "n", (F.col("pos") * w1).alias("a"), ((F.col("n") - F.col("pos")) * w0).alias("b"), (F.col("tp") * w1 + (F.col("tn") - F.col("tp")) * w0).alias("weight"), F.lit(1).cast("long").alias("node"))
     found = None
+    impurity = lambda a, b: F.when(a + b > 0, a * b / (a + b)).otherwise(0.0)
     for _ in range(max_depth):
-        by = Window.partitionBy("feature", "node")
-        run = by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        c = nodes
-        for k in ("n", "a", "b"):
-            c = c.withColumn(f"l{k}", F.sum(k).over(run)).withColumn(f"t{k}", F.sum(k).over(by))
-        impurity = lambda a, b: F.when(a + b > 0, a * b / (a + b)).otherwise(0.0)
-        c = c.withColumn("t", (F.col("x") + F.lead("x").over(by.orderBy("x"))) / 2)
-        c = c.withColumn("drop", impurity(F.col("ta"), F.col("tb")) - impurity(F.col("la"), F.col("lb")) - impurity(F.col("ta") - F.col("la"), F.col("tb") - F.col("lb")))
-        ok = c.where((F.col("t").isNotNull()) & (F.col("ln") >= min_leaf) & (F.col("tn") - F.col("ln") >= min_leaf) & (F.col("drop") > 1e-9))
-        best = ok.groupBy("feature", "node").agg(F.max_by("t", F.struct("drop", -F.col("t"))).alias("t"))
-        nodes = nodes.join(best, ["feature", "node"]).withColumn("node", F.col("node") * 2 + (F.col("x") > F.col("t")).cast("long"))
+        c = prefix_sums(nodes, ["feature", "node"], ["n", "a", "b"])
+        fall = impurity(F.col("t_a"), F.col("t_b")) - impurity(F.col("l_a"), F.col("l_b")) - impurity(F.col("t_a") - F.col("l_a"), F.col("t_b") - F.col("l_b"))
+        c = c.withColumn("fall", fall).withColumn("t", (F.col("x") + F.col("next_x")) / 2)
+        ok = c.where(F.col("t").isNotNull() & (F.col("l_n") >= min_leaf) & (F.col("t_n") - F.col("l_n") >= min_leaf) & (F.col("fall") > 1e-9))
+        if least_fall > 0:  # as a share of the feature's weight
+            ok = ok.join(F.broadcast(nodes.groupBy("feature").agg(F.first("weight").alias("whole"))), "feature").where(2 * F.col("fall") / F.col("whole") >= least_fall)
+        best = cut(ok.groupBy("feature", "node").agg(F.max_by("t", F.struct("fall", -F.col("t"))).alias("t")))
+        nodes = cut(nodes.join(F.broadcast(best), ["feature", "node"])).withColumn("node", F.col("node") * 2 + (F.col("x") > F.col("t")).cast("long")).drop("t")  # at most 2^depth rows a feature
         found = best.select("feature", "t") if found is None else found.unionByName(best.select("feature", "t"))
-        nodes = nodes.drop("t")
     return found.select("feature", F.round("t", 10).alias("t")).distinct()
 
 
-def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5, fraction: float = 0.02, max_group: int = 3, most_cuts: int = 62) -> list[Cut]:
-    """Cuts in id order: numeric features, then categorical ones; equal columns keep the lowest id."""
-    got = choose(distance_prune(candidates(histogram(df, numeric), min_support), fraction), mode, top_k).collect()  # at most top_k a feature
+def measure(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """feature, t, nl, nr, gain (times n; 0 with fewer than two rows on a side), lo, hi of given thresholds."""
+    lists = thresholds.groupBy("feature").agg(F.array_sort(F.collect_set("t")).alias("ts"))  # at most 2^depth a feature
+    at = hist.join(F.broadcast(lists), "feature").withColumn("k", F.size(F.filter("ts", lambda t: t < F.col("x"))))
+    parts = at.groupBy("feature", "k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    w = Window.partitionBy("feature")
+    upto = w.orderBy("k")
+    # every threshold lies between two values, so every k from 0 to their number has rows
+    c = parts.join(F.broadcast(lists), "feature").select("feature", F.expr("get(ts, k)").alias("t"), F.sum("n").over(upto).alias("nl"), F.sum("pos").over(upto).alias("pl"), F.sum("n").over(w).alias("n"), F.sum("pos").over(w).alias("p"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")).where("t is not null")
+    c = c.withColumn("nr", F.col("n") - F.col("nl")).withColumn("gain", F.when((F.col("nl") < 2) | (F.col("nr") < 2), 0.0).otherwise(F.col("n") * gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("nr"))))
+    return c.select("feature", "t", "nl", "nr", "gain", "lo", "hi")
+
+
+def tree_cuts(hist: DataFrame, mode: str = "dense", max_depth: int = 8, min_leaf: int = 5, min_support: int = 5, top_k: int = 20, apart: float = 0.02, edge: float = 0.0, least_fall: float = 0.0) -> DataFrame:
+    """feature, t, nl, nr, gain, lo, hi of a tree's thresholds with support on both sides, by mode.
+
+    edge: thresholds within this share of the range of either end go (the first variant of the operator takes
+    mode two, depth 5, leaves and support of 15, edge 0.05, apart 0.12 and least_fall 0.005).
+    """
+    c = measure(hist, tree_thresholds(hist, max_depth, min_leaf, least_fall)).where((F.col("nl") >= min_support) & (F.col("nr") >= min_support))
+    if edge > 0:
+        margin = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8)) * edge
+        c = c.where((F.col("t") > F.col("lo") + margin) & (F.col("t") < F.col("hi") - margin))
+    gaps = hist.groupBy("feature").agg(((F.max("x") - F.min("x")) * apart).alias("gap"))
+    return choose(c, mode, top_k, gaps)
+
+
+def distinct_cuts(df: DataFrame, cuts: list[Cut]) -> list[Cut]:
+    """Cuts renumbered, of those with equal columns the first.
+
+    Bit j of the OR over all patterns of (bits XOR column i repeated in every bit) is 0 just if columns i and j agree
+    on every row, so one aggregate compares all columns exactly.
+    """
+    if not cuts:
+        return []
+    bits = F.col("bits")
+    apart = transform(df, cuts).agg(*(F.bit_or(bits.bitwiseXOR(-F.shiftright(bits, i).bitwiseAND(F.lit(1)).cast("long"))).alias(f"c{i}") for i in range(len(cuts)))).first()
+    kept = [c for j, c in enumerate(cuts) if all((apart[i] or 0) >> j & 1 for i in range(j))]
+    return [Cut(i, c.feature, c.threshold, c.members) for i, c in enumerate(kept)]
+
+
+def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5, fraction: float = 0.02, max_group: int = 3, most_cuts: int = 62, tree: dict | None = None) -> list[Cut]:
+    """Cuts in id order: numeric features, then categorical ones; equal columns keep the lowest id.
+
+    tree: arguments of tree_cuts, whose thresholds then replace the candidates of all midpoints.
+    """
+    hist = histogram(df, numeric)
+    if tree is None:
+        gaps = hist.groupBy("feature").agg(((F.max("x") - F.min("x")) * fraction).alias("gap"))
+        chosen = choose(distance_prune(candidates(hist, min_support), fraction), mode, top_k, gaps)
+    else:
+        chosen = tree_cuts(hist, mode, top_k=top_k, **{"min_support": min_support, **tree})
+    got = chosen.collect()  # pruned: at most 1/fraction, 2^depth or top_k a feature
     place = {f: i for i, f in enumerate(numeric)}
     cuts = [(r["feature"], r["t"], (), r["gain"]) for r in sorted(got, key=lambda r: (place[r["feature"]], r["t"]))]
     for f in categoric:
-        best = categorical(df, f, max_group, min_support).orderBy(F.desc("gain"), "members").limit(top_k).collect()
+        best = choose_members(categorical(df, f, max_group, min_support), mode, top_k).collect()
         cuts += [(f, None, tuple(r["members"].split(",")), r["gain"]) for r in sorted(best, key=lambda r: (r["gain"], r["members"]))]
     if len(cuts) > most_cuts:
         keep = set(sorted(range(len(cuts)), key=lambda i: (-cuts[i][3], i))[:most_cuts])
         cuts = [c for i, c in enumerate(cuts) if i in keep]
-    made = [Cut(i, f, t, m) for i, (f, t, m, _) in enumerate(cuts)]
-    if not made:
-        return []
-    patterns = transform(df, made).groupBy("bits").count().select("bits")
-    columns = patterns.agg(*(F.hash(F.lit(0)).alias("_"),), *(F.sort_array(F.collect_list(F.when(F.col("bits").bitwiseAND(F.lit(1 << c.cut_id)) != 0, F.col("bits")))).alias(f"c{c.cut_id}") for c in made)).first()
-    seen, kept = set(), []
-    for c in made:
-        own = tuple(columns[f"c{c.cut_id}"])
-        if own not in seen:
-            seen.add(own)
-            kept.append(c)
-    return [Cut(i, c.feature, c.threshold, c.members) for i, c in enumerate(kept)]
+    return distinct_cuts(df, [Cut(i, f, t, m) for i, (f, t, m, _) in enumerate(cuts)])
 
 
 def transform(df: DataFrame, cuts: list[Cut]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 TRIALS = "config_hash string, config string, n_cutpoints int, n_selected int, n_rules int, test_acc double, test_f1 double, runtime_s double, status string, error_msg string, ts timestamp"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the session's shared folder, so that plans of many rounds stay small and survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="patternspark-cut-"))
+    return df.checkpoint()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
