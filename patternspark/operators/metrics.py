@@ -30,3 +30,28 @@ def roc_auc(preds: DataFrame, score: str = "conf") -> DataFrame:
     below = F.coalesce(F.sum("n0").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = h.select("n0", "n1", (F.col("n1") * (2 * below + F.col("n0"))).alias("u2")).agg(F.sum("u2").alias("u2"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     return t.select(F.round(F.when((F.col("n0") > 0) & (F.col("n1") > 0), F.col("u2") / (2 * F.col("n0") * F.col("n1"))), 9).alias("auc"))
+
+
+def run_statistics(preds: DataFrame) -> DataFrame:
+    """Share of rows that an exact rule decided, and the mean confidence."""
+    return preds.agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_exact").cast("double")), 9).alias("coverage"), F.round(F.avg("conf"), 9).alias("mean_confidence"))
+
+
+def overfit_gap(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Accuracies, their difference and whether it is over a tenth either way."""
+    acc = lambda df, name: df.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias(name))
+    both = acc(train, "train_acc").crossJoin(F.broadcast(acc(test, "test_acc")))  # one row each
+    gap = F.col("train_acc") - F.col("test_acc")
+    return both.select(F.round("train_acc", 9).alias("train_acc"), F.round("test_acc", 9).alias("test_acc"), F.round(gap, 9).alias("gap"), (F.abs(F.round(gap, 9)) > 0.1).alias("flagged"))
+
+
+def stage_report(lazy_preds: DataFrame) -> DataFrame:
+    """stage, n, share, accuracy, mean purity and support of lazy predictions; hint where over 30 % fell back."""
+    s = lazy_preds.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 9).alias("accuracy"), F.round(F.avg("purity"), 9).alias("mean_purity"), F.round(F.avg("support"), 9).alias("mean_support"))
+    share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9)  # three rows
+    return s.withColumn("share", share).withColumn("hint", (F.col("stage") == "fallback") & (F.col("share") > 0.3))
+
+
+def breakdown(preds: DataFrame, n: int = 50) -> DataFrame:
+    """The first n rows by id, and whether each is right: a report, so limited."""
+    return preds.orderBy("row_id").limit(n).withColumn("right", F.col("pred") == F.col("label"))

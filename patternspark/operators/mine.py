@@ -82,6 +82,11 @@ def max_patterns(t: Table, purity: float = 0.6, threshold: int = 0, min_unique:
     return prune_redundant(t, _weigh(list(found.values()), t.n), min_unique)
 
 
+def voting_rules(t: Table, purity: float = 0.6, threshold: int = 0, least: int = 3) -> list[Rule]:
+    """Overlapping maximal patterns for votes: no redundancy pruning, and a support of `least` on the whole table."""
+    return [r for r in max_patterns(t, purity, threshold, 0) if r.repet >= least]
+
+
 def prune_redundant(t: Table, rules: list[Rule], min_unique: int) -> list[Rule]:
     """Keep a rule, by rank, if enough of its rows are new; only kept rules cover."""
     if min_unique <= 0:

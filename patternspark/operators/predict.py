@@ -53,3 +53,50 @@ def assume(rows: DataFrame, rules: DataFrame, default: int) -> DataFrame:
     m = match(rows, rules).withColumn("hit", F.expr(f"get(filter({FIRES}, r -> r.rule_label = {1 - default}), 0)"))
     some = F.col("hit").isNotNull()
     return m.select("row_id", "label", F.when(some, 1 - default).otherwise(default).alias("pred"), F.round(F.when(some, F.col("hit.weight")).otherwise(1.0), 9).alias("conf"))
+
+
+def soft_vote_argmax(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The label with more weight of firing rules (a tie: that of the first firing rule); else best_match by overlap."""
+    m = match(rows, rules).withColumn("w1", _fired("r.rule_label = 1")).withColumn("w", _fired("true")).withColumn("first", F.expr(f"get({FIRES}, 0)"))
+    other = best_match(rows, rules, "overlap_only").select("row_id", F.col("pred").alias("p2"), F.col("conf").alias("c2"))
+    voted = m.select("row_id", "label", "w1", (F.col("w") - F.col("w1")).alias("w0"), F.col("first.rule_label").alias("first")).join(other, "row_id")
+    one, zero = F.round("w1", 12), F.round("w0", 12)
+    pred = F.when(one > zero, 1).when(zero > one, 0).otherwise(F.col("first"))
+    some = F.col("first").isNotNull()
+    return voted.select("row_id", "label", F.when(some, pred).otherwise(F.col("p2")).alias("pred"), F.round(F.when(some, F.when(one + zero > 0, F.greatest("w0", "w1") / (F.col("w0") + F.col("w1"))).otherwise(0.0)).otherwise(F.col("c2")), 9).alias("conf"))
+
+
+def justify(rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight") -> DataFrame:
+    """best_match with its reason: rule_rank, overlap and weight of the first rule of the label with the overlap found.
+
+    score is the raw overlap in both modes: 1 for a firing rule, 0 where only the first rule was left to take.
+    """
+    worth = OVERLAP + (" * r.weight" if mode == "overlap_times_weight" else "")
+    part = f"array_max(transform(filter(rules, r -> r.weight >= {MIN_WEIGHT}), r -> struct(round({worth}, 12) as s, -r.rule_rank as k, r.rule_label as l, round({OVERLAP}, 12) as o)))"
+    m = match(rows, rules).withColumn("fired", F.expr(f"get({FIRES}, 0)")).withColumn("part", F.expr(part)).withColumn("first", F.expr("get(rules, 0)"))
+    exact = F.col("fired").isNotNull()
+    some = F.col("part").isNotNull()
+    m = m.withColumn("pred", F.when(exact, F.col("fired.rule_label")).when(some, F.col("part.l")).otherwise(F.col("first.rule_label")))
+    m = m.withColumn("score", F.when(exact, 1.0).when(some, F.col("part.o")).otherwise(0.0))
+    why = F.coalesce(F.expr(f"get(filter(rules, r -> r.rule_label = pred AND round({OVERLAP}, 12) = score), 0)"), F.col("first"))
+    m = m.withColumn("r", why)
+    return m.select("row_id", "label", "pred", F.round("score", 9).alias("score"), exact.alias("is_exact"), F.col("r.rule_rank").alias("rule_rank"), F.round(F.expr(OVERLAP), 9).alias("overlap"), F.round("r.weight", 9).alias("weight"))
+
+
+def rule_text(rules: DataFrame, names: list[str]) -> DataFrame:
+    """rule_rank, text: IF a AND NOT (b) THEN class = L, with purity, support and weight; names[i] says what bit i means."""
+    said = F.array(*map(F.lit, names))
+    parts = F.expr("filter(sequence(0, 61), i -> shiftright(mask, i) & 1 = 1)")
+    word = F.transform(parts, lambda i: F.get(said, i))
+    r = rules.withColumn("_names", word).withColumn("_on", F.expr("transform(filter(sequence(0, 61), i -> shiftright(mask, i) & 1 = 1), i -> shiftright(vals, i) & 1 = 1)"))
+    text = F.zip_with("_names", "_on", lambda n, on: F.when(on, n).otherwise(F.concat(F.lit("NOT ("), n, F.lit(")"))))
+    return r.select("rule_rank", F.concat(F.lit("IF "), F.array_join(text, " AND "), F.lit(" THEN class = "), F.col("label").cast("string")).alias("text"), F.format_string("purity=%.3f support=%d weight=%.3f", "purity", "repet", "weight").alias("facts"))
+
+
+def rule_statistics(patterns: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_rank, support, purity, majority label (a tie: 0) of every rule's conjunction over a pattern table."""
+    fired = match(patterns, rules).select("n0", "n1", F.explode(F.expr(f"transform({FIRES}, r -> r.rule_rank)")).alias("rule_rank"))
+    c = fired.groupBy("rule_rank").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    c = rules.select("rule_rank").join(c, "rule_rank", "left").fillna(0, ["n0", "n1"])
+    n = F.col("n0") + F.col("n1")
+    return c.select("rule_rank", n.alias("support"), F.round(F.when(n > 0, F.greatest("n0", "n1") / n).otherwise(0.0), 9).alias("purity"), (F.col("n1") > F.col("n0")).cast("int").alias("majority"))

@@ -46,3 +46,10 @@ def mutual_information(patterns: DataFrame, n_cuts: int) -> DataFrame:
         return F.when(own > 0, own / n * F.ln(own * n / (row * col).cast("double"))).otherwise(0.0)
 
     return t.select("cut_id", F.round(term(0, 0) + term(0, 1) + term(1, 0) + term(1, 1), 9).alias("mi"))
+
+
+def balanced_weights(rows: DataFrame) -> DataFrame:
+    """label, weight = n / (classes * rows of the class)."""
+    n = rows.groupBy("label").agg(F.count("*").alias("n"))
+    whole = n.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
+    return n.crossJoin(F.broadcast(whole)).select("label", F.round(F.col("total") / (F.col("classes") * F.col("n")), 9).alias("weight"))  # one row

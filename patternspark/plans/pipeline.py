@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import statistics
 import time
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ class Config:
     categoric: tuple = ()
     mode: str = "greedy"
     top_k: int = 8
+    min_support: int = 5
+    fraction: float = 0.02
+    max_group: int = 3
+    tree: dict | None = None
     selector: str = "mutualinfo_astar"
     h_weight: float = 5.0
     expansions: int = 3000
@@ -27,6 +33,7 @@ class Config:
     threshold: int = 3
     class_weight: float = 1.0
     miner_args: dict = field(default_factory=dict)
+    min_coverage: int | None = None  # support of the overlapping rules that the other classifiers vote with
 
 
 @dataclass
@@ -36,6 +43,7 @@ class Model:
     rules: list
     order: list
     train: DataFrame
+    voting: list = field(default_factory=list)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return binarize.transform(df, [self.cuts[i] for i in self.subset])
@@ -56,19 +64,30 @@ def choose_features(rows: DataFrame, n: int, c: Config) -> list[int]:
     raise ValueError(f"unknown selector {c.selector}")
 
 
-def fit(train: DataFrame, c: Config) -> Model:
-    cuts = binarize.fit(train, list(c.numeric), list(c.categoric), c.mode, c.top_k)
+def fit(train: DataFrame, c: Config, reuse: dict | None = None) -> Model:
+    """reuse: cuts and subsets of the last configuration, taken where this one agrees with it up to that stage."""
+    reuse = {} if reuse is None else reuse
+
+    def stage(name: str, key: tuple, make):
+        if reuse.get(name, (None,))[0] != key:
+            reuse[name] = (key, make())
+        return reuse[name][1]
+
+    first = repr((c.numeric, c.categoric, c.mode, c.top_k, c.min_support, c.fraction, c.max_group, c.tree))
+    cuts = stage("cuts", (first,), lambda: binarize.fit(train, list(c.numeric), list(c.categoric), c.mode, c.top_k, c.min_support, c.fraction, c.max_group, tree=c.tree))
     if not cuts:
         raise RuntimeError("no feature tells the classes apart")
-    rows = binarize.transform(train, cuts)
-    subset = choose_features(rows, len(cuts), c)
+    second = (first, c.selector, c.h_weight, c.expansions, c.class_weight)
+    subset = stage("subset", second, lambda: choose_features(binarize.transform(train, cuts), len(cuts), c))
     packed = binarize.transform(train, [cuts[i] for i in subset])
     clean = score.remove_conflicts(packed)
     if c.miner == "lazy":
         w = {r["cut_id"]: r["weight"] for r in lazy.weights(score.pattern_table(clean), len(subset)).collect()}
         return Model(cuts, subset, [], sorted(w, key=lambda i: (-w[i], -i)), clean)
-    args = {"purity": c.purity, "threshold": c.threshold, **c.miner_args}
-    return Model(cuts, subset, mine.miner(c.miner, **args)(mine.Table.of(clean, len(subset))), [], clean)
+    table = stage("table", second, lambda: mine.Table.of(clean, len(subset)))
+    rules = mine.miner(c.miner, **{"purity": c.purity, "threshold": c.threshold, **c.miner_args})(table)
+    voting = [] if c.min_coverage is None else mine.voting_rules(table, c.purity, c.threshold, c.min_coverage)
+    return Model(cuts, subset, rules, [], clean, voting)
 
 
 def predict_with(model: Model, df: DataFrame, classifier: str = "best_match") -> DataFrame:
@@ -77,48 +96,145 @@ def predict_with(model: Model, df: DataFrame, classifier: str = "best_match") ->
         return lazy.predict(model.train, rows, model.order)
     if not model.rules:
         raise RuntimeError("no rules")
-    rules = mine.rules_frame(df.sparkSession, model.rules)
+    rules = mine.rules_frame(df.sparkSession, model.voting if model.voting and classifier != "best_match" else model.rules)
     kinds = {"best_match": predict.best_match, "soft_vote": predict.soft_vote, "assume_healthy": lambda a, b: predict.assume(a, b, 0), "assume_sick": lambda a, b: predict.assume(a, b, 1)}
     return kinds[classifier](rows, rules)
 
 
-def compare(model: Model, df: DataFrame) -> DataFrame:
-    """Metrics of the four rule classifiers, one row each."""
+CLASSIFIERS = ("best_match", "soft_vote", "assume_healthy", "assume_sick")
+
+
+def compare(model: Model, df: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """Metrics of the four rule classifiers, one row each; with train also its accuracy and the gap.
+
+    The last three vote with the overlapping rules where the model has them.
+    """
     out = None
-    for k in ("best_match", "soft_vote", "assume_healthy", "assume_sick"):
-        one = metrics.metrics(predict_with(model, df, k)).withColumn("classifier", F.lit(k))
+    for k in CLASSIFIERS:
+        preds = predict_with(model, df, k)
+        one = metrics.metrics(preds).withColumn("classifier", F.lit(k))
+        if train is not None:
+            one = one.crossJoin(F.broadcast(metrics.overfit_gap(predict_with(model, train, k), preds).select("train_acc", "gap", "flagged")))  # one row
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def cross_validate(df: DataFrame, c: Config, k: int = 5) -> list[dict]:
+    """Metrics of every fold whose model has rules; each model is fitted on the other folds."""
     folds, out = split.kfold(df, k), []
     for i in range(k):
+        kind = "lazy" if c.miner == "lazy" else "best_match"
         model = fit(folds.where(F.col("fold") != i), c)
-        if model.rules:
-            out.append({"fold": i, **metrics.metrics(predict_with(model, folds.where(F.col("fold") == i))).first().asDict()})
+        if model.rules or kind == "lazy":
+            out.append({"fold": i, **metrics.metrics(predict_with(model, folds.where(F.col("fold") == i), kind)).first().asDict()})
     return out
 
 
+def summary(folds: list[dict]) -> dict:
+    """Mean and population standard deviation of accuracy and F1 over folds; None without folds."""
+    out: dict = {"folds": len(folds)}
+    for k in ("accuracy", "f1"):
+        x = [f[k] for f in folds]
+        out[f"{k}_mean"] = statistics.fmean(x) if x else None
+        out[f"{k}_std"] = statistics.pstdev(x) if x else None
+    return out
+
+
+def tune_h_weight(rows: DataFrame, n: int, candidates: list[float], expansions: int = 10_000) -> float:
+    """The weight with which A* finds the smallest consistent subset; without any, the best score. Ties: the first."""
+    p = select.Patterns(rows)
+    best = None
+    for w in candidates:
+        subset = select.astar(p, n, w, expansions)
+        score_, good = p.score(select.mask_of(subset))
+        key = (good, -len(subset) if good else score_)
+        if best is None or key > best[0]:
+            best = (key, w)
+    return best[1]
+
+
+def tune_purity(rows: DataFrame, n: int, candidates: list[float], miner: str = "maxpatterns", threshold: int = 0, k: int = 5) -> tuple[float, float]:
+    """(purity, mean accuracy over k folds), the lowest purity of the best; a fold without rules counts 0.
+
+    rows: row_id, label, bits of n selected cuts.
+    """
+    folds = store.cut(split.kfold(rows, k))
+    tables = [mine.Table.of(folds.where(F.col("fold") != i), n) for i in range(k)]
+    best = None
+    for purity in candidates:
+        scores = []
+        for i, t in enumerate(tables):
+            rules = mine.miner(miner, purity=purity, threshold=threshold)(t)
+            scores.append(metrics.metrics(predict.best_match(folds.where(F.col("fold") == i), mine.rules_frame(rows.sparkSession, rules))).first()["accuracy"] if rules else 0.0)
+        if best is None or statistics.fmean(scores) > best[1]:
+            best = (purity, statistics.fmean(scores))
+    return best
+
+
+class Timeout(Exception):
+    pass
+
+
+def within(spark, seconds: float, tag: str, f):
+    """f(), or Timeout after so many seconds: its Spark jobs, tagged for its thread, are then cancelled."""
+    box: dict = {}
+
+    def work() -> None:
+        spark.addTag(tag)
+        try:
+            box["value"] = f()
+        except Exception as e:
+            box["error"] = e
+        finally:
+            spark.removeTag(tag)
+
+    thread = InheritableThread(target=work, session=spark)
+    thread.daemon = True
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.interruptTag(tag)
+        raise Timeout(f"over {seconds} s")
+    if "error" in box:
+        raise box["error"]
+    return box["value"]
+
+
+def grid(binarizers: list[dict], selectors: list[dict], miners: list[dict], **fixed) -> list[Config]:
+    """Every combination, so ordered that neighbours share their cuts and their selection."""
+    return [Config(**{**fixed, **b, **s, **m}) for b in binarizers for s in selectors for m in miners]
+
+
+def trial(train: DataFrame, test: DataFrame, c: Config, reuse: dict) -> tuple:
+    """One configuration: counts, metrics of its four classifiers, and the gap; reuse holds the last stages' results."""
+    model = fit(train, c, reuse)
+    sizes = (len(model.cuts), len(model.subset), len(model.rules))
+    kinds = ("lazy",) if c.miner == "lazy" else CLASSIFIERS
+    shared = store.cut(test)
+    m = {k: metrics.metrics(predict_with(model, shared, k)).first() for k in kinds}
+    first = m[kinds[0]]
+    train_acc = metrics.metrics(predict_with(model, train, kinds[0])).first()["accuracy"]
+    others = tuple(m[k]["accuracy"] if k in m else None for k in CLASSIFIERS[1:])
+    return (*sizes, first["accuracy"], first["f1"], train_acc, train_acc - first["accuracy"], first["tp"], first["fp"], first["fn"], first["tn"], *others)
+
+
 def tune(df: DataFrame, configs: list[Config], path: str, most_seconds: float = 600) -> DataFrame:
-    """Run every configuration that the log doesn't hold yet; errors and late trials are logged, not raised."""
-    spark, marked = df.sparkSession, split.stratified_split(df)
-    try:
-        done = {r["config_hash"] for r in store.trials(spark, path).select("config_hash").collect()}
-    except Exception:  # no log yet
-        done = set()
+    """Run every configuration that the log doesn't hold yet; errors and timeouts are logged, not raised."""
+    spark = df.sparkSession
+    marked = store.cut(split.stratified_split(df))
+    train, test = marked.where("not is_test"), marked.where("is_test")
+    done = {r["config_hash"] for r in store.trials(spark, path).select("config_hash").collect()} if store.exists(spark, path) else set()
+    reuse: dict = {}
     for c in configs:
         key = store.config_hash(vars(c))
         if key in done:
             continue
-        began, row = time.time(), [0, 0, 0, None, None]
+        began, row = time.time(), (0, 0, 0, *(None,) * 11)
         status, error = "ok", ""
-        spark.sparkContext.setJobGroup(key, "trial", interruptOnCancel=True)
         try:
-            model = fit(marked.where("not is_test"), c)
-            m = metrics.metrics(predict_with(model, marked.where("is_test"), "lazy" if c.miner == "lazy" else "best_match")).first()
-            row = [len(model.cuts), len(model.subset), len(model.rules), m["accuracy"], m["f1"]]
-            status = "ok" if time.time() - began <= most_seconds else "timeout"
+            row = within(spark, most_seconds, f"trial-{key}", lambda c=c, reuse=reuse: trial(train, test, c, reuse))
+        except Timeout as e:
+            status, error, reuse = "timeout", str(e), {}  # the late thread may still write to the old one
         except Exception as e:
             status, error = "error", str(e)[:300]
         store.log_trials(spark, path, [(key, str(vars(c)), *row, time.time() - began, status, error, datetime.datetime.now())])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..operators import binarize as B
 from ..operators import lazy, metrics, mine, predict, score, split
+from ..sources import store
 from . import pipeline as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,6 +301,163 @@ for _name in ("greedy", "astar", "mutualinfo", "mutualinfo_astar"):
     _selected(_name)
 
 
+@_query("SELECT quality AS label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight FROM labels GROUP BY quality")
+def balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return score.balanced_weights(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("quality").alias("label")))
+
+
+@_query("SELECT event_id AS row_id, coalesce(try_cast(substr(props, 7, 2) AS DOUBLE), 0.0) AS x FROM events")
+def safe_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("row_id"), F.substring("props", 7, 2).alias("k"))
+    return e.select("row_id", X.to_number("k").alias("x"))
+
+
+@_query(f"WITH {_FIT}, a AS (SELECT feature, t, gain, max(hi - lo) OVER w * 0.3 AS gap, min(t) OVER w AS t0, max(t) OVER w AS t1, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) AS r FROM cand WINDOW w AS (PARTITION BY feature)) SELECT feature, t FROM a WHERE CASE WHEN t1 - t0 < gap THEN r = 1 ELSE t = t0 OR t = t1 END")
+def mode_two_apart(spark: SparkSession, sf: str) -> DataFrame:
+    hist = B.histogram(_docs(spark, sf), NUMERIC)
+    gaps = hist.groupBy("feature").agg(((F.max("x") - F.min("x")) * 0.3).alias("gap"))
+    return B.choose(B.candidates(hist), "two", apart=gaps).select("feature", "t")
+
+
+_THRESHOLDS = "th(feature, t) AS (VALUES " + ", ".join(f"('{f}', {t}::DOUBLE)" for f, t in CUTS) + ")"
+
+
+@_query(f"""WITH {_DOC}, {_LONG}, {_THRESHOLDS}, s AS (SELECT feature, t, count(*) FILTER (x <= t) AS nl, count(*) FILTER (x > t) AS nr, sum(label) FILTER (x <= t) AS pl, sum(label) FILTER (x > t) AS pr, count(*) AS n FROM long JOIN th USING (feature) GROUP BY feature, t)
+SELECT feature, t, nl, nr, round(CASE WHEN nl < 2 OR nr < 2 THEN 0 ELSE power((pl * nr - pr * nl)::DOUBLE, 2) / (n::DOUBLE * nl * nr) END, 7) AS gain FROM s""")
+def threshold_gains(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = spark.createDataFrame(list(CUTS), "feature string, t double")
+    return B.measure(B.histogram(_docs(spark, sf), NUMERIC), fixed).select("feature", "t", "nl", "nr", F.round("gain", 7).alias("gain"))
+
+
+@_query()
+def tree_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.tree_cuts(B.histogram(_docs(spark, sf), NUMERIC), "greedy", 4, 10).select("feature", "t", F.round("gain", 9).alias("gain"))
+
+
+@_query()
+def tree_cuts_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return B.tree_cuts(B.histogram(_docs(spark, sf), NUMERIC), "two", 5, 15, 15, apart=0.12, edge=0.05, least_fall=0.005).select("feature", "t", F.round("gain", 9).alias("gain"))
+
+
+_MEMBERS = ORACLES["categorical_cuts"].replace("SELECT members, nl::BIGINT", ", c AS (SELECT members, nl::BIGINT", 1) + ")"
+_MADE = "len(string_split(members, ',')), members"
+
+
+@_query(f"""{_MEMBERS}, r AS (SELECT members, gain, row_number() OVER (ORDER BY gain DESC, {_MADE}) AS top, row_number() OVER (ORDER BY gain, {_MADE}) AS low FROM c)
+SELECT 'one' AS mode, members, gain FROM r WHERE top = 1 UNION ALL SELECT 'two', members, gain FROM r WHERE top = 1 OR low = 1 UNION ALL SELECT 'greedy', members, gain FROM r WHERE top <= 5 UNION ALL SELECT 'all', members, gain FROM r""")
+def categorical_modes(spark: SparkSession, sf: str) -> DataFrame:
+    cuts, out = B.categorical(_docs(spark, sf), "lang").withColumn("gain", F.round("gain", 9)), None
+    for mode in ("one", "two", "greedy", "all"):
+        one = B.choose_members(cuts, mode, 5).select(F.lit(mode).alias("mode"), "members", "gain")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Cuts of which some give equal columns on every table.
+TWINS = (*CUTS, ("n_words", 150.25), ("n_words", 150.75), ("n_chars", 2000.5), ("letter_ratio", 2.0), ("punct_ratio", 2.0))
+
+
+@_query(f"""WITH {_DOC}, b AS (SELECT row_id, unnest([{", ".join(f"{{'i': {i}, 'v': coalesce({f} <= {t}, false)}}" for i, (f, t) in enumerate(TWINS))}]) AS c FROM doc), o AS (SELECT row_id, c.i AS i, c.v AS v FROM b),
+twin AS (SELECT y.i FROM o x JOIN o y ON x.row_id = y.row_id AND x.i < y.i GROUP BY x.i, y.i HAVING bool_and(x.v = y.v)),
+t(i, feature, threshold) AS (VALUES {", ".join(f"({i}, '{f}', {t}::DOUBLE)" for i, (f, t) in enumerate(TWINS))})
+SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS cut_id, feature, threshold FROM t WHERE i NOT IN (SELECT i FROM twin)""")
+def duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
+    kept = B.distinct_cuts(_docs(spark, sf), [B.Cut(i, f, t) for i, (f, t) in enumerate(TWINS)])
+    return spark.createDataFrame([(c.cut_id, c.feature, c.threshold) for c in kept], "cut_id int, feature string, threshold double")
+
+
+@_query(f"""WITH {_FIRE}, {_best('overlap')}, v AS (SELECT row_id, label, round(coalesce(sum(weight) FILTER (fires AND rl = 1), 0), 12) AS w1, round(coalesce(sum(weight) FILTER (fires AND rl = 0), 0), 12) AS w0, min_by(rl, rule_rank) FILTER (fires) AS one FROM pair GROUP BY row_id, label)
+SELECT v.row_id, v.label, CASE WHEN one IS NULL THEN best.pred WHEN w1 > w0 THEN 1 WHEN w0 > w1 THEN 0 ELSE one END AS pred,
+  round(CASE WHEN one IS NULL THEN best.conf WHEN w0 + w1 > 0 THEN greatest(w0, w1) / (w0 + w1) ELSE 0 END, 9) AS conf FROM v JOIN best USING (row_id)""")
+def soft_vote_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.soft_vote_argmax(_bits(spark, sf), _rules(spark))
+
+
+@_query(f"""WITH {_FIRE}, {_best('worth')}, raw AS (SELECT row_id, CASE WHEN bool_or(fires) THEN 1.0 ELSE max_by(overlap, worth * 1000000 - rule_rank) FILTER (weight >= 0.05) END AS score FROM pair GROUP BY row_id),
+why AS (SELECT pair.row_id, min(rule_rank) FILTER (rl = pred AND overlap = score) AS k FROM pair JOIN best USING (row_id) JOIN raw USING (row_id) GROUP BY pair.row_id)
+SELECT best.row_id, best.label, pred, round(score, 9) AS score, is_exact, pair.rule_rank, round(overlap, 9) AS overlap, round(pair.weight, 9) AS weight
+FROM best JOIN raw USING (row_id) JOIN why USING (row_id) JOIN pair ON pair.row_id = best.row_id AND pair.rule_rank = coalesce(k, 0)""")
+def justified_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.justify(_bits(spark, sf), _rules(spark))
+
+
+@_query(f"""WITH r(rule_rank, label, mask, vals, purity, repet, weight) AS (VALUES {", ".join(f"({i}, {r[0]}, {r[1]}, {r[2]}, {r[3]}, {r[4]}, {r[5]})" for i, r in enumerate(RULES))}),
+n(i, name) AS (VALUES {", ".join(f"({i}, '{f} <= {t:.4f}')" for i, (f, t) in enumerate(CUTS))})
+SELECT rule_rank, 'IF ' || string_agg(CASE WHEN (vals >> i) & 1 = 1 THEN name ELSE 'NOT (' || name || ')' END, ' AND ' ORDER BY i) || ' THEN class = ' || label AS text,
+  printf('purity=%.3f support=%d weight=%.3f', purity::DOUBLE, repet, weight::DOUBLE) AS facts FROM r JOIN n ON (mask >> i) & 1 = 1 GROUP BY rule_rank, label, purity, repet, weight""")
+def rule_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.rule_text(_rules(spark), [c.readable() for c in _cuts()])
+
+
+@_query(f"""WITH {_FIRE} SELECT rule_rank, count(*) FILTER (fires) AS support, round(coalesce(greatest(count(*) FILTER (fires AND label = 0), count(*) FILTER (fires AND label = 1)) / nullif(count(*) FILTER (fires), 0), 0), 9) AS purity,
+  (count(*) FILTER (fires AND label = 1) > count(*) FILTER (fires AND label = 0))::INT AS majority FROM pair GROUP BY rule_rank""")
+def rule_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.rule_statistics(score.pattern_table(_bits(spark, sf)), _rules(spark))
+
+
+@_query(f"WITH {_FIRE}, {_best('worth')}, a AS (SELECT avg((pred = label)::INT) FILTER (row_id % 4 <> 0) AS x, avg((pred = label)::INT) FILTER (row_id % 4 = 0) AS y FROM best) SELECT round(x, 9) AS train_acc, round(y, 9) AS test_acc, round(x - y, 9) AS gap, abs(round(x - y, 9)) > 0.1 AS flagged FROM a")
+def overfit_gap(spark: SparkSession, sf: str) -> DataFrame:
+    p = best_match(spark, sf)
+    return metrics.overfit_gap(p.where("row_id % 4 <> 0"), p.where("row_id % 4 = 0"))
+
+
+@_query(f"WITH {_FIRE}, {_best('worth')} SELECT count(*) AS n, round(avg(is_exact::INT), 9) AS coverage, round(avg(round(conf, 9)), 9) AS mean_confidence FROM best")
+def run_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.run_statistics(best_match(spark, sf))
+
+
+@_query(f"WITH z AS ({ORACLES['lazy_predict']}), s AS (SELECT stage, count(*) AS n, round(avg((pred = label)::INT), 9) AS accuracy, round(avg(purity), 9) AS mean_purity, round(avg(support), 9) AS mean_support FROM z GROUP BY stage) SELECT *, round(n / sum(n) OVER (), 9) AS share, stage = 'fallback' AND round(n / sum(n) OVER (), 9) > 0.3 AS hint FROM s")
+def lazy_stages(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.stage_report(lazy_predict(spark, sf))
+
+
+@_query(f'SELECT *, pred = label AS "right" FROM ({ORACLES["best_match"]}) ORDER BY row_id LIMIT 50')
+def first_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.breakdown(best_match(spark, sf))
+
+
+#: Trials as (hash, accuracy, F1, status, minute); the second row of a hash replaces the first.
+LOG = (("a", 0.9, 0.8, "ok", 0), ("b", 0.9, 0.85, "ok", 1), ("c", 0.5, 0.1, "error", 2), ("a", 0.7, 0.6, "ok", 3), ("d", 0.9, 0.85, "ok", 4), ("e", 0.2, 0.2, "timeout", 5))
+_LOG = "lg(config_hash, test_acc, test_f1, status, ts) AS (VALUES " + ", ".join(f"('{h}', {a}::DOUBLE, {f}::DOUBLE, '{s}', {m})" for h, a, f, s, m in LOG) + "), last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY ts DESC) = 1)"
+
+
+def _log(spark: SparkSession) -> DataFrame:
+    return store.latest(spark.createDataFrame(list(LOG), "config_hash string, test_acc double, test_f1 double, status string, ts int"))
+
+
+@_query(f"WITH {_LOG} SELECT config_hash, test_acc, test_f1 FROM last WHERE status = 'ok' ORDER BY test_acc DESC, test_f1 DESC, config_hash LIMIT 20")
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    return store.leaderboard(_log(spark)).select("config_hash", "test_acc", "test_f1")
+
+
+@_query(f"WITH {_LOG} SELECT status, count(*) AS n FROM last GROUP BY status")
+def trial_status(spark: SparkSession, sf: str) -> DataFrame:
+    return store.status_counts(_log(spark))
+
+
+@_query()
+def voting_rules(spark: SparkSession, sf: str) -> DataFrame:
+    table = mine.Table.of(score.remove_conflicts(_bits(spark, sf)), len(CUTS))
+    return mine.rules_frame(spark, mine.voting_rules(table, 0.8, 1, 3))
+
+
+@_query()
+def tuned_h_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(float(P.tune_h_weight(_bits(spark, sf), len(CUTS), [1.0, 5.0, 20.0])),)], "h_weight double")
+
+
+@_query()
+def tuned_purity(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([P.tune_purity(_bits(spark, sf), len(CUTS), [0.7, 0.85, 0.95], k=3)], "purity double, accuracy double")
+
+
+@_query()
+def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    folds = P.cross_validate(_docs(spark, sf), P.Config(numeric=tuple(NUMERIC), categoric=("lang",), top_k=4, selector="mutualinfo", purity=0.9, threshold=1), k=3)
+    s = P.summary(folds)
+    return spark.createDataFrame([tuple(s.values())], "folds int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Split, binarize, select, mine and compare the four classifiers on the documents' quality."""
     rows = split.stratified_split(_docs(spark, sf))

@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TRIALS = "config_hash string, config string, n_cutpoints int, n_selected int, n_rules int, test_acc double, test_f1 double, runtime_s double, status string, error_msg string, ts timestamp"
+TRIALS = "config_hash string, config string, n_cutpoints int, n_selected int, n_rules int, test_acc double, test_f1 double, train_acc double, overfit_gap double, tp long, fp long, fn long, tn long, sv_test_acc double, ah_test_acc double, as_test_acc double, runtime_s double, status string, error_msg string, ts timestamp"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
@@ -35,15 +40,39 @@ def log_trials(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, TRIALS).coalesce(1).write.mode("append").parquet(path)
 
 
-def trials(spark: SparkSession, path: str) -> DataFrame:
+def latest(log: DataFrame) -> DataFrame:
     """The last row of every configuration."""
     w = Window.partitionBy("config_hash").orderBy(F.desc("ts"))
-    return spark.read.schema(TRIALS).parquet(path).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def trials(spark: SparkSession, path: str) -> DataFrame:
+    return latest(spark.read.schema(TRIALS).parquet(path))
 
 
 def leaderboard(log: DataFrame, n: int = 20) -> DataFrame:
     return log.where("status = 'ok'").orderBy(F.desc("test_acc"), F.desc("test_f1"), "config_hash").limit(n)
 
 
+def status_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def top_configs(log: DataFrame, n: int = 5) -> DataFrame:
+    """rank, json of the n best trials."""
+    best = leaderboard(log, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("test_acc"), F.desc("test_f1"), "config_hash")))  # n rows
+    return best.select("rank", F.to_json(F.struct(*(c for c in log.columns if c != "ts"))).alias("json"))
+
+
 def save_rules(rules: DataFrame, path: str) -> None:
     rules.write.mode("overwrite").parquet(path)
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored table of rules or cuts, in whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
