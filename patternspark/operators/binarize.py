@@ -16,7 +16,7 @@ from ..sources.store import cut
 
 MODES = ("one", "two", "all", "dense", "greedy")
 #: Ranges into which the values of a feature are cut for running sums.
-RANGES = 64
+RANGES = 16
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,8 @@ def gain(pl: Column, nl: Column, pr: Column, nr: Column) -> Column:
 
 
 def prefix_sums(hist: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
-    """Adds next_x, the following value of x, and for every column in sums l_<column>, its sum up to x, and t_<column>.
+    """Adds next_x, the following value of x, lo and hi, its range, and for every column in sums l_<column>, its sum up
+    to x, and t_<column>.
 
     The values of a group are cut into ranges at approximate quantiles; running sums inside a range and the sums of
     the ranges before it are exact wherever the cuts fall, so no task holds all values of a group.
@@ -61,11 +62,11 @@ def prefix_sums(hist: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
     quantiles = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
     splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, 1000)).alias("_splits"))  # a row a group
     placed = hist.join(F.broadcast(splits), by).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("x")))).drop("_splits")
-    ranges = placed.groupBy(*by, "_range").agg(F.min("x").alias("_first"), *(F.sum(c).alias(f"_{c}") for c in sums))
+    ranges = placed.groupBy(*by, "_range").agg(F.min("x").alias("_first"), F.max("x").alias("_last"), *(F.sum(c).alias(f"_{c}") for c in sums))
     w = Window.partitionBy(*by)
     order = w.orderBy("_range")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(*by, "_range", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_{c}").over(w).alias(f"t_{c}") for c in sums))
+    starts = ranges.select(*by, "_range", F.lead("_first").over(order).alias("_next"), F.min("_first").over(w).alias("lo"), F.max("_last").over(w).alias("hi"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_{c}").over(w).alias(f"t_{c}") for c in sums))
     inside = Window.partitionBy(*by, "_range").orderBy("x")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     # RANGES rows a group
@@ -76,8 +77,8 @@ def prefix_sums(hist: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
 
 def candidates(hist: DataFrame, min_support: int = 5) -> DataFrame:
     """feature, t, nl, nr, gain: midpoints of neighbouring values with support on both sides and a gain."""
-    ends = hist.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    c = prefix_sums(hist, ["feature"], ["n", "pos"]).where("next_x is not null").join(F.broadcast(ends), "feature")
+    # written once: the plan below reads it three times
+    c = prefix_sums(cut(hist), ["feature"], ["n", "pos"]).where("next_x is not null")
     c = c.select("feature", ((F.col("x") + F.col("next_x")) / 2).alias("t"), F.col("l_n").alias("nl"), (F.col("t_n") - F.col("l_n")).alias("nr"), F.col("l_pos").alias("pl"), (F.col("t_pos") - F.col("l_pos")).alias("pr"), "lo", "hi")
     c = c.withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("pr"), F.col("nr")))
     return c.where((F.col("nl") >= min_support) & (F.col("nr") >= min_support) & (F.col("gain") > 0)).select("feature", "t", "nl", "nr", "gain", "lo", "hi")
@@ -92,9 +93,10 @@ def distance_prune(cands: DataFrame, fraction: float = 0.02) -> DataFrame:
     """
     if fraction <= 0:
         return cands.select("feature", "t", "gain")
-    cell = Window.partitionBy("feature", F.floor((F.col("t") - F.col("lo")) / ((F.col("hi") - F.col("lo")) * fraction / 2))).orderBy("t")
-    before = F.max("gain").over(cell.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.max("gain").over(cell.rowsBetween(1, Window.unboundedFollowing))
+    cell = Window.partitionBy("feature", F.floor((F.col("t") - F.col("lo")) / ((F.col("hi") - F.col("lo")) * fraction / 2)))
+    # growing frames both ways: Spark works off a frame that shrinks from the front in quadratic time
+    before = F.max("gain").over(cell.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.max("gain").over(cell.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1))
     told = cands.withColumn("_before", before).withColumn("_after", after).where("_before is null or _after is null or gain > _before or gain >= _after")
     kept = "array<struct<t:double,gain:double>>"
     walk = f"""aggregate(cuts, cast(array() as {kept}), (acc, c) -> CASE
