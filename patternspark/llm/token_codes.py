@@ -13,6 +13,7 @@ that pack() makes. A segment holds whole documents, about a million ids.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -105,9 +106,11 @@ _WIDE = _b >= 128
 _RAW = K.mix(np.arange(256, dtype=np.uint64) + np.uint64(0x7777))
 
 
-def cut(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(raw: np.ndarray, offs: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of pieces that the tokenizer's splitting pattern never joins.
 
+    whole: starts and ends of added tokens; each is one piece, as the library takes them out before it splits.
+
     It never joins a visible character with white space after it, one line break with the visible character
     after it, nor a letter with a mark other than an apostrophe. A wide character counts as visible unless its
     lead byte is one that also leads wide white space; where nothing is known to separate, nothing is cut.
@@ -128,6 +131,9 @@ def cut(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = (line == 0) | seen[np.maximum(line - 1, 0)] | at[line]
         rule[line[alone]] = True
         at[1:-1] |= rule
+    for a, b in whole.tolist():
+        at[a + 1 : b] = False
+        at[[a, b]] = True
     edges = np.flatnonzero(at)
     return edges[:-1], edges[1:]
 
@@ -142,7 +148,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        # the library takes the leftmost, of those the longest
+        literals = sorted((t.content.encode() for t in added), key=lambda x: (-len(x), x))
+        self.added = re.compile(b"|".join(map(re.escape, literals))) if literals else None
         self.end = end
         self.clear()
 
@@ -180,11 +191,25 @@ class Encoder:
             self.vals[slot[won]] = vals[won]
             h, vals, slot = h[~won], vals[~won], (slot[~won] + 1) & (self.SLOTS - 1)
 
+    def literals(self, data: bytes, offs: np.ndarray) -> np.ndarray:
+        """Byte starts and ends of the added tokens that stand in the documents, one row each."""
+        found = [m.span() for m in self.added.finditer(data)] if self.added else []
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        torn = np.searchsorted(offs, spans[:, 0], "right") != np.searchsorted(offs, spans[:, 1], "left")
+        if not torn.any():
+            return spans
+        # one that runs over the end of a document is none, and may hide another
+        found = []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            found += [(a + m.start(), a + m.end()) for m in self.added.finditer(data[a:b])]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a chunk, each followed by the end id, and their offsets."""
         if len(self.first) > CACHE:
             self.clear()
-        starts, ends = cut(raw, offs)
+        data = raw.tobytes()
+        starts, ends = cut(raw, offs, self.literals(data, offs))
         starts, ends = (starts, ends) if len(raw) else (starts[:0], ends[:0])
         h = K.polynomial(_RAW[raw], starts, ends)
         h[h == 0] = 1
@@ -192,7 +217,6 @@ class Encoder:
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            data = raw.tobytes()
             texts = [data[a:b].decode() for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)]
             n = len(self.first)
             coded = [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]

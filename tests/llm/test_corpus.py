@@ -112,6 +112,20 @@ def test_token_files_round_trip(spark, docs):
     assert [token_codes.token_at(spark, path, i) for i in (0, 7, start - 1)] == [flat[i] for i in (0, 7, start - 1)]
 
 
+def test_added_tokens_in_a_text_get_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    said = ["foo <|endoftext|> bar", end, f"{end}{end}\n{end}x", f"a{end}b  {end}  c\n\n{end}\n\nd", "<|endof", "text|> <|endoftext|", "> é\u3000" + end + "\u3000é", "", "it's" + end + "'s", " <|endoftext"]
+    rng = np.random.default_rng(2)
+    said += ["".join(rng.choice([end, " ", "\n", "a", "B", "<|", "|>", "'", "7", "é", "\u2003", "endoftext"], 30)) for _ in range(300)]
+    t, coder = Tokenizer.from_file(BPE), token_codes.Encoder(BPE, 2)
+    raw = [x.encode() for x in said]
+    ids, off = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert ids[off[0] : off[1]].tolist() == [21943, 220, 50256, 2318, 2]
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids + [2] for x in said]
+
+
 def test_codes_of_all_widths():
     ids = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 200, np.uint32)
     c = token_codes.Codes(token_codes.pack(ids))
