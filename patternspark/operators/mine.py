@@ -100,13 +100,16 @@ def prune_redundant(t: Table, rules: list[Rule], min_unique: int) -> list[Rule]:
     return kept
 
 
-def eager(t: Table, purity: float = 0.75, threshold: int = 0, min_support: int = 3, cap: int = 200, max_size: int = 4) -> list[Rule]:
-    """Sequential covering: the shortest, purest, largest conjunction of the rows left, again and again."""
+def eager(t: Table, purity: float = 0.75, threshold: int = 0, min_support: int = 3, cap: int = 200, max_size: int | None = None) -> list[Rule]:
+    """Sequential covering: the shortest, purest, largest conjunction of the rows left, again and again.
+
+    Conjunctions of all sizes are tried, or up to max_size: 2^width attribute sets for a rule where none is pure enough.
+    """
     active, rules = np.ones(len(t.bits), bool), []
     while active.any() and len(rules) < cap and t.n[active].sum() >= min_support:
         bits, n = t.bits[active], t.n[active]
         best = None
-        for size in range(1, min(t.width, max_size) + 1):
+        for size in range(1, (t.width if max_size is None else min(t.width, max_size)) + 1):
             for combo in combinations(range(t.width), size):
                 mask = sum(1 << a for a in combo)
                 vals, back = np.unique(bits & mask, return_inverse=True)

@@ -59,6 +59,16 @@ def test_eager_takes_the_lexicographically_first():
     assert first.mask == 1 and first.repet == 5
 
 
+def test_eager_tries_conjunctions_of_all_sizes():
+    # label 1 just if the number of ones is odd: any five of six attributes leave both classes alike
+    rows = np.array([(b, 5 * (1 - b.bit_count() % 2), 5 * (b.bit_count() % 2)) for b in range(64)], np.int64)
+    t = mine.Table(rows[:, 0], rows[:, 1:], 6)
+    rules = mine.eager(t, purity=0.9)
+    assert any(r.mask == 63 for r in rules) and all(r.purity == 1 for r in rules)
+    assert np.any([t.fires(r) for r in rules], axis=0).all()
+    assert not mine.eager(t, purity=0.9, max_size=5)
+
+
 def test_redundancy_only_counts_kept_rules():
     t = table((1, 0, 5), (2, 0, 1), (4, 5, 0))
     rules = [mine.Rule(1, 4, 0, 1, 6, 0.9), mine.Rule(1, 5, 1, 1, 5, 0.8), mine.Rule(0, 4, 4, 1, 5, 0.7)]
