@@ -138,7 +138,7 @@ def hybrid(t: Table, primary, secondary, least: int = 3) -> list[Rule]:
     return ranked(first + second)
 
 
-def genetic(t: Table, purity: float = 0.6, threshold: int = 0, generations: int = 60, size: int = 80, seed: int = 42, crossover: float = 0.7, mutation: float = 0.15, elite: float = 0.1, tournament: int = 5) -> list[Rule]:
+def genetic(t: Table, purity: float = 0.6, threshold: int = 0, generations: int = 300, size: int = 200, seed: int = 42, crossover: float = 0.7, mutation: float = 0.15, elite: float = 0.1, tournament: int = 5) -> list[Rule]:
     """Individuals are conjunctions with a label; fitness is purity times the share of the class they get right."""
     rng, k = np.random.default_rng(seed), t.width
     classes = np.maximum(t.n.sum(0), 1)

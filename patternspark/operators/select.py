@@ -10,11 +10,16 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from . import score as S
 
 MOST_PATTERNS = 200_000
+#: Subsets that A* pops at most, without and with an order of mutual information.
+EXPANSIONS, MI_EXPANSIONS = 1_110_999, 10_000
+#: Up to so many cuts, groups are counted in an array with a place for every pattern.
+DIRECT = 16
 
 
 class Patterns:
@@ -23,25 +28,37 @@ class Patterns:
     def __init__(self, rows: DataFrame, class_weight: float = 1.0):
         self.rows, self.weight, self.memo = rows, Fraction(class_weight).limit_denominator(1000), {}
         got = S.pattern_table(rows).select("bits", "n0", "n1").limit(MOST_PATTERNS + 1).collect()
-        self.table = [tuple(r) for r in got] if len(got) <= MOST_PATTERNS else None
+        self.table = np.array([tuple(r) for r in got], np.int64).reshape(-1, 3) if len(got) <= MOST_PATTERNS else None
+        self.columns: dict[int, np.ndarray] = {}
+
+    def _groups(self, mask: int) -> tuple[np.ndarray, np.ndarray]:
+        """Class counts of the patterns that the cuts of a mask make."""
+        bits, n0, n1 = self.table.T
+        if mask.bit_count() <= DIRECT:
+            group = np.zeros(len(bits), np.int64)
+            for j, i in enumerate(i for i in range(mask.bit_length()) if mask >> i & 1):
+                if i not in self.columns:
+                    self.columns[i] = bits >> i & 1
+                group += self.columns[i] << j
+        else:
+            group = np.unique(bits & mask, return_inverse=True)[1]
+        out = np.zeros((2, int(group.max(initial=0)) + 1), np.int64)
+        for k, n in enumerate((n0, n1)):
+            # sums of integers in doubles are exact below 2^53, which counts of rows don't reach
+            out[k] = np.bincount(group, n, out.shape[1])
+        return out[0], out[1]
 
     def score(self, mask: int) -> tuple[Fraction, bool]:
         if mask not in self.memo:
             if self.table is None:
-                patterns = [(r["n0"], r["n1"]) for r in S.pattern_table(self.rows, mask).groupBy("n0", "n1").count().selectExpr("n0 * count as n0", "n1 * count as n1").collect()]
+                rows = S.pattern_table(self.rows, mask).groupBy("n0", "n1").count().selectExpr("n0 * count as n0", "n1 * count as n1").collect()
+                n0, n1 = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2).T
             else:
-                groups: dict[int, list[int]] = {}
-                for bits, n0, n1 in self.table:
-                    g = groups.setdefault(bits & mask, [0, 0])
-                    g[0] += n0
-                    g[1] += n1
-                patterns = list(groups.values())
-            top = total = Fraction(0)
-            for n0, n1 in patterns:
-                w = self.weight if n1 > n0 else 1
-                top += w * max(n0, n1)
-                total += w * (n0 + n1)
-            good = bool(mask) and all(min(p) == 0 for p in patterns)
+                n0, n1 = self._groups(mask)
+            one = n1 > n0
+            top = self.weight * int(n1[one].sum()) + int(n0[~one].sum())
+            total = self.weight * int((n0 + n1)[one].sum()) + int((n0 + n1)[~one].sum())
+            good = bool(mask) and not np.minimum(n0, n1).any()
             self.memo[mask] = (top / total if mask and total else Fraction(0), good)
         return self.memo[mask]
 
@@ -81,18 +98,32 @@ def mi_greedy(p: Patterns, order: list[int]) -> list[int]:
     return subset
 
 
-def astar(p: Patterns, n: int, h_weight: float = 5.0, most: int = 10_000, most_features: int | None = None, order: list[int] | None = None) -> list[int]:
+def astar(p: Patterns, n: int, h_weight: float = 5.0, most: int | None = None, most_features: int | None = None, order: list[int] | None = None) -> list[int]:
     """Best-first search over subsets; f = size/n + h_weight*(1 - the parent's score), and with an order of mutual
     information a tenth of the last feature's rank. The first consistent subset popped is final: its score is 1,
-    and nothing later can be better. Without any, the best subset of the budget."""
-    rank = {f: i for i, f in enumerate(order)} if order else None
-    heap: list[tuple[float, list[int]]] = [(0.0, [])]
+    and nothing later can be better. Without any, the best subset of the budget (EXPANSIONS or MI_EXPANSIONS).
+
+    Children of a subset are popped in the order of their features, so the heap holds one of each subset at a time.
+    """
+    if most is None:
+        most = MI_EXPANSIONS if order else EXPANSIONS
+    walk = list(order or range(n))
+    heap: list[tuple[float, list[int], float, int, int]] = [(0.0, [], 0.0, n, 0)]
     seen: set[int] = set()
     best, best_subset = Fraction(-1), []
+
+    def push(parent: list[int], base: float, at: int, open_: int) -> None:
+        """The first child from a place of the walk on."""
+        while at < n and not open_ >> walk[at] & 1:
+            at += 1
+        if at < n:
+            heapq.heappush(heap, (base + (at / n * 0.1 if order else 0.0), [*parent, walk[at]], base, at, open_))
+
     for _ in range(most):
         if not heap:
             break
-        _, subset = heapq.heappop(heap)
+        _, subset, base, at, open_ = heapq.heappop(heap)
+        push(subset[:-1], base, at + 1, open_)
         mask = mask_of(subset)
         if mask in seen:
             continue
@@ -104,8 +135,6 @@ def astar(p: Patterns, n: int, h_weight: float = 5.0, most: int = 10_000, most_f
             best, best_subset = s, subset
         if most_features and len(subset) >= most_features:
             continue
-        for i in order or range(n):
-            if not mask >> i & 1 and mask | 1 << i not in seen:
-                f = (len(subset) + 1) / n + h_weight * float(1 - s) + (rank[i] / n * 0.1 if rank else 0.0)
-                heapq.heappush(heap, (f, [*subset, i]))
+        new = sum(1 << i for i in walk if not mask >> i & 1 and mask | 1 << i not in seen)
+        push(subset, (len(subset) + 1) / n + h_weight * float(1 - s), 0, new)
     return best_subset

@@ -27,7 +27,7 @@ class Config:
     tree: dict | None = None
     selector: str = "mutualinfo_astar"
     h_weight: float = 5.0
-    expansions: int = 3000
+    expansions: int | None = None  # None: the selector's own budget
     miner: str = "maxpatterns"
     purity: float = 0.95
     threshold: int = 3

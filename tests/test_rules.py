@@ -1,7 +1,13 @@
+import heapq
+import inspect
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
 from patternspark.operators import binarize, lazy, metrics, mine, predict, score, select, split
+from patternspark.plans import pipeline as P
+from patternspark.plans import registry
 
 
 def frame(spark, rows):
@@ -49,6 +55,77 @@ def test_early_exit_finds_a_consistent_subset(spark):
     assert p.score(select.mask_of(select.greedy(p, 5)))[1]
 
 
+def plain_astar(score, n, h_weight, most, order):
+    heap, seen, best, best_subset = [(0.0, [])], set(), -1, []
+    for _ in range(most):
+        if not heap:
+            break
+        _, subset = heapq.heappop(heap)
+        key = tuple(sorted(subset))
+        if key in seen:
+            continue
+        seen.add(key)
+        s, good = score(key)
+        if good:
+            return subset
+        if s > best:
+            best, best_subset = s, subset
+        for i in order or range(n):
+            if i not in subset and tuple(sorted([*subset, i])) not in seen:
+                heapq.heappush(heap, ((len(subset) + 1) / n + h_weight * float(1 - s) + (order.index(i) / n * 0.1 if order else 0.0), [*subset, i]))
+    return best_subset
+
+
+def test_astar_pops_as_a_heap_of_all_children(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(y), int(b)) for i, (y, b) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 1 << 9, 300), strict=True))]
+    p = select.Patterns(frame(spark, rows), 1.5)
+
+    def plain(key):
+        groups = {}
+        for _, y, b in rows:
+            groups.setdefault(tuple(b >> i & 1 for i in key), [0, 0])[y] += 1
+        w = [Fraction(3, 2) if b > a else Fraction(1) for a, b in groups.values()]
+        s = sum(w * max(g) for w, g in zip(w, groups.values(), strict=True)) / sum(w * sum(g) for w, g in zip(w, groups.values(), strict=True))
+        return (s if key else Fraction(0)), bool(key) and all(min(g) == 0 for g in groups.values())
+
+    for order in (None, [3, 1, 4, 0, 5, 8, 2, 6, 7]):
+        for most in (1, 7, 40, 300):
+            assert select.astar(p, 9, 5.0, most, order=order) == plain_astar(plain, 9, 5.0, most, order)
+    assert all(p.score(m) == plain(tuple(i for i in range(9) if m >> i & 1)) for m in range(512))
+
+
+def test_searches_have_the_references_budgets(spark, monkeypatch):
+    class Endless(select.Patterns):
+        asked = 0
+
+        def score(self, mask):
+            Endless.asked += 1
+            if Endless.asked > 20_000:
+                raise StopIteration
+            return Fraction(mask.bit_count(), 100), False
+
+    monkeypatch.setattr(select, "Patterns", Endless)
+    rows = frame(spark, [(1, 0, 0), (2, 1, 1), (3, 1, 2)])
+    P.choose_features(rows, 40, P.Config(selector="mutualinfo_astar"))
+    assert 5_000 < Endless.asked <= 10_000
+    Endless.asked = 0
+    with pytest.raises(StopIteration):
+        P.choose_features(rows, 40, P.Config(selector="astar"))
+    assert select.EXPANSIONS == 1_110_999 and select.MI_EXPANSIONS == 10_000
+    assert [inspect.signature(mine.genetic).parameters[k].default for k in ("generations", "size")] == [300, 200]
+
+
+def test_flagship_searches_by_the_default_budget(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(registry.P, "fit", lambda rows, c: got.append(c))
+    monkeypatch.setattr(registry.P, "compare", lambda *a: None)
+    monkeypatch.setattr(registry.split, "stratified_split", lambda rows: spark.createDataFrame([], "is_test boolean"))
+    monkeypatch.setattr(registry, "_docs", lambda *a: None)
+    registry.flagship(spark, "")
+    assert got[0].expansions is None
+
+
 def test_max_patterns_drops_last_on_ties():
     rules = mine.max_patterns(table((0b111, 0, 5), (0b000, 5, 0)), purity=0.9)
     assert {(r.label, r.mask) for r in rules} == {(1, 1), (0, 1)}
