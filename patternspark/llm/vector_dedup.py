@@ -1,11 +1,11 @@
 """Embedding near-duplicates through a robust-pruned flat graph.
 
-Vectors are dealt to the clusters of their nearest centres, several each, so that neighbours share one. Every
-cluster shard builds a graph: candidates of a node (its nearest in the shard and some at random) are pruned so that
-no kept edge is shadowed by a shorter one, and edges also go back. The adjacency lists of a node are united over
-its shards. In each shard every vector is then searched for greedily from the shard's medoids; when the search has
-come near, it goes on through all neighbours of hits until it meets no more of them. Hits are verified in double
-precision. A pair that several shards hold counts in the first of them only.
+Vectors are dealt to the clusters of their nearest centres, several each and more of them the more centres there are,
+so that neighbours share one. Every cluster shard builds a graph: candidates of a node (its nearest in the shard and
+some at random) are pruned so that no kept edge is shadowed by a shorter one, and edges also go back. The adjacency
+lists of a node are united over its shards. In each shard every vector is then searched for greedily from itself and
+the shard's medoids; when the search has come near, it goes on through all neighbours of hits until it meets no more
+of them. Hits are verified in double precision. A pair that several shards hold counts in the first of them only.
 
 A shard that grows over a bound is cut into blocks, and every pair of blocks becomes a task of its own, so a group
 of a third of all rows is split without losing a pair. Only counts and spanning links leave a task, never pairs.
@@ -78,6 +78,19 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def overlap(k: int) -> int:
+    """Centres that a vector is dealt to, of k: enough that of random pairs at a cosine of 0.9 fewer than 1e-4 share none."""
+    return min(k, max(OVERLAP, math.ceil(1.25 * math.log2(max(1, k)))))
+
+
+def centres_for(n: int) -> int:
+    """Centres for n vectors, so that a shard holds about SHARD_ROWS of their copies."""
+    k = 0
+    while (more := min(MOST_CENTRES, max(1, math.ceil(n * max(OVERLAP, overlap(k)) / SHARD_ROWS)))) > k:
+        k = more
+    return k
+
+
 def _dealt(c: np.ndarray, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,18 +175,17 @@ class Search:
             return new
 
         visit(np.repeat(rows, len(self.medoids)), np.tile(self.medoids, k))
+        visit(rows, queries)
         opened = np.zeros((k, m), bool)
-        width = min(BEAM, m)
         for _ in range(2 * BEAM):
-            beam = np.argpartition(-sim, width - 1, axis=1)[:, :width]
-            score = np.take_along_axis(sim, beam, axis=1)
-            closed = np.take_along_axis(opened, beam, axis=1) | (score == -2)
-            score = np.where(closed, -3, score)
+            # the best node that isn't opened, if it is one of the BEAM best
+            score = np.where(opened, np.float32(-3), sim)
             best = np.argmax(score, axis=1)
-            go = np.flatnonzero(score[rows, best] > -2)
+            top = score[rows, best]
+            go = np.flatnonzero((top > -2) & ((sim > top[:, None]).sum(1) < BEAM))
             if not len(go):
                 break
-            node = beam[go, best[go]]
+            node = best[go]
             opened[go, node] = True
             visit(*self._neighbours(go, node))
         # the range grows: every neighbour of what lies near is looked at, until nothing new lies near
@@ -271,8 +283,8 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     if not n:
         return rows.select("vec_id", lone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(False).alias("reached"))
     drawn = classes.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, n // SAMPLE))) == 0).select("unit").limit(2 * SAMPLE).collect()
-    c = centres(_stack(sorted(bytes(r["unit"]) for r in drawn) or [b""], dims), int(min(MOST_CENTRES, max(1, math.ceil(n * OVERLAP / SHARD_ROWS)))))
-    dealt = scratch.written(classes.select("cid", "copies", "unit").mapInArrow(K.tidied(_dealt(c, min(OVERLAP, len(c)))), "cid long, copies long, unit binary, homes array<int>"), "dealt")
+    c = centres(_stack(sorted(bytes(r["unit"]) for r in drawn) or [b""], dims), centres_for(n))
+    dealt = scratch.written(classes.select("cid", "copies", "unit").mapInArrow(K.tidied(_dealt(c, overlap(len(c)))), "cid long, copies long, unit binary, homes array<int>"), "dealt")
     each = dealt.withColumn("home", F.explode("homes"))
     sizes = each.groupBy("home").count().select("home", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     # one row for each centre

@@ -228,6 +228,22 @@ def test_vectors_match_brute_force(spark):
     assert got[304]["component_id"] == 0 and not got[304]["kept"]
 
 
+def test_vectors_of_hundreds_of_centres_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 300)  # the centres know few of the vectors, as on a large table
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, 64)))
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    u = np.vstack([x, 0.901 * x + np.sqrt(1 - 0.901**2) * z])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    out = vector_dedup.similar_vectors(df, 0.9).cache()
+    got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    assert [got[i] for i in range(3000)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    assert vector_dedup.audit(df, out) == 1.0
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     items = spark.createDataFrame([], "item_id long, text string")
