@@ -16,16 +16,34 @@ from .scratch import Scratch
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Titles before a name, by gender.
-MALE = ("Mr", "Herr", "Señor", "Monsieur", "Г-н", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Г-жа", "г-жа")
+MALE = ("Mr", "Herr", "Señor", "Monsieur", "Г-н", "г-н", "Mister", "Herrn", "Sr", "Господин", "господин")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Г-жа", "г-жа", "Fräulein", "Sra", "Srta", "Señorita", "Mme", "Mlle", "Mademoiselle", "Госпожа", "госпожа")
+EITHER = ("Mx", "Dr", "Prof", "Professor", "Doctor", "Doktor", "Dra", "Д-р", "д-р", "Проф", "проф")
+_TITLE = rf"(?:{'|'.join(MALE + FEMALE + EITHER)})(?!\p{{L}})\.?"
+TITLES = rf"{_TITLE}(?: {_TITLE})*+"
+#: A capital with what follows it: inner capitals, hyphens and apostrophes, but no possessive 's; or an initial.
+_NAME = r"(?:\p{Lu}\.(?= )|\p{Lu}[\p{L}\p{M}]*+(?:-\p{L}[\p{L}\p{M}]*+|['’](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+)"
+_PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|de|del|della|der|den|di|da|do|dos|du|la|le|bin|ibn|al) )*+"
+#: Card numbers of other lengths or prefixes than 16 digits from 3 to 6; these must pass the Luhn check.
+_OTHER_CARDS = "|".join((
+    r"3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}",
+    r"3(?:0[0-5]|[689][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4}",
+    r"(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[ -]?[0-9]{4}){3}",
+    r"4[0-9]{12}",
+    r"[3-6][0-9]{16,18}",
+    r"(?:50|5[6-9]|6[0-9])[0-9]{10,13}",
+))
+#: Countries by the length of their IBANs, for those written in groups.
+IBANS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
 EXPRESSIONS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*(?<=\.[A-Za-z]{2,24})",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])" + rf"|(?<![0-9A-Za-z])(?:{_OTHER_CARDS})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}++",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])" + rf"|(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_GROUPED})(?![A-Za-z0-9])",
+    "name": rf"(?<!\p{{L}}){TITLES} {_PARTICLES}{_NAME}(?: {_PARTICLES}(?!{_TITLE} ){_NAME})*+",
 }
 ALL = "|".join(f"(?:{x})" for x in EXPRESSIONS.values())
 #: Syllables of surrogate names, by script; the last are endings of male and of female names.
@@ -43,7 +61,7 @@ def _kind(value: Column) -> Column:
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike(r"^\p{L}.* \p{Lu}\p{Ll}+$"), "name")
+        .when(value.rlike(r"^\p{L}[^0-9]*$"), "name")
         .when(value.rlike("^[A-Z]{2}"), "iban")
         .when((dots == 3) & value.rlike("^[0-9.]+$"), "ip")
         .when(value.rlike("^[+(]") | value.rlike("^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
@@ -53,7 +71,8 @@ def _kind(value: Column) -> Column:
 
 
 def _norm(kind: Column, value: Column) -> Column:
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("ip", "name"), value).otherwise(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    plain = F.regexp_replace(F.regexp_replace(value, "’", "'"), rf"(?<!\p{{L}})({_TITLE.removesuffix(chr(92) + '.?')})\.", "$1")
+    return F.when(kind == "email", F.lower(value)).when(kind == "name", plain).when(kind == "ip", value).otherwise(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
 
 
 def _chars(value: Column, f) -> Column:
@@ -74,15 +93,24 @@ def _letter(c: Column, byte: Column) -> Column:
     )
 
 
-def _luhn_digit(fifteen: Column) -> Column:
+def _luhn_digit(body: Column) -> Column:
+    """The digit that follows all others of a card number."""
+    n = F.length(body)
+
     def worth(i: Column) -> Column:
-        d = F.substr(fifteen, i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+        d = F.substr(body, i, F.lit(1)).cast("int")
+        return F.when((n - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(15)), worth), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), n), worth), F.lit(0), lambda a, x: a + x)
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _real(kind: Column, norm: Column) -> Column:
+    """Whether a match is an entity: cards of other forms than 16 digits from 3 to 6 need their check digit."""
+    body = F.substr(norm, F.lit(1), F.length(norm) - 1)
+    return (kind != "card") | norm.rlike("^[3-6][0-9]{15}$") | (_luhn_digit(body) == F.right(norm, F.lit(1)))
+
+
 def stream_of(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     """128 keyed hex digits for an entity and an attempt."""
     return F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")).cast("binary"), 512)
@@ -90,20 +118,24 @@ def stream_of(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
     keep = F.when(kind == "email", F.length(F.substring_index(norm, ".", -1))).otherwise(0)
-    free = _chars(norm, lambda c, i: F.when((i > F.length(norm) - keep) | (kind.isin("phone", "card") & (i == 1)) | ((kind == "iban") & (i <= 2)), c).otherwise(_letter(c, _byte(stream, i))))
-    fifteen = F.substring(free, 1, 15)
+    scheme = F.when(norm.rlike("^[3-6][0-9]{15}$"), 1).when(norm.startswith("2"), 4).otherwise(3)
+    free = _chars(norm, lambda c, i: F.when((i > F.length(norm) - keep) | ((kind == "phone") & (i == 1)) | ((kind == "card") & (i <= scheme)) | ((kind == "iban") & (i <= 2)), c).otherwise(_letter(c, _byte(stream, i))))
+    body = F.substr(free, F.lit(1), F.length(free) - 1)
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (1 + _byte(stream, i) % 254).cast("string")), ".")
-    title = F.substring_index(norm, " ", 1)
-    male = F.regexp_replace(title, r"\.", "").isin(*MALE)
+    titles = F.regexp_extract(norm, f"^{TITLES}", 0)
+    alone = F.length(F.regexp_replace(F.substr(norm, F.length(titles) + 2), "[^ ]", "")) == 0
+    told = F.split(titles, " ")
+    male = F.arrays_overlap(told, F.array(*map(F.lit, MALE))) | (~F.arrays_overlap(told, F.array(*map(F.lit, FEMALE))) & (_byte(stream, F.lit(41)) % 2 == 0))
 
     def name(script: str) -> Column:
         first, middle, his, hers = (F.array(*map(F.lit, x.split())) for x in SYLLABLES[script])
         pick = lambda xs, n, i: F.get(xs, _byte(stream, F.lit(i)) % n)
         more = F.array_join(F.transform(F.sequence(F.lit(3), F.lit(3) + attempt), lambda i: F.get(middle, _byte(stream, i) % 16)), "")
-        return F.concat(title, F.lit(" "), pick(first, 16, 1), pick(middle, 16, 2), more, F.when(male, pick(his, 8, 40)).otherwise(pick(hers, 8, 40)))
+        family = F.when(alone, "").otherwise(F.concat(F.lit(" "), pick(first, 16, 42), pick(middle, 16, 43), pick(his, 8, 44)))
+        return F.concat(titles, F.lit(" "), pick(first, 16, 1), pick(middle, 16, 2), more, F.when(male, pick(his, 8, 40)).otherwise(pick(hers, 8, 40)), family)
 
     named = F.when(F.substring_index(norm, " ", -1).rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
-    return F.when(kind == "name", named).when(kind == "ip", octets).when(kind == "card", F.concat(fifteen, _luhn_digit(fifteen))).otherwise(free)
+    return F.when(kind == "name", named).when(kind == "ip", octets).when(kind == "card", F.concat(body, _luhn_digit(body))).otherwise(free)
 
 
 def _rendered(kind: Column, value: Column, new: Column) -> Column:
@@ -111,7 +143,9 @@ def _rendered(kind: Column, value: Column, new: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^0-9A-Za-z]", ""))
     spaced = _chars(value, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(new, place(i), F.lit(1))).otherwise(c))
     cased = _chars(value, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(new, i, F.lit(1)))).otherwise(F.substr(new, i, F.lit(1))))
-    return F.when(kind.isin("ip", "name"), new).when(kind == "email", cased).otherwise(spaced)
+    # the titles as they stand, with or without dots
+    titled = F.concat(F.regexp_extract(value, f"^{TITLES}", 0), F.regexp_replace(new, f"^{TITLES}", ""))
+    return F.when(kind == "ip", new).when(kind == "name", titled).when(kind == "email", cased).otherwise(spaced)
 
 
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -145,12 +179,15 @@ def pseudonymise(docs: DataFrame, key: str = "patternspark", text_col: str = "te
     hits = marked.where("_pii_found is not null").withColumn("_pii_gaps", F.split(text, ALL, -1)).withColumn("_pii_row", F.monotonically_increasing_id())
     hits = scratch.written(hits.drop(text_col), "hits")  # the row numbers are fixed by writing them
     seen = hits.select("_pii_row", F.posexplode("_pii_found").alias("at", "value")).withColumn("kind", _kind(F.col("value"))).withColumn("norm", _norm(F.col("kind"), F.col("value")))
-    entities = scratch.written(seen.select("kind", "norm").distinct(), "entities")
+    real = _real(F.col("kind"), F.col("norm"))
+    entities = scratch.written(seen.where(real).select("kind", "norm").distinct(), "entities")
     names = assign(entities, key, scratch)
-    told = seen.join(names, ["kind", "norm"]).select("_pii_row", F.struct("at", _rendered(F.col("kind"), F.col("value"), F.col("new")).alias("new"), "kind").alias("x"))
+    told = seen.where(real).join(names, ["kind", "norm"]).select("_pii_row", F.struct("at", _rendered(F.col("kind"), F.col("value"), F.col("new")).alias("new"), "kind").alias("x"))
+    # matches that are no entities stay as they are
+    told = told.unionByName(seen.where(~real).select("_pii_row", F.struct("at", F.col("value").alias("new"), F.lit(None).cast("string").alias("kind")).alias("x")))
     told = scratch.written(told.groupBy("_pii_row").agg(F.array_sort(F.collect_list("x")).alias("_pii_new")), "told")
     both = F.zip_with("_pii_gaps", "_pii_new", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit(""))))
-    fresh = hits.drop("_pii_found").join(told, "_pii_row").withColumns({text_col: F.array_join(both, ""), "_pii_count": F.size("_pii_new"), "_pii_kinds": F.array_join(F.transform("_pii_new", lambda x: x["kind"]), ",")})
+    fresh = hits.drop("_pii_found").join(told, "_pii_row").withColumns({text_col: F.array_join(both, ""), "_pii_count": F.size(F.filter("_pii_new", lambda x: x["kind"].isNotNull())), "_pii_kinds": F.array_join(F.transform("_pii_new", lambda x: x["kind"]), ",")})
     clean = docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"_pii_count": F.lit(0), "_pii_kinds": F.lit("")})
     columns = [*docs.columns, "_pii_count", "_pii_kinds"]
     return fresh.select(*columns).unionByName(clean.select(*columns))
