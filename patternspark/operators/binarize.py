@@ -17,6 +17,8 @@ from ..sources.store import cut
 MODES = ("one", "two", "all", "dense", "greedy")
 #: Ranges into which the values of a feature are cut for running sums.
 RANGES = 16
+#: Cuts whose bits fit a word.
+WORD = 62
 
 
 @dataclass(frozen=True)
@@ -143,10 +145,16 @@ def choose_members(cuts: DataFrame, mode: str = "greedy", top_k: int = 20) -> Da
 def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: int = 5, label: str = "label") -> DataFrame:
     """members, gain of value subsets of size 1 to max_group, the full set left out."""
     values = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("v")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    packed = values.agg(F.array_sort(F.collect_list(F.struct("v", "n", "pos"))).alias("vs"), F.sum("n").alias("n"), F.sum("pos").alias("p"))
-    # subsets number 2^k: the values of one categorical feature are few by contract
-    masks = packed.where(F.size("vs").between(2, 20)).select("*", F.explode(F.expr("sequence(1L, shiftleft(1L, size(vs)) - 2)")).alias("mask")).where(F.bit_count("mask") <= max_group)
-    own = masks.select("n", "p", "mask", F.expr("filter(vs, (v, i) -> shiftright(mask, i) & 1 = 1)").alias("own"))
+    # one row: every value of the feature with its counts; written once, as every size of subsets reads it
+    packed = cut(values.agg(F.array_sort(F.collect_list(F.struct("v", "n", "pos"))).alias("vs"), F.sum("n").alias("n"), F.sum("pos").alias("p")))
+    each = packed.select(F.posexplode("vs").alias("i", "value"))
+    made = size = each.select(F.col("i").alias("last"), F.array("value").alias("own"))
+    for _ in range(1, max_group):
+        # subsets grow by a value after their last
+        size = size.join(F.broadcast(each), F.col("i") > F.col("last")).select(F.col("i").alias("last"), F.concat("own", F.array("value")).alias("own"))
+        made = made.unionByName(size)
+    whole = F.broadcast(packed.select(F.size("vs").alias("k"), "n", "p"))  # one row
+    own = made.crossJoin(whole).where(F.size("own") < F.col("k"))
     add = lambda f: F.aggregate("own", F.lit(0).cast("long"), lambda a, v: a + v[f])
     out = own.withColumn("nl", add("n")).withColumn("pl", add("pos"))
     out = out.withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("n") - F.col("nl")))
@@ -212,16 +220,18 @@ def distinct_cuts(df: DataFrame, cuts: list[Cut]) -> list[Cut]:
     """
     if not cuts:
         return []
-    bits = F.col("bits")
-    apart = transform(df, cuts).agg(*(F.bit_or(bits.bitwiseXOR(-F.shiftright(bits, i).bitwiseAND(F.lit(1)).cast("long"))).alias(f"c{i}") for i in range(len(cuts)))).first()
-    kept = [c for j, c in enumerate(cuts) if all((apart[i] or 0) >> j & 1 for i in range(j))]
+    words = range((len(cuts) + WORD - 1) // WORD)
+    rows = df.select(*(_word(cuts[k * WORD : (k + 1) * WORD]).alias(f"w{k}") for k in words))
+    repeated = lambda i: -F.shiftright(f"w{i // WORD}", i % WORD).bitwiseAND(F.lit(1)).cast("long")
+    apart = rows.agg(*(F.bit_or(F.col(f"w{k}").bitwiseXOR(repeated(i))).alias(f"c{i}_{k}") for i in range(len(cuts)) for k in words if k >= i // WORD)).first()
+    kept = [c for j, c in enumerate(cuts) if all((apart[f"c{i}_{j // WORD}"] or 0) >> j % WORD & 1 for i in range(j))]
     return [Cut(i, c.feature, c.threshold, c.members) for i, c in enumerate(kept)]
 
 
-def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5, fraction: float = 0.02, max_group: int = 3, most_cuts: int = 62, tree: dict | None = None) -> list[Cut]:
+def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5, fraction: float = 0.02, max_group: int = 3, most_cuts: int = WORD, tree: dict | None = None) -> list[Cut]:
     """Cuts in id order: numeric features, then categorical ones; equal columns keep the lowest id.
 
-    tree: arguments of tree_cuts, whose thresholds then replace the candidates of all midpoints.
+    More than most_cuts distinct ones are refused. tree: arguments of tree_cuts, whose thresholds then replace the candidates of all midpoints.
     """
     hist = histogram(df, numeric)
     if tree is None:
@@ -235,17 +245,21 @@ def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str
     for f in categoric:
         best = choose_members(categorical(df, f, max_group, min_support), mode, top_k).collect()
         cuts += [(f, None, tuple(r["members"].split(",")), r["gain"]) for r in sorted(best, key=lambda r: (r["gain"], r["members"]))]
-    if len(cuts) > most_cuts:
-        keep = set(sorted(range(len(cuts)), key=lambda i: (-cuts[i][3], i))[:most_cuts])
-        cuts = [c for i, c in enumerate(cuts) if i in keep]
-    return distinct_cuts(df, [Cut(i, f, t, m) for i, (f, t, m, _) in enumerate(cuts)])
+    distinct = distinct_cuts(df, [Cut(i, f, t, m) for i, (f, t, m, _) in enumerate(cuts)])
+    if len(distinct) > most_cuts:
+        raise ValueError(f"{len(distinct)} cuts, and at most {most_cuts} fit a word: take a smaller top_k, another mode or fewer features")
+    return distinct
 
 
-def transform(df: DataFrame, cuts: list[Cut]) -> DataFrame:
-    """row_id, label, bits: one bit for each cut, never null."""
-    if len(cuts) > 62:
-        raise ValueError("at most 62 cuts fit a word")
+def _word(cuts: list[Cut]) -> Column:
     bits = F.lit(0).cast("long")
     for i, c in enumerate(cuts):
         bits = bits + F.when(c.test(), F.lit(1 << i)).otherwise(0)
-    return df.select("row_id", "label", bits.cast("long").alias("bits"))
+    return bits.cast("long")
+
+
+def transform(df: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """row_id, label, bits: one bit for each cut, never null."""
+    if len(cuts) > WORD:
+        raise ValueError(f"at most {WORD} cuts fit a word")
+    return df.select("row_id", "label", _word(cuts).alias("bits"))

@@ -1,6 +1,7 @@
 import heapq
 import inspect
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -40,6 +41,31 @@ def test_nulls_and_unseen_values_are_bit_zero(spark):
     assert {r["row_id"]: r["bits"] for r in got.collect()} == {1: 2, 2: 0, 3: 1}
 
 
+def test_value_subsets_of_more_than_twenty_values(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.random() < (0.9 if i % 23 < 5 else 0.3)), f"v{i % 23:02d}") for i in range(460)]
+    df = spark.createDataFrame(rows, "row_id long, label int, c string")
+    got = {r["members"]: (r["nl"], r["gain"]) for r in binarize.categorical(df, "c", 3).collect()}
+    y, v = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    want = {}
+    for size in (1, 2, 3):
+        for combo in combinations(sorted(set(v)), size):
+            on = np.isin(v, combo)
+            pl, nl, pr, nr = (int(x) for x in (y[on].sum(), on.sum(), y[~on].sum(), (~on).sum()))
+            if pl * nr != pr * nl:
+                want[",".join(combo)] = (nl, pytest.approx((pl * nr - pr * nl) ** 2 / (460**2 * nl * nr)))
+    assert got == want and any(m.count(",") == 2 for m in got)
+    assert all(c.members for c in binarize.fit(df, ["row_id"], ["c"], top_k=3) if c.feature == "c")
+
+
+def test_more_cuts_than_a_word_are_refused_after_equal_ones_go(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(200)], "row_id long, label int, x double")
+    cuts = [binarize.Cut(j, "x", float(t)) for j, t in enumerate([*range(40), *range(40), *range(35, 60)])]
+    assert [c.threshold for c in binarize.distinct_cuts(df, cuts)] == [float(t) for t in range(60)]
+    with pytest.raises(ValueError):
+        binarize.fit(df, ["x"], mode="all", min_support=1, fraction=0)
+
+
 def test_split_is_stratified(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "row_id long, label int")
     got = split.stratified_split(df).groupBy("label", "is_test").count().collect()
