@@ -1,7 +1,8 @@
 """Secret scanning through a trigram inverted index.
 
-Every rule is a regular expression. From it a Boolean query over trigrams is derived: an AND of clauses, each an OR
-of literal strings of which any match holds one, and a string stands for the AND of its trigrams. Postings
+Every rule is a regular expression with a Boolean query over trigrams: an AND of clauses, each an OR of literal
+strings of which any match holds one, and a string stands for the AND of its trigrams. The clauses are written by
+hand beside the expression, not derived from it: one that a match needn't hold loses matches unseen. Postings
 (trigram, text) are built for the trigrams that some query names, and intersected by text; texts that satisfy a
 rule's query are candidates and are verified by the expression itself. A rule without a mandatory trigram scans
 every text. All of it is DataFrame functions: no text leaves the JVM.
