@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .scratch import Scratch, bound_batches
+from .token_codes import vocabulary
 
 #: Bytes of text whose words share one list, and list entries in a slice.
 CHUNK_BYTES = 8 << 20
@@ -46,7 +47,7 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
         n = model.get_piece_size()
         use = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = [(model.id_to_piece(i), model.get_score(i)) for i in use]
@@ -363,7 +364,7 @@ def _finish(n: int, v: int, ends: int, log_end: float, go_on: float):
     return run
 
 
-def score(docs: DataFrame, vocabulary: str, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, subwords: str, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text (null: empty), learning from rows whose crc32(id as text) mod `mod` is not `rest`.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word counts) and score (log10
@@ -382,8 +383,8 @@ def score(docs: DataFrame, vocabulary: str, mod: int = 7, rest: int = 2, id_col:
     by_slice = lists.where("slice >= 0").select("chunk", "slice", "hashes", "tf", "words", "docs")
     words = scratch.written(by_slice.select("slice", "hashes", "tf", "words").groupBy("slice").applyInArrow(_merge, VOCABULARY), "words")
     tasks = max(1, math.ceil(size / (4 << 20)))
-    used = words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_expectations(vocabulary)), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    p = pieces(vocabulary)
+    used = words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_expectations(subwords)), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    p = pieces(subwords)
     got = {r["piece"]: r["uses"] for r in used.collect()}  # at most one row for each piece of the vocabulary
     trained = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).where(F.crc32(F.col("k").cast("binary")) % mod != rest).count()
     n_words = int(got.get(-2, 0))
@@ -399,7 +400,7 @@ def score(docs: DataFrame, vocabulary: str, mod: int = 7, rest: int = 2, id_col:
     go_on = math.log1p(-math.exp(log_end))
     total = uses.sum() + in_bytes
     logp, byte = np.log(uses / total), math.log(in_bytes / 256 / total)
-    scored = scratch.written(words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_scores(vocabulary, logp, byte, n_words, new)), "slice int, part int, hashes binary, counts binary, logs binary"), "scored")
+    scored = scratch.written(words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_scores(subwords, logp, byte, n_words, new)), "slice int, part int, hashes binary, counts binary, logs binary"), "scored")
     answers = by_slice.select("chunk", "slice", "hashes", "docs").groupBy("slice").cogroup(scored.groupBy("slice")).applyInArrow(_answer, ANSWERS)
     whole = lists.where("slice < 0").select("chunk", "docs", "doc_ids", "n_words", "held")
     return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(n, v, trained, log_end, go_on), OUT)

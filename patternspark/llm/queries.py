@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, lm_scoring, mixing, near_dedup, pii, quality, secret_scan, sharding, token_codes, vector_dedup
 from .scratch import Scratch
 
-#: Where the public vocabulary files are, unless an argument says otherwise.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-SUBWORDS = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: Names of public vocabulary files; public_tokenizers.path() finds them on the machine that a task runs on.
+BPE = "byte_bpe_50k.json"
+SUBWORDS = "piece_bpe_32k.model"
 END_ID = 2
 
 

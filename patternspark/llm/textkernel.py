@@ -34,6 +34,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: What a worker keeps from task to task, by operator: that of one operator at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """The worker's state of an operator, made where it has none. Tasks call this by name: what a closure holds
+    itself is new in every task. tidied() drops it as soon as a task of another operator begins in this worker.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def tidy() -> None:
     """Give freed memory back: workers live on between tasks, two to an executor of a few GB."""
     pa.default_memory_pool().release_unused()
@@ -43,10 +57,12 @@ def tidy() -> None:
         pass  # another C library
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and tidy() at the end."""
+def tidied(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """run, and tidy() at the end; what other operators than owner have kept in this worker goes first."""
 
     def tidy_run(batches: Iterator) -> Iterator:
+        if owner not in _kept:
+            _kept.clear()
         yield from run(batches)
         tidy()
 
@@ -59,26 +75,40 @@ _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _BYTE = mix(_FOLD.astype(np.uint64) + np.uint64(1))
 _STEP = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Values whose running sums are formed at once, so that the longest text needs no longer table of powers.
+PIECE = 1 << 18
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, 0 to n."""
-    if len(_powers[0]) <= n:
-        m = max(n + 1, CHUNK_BYTES + 2)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers
+def _powers(base: int) -> np.ndarray:
+    """Powers of an odd base modulo 2^64, from 0."""
+    p = np.full(PIECE + 1, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
-def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the runs values[starts:ends], each independent of where its run lies."""
-    p, inverse = _power_tables(len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
+
+
+def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the runs values[starts:ends], each independent of where its run lies.
+
+    Runs ascend and don't overlap. table: what stands for a value; it is looked up piece by piece.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(values), PIECE):
+        b = min(a + PIECE, len(values))
+        i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        if i >= j:
+            continue
+        own = values[a:b] if table is None else table[values[a:b]]
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(own * _POWERS[: b - a], out=total[1:])
+        first, last = np.maximum(starts[i:j] - a, 0), np.minimum(ends[i:j], b) - a
+        got = (total[last] - total[first]) * _INVERSES[first]
+        if starts[i] < a:  # the one run that began in an earlier piece
+            got[:1] *= np.uint64(pow(_BASE, a - int(starts[i]), 1 << 64))
+        out[i:j] += got
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +152,7 @@ class Words:
         self.start = np.flatnonzero(solid & before)
         self.end = np.flatnonzero(solid & after) + 1
         self.off = np.searchsorted(self.start, offs)
-        self.hash = polynomial(_BYTE[raw], self.start, self.end)
+        self.hash = polynomial(raw, self.start, self.end, _BYTE)
 
     @property
     def doc(self) -> np.ndarray:

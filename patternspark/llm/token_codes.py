@@ -30,8 +30,8 @@ from .scratch import bound_batches
 MAGIC = b"DAC1"
 STRIDE = 512
 SEGMENT_TOKENS = 1 << 20
-#: Encoded pieces that a worker remembers.
-CACHE = 2_000_000
+#: Encoded pieces that a worker remembers, some 60 MB.
+CACHE = 1_200_000
 #: Pieces encoded at once: the library's results are large.
 BATCH = 2048
 
@@ -94,8 +94,6 @@ class Codes:
         return out
 
 
-_encoders: dict[tuple[str, int], "Encoder"] = {}
-
 _b = np.arange(256)
 _BLANK = np.isin(_b, [9, 10, 11, 12, 13, 32])
 _LINE = np.isin(_b, [9, 10, 11, 12, 13])
@@ -141,7 +139,7 @@ def cut(raw: np.ndarray, offs: np.ndarray, whole: np.ndarray) -> tuple[np.ndarra
 class Encoder:
     """Encodes whole texts by a byte-level BPE file; ids of pieces are kept by the hash of their bytes."""
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -211,13 +209,13 @@ class Encoder:
         data = raw.tobytes()
         starts, ends = cut(raw, offs, self.literals(data, offs))
         starts, ends = (starts, ends) if len(raw) else (starts[:0], ends[:0])
-        h = K.polynomial(_RAW[raw], starts, ends)
+        h = K.polynomial(raw, starts, ends, _RAW)
         h[h == 0] = 1
         entry = self._find(h)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            texts = [data[a:b].decode() for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)]
             n = len(self.first)
             coded = [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
             self._keep(new, coded)
@@ -230,16 +228,20 @@ class Encoder:
         return ids, np.concatenate([[0], total[closes]])
 
 
-def encoder(path: str, end: int) -> Encoder:
-    """The worker's encoder. Tasks call this by name: what a closure holds itself is new in every task."""
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+def vocabulary(name: str) -> str:
+    """A path as it is; the bare name of a public vocabulary file as its place on the machine that asks."""
+    if os.path.basename(name) != name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _encode(path: str, end: int):
+    owner = f"tokens {path} {end}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, end)
+        coder = K.kept(owner, lambda: Encoder(vocabulary(path), end))
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Array] = []
         found: list[np.ndarray] = []
@@ -264,7 +266,7 @@ def _encode(path: str, end: int):
         if ids:
             yield close()
 
-    return run
+    return K.tidied(run, owner)
 
 
 SEGMENTS = "part int, segment int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
@@ -274,6 +276,9 @@ _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text (null: empty), append the end id, and write segments in ascending id order.
 
+    tokenizer: a path, or the name of a public vocabulary file, which is then looked up where a task runs. Bytes
+    that are no UTF-8 count as U+FFFD.
+
     Null ids come first; rows that repeat an id stay rows of their own, next to each other. Other columns are
     ignored. Ranges of ids are cut by a sample of (id, text hash), so no range depends on one key alone.
     """
@@ -281,7 +286,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    sorted_rows.mapInArrow(K.tidied(_encode(tokenizer, end)), SEGMENTS).write.parquet(path)
+    sorted_rows.mapInArrow(_encode(tokenizer, end), SEGMENTS).write.parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,7 +98,7 @@ def test_contamination_finds_every_window(spark, docs):
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
+    t = Tokenizer.from_file(token_codes.vocabulary(BPE))
     path = Scratch(spark, "test-tokens").path
     token_codes.write_tokens(docs, path, BPE)
     start, want, flat = 0, [], []
@@ -119,7 +119,7 @@ def test_added_tokens_in_a_text_get_the_librarys_ids():
     said = ["foo <|endoftext|> bar", end, f"{end}{end}\n{end}x", f"a{end}b  {end}  c\n\n{end}\n\nd", "<|endof", "text|> <|endoftext|", "> é\u3000" + end + "\u3000é", "", "it's" + end + "'s", " <|endoftext"]
     rng = np.random.default_rng(2)
     said += ["".join(rng.choice([end, " ", "\n", "a", "B", "<|", "|>", "'", "7", "é", "\u2003", "endoftext"], 30)) for _ in range(300)]
-    t, coder = Tokenizer.from_file(BPE), token_codes.Encoder(BPE, 2)
+    t, coder = Tokenizer.from_file(token_codes.vocabulary(BPE)), token_codes.Encoder(token_codes.vocabulary(BPE), 2)
     raw = [x.encode() for x in said]
     ids, off = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     assert ids[off[0] : off[1]].tolist() == [21943, 220, 50256, 2318, 2]
