@@ -1,16 +1,20 @@
 """Language-model scores by a subword lattice.
 
-The vocabulary and the ranks of an existing subword model give the pieces and their first weights; one round of
-expectation over all segmentations of all training words then gives each piece its probability here. A word is a
-lattice whose edges are the pieces that match at a position, and one edge over the whole word for a word that the
-training documents hold; the forward recursion in log space sums over every segmentation and returns the word's
-marginal probability. Whole words and pieces share the mass as Good and Turing would have it: pieces get the share
-of words seen once. A document is its words and one end: the product of their marginals.
-
-Words are scored once each, not once for each occurrence. Documents are cut into chunks; a chunk lists its
-distinct words, and the lists are dealt by word hash into slices, where counts are summed, lattices scored, and the
-figures sent back to the chunks. A slice holds a bounded number of list entries, since their number follows the
-input, and a frequent word is one entry of each chunk only. No vocabulary of the corpus is ever broadcast.
+One unigram model scores whole documents: its units are the pieces of an existing subword vocabulary with their own
+scores, single bytes, the words that the training documents hold, and the end of a document. A document is the lattice
+of everything that spells it; the forward recursion in log space sums over every segmentation and returns the marginal
+probability. Words start with a mark, and no unit runs over one, so the marginal of a document is the product of its
+words' marginals and that of its end, and a word's lattice is worked off once, however often the word occurs.
+
+The shares of the two kinds of units are Good and Turing's: pieces and bytes, which spell what training didn't meet,
+get the share of words seen once; words and ends share the rest by their counts. Nothing else is fitted. Scores of a
+unigram vocabulary are log weights as they are. Those of a merge vocabulary are whole numbers, its merge ranks, which
+say only what is more frequent: they are turned into weights once, by Zipf's law with an offset (RANK_OFFSET).
+
+Documents are cut into chunks; a chunk lists its distinct words, and the lists are dealt by word hash into slices, where
+counts are summed, lattices scored, and the figures sent back to the chunks. A slice holds a bounded number of list
+entries, since their number follows the input, and a frequent word is one entry of each chunk only. No vocabulary of the
+corpus is ever broadcast.
 """
 
 from __future__ import annotations
@@ -29,18 +33,21 @@ from . import textkernel as K
 from .scratch import Scratch, bound_batches
 from .token_codes import vocabulary
 
-#: Bytes of text whose words share one list, and list entries in a slice.
+#: Bytes of text whose words share one list, list entries in a slice, and words of one scored row.
 CHUNK_BYTES = 8 << 20
-SLICE_ENTRIES = 1_500_000
-LONGEST_PIECE = 16
-RANK_SHIFT = 50
-SMOOTHING = 0.1
+SLICE_ENTRIES = 600_000
+PART_WORDS = 40_000
+#: Places of lattices that are worked off together.
+PLACES = 1 << 16
+#: A merge vocabulary's piece of rank r weighs 1 / (r + RANK_OFFSET); all single bytes together weigh BYTES of the pieces.
+RANK_OFFSET = 50
+BYTES = 0.01
 WORD_START = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The pieces of a vocabulary, found by a rolling hash of code points in an open-addressed table."""
+    """The pieces of a vocabulary with their log weights, found by a rolling hash in an open-addressed table."""
 
     SLOTS = 1 << 18
 
@@ -48,17 +55,14 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
-        n = model.get_piece_size()
-        use = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.pieces = [(model.id_to_piece(i), model.get_score(i)) for i in use]
-        self.pieces = [(p, s) for p, s in self.pieces if 0 < len(p) <= LONGEST_PIECE]
-        rank = np.argsort(np.argsort([-s for _, s in self.pieces], kind="stable"), kind="stable")
-        self.first = np.log(1.0 / (rank + RANK_SHIFT))
-        self.first -= np.log(np.exp(self.first).sum() * 1.02)  # the rest is for bytes and the end
-        self.byte = math.log(0.01 / 256)
+        other = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+        use = [i for i in range(model.get_piece_size()) if not any(f(i) for f in other)]
+        self.pieces = [model.id_to_piece(i) for i in use]
+        self.longest = max(map(len, self.pieces))
+        self.logp, self.byte = weights(np.array([model.get_score(i) for i in use]))
         self.keys = np.zeros(self.SLOTS, np.uint64)
         self.vals = np.full(self.SLOTS, -1, np.int32)
-        for i, (p, _) in enumerate(self.pieces):
+        for i, p in enumerate(self.pieces):
             h = np.zeros(1, np.uint64)
             for c in p:
                 h = self.add(h, np.array([ord(c)]))
@@ -83,95 +87,67 @@ class Pieces:
         return out
 
 
-_pieces: dict[str, Pieces] = {}
+def weights(scores: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log weights of pieces by their scores, and of one byte; all pieces and the 256 bytes sum to 1."""
+    if (scores == np.round(scores)).all():
+        rank = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
+        scores = -np.log(rank + RANK_OFFSET)
+    logp = scores - np.logaddexp.reduce(scores) - math.log1p(BYTES)
+    return logp, math.log(BYTES / (1 + BYTES) / 256)
+
 
+def log_marginals(words: list[bytes], p: Pieces, spelled: float, whole: np.ndarray) -> np.ndarray:
+    """Log marginal of every word: the forward recursion over all its segmentations.
 
-def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    spelled: log share of pieces and bytes, a factor of each; whole: log weight of the edge over the whole word.
+    """
+    said = [WORD_START + w.decode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, said), np.int64, len(said))
+    order, out = np.argsort(size, kind="stable"), np.zeros(len(said))
+    total, a = np.cumsum(size[order]), 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PLACES, "right")))
+        at = order[a:b]
+        flat = np.frombuffer("".join([said[i] for i in at.tolist()]).encode("utf-32-le"), np.uint32)
+        out[at] = _forward(flat, size[at], p, spelled, whole[at])
+        a = b
+    return out
 
 
-def _code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each after a word start; offsets; UTF-8 lengths of the code points."""
-    text = "".join(WORD_START + w.decode("utf-8", "replace") for w in words)
-    flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    n = np.fromiter((len(w.decode("utf-8", "replace")) + 1 for w in words), np.int64, len(words))
+def _forward(flat: np.ndarray, size: np.ndarray, p: Pieces, spelled: float, whole: np.ndarray) -> np.ndarray:
+    """Log marginals of words of rising sizes, whose code points follow one another."""
+    k, n = len(size), len(flat)
+    off = np.concatenate([[0], np.cumsum(size)])
+    word = np.repeat(np.arange(k), size)
+    end = off[word + 1]
+    # edges: pieces that match at a place, found for all places at once
+    h, open_, found = np.zeros(n, np.uint64), np.arange(n), []
+    for j in range(p.longest):
+        open_ = open_[open_ + j < end[open_]]
+        h[open_] = p.add(h[open_], flat[open_ + j])
+        piece = p.find(h[open_])
+        hit = np.flatnonzero(piece >= 0)
+        found.append((open_[hit], np.full(len(hit), j + 1), p.logp[piece[hit]]))
+    place, length, logp = (np.concatenate(x) for x in zip(*found, strict=True))
+    step = place - off[word[place]]
+    order = np.argsort(step, kind="stable")
+    cuts = np.searchsorted(step[order], np.arange(size[-1] + 1))
+    # a word has a node before each place and one after its last
+    source = (place + word[place])[order]
+    target, logp = source + length[order], logp[order] + spelled
     width = 1 + (flat > 0x7F).astype(np.int8) + (flat > 0x7FF) + (flat > 0xFFFF)
-    return flat, np.concatenate([[0], np.cumsum(n)]), width
-
-
-def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
-class Lattices:
-    """Lattices of equally long words, columns being places."""
-
-    def __init__(self, p: Pieces, codes: np.ndarray, width: np.ndarray):
-        self.n, self.length = codes.shape
-        self.edges = []  # (from, to, rows, piece)
-        for i in range(self.length):
-            h = np.zeros(self.n, np.uint64)
-            for j in range(i, min(self.length, i + LONGEST_PIECE)):
-                h = p.add(h, codes[:, j])
-                got = p.find(h)
-                rows = np.flatnonzero(got >= 0)
-                if len(rows):
-                    self.edges.append((i, j + 1, rows, got[rows]))
-        self.width = width
-
-    def forward(self, logp: np.ndarray, byte: float) -> np.ndarray:
-        alpha = np.full((self.length + 1, self.n), -np.inf)
-        alpha[0] = 0
-        at = 0
-        for i in range(self.length):
-            alpha[i + 1] = _add(alpha[i + 1], alpha[i] + byte * self.width[:, i])
-            while at < len(self.edges) and self.edges[at][0] == i:
-                _, j, rows, piece = self.edges[at]
-                alpha[j][rows] = _add(alpha[j][rows], alpha[i][rows] + logp[piece])
-                at += 1
-        return alpha
-
-    def expect(self, logp: np.ndarray, byte: float, counts: np.ndarray, into: np.ndarray) -> tuple[float, np.ndarray]:
-        """Adds the expected uses of every piece; returns those of bytes, and the words' log marginals."""
-        alpha = self.forward(logp, byte)
-        beta = np.full((self.length + 1, self.n), -np.inf)
-        beta[self.length] = 0
-        z, at, in_bytes = alpha[self.length], len(self.edges) - 1, 0.0
-        for i in range(self.length - 1, -1, -1):
-            step = beta[i + 1] + byte * self.width[:, i]
-            in_bytes += float((counts * self.width[:, i] * np.exp(alpha[i] + step - z)).sum())
-            beta[i] = step
-            while at >= 0 and self.edges[at][0] == i:
-                _, j, rows, piece = self.edges[at]
-                through = beta[j][rows] + logp[piece]
-                into += np.bincount(piece, counts[rows] * np.exp(alpha[i][rows] + through - z[rows]), len(into))
-                beta[i][rows] = _add(beta[i][rows], through)
-                at -= 1
-        return in_bytes, z
-
-
-def _by_length(words: list[bytes], most: int = 4_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in the list, code point matrix, width matrix) of words of one length."""
-    if not words:
-        return
-    flat, off, width = _code_points(words)
-    n = np.diff(off)
-    for length in np.unique(n):
-        same = np.flatnonzero(n == length)
-        step = max(1, most * 16 // int(length))
-        for a in range(0, len(same), step):
-            at = same[a : a + step]
-            grid = off[at][:, None] + np.arange(length)[None, :]
-            yield at, flat[grid], width[grid].astype(np.float64)
-
-
-def log_marginals(words: list[bytes], p: Pieces, logp: np.ndarray, byte: float) -> np.ndarray:
-    out = np.zeros(len(words))
-    for at, codes, width in _by_length(words):
-        out[at] = Lattices(p, codes, width).forward(logp, byte)[-1]
-    return out
+    in_bytes = width * (p.byte + spelled)
+    alpha = np.full(n + k, -np.inf)
+    first = off[:-1] + np.arange(k)
+    alpha[first] = 0
+    alpha[first + size] = whole
+    for i in range(int(size[-1])):
+        longer = slice(int(np.searchsorted(size, i, "right")), None)
+        here = first[longer] + i
+        alpha[here + 1] = np.logaddexp(alpha[here + 1], alpha[here] + in_bytes[off[:-1][longer] + i])
+        e = slice(cuts[i], cuts[i + 1])
+        alpha[target[e]] = np.logaddexp(alpha[target[e]], alpha[source[e]] + logp[e])
+    return alpha[first + size]
 
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -255,16 +231,18 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
         yield group
 
 
-VOCABULARY = "slice int, part int, hashes binary, counts binary, words binary"
-_VOCABULARY = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
-PART_WORDS = 40_000
+VOCABULARY = "slice int, part int, n long, distinct long, once long, hashes binary, counts binary, words binary"
+_VOCABULARY = pa.schema([
+    ("slice", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()),
+    ("hashes", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()),
+])
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """The distinct words of a slice with their training counts, in order of hash, in parts."""
-    lists = [(np.frombuffer(a, np.uint64), _numbers(b)) for a, b in zip(table.column("hashes").to_pylist(), table.column("tf").to_pylist(), strict=True)]
-    all_h = np.concatenate([a for a, _ in lists])
-    h, first, back = np.unique(all_h, return_index=True, return_inverse=True)
+    columns = (table.column(c).to_pylist() for c in ("hashes", "tf"))
+    lists = [(np.frombuffer(a, np.uint64), _numbers(b)) for a, b in zip(*columns, strict=True)]
+    h, first, back = np.unique(np.concatenate([a for a, _ in lists]), return_index=True, return_inverse=True)
     counts = np.bincount(back, np.concatenate([b for _, b in lists]), len(h)).astype(np.int64)
     edge = np.concatenate([[0], np.cumsum([len(a) for a, _ in lists])])
     words: list[bytes] = [b""] * len(h)
@@ -278,43 +256,34 @@ def _merge(table: pa.Table) -> pa.Table:
             for i in own.tolist():
                 words[i] = said[int(first[i] - edge[k])]
     s = table.column("slice")[0].as_py()
-    parts = range(0, len(h), PART_WORDS)
-    cut = lambda f: [f(a, a + PART_WORDS) for a in parts]
-    return pa.Table.from_pydict({"slice": [s] * len(parts), "part": list(range(len(parts))), "hashes": cut(lambda a, b: h[a:b].tobytes()), "counts": cut(lambda a, b: counts[a:b].tobytes()), "words": cut(lambda a, b: zlib.compress(b"\n".join(words[a:b]), 1))}, _VOCABULARY)
+    rows = []
+    for part, a in enumerate(range(0, len(h), PART_WORDS)):
+        b = min(a + PART_WORDS, len(h))
+        c = counts[a:b]
+        facts = (int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))
+        rows.append((s, part, *facts, h[a:b].tobytes(), c.tobytes(), zlib.compress(b"\n".join(words[a:b]), 1)))
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _VOCABULARY.types, strict=True)], schema=_VOCABULARY)
 
 
-def _expectations(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
-        total, in_bytes, n, v, once = np.zeros(len(p.pieces)), 0.0, 0, 0, 0
-        for batch in batches:
-            for counts, words in zip(batch.column("counts").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                known = np.flatnonzero(c)
-                said = zlib.decompress(words).split(b"\n")
-                n, v, once = n + int(c.sum()), v + len(known), once + int((c == 1).sum())
-                for at, codes, width in _by_length([said[i] for i in known.tolist()]):
-                    more, _ = Lattices(p, codes, width).expect(p.first, p.byte, c[known[at]].astype(float), total)
-                    in_bytes += more
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2, -3, -4]])), pa.array(np.concatenate([total[some], [in_bytes, n, v, once]]))], ["piece", "uses"])
+SCORED = "slice int, part int, hashes binary, counts binary, logs binary"
 
-    return run
 
+def _scores(subwords: str, spelled: float, a_count: float):
+    """a_count: log weight of one count of a training word."""
+    owner = f"pieces {subwords}"
 
-def _scores(path: str, logp: np.ndarray, byte: float, n: int, new: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
+        p = K.kept(owner, lambda: Pieces(subwords))
         for batch in batches:
             logs = []
             for counts, words in zip(batch.column("counts").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                parts = log_marginals(zlib.decompress(words).split(b"\n"), p, logp, byte)
                 with np.errstate(divide="ignore"):
-                    whole = np.log(np.frombuffer(counts, np.int64) / max(n, 1))
-                logs.append(np.logaddexp(math.log1p(-new) + whole, math.log(new) + parts).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("part"), batch.column("hashes"), batch.column("counts"), pa.array(logs, pa.binary())], ["slice", "part", "hashes", "counts", "logs"])
+                    whole = np.log(np.frombuffer(counts, np.int64)) + a_count
+                logs.append(log_marginals(zlib.decompress(words).split(b"\n"), p, spelled, whole).tobytes())
+            kept = [batch.column(c) for c in ("slice", "part", "hashes", "counts")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(logs, pa.binary())], ["slice", "part", "hashes", "counts", "logs"])
 
-    return run
+    return K.tidied(run, owner)
 
 
 def _answer(key: tuple, lists: pa.Table, vocabulary: pa.Table) -> pa.Table:
@@ -335,7 +304,7 @@ _ANSWERS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("counts", p
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(n: int, v: int, ends: int, log_end: float, go_on: float):
+def _finish(n: int, v: int, ends: int, log_end: float):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         place = _numbers(docs.column("docs")[0].as_py())
         n_words = _numbers(docs.column("n_words")[0].as_py()).astype(np.int64)
@@ -357,9 +326,13 @@ def _finish(n: int, v: int, ends: int, log_end: float, go_on: float):
             return out
 
         end = math.log10((ends + 1) / (n + v + 1))
-        cols = [docs.column("doc_ids")[0].as_py(), held, n_words + 1, by_doc((counts > 0).astype(np.int64)) + int(ends > 0), np.full(len(held), n), by_doc(base) + end, (by_doc(logs) + n_words * go_on + log_end) / math.log(10)]
+        known = by_doc((counts > 0).astype(np.int64)) + int(ends > 0)
+        marginal = (by_doc(logs) + log_end) / math.log(10)
+        ids = docs.column("doc_ids")[0].as_py()
+        cols = [ids, held, n_words + 1, known, np.full(len(held), n), by_doc(base) + end, marginal]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names)
 
     return run
 
@@ -367,40 +340,37 @@ def _finish(n: int, v: int, ends: int, log_end: float, go_on: float):
 def score(docs: DataFrame, subwords: str, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text (null: empty), learning from rows whose crc32(id as text) mod `mod` is not `rest`.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word counts) and score (log10
-    of the lattice model's probability of the words and the end). Words are lower-cased (A-Z) runs of anything but
-    white space. A null id counts as the empty text for its remainder; repeated rows count and are returned each;
-    a text without words is its end alone; an empty table gives no rows; other columns are ignored.
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word counts) and score (log10 of the
+    lattice model's probability of the words and the end). Words are lower-cased (A-Z) runs of anything but white space.
+    subwords: a path, or the name of a public vocabulary file. A null id counts as the empty text for its remainder;
+    repeated rows count and are returned each; a text without words is its end alone; bytes that are no UTF-8 count as
+    U+FFFD in lattices; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    facts = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(F.crc32(key) % mod != rest).alias("ends")).first()
+    size, ends = facts["size"] or 0, facts["ends"]
     # about one list entry for 40 bytes of text
     slices = max(2, math.ceil(size / 40 / SLICE_ENTRIES))
     lists = scratch.written(rows.mapInArrow(K.tidied(_listing(slices, mod, rest)), LISTS), "lists")
-    by_slice = lists.where("slice >= 0").select("chunk", "slice", "hashes", "tf", "words", "docs")
-    words = scratch.written(by_slice.select("slice", "hashes", "tf", "words").groupBy("slice").applyInArrow(_merge, VOCABULARY), "words")
+    own = lists.where("slice >= 0")
+    # a slice is a task of its own, so no task grows with the input
+    dealt = own.select("slice", "hashes", "tf", "words").repartitionById(slices, F.col("slice"))
+    words = scratch.written(dealt.groupBy("slice").applyInArrow(_merge, VOCABULARY), "words")
+    known = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "distinct", "once"))).first()
+    n, v = known["n"] + ends, known["distinct"] + int(ends > 0)
+    new = (known["once"] + 1) / (known["n"] + 2)
+    a_count = math.log1p(-new) - math.log(n + 1)
     tasks = max(1, math.ceil(size / (4 << 20)))
-    used = words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_expectations(subwords)), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    p = pieces(subwords)
-    got = {r["piece"]: r["uses"] for r in used.collect()}  # at most one row for each piece of the vocabulary
-    trained = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).where(F.crc32(F.col("k").cast("binary")) % mod != rest).count()
-    n_words = int(got.get(-2, 0))
-    n, v = n_words + trained, int(got.get(-3, 0)) + int(trained > 0)
-    new = (got.get(-4, 0.0) + 1) / (n_words + 2)
-    log_end = math.log((trained + 1) / (n + 2))
-    uses = np.full(len(p.pieces), SMOOTHING)
-    for piece, x in got.items():
-        if piece >= 0:
-            uses[piece] += x
-    in_bytes = got.get(-1, 0.0) + 1.0
-    # pieces spell out one word after another, and a word goes on with what its document's end leaves
-    go_on = math.log1p(-math.exp(log_end))
-    total = uses.sum() + in_bytes
-    logp, byte = np.log(uses / total), math.log(in_bytes / 256 / total)
-    scored = scratch.written(words.repartition(min(tasks, 4096), "slice", "part").mapInArrow(K.tidied(_scores(subwords, logp, byte, n_words, new)), "slice int, part int, hashes binary, counts binary, logs binary"), "scored")
-    answers = by_slice.select("chunk", "slice", "hashes", "docs").groupBy("slice").cogroup(scored.groupBy("slice")).applyInArrow(_answer, ANSWERS)
+    tasks = min(tasks, max(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    scored = words.select("slice", "part", "hashes", "counts", "words").repartition(tasks, "slice", "part")
+    scored = scratch.written(scored.mapInArrow(_scores(subwords, math.log(new), a_count), SCORED), "scored")
+    asked = own.select("chunk", "slice", "hashes", "docs").repartitionById(slices, F.col("slice")).groupBy("slice")
+    told = scored.repartitionById(slices, F.col("slice")).groupBy("slice")
+    answers = asked.cogroup(told).applyInArrow(_answer, ANSWERS)
     whole = lists.where("slice < 0").select("chunk", "docs", "doc_ids", "n_words", "held")
-    return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(n, v, trained, log_end, go_on), OUT)
+    finish = _finish(n, v, ends, math.log(ends + 1) + a_count)
+    return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, OUT)
