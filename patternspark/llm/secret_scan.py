@@ -1,54 +1,52 @@
 """Secret scanning through a trigram inverted index.
 
-Every rule is a regular expression with a Boolean query over trigrams: an AND of clauses, each an OR of literal
-strings of which any match holds one, and a string stands for the AND of its trigrams. The clauses are written by
-hand beside the expression, not derived from it: one that a match needn't hold loses matches unseen. Postings
-(trigram, text) are built for the trigrams that some query names, and intersected by text; texts that satisfy a
-rule's query are candidates and are verified by the expression itself. A rule without a mandatory trigram scans
-every text. All of it is DataFrame functions: no text leaves the JVM.
+Every rule is a regular expression. A Boolean query over trigrams is derived from it (regex_query): the text of every
+match satisfies that query. Postings (trigram, text) are built for the trigrams that some query names, and intersected
+by text; texts that satisfy a rule's query are candidates and are verified by the expression itself. A rule from whose
+expression no mandatory trigram follows scans every text. All of it is DataFrame functions: no text leaves the JVM, and
+Python only reads the expressions, on the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import regex_query
 from .scratch import Scratch
 
 
 @dataclass(frozen=True)
 class Rule:
-    """clauses: strings of which a match holds one of each; group and least: characters that group must have."""
+    """group and least: characters that a group of a match must have; base: one of the kinds that are always asked for."""
 
     kind: str
     pattern: str
-    clauses: tuple[tuple[str, ...], ...]
     group: int = 0
     least: int = 0
-    fold: bool = False
     base: bool = False
 
-    def query(self) -> list[list[list[str]]]:
-        """AND of ORs of ANDs of trigrams; a clause with a string of under three characters says nothing."""
-        cut = lambda s: [s[i : i + 3] for i in range(len(s) - 2)]
-        return [[cut(s) for s in clause] for clause in self.clauses if all(len(s) >= 3 for s in clause)]
+    def query(self) -> tuple[regex_query.Query, bool]:
+        """The trigram query, and whether it is about the lower-cased text."""
+        return regex_query.derive(self.pattern)
 
 
 #: The three base kinds as specified.
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password", "passwd", "secret", "token", "apikey", "api_key"),), 2, 12, True, True),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), 0, 18, False, True),
-    Rule("hex", r"[0-9a-f]+", (), 0, 16, False, True),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
+    Rule("hex", r"[0-9a-f]+", 0, 16, True),
 )
 #: Kinds that the index adds, by the public formats of their issuers.
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", (("-----BEGIN",), ("PRIVATE KEY-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (("eyJ",), (".eyJ",))),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("AIza",),)),
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )
 RULES = BASE + ADDED
 #: A run of 16 hex digits is found with the bound in the expression, which matches the same runs: a run is
@@ -57,33 +55,39 @@ SHORT_CUT = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
 
 
 def _terms(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
-    return sorted({(t.lower() if r.fold else t, r.fold) for r in rules for clause in r.query() for s in clause for t in s})
+    return sorted({(t, fold) for query, fold in (r.query() for r in rules) for t in regex_query.trigrams(query)})
 
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "key", text: str = "text") -> DataFrame:
-    """The index: (term, key) for every text that holds the trigram of a term; terms are numbered by _terms."""
+    """The index: (key, term) for every text that holds the trigram of a term; terms are numbered by _terms."""
     both = texts.select(F.col(key).alias(key), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.col("low" if fold else "text").contains(t), F.lit(i)) for i, (t, fold) in enumerate(_terms(rules)))))
+    has = (F.col("low" if fold else "text").contains(t) for t, fold in _terms(rules))
+    held = F.array_compact(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(has))))
     return both.select(F.col(key), F.explode(held).alias("term"))
 
 
+def _satisfied(query: regex_query.Query, number: dict[str, int]) -> Column:
+    """Whether the terms of a text satisfy a query."""
+    if isinstance(query, str):
+        return F.array_contains("terms", number[query])
+    if query[0] == "and":
+        wanted = sorted(number[t] for t in query[1] if isinstance(t, str))
+        parts = [F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col("terms"))) == 0] if wanted else []
+        parts += [_satisfied(q, number) for q in sorted(query[1], key=str) if not isinstance(q, str)]
+        return reduce(Column.__and__, parts)
+    return reduce(Column.__or__, [_satisfied(q, number) for q in sorted(query[1], key=str)])
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "key") -> DataFrame:
     """(key, rules): a bit for each rule whose Boolean trigram query the postings of a key satisfy."""
-    number = {t: i for i, t in enumerate(_terms(rules))}
+    terms = _terms(rules)
     got = index.groupBy(key).agg(F.collect_set("term").alias("terms"))  # no longer than the terms of all rules
     bits = F.lit(0)
     for r, rule in enumerate(rules):
-        query = rule.query()
-        if not query:
-            continue
-        ok = F.lit(True)
-        for clause in query:
-            any_of = F.lit(False)
-            for string in clause:
-                wanted = sorted({number[t.lower() if rule.fold else t, rule.fold] for t in string})
-                any_of = any_of | (F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col("terms"))) == 0)
-            ok = ok & any_of
-        bits = bits + F.when(ok, 1 << r).otherwise(0)
+        query, fold = rule.query()
+        if query is not True:
+            ok = _satisfied(query, {t: i for i, (t, f) in enumerate(terms) if f == fold})
+            bits = bits + F.when(ok, 1 << r).otherwise(0)
     return got.select(key, bits.alias("rules")).where("rules > 0")
 
 
@@ -122,7 +126,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     out = []
     for r, rule in enumerate(rules):
         found = spans(F.col("text"), rule)
-        if rule.query():
+        if rule.query()[0] is not True:
             found = F.when(F.col("rules").bitwiseAND(F.lit(1 << r)) != 0, found).otherwise(none)
         else:
             found = F.when(F.col("text").rlike(SHORT_CUT.get(rule.kind, rule.pattern)), found).otherwise(none)
