@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+#: Setting that holds the key of surrogates; without it every run draws a key, and surrogates differ between runs.
+PII_KEY = "spark.patternspark.pii.key"
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    key = spark.conf.get(PII_KEY, "") or secrets.token_hex(32)
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
     return out.select("doc_id", "text", F.col("_pii_count").alias("pii_count"), F.col("_pii_kinds").alias("pii_kinds"))
 
 
@@ -63,7 +69,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.9).drop("reached")
+    return vector_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.9).drop("reached", "recall")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
