@@ -7,23 +7,25 @@ are one class and are compared once. Inverted lists of retained values find over
 * of those, sketches of up to 256 values are indexed by their rarest values only. Two sketches that must
   share m of their s values share one of the s-m+1 rarest of each, so frequent passages list nothing.
 
-Each list first compares its members with one hub, which puts most of a family of near copies into one component.
-Members that are left over are compared with others of other components only. Where both lie near their hub, the
-differences from it decide: if Dx and Dy are the shingles in which x and y differ from the hub, x and y differ in
+Each list first compares its members with one hub, which puts most of a family of near copies into one component: the
+union sketch of member and hub tells those apart that lie far from each other, and exact Jaccard on full sets decides
+the others. Members that are left over are compared with others of other components only. Where both lie near their hub,
+the differences from it decide: if Dx and Dy are the shingles in which x and y differ from the hub, x and y differ in
 |Dx| + |Dy| - 2 |Dx & Dy| shingles, so a join over these short lists finds the exact Jaccard and returns nothing but
-links. Distance is a metric, so of the others only pairs remain that both lie far from the hub; each comes up once, at
-its first common value. The union sketch of such a pair estimates its similarity, and pairs within six standard
-errors of the threshold go on to exact Jaccard on full sets.
+links; large families are dealt into blocks for it. Distance is a metric, so of the others only pairs remain that both
+lie far from the hub; each comes up once, at its first common value. The union sketch of such a pair estimates its
+similarity, and pairs within six standard errors of the threshold go on to exact Jaccard on full sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -39,6 +41,8 @@ ERRORS = 4
 BROADCAST_ROWS = 2_000_000
 #: Jaccard distance from a hub up to which differences from it are kept.
 NEAR = 0.6
+#: Members of a family in a block.
+BLOCK = 256
 NO_ID = -(1 << 63)
 
 
@@ -114,35 +118,59 @@ def _verify(percent: int):
     return run
 
 
-STAR = "a long, b long, n long, linked boolean, distance double, diff array<long>"
+STAR = "a long, b long, n long, linked boolean, low double, high double, diff array<long>"
 
 
 def _to_hub(percent: int):
-    """Members a and hubs b with their sets to the members' distances and, near the hub, differences."""
+    """Members a and hubs b with their sets to the members' distances and, near the hub, differences.
+
+    The union sketch of a pair estimates its distance first. Where that lies beyond NEAR by six standard errors, low and
+    high are the estimate less and plus as much; all other pairs go on to the exact distance, and low equals high.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, linked, distance, diffs, size = [], [], [], [], [0]
+            n, linked, low, high, diffs, size = [], [], [], [], [], [0]
             for _, a, b in _both_sets(batch):
-                both = np.concatenate([a, b])
-                both.sort()
-                twice = both[1:] == both[:-1]
-                shared = int(twice.sum())
-                union = len(both) - shared
                 n.append(len(a))
-                linked.append(100 * shared >= percent * union > 0)
-                distance.append(1 - shared / union)
-                once = np.ones(len(both), bool)
-                once[1:] &= ~twice
-                once[:-1] &= ~twice
-                diffs.append(both[once] if distance[-1] <= NEAR else both[:0])
-                size.append(size[-1] + len(diffs[-1]))
+                diff = a[:0]
+                if far := _far_apart(a, b):
+                    linked.append(False)
+                    low.append(far[0])
+                    high.append(far[1])
+                else:
+                    both = np.concatenate([a, b])
+                    both.sort()
+                    twice = both[1:] == both[:-1]
+                    shared = int(twice.sum())
+                    union = len(both) - shared
+                    linked.append(100 * shared >= percent * union > 0)
+                    low.append(1 - shared / union)
+                    high.append(low[-1])
+                    if low[-1] <= NEAR:
+                        once = np.ones(len(both), bool)
+                        once[1:] &= ~twice
+                        once[:-1] &= ~twice
+                        diff = both[once]
+                diffs.append(diff)
+                size.append(size[-1] + len(diff))
             flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), K.list_array(flat, np.array(size), pa.int64())], ["a", "b", "n", "linked", "distance", "diff"])
+            facts = ((n, pa.int64()), (linked, pa.bool_()), (low, pa.float64()), (high, pa.float64()))
+            columns = [batch.column("a"), batch.column("b"), *(pa.array(x, t) for x, t in facts)]
+            yield pa.RecordBatch.from_arrays([*columns, K.list_array(flat, np.array(size), pa.int64())], ["a", "b", "n", "linked", "low", "high", "diff"])
 
     return run
 
 
+def _far_apart(a: np.ndarray, b: np.ndarray) -> tuple[float, float] | None:
+    """Bounds of the distance of two sets whose union sketch places them beyond NEAR; None for all others."""
+    if max(len(a), len(b)) <= SKETCH:
+        return None  # the sketches are the sets
+    guess, m = union_estimate(a, b)
+    room = 6 * math.sqrt(max(guess * (1 - guess), 1 / m) / m)
+    return (1 - guess - room, min(1.0, 1 - guess + room)) if 1 - guess - room > NEAR else None
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return sets.join(pairs.select(F.col(x).alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias(x), F.col("values").alias(f"{x}_set"))
@@ -189,8 +217,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     must = F.when(F.col("n") <= int(k), F.ceil(F.col("n") * percent / F.lit(100))).otherwise(F.floor(F.least(F.lit(k - ERRORS * math.sqrt(t * (1 - t) * SKETCH)), F.lit(t) * s)))
     retained = sets.select("cid", "n", "copies", F.explode(F.slice("values", 1, SKETCH)).alias("value"))
     frequency = scratch.written(retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
-    ranked = retained.join(frequency, "value", "left").groupBy("cid", "n", "copies").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("ranked"))
-    listed = ranked.withColumn("rare", F.slice("ranked", F.lit(1), (s - must + 1).cast("int"))).select("cid", "n", "copies", F.expr("transform(filter(rare, x -> x.df > 1), x -> x.value)").alias("rare"))
+    # a value of one class alone ranks first and lists nothing: only how many there are counts
+    ranked = retained.join(frequency, "value").groupBy("cid", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked"))
+    alone = s - F.size("ranked")
+    rare = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), s - must + 1 - alone).cast("int"))
+    listed = ranked.select("cid", "n", "copies", F.transform(rare, lambda x: x["value"]).alias("rare"))
     listed = scratch.written(listed.where(F.size("rare") > 0), "listed")
     entries = listed.select("cid", "n", "copies", F.explode("rare").alias("value"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
@@ -198,27 +229,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = scratch.written(pairs, "pairs")
     star = scratch.written(_with_sets(pairs, sets).mapInArrow(K.tidied(_to_hub(percent)), STAR), "star")
+    scratch.drop(pairs)
     star_links = star.where("linked").select("a", "b")
     roots = scratch.written(components(star_links, scratch), "roots")
     rooted = lambda df, key: df.join(roots.select(F.col("node").alias(key), "root"), key, "left").withColumn("root", F.coalesce("root", key))
-    loose = star.where(~F.col("linked") & (F.col("distance") <= NEAR))
-    family = scratch.written(rooted(star.where(F.col("distance") <= NEAR).join(loose.select("b").distinct(), "b", "left_semi"), "a"), "family")
-    side = lambda x, df: df.select(F.col("b").alias(f"hub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "linked", "diff", "root")))
+    near_hub = star.where(F.col("high") <= NEAR)
+    # written, so that few hubs are known to be few and nothing is dealt by hub
+    loose_hubs = scratch.written(near_hub.where(~F.col("linked")).select("b").distinct(), "loose-hubs")
+    family = scratch.written(rooted(near_hub.join(loose_hubs, "b", "left_semi"), "a"), "family")
+    # a family is dealt into blocks, and each pair of blocks is a key of its own
+    sizes = scratch.written(family.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    blocked = family.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def side(x: str, df: DataFrame) -> DataFrame:
+        keys = ("own", "other") if x == "x" else ("other", "own")
+        named = [F.col(k).alias(f"block{i}_{x}") for i, k in enumerate(keys)]
+        return df.select(F.col("b").alias(f"hub_{x}"), *named, *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "linked", "diff", "root")))
+
     room = (F.col("n_x") + F.col("n_y")) * (100 - percent)
     apart = F.size("diff_x") + F.size("diff_y") - 2 * F.size(F.array_intersect("diff_x", "diff_y"))
-    near = side("x", family.where(~F.col("linked"))).join(
-        side("y", family),
-        (F.col("hub_x") == F.col("hub_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("linked_y") | (F.col("a_x") < F.col("a_y"))) & (F.abs(F.size("diff_x") - F.size("diff_y")) * (100 + percent) <= room) & (apart * (100 + percent) <= room),
-    )
+    same = reduce(Column.__and__, (F.col(f"{k}_x") == F.col(f"{k}_y") for k in ("hub", "block0", "block1")))
+    once = F.col("linked_y") | (F.col("a_x") < F.col("a_y"))
+    alike = F.abs(F.size("diff_x") - F.size("diff_y")) * (100 + percent) <= room
+    close = (F.col("root_x") != F.col("root_y")) & once & alike & (apart * (100 + percent) <= room)
+    near = side("x", blocked.where(~F.col("linked"))).join(side("y", blocked), same & close)
     near_links = scratch.written(near.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")), "near-links")
+    scratch.drop(family, sizes, loose_hubs)
     # both far from the hub of their list; within the threshold of each other, so not far apart in that
-    far = star.where(F.col("distance") > NEAR - (1 - t)).select(F.col("a").alias("cid"), F.col("b").alias("hub"), "distance")
+    far = star.where(F.col("high") > NEAR - (1 - t)).select(F.col("a").alias("cid"), F.col("b").alias("hub"), "low", "high")
     far_entries = entries.select("cid", "n", "value").join(hubs.select("value", "hub"), "value").join(far, ["cid", "hub"])
     joined = rooted(far_entries, "cid").join(listed.select("cid", "rare"), "cid")
-    joined = scratch.written(joined.select("cid", "n", "value", "distance", "root", "rare"), "joined")
-    left = joined.select("value", *(F.col(x).alias(f"{x}_a") for x in ("cid", "n", "rare", "root", "distance")))
-    right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root", "distance")))
-    lies = (F.greatest("distance_a", "distance_b") > NEAR) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - t + 1e-9)
+    joined = scratch.written(joined.select("cid", "n", "value", "low", "high", "root", "rare"), "joined")
+    left = joined.select("value", *(F.col(x).alias(f"{x}_a") for x in ("cid", "n", "rare", "root", "low", "high")))
+    right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root", "low", "high")))
+    step = 1 - t + 1e-9
+    lies = (F.greatest("high_a", "high_b") > NEAR) & (F.col("low_a") - F.col("high_b") <= step) & (F.col("low_b") - F.col("high_a") <= step)
     cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
     cross = scratch.written(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross")
     cross = _with_sets(cross, sets).mapInArrow(K.tidied(_verify(percent)), "a long, b long")
@@ -239,15 +285,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns: one document of each component.
 
-    Rows that repeat an id are kept or dropped together, whole repeats being dropped to one; rows with a null id
-    can't be told apart and stay.
+    Rows that repeat an id are kept or dropped together; of kept ones that are equal in all columns one stays (columns
+    that hold maps can't be compared and count by their text as JSON). Rows with a null id can't be told apart and stay.
+    Columns named _dedup_* in docs are refused. An empty table gives an empty table.
     """
+    if clash := [c for c in docs.columns if c.startswith("_dedup_")]:
+        raise ValueError(f"documents already have {clash}")
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.written(near_duplicates(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "found")
-    dropped = scratch.written(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_dropped_id")), "dropped")
-    left = docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped_id"], "left_anti")
-    many = found.where("doc_id is not null and kept and n > 1").select(F.col("doc_id").alias("_many_id"))
+    found = near_duplicates(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = scratch.written(found, "found")
+    own = docs["doc_id"].cast("long")
+    dropped = scratch.written(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_dedup_id")), "dropped")
+    left = docs.join(dropped, own == dropped["_dedup_id"], "left_anti")
+    many = found.where("doc_id is not null and kept and n > 1").select(F.col("doc_id").alias("_dedup_id"))
     if many.isEmpty():
         return left
-    is_many = left["doc_id"].cast("long") == many["_many_id"]
-    return left.join(many, is_many, "left_anti").unionByName(left.join(many, is_many, "left_semi").dropDuplicates())
+    repeated = left.join(many, own == many["_dedup_id"], "left_semi")
+    same = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    names = [f"_dedup_{i}" for i in range(len(same))]
+    one = repeated.select("*", *(x.alias(n) for x, n in zip(same, names, strict=True))).dropDuplicates(names).drop(*names)
+    return left.join(many, own == many["_dedup_id"], "left_anti").unionByName(one)
