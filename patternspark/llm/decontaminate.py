@@ -1,11 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 For every length that items have, windows of that many shingles slide over a document. A window that holds too few
-shingles of any item to reach the similarity is passed over (this loses nothing). The others get a 256-bit SimHash in
-which each shingle weighs as often as it occurs. Sixteen 16-bit blocks index the items' fingerprints: two fingerprints
-within 62 bits differ by at most 3 bits in some block. Every item is listed under all keys within 1 bit of its own, and
-a window looks up all keys within 2 bits of its own, so some lookup of some block meets. Exact weighted similarity (sum
-of smaller counts over sum of larger counts) then verifies each candidate.
+shingles of items of its length to reach the similarity is passed over (this loses nothing). The others get a 256-bit
+SimHash in which each shingle weighs as often as it occurs. Sixteen 16-bit blocks index the items' fingerprints: two
+fingerprints within 62 bits differ by at most 3 bits in some block. Every item is listed under all keys within 1 bit of
+its own, and a window looks up all keys within 2 bits of its own, so some lookup of some block meets. Exact weighted
+similarity (sum of smaller counts over sum of larger counts) then verifies each candidate.
 
 At a similarity of 0.8 a fingerprint bit differs with a chance of 0.152, 39 of 256 bits on average with a standard
 deviation of 5.7; 62 bits are four of them above.
@@ -78,8 +78,14 @@ class Items:
         self.ids = np.array(ids, np.int64)[some]
         self.start, self.end, self.h = off[some], off[some + 1], h
         self.size = self.end - self.start
-        self.vocabulary = np.unique(h)
+        self.sizes = np.unique(self.size)
+        self.vocabulary, word = np.unique(h, return_inverse=True)
+        # a bit for every shingle and size: whether an item of that size holds the shingle
+        of = np.searchsorted(self.sizes, np.repeat(self.size, self.size))
+        self.bits = np.zeros((len(self.vocabulary), len(self.sizes) // 8 + 1), np.uint8)
+        np.bitwise_or.at(self.bits, (word, of >> 3), (1 << (of & 7)).astype(np.uint8))
         self.prints = fingerprints(h, self.start, self.end)
+        self.counts = [np.unique(h[a:b], return_counts=True) for a, b in zip(self.start, self.end, strict=True)]
         self.index = []
         for b in range(BLOCKS):
             keys = (self.prints[:, b][:, None] ^ _LISTED[None, :]).ravel()
@@ -109,12 +115,29 @@ class Items:
 
     def similarity(self, h: np.ndarray, item: int) -> float:
         values, counts = np.unique(h, return_counts=True)
-        own, own_counts = np.unique(self.h[self.start[item] : self.end[item]], return_counts=True)
+        own, own_counts = self.counts[item]
         at = np.searchsorted(own, values)
         ok = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == values)
         shared = int(np.minimum(counts[ok], own_counts[at[ok]]).sum())
         return shared / (len(h) + int(own_counts.sum()) - shared)
 
+    def _windows(self, k: int, found: np.ndarray, off: np.ndarray, spot: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and sizes of the windows of the k-th size that hold enough shingles of items of that size.
+
+        found: places of shingles of any item; spot: their places in the vocabulary; off: where documents begin.
+        """
+        size = int(self.sizes[k])
+        mine = found[(self.bits[spot, k >> 3] >> (k & 7) & 1).astype(bool)]
+        docs = np.unique(np.searchsorted(off, mine, "right") - 1)
+        windows = np.maximum(off[docs + 1] - off[docs] - size + 1, 1)
+        first = np.concatenate([[0], np.cumsum(windows)])
+        starts = np.arange(first[-1]) - np.repeat(first[:-1], windows) + np.repeat(off[docs], windows)
+        ends = np.minimum(starts + size, np.repeat(off[docs + 1], windows))
+        held = np.searchsorted(mine, ends) - np.searchsorted(mine, starts)
+        # shared / (window + item - shared) reaches the similarity only with so many shared
+        full = held * (1 + least) >= least * (ends - starts + size) - 1e-9
+        return starts[full], ends[full], np.full(int(full.sum()), size)
+
     def matches(self, raw: np.ndarray, offs: np.ndarray, shingle: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, item, first word, words, similarity), the best window of each pair, of a chunk."""
         words = K.Words(raw, offs)
@@ -122,31 +145,21 @@ class Items:
         if not len(h) or not len(self.vocabulary):
             return
         spot = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        hit = self.vocabulary[spot] == h
-        if not hit.any():
+        found = np.flatnonzero(self.vocabulary[spot] == h)
+        if not len(found):
             return
         off = np.searchsorted(doc, np.arange(len(offs)))
-        before = np.concatenate([[0], np.cumsum(hit)])
-        touched = np.unique(doc[hit])
-        n_doc = (off[1:] - off[:-1])[touched]
+        windows = [self._windows(k, found, off, spot[found], least) for k in range(len(self.sizes))]
+        starts, ends, sizes = (np.concatenate(x) for x in zip(*windows, strict=True))
+        w, i = self.near(fingerprints(h, starts, ends))
+        same = self.size[i] == sizes[w]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for size in np.unique(self.size):
-            windows = np.maximum(n_doc - size + 1, 1)
-            first = np.concatenate([[0], np.cumsum(windows)])
-            starts = np.arange(first[-1]) - np.repeat(first[:-1], windows) + np.repeat(off[touched], windows)
-            ends = np.minimum(starts + size, np.repeat(off[touched + 1], windows))
-            full = before[ends] - before[starts] >= least * size
-            starts, ends = starts[full], ends[full]
-            if not len(starts):
-                continue
-            w, i = self.near(fingerprints(h, starts, ends))
-            same = self.size[i] == size
-            for a, item in zip(w[same].tolist(), i[same].tolist(), strict=True):
-                score = self.similarity(h[starts[a] : ends[a]], item)
-                key = (int(doc[starts[a]]), item)
-                if score >= least and score > best.get(key, (0.0,))[0]:
-                    n_words = int(min(at[ends[a] - 1] + shingle, words.off[key[0] + 1]) - at[starts[a]])
-                    best[key] = (score, int(at[starts[a]] - words.off[key[0]]), n_words)
+        for a, item in zip(w[same].tolist(), i[same].tolist(), strict=True):
+            score = self.similarity(h[starts[a] : ends[a]], item)
+            key = (int(doc[starts[a]]), item)
+            if score >= least and score > best.get(key, (0.0,))[0]:
+                n_words = int(min(at[ends[a] - 1] + shingle, words.off[key[0] + 1]) - at[starts[a]])
+                best[key] = (score, int(at[starts[a]] - words.off[key[0]]), n_words)
         for (d, item), (score, word, n) in sorted(best.items()):
             yield d, item, word, n, score
 
