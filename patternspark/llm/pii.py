@@ -303,8 +303,10 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     plain = lambda x: F.when(F.col("kind") == "name", F.lower(F.substring_index(x, "|", -1))).otherwise(F.col(x))
     real = entities.select("kind", plain("norm").alias("met")).distinct().withColumn("real", F.lit(True))
     now = entities.withColumn("attempt", F.lit(0))
+    # draws cost far more than their bytes tell, so the number of tasks is given
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(MOST_ROUNDS):
-        keyed = now.withColumn("stream", stream_of(F.col("kind"), F.col("norm"), key, F.col("attempt")))
+        keyed = now.repartition(tasks, "kind", "norm").withColumn("stream", stream_of(F.col("kind"), F.col("norm"), key, F.col("attempt")))
         new = surrogate(F.col("kind"), F.col("norm"), F.col("stream"), F.col("attempt"))
         drawn = keyed.select("kind", "norm", "attempt", new.alias("new")).withColumn("met", plain("new"))
         drawn = scratch.written(drawn, "drawn")
