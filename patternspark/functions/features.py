@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .places import place, quantile_bucket
+
 DOC_NUMERIC = ("letter_ratio", "punct_ratio", "digit_ratio", "n_words", "n_lines", "n_chars")
 
 
@@ -21,11 +23,31 @@ def doc_features(spark: SparkSession, sf_dir: str, label: str = "quality") -> Da
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), F.col(label).cast("int").alias("label"), *cols, F.col("n_chars").cast("double").alias("n_chars"), "lang")
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with its last column as `label` (a whole number), and the names of the others, its features."""
+    *features, label = df.columns
+    return df.select(*features, F.col(label).cast("int").alias("label")), features
+
+
+def profile(df: DataFrame, label: str = "label") -> DataFrame:
+    """label, n, share of every class, with the table's rows, its number of columns and their names."""
+    n = df.groupBy(label).agg(F.count("*").alias("n"))
+    whole = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    said = (F.lit(len(df.columns)).alias("n_columns"), F.lit(", ".join(df.columns)).alias("columns"))
+    share = F.round(F.col("n") / F.col("n_rows"), 9).alias("share")
+    return n.crossJoin(F.broadcast(whole)).select(F.col(label).alias("label"), "n", share, "n_rows", *said)  # one row
+
+
 def trim_all(df: DataFrame) -> DataFrame:
     """Strip white space on both sides of every string column."""
     return df.withColumns({c: F.regexp_replace(c, r"^\s+|\s+$", "") for c, t in df.dtypes if t == "string"})
 
 
+def replace_cells(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Cells of string columns that are exactly a key of pairs get its value, in the whole table."""
+    return df.replace(pairs, subset=[c for c, t in df.dtypes if t == "string"])
+
+
 def map_values(column: Column, pairs: dict, otherwise: Column | None = None) -> Column:
     out = F.lit(None)
     for k, v in pairs.items():
@@ -33,20 +55,34 @@ def map_values(column: Column, pairs: dict, otherwise: Column | None = None) ->
     return F.coalesce(out, otherwise) if otherwise is not None else out
 
 
+def map_target(column: Column, pairs: dict[str, int]) -> Column:
+    """A label by its name; any other value, null too, fails the query."""
+    said = F.concat(F.lit("label is not mapped: "), F.coalesce(column.cast("string"), F.lit("null")))
+    return F.coalesce(map_values(column, pairs), F.raise_error(said).cast("int"))
+
+
+#: Pairs of values that are encoded as 1 and 0.
+BINARY = (("Yes", "No"), ("Male", "Female"))
+
+
 def binary_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Yes/No or Male/Female columns as 1/0; others stay."""
-    for c in columns:
-        kinds = df.agg(F.array_sort(F.collect_set(c)).alias("k")).first()["k"][:3]
-        for one, zero in (("Yes", "No"), ("Male", "Female")):
-            if kinds and set(kinds) <= {one, zero}:
+    """Columns of nothing but Yes and No, or Male and Female (and nulls), as 1 and 0; others stay. One pass tells which."""
+    if not columns:
+        return df
+    only = lambda c, pair: F.bool_and(F.col(c).isin(*pair))  # noqa: E731  null where a column holds nulls only
+    told = df.agg(*(only(c, p).alias(f"{i}_{k}") for i, c in enumerate(columns) for k, p in enumerate(BINARY))).first()
+    for i, c in enumerate(columns):
+        for k, (one, zero) in enumerate(BINARY):
+            if told[f"{i}_{k}"]:
                 df = df.withColumn(c, map_values(F.col(c), {one: 1, zero: 0}))
+                break
     return df
 
 
 def factorize(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
     """Adds <column>_code: values numbered by first appearance, null -1."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first"))
-    codes = first.withColumn("_code", F.row_number().over(Window.orderBy("_first", column)) - 1).drop("_first")
+    codes = place(quantile_bucket(first, "_first"), [], [F.col("_first"), F.col(column)], "_code").drop("_first", "_code_of")
     return df.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_code")
 
 

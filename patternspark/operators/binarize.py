@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
@@ -29,6 +29,7 @@ class Cut:
     feature: str
     threshold: float | None = None
     members: tuple = ()
+    gain: float | None = None
 
     def test(self) -> Column:
         x = F.col(self.feature)
@@ -54,24 +55,30 @@ def gain(pl: Column, nl: Column, pr: Column, nr: Column) -> Column:
     return diff * diff / (n * n * nl * nr)
 
 
-def prefix_sums(hist: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+def prefix_sums(hist: DataFrame, by: list[str], sums: list[str], ranges: int = RANGES) -> DataFrame:
     """Adds next_x, the following value of x, lo and hi, its range, and for every column in sums l_<column>, its sum up
     to x, and t_<column>.
 
     The values of a group are cut into ranges at approximate quantiles; running sums inside a range and the sums of
     the ranges before it are exact wherever the cuts fall, so no task holds all values of a group.
     """
-    quantiles = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, 1000)).alias("_splits"))  # a row a group
-    placed = hist.join(F.broadcast(splits), by).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("x")))).drop("_splits")
-    ranges = placed.groupBy(*by, "_range").agg(F.min("x").alias("_first"), F.max("x").alias("_last"), *(F.sum(c).alias(f"_{c}") for c in sums))
+    quantiles = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    # a row a group
+    splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, 1000)).alias("_splits"))
+    at = F.size(F.filter("_splits", lambda s: s < F.col("x")))
+    placed = hist.join(F.broadcast(splits), by).withColumn("_range", at).drop("_splits")
+    ends = (F.min("x").alias("_first"), F.max("x").alias("_last"))
+    parts = placed.groupBy(*by, "_range").agg(*ends, *(F.sum(c).alias(f"_{c}") for c in sums))
     w = Window.partitionBy(*by)
     order = w.orderBy("_range")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(*by, "_range", F.lead("_first").over(order).alias("_next"), F.min("_first").over(w).alias("lo"), F.max("_last").over(w).alias("hi"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_{c}").over(w).alias(f"t_{c}") for c in sums))
+    own = [F.lead("_first").over(order).alias("_next"), F.min("_first").over(w).alias("lo"), F.max("_last").over(w).alias("hi")]
+    own += [F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums]
+    own += [F.sum(f"_{c}").over(w).alias(f"t_{c}") for c in sums]
+    starts = parts.select(*by, "_range", *own)
     inside = Window.partitionBy(*by, "_range").orderBy("x")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # RANGES rows a group
+    # `ranges` rows a group
     out = placed.join(F.broadcast(starts), [*by, "_range"]).withColumn("next_x", F.coalesce(F.lead("x").over(inside), "_next"))
     out = out.withColumns({f"l_{c}": F.sum(c).over(upto) + F.col(f"_b_{c}") for c in sums})
     return out.drop("_range", "_next", *(f"_b_{c}" for c in sums))
@@ -158,31 +165,41 @@ def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: in
     add = lambda f: F.aggregate("own", F.lit(0).cast("long"), lambda a, v: a + v[f])
     out = own.withColumn("nl", add("n")).withColumn("pl", add("pos"))
     out = out.withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("n") - F.col("nl")))
-    return out.where((F.col("nl") >= min_support) & (F.col("n") - F.col("nl") >= min_support) & (F.col("gain") > 0)).select(F.array_join(F.transform("own", lambda v: v["v"]), ",").alias("members"), "nl", "gain")
+    held = out.where((F.col("nl") >= min_support) & (F.col("n") - F.col("nl") >= min_support) & (F.col("gain") > 0))
+    return held.select(F.array_join(F.transform("own", lambda v: v["v"]), ",").alias("members"), "nl", "gain")
 
 
-def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, least_fall: float = 0.0) -> DataFrame:
+def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, least_fall: float = 0.0, places: int = 10) -> DataFrame:
     """feature, t: thresholds of a one-column tree with balanced classes, grown level by level by prefix sums.
 
-    A node is an interval of values; each level splits every interval at its best weighted Gini gain.
+    A node is an interval of values; each level splits every interval at its best weighted Gini gain. Sums are of whole
+    numbers and weighed at the end, so equal splits tie exactly. places: decimals that thresholds are rounded to.
     """
     totals = hist.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
-    w1 = F.when(F.col("tp") > 0, F.pow(F.col("tn") / (2 * F.col("tp")), 2)).otherwise(0.0)
-    w0 = F.when(F.col("tn") > F.col("tp"), F.pow(F.col("tn") / (2 * (F.col("tn") - F.col("tp"))), 2)).otherwise(0.0)
-    nodes = hist.join(F.broadcast(totals), "feature").select("feature", "x", "n", (F.col("pos") * w1).alias("a"), ((F.col("n") - F.col("pos")) * w0).alias("b"), (F.col("tp") * w1 + (F.col("tn") - F.col("tp")) * w0).alias("weight"), F.lit(1).cast("long").alias("node"))
+    twice = lambda n: F.col("tn") / (2 * n)  # noqa: E731  each class weighs this squared
+    squared = lambda n: F.when(n > 0, twice(n) * twice(n)).otherwise(0.0)
+    totals = totals.select("feature", squared(F.col("tp")).alias("w1"), squared(F.col("tn") - F.col("tp")).alias("w0"), "tn", "tp")
+    nodes = hist.select("feature", "x", "n", "pos", F.lit(1).cast("long").alias("node"))
     found = None
-    impurity = lambda a, b: F.when(a + b > 0, a * b / (a + b)).otherwise(0.0)
+
+    def impurity(n: Column, pos: Column) -> Column:
+        a, b = pos * F.col("w1"), (n - pos) * F.col("w0")
+        return F.when(a + b > 0, a * b / (a + b)).otherwise(0.0)
+
+    left, whole = (F.col("l_n"), F.col("l_pos")), (F.col("t_n"), F.col("t_pos"))
+    right = (whole[0] - left[0], whole[1] - left[1])
+    least = F.greatest(F.lit(1e-9), least_fall * (F.col("tp") * F.col("w1") + (F.col("tn") - F.col("tp")) * F.col("w0")) / 2)
     for _ in range(max_depth):
-        c = prefix_sums(nodes, ["feature", "node"], ["n", "a", "b"])
-        fall = impurity(F.col("t_a"), F.col("t_b")) - impurity(F.col("l_a"), F.col("l_b")) - impurity(F.col("t_a") - F.col("l_a"), F.col("t_b") - F.col("l_b"))
-        c = c.withColumn("fall", fall).withColumn("t", (F.col("x") + F.col("next_x")) / 2)
-        ok = c.where(F.col("t").isNotNull() & (F.col("l_n") >= min_leaf) & (F.col("t_n") - F.col("l_n") >= min_leaf) & (F.col("fall") > 1e-9))
-        if least_fall > 0:  # as a share of the feature's weight
-            ok = ok.join(F.broadcast(nodes.groupBy("feature").agg(F.first("weight").alias("whole"))), "feature").where(2 * F.col("fall") / F.col("whole") >= least_fall)
+        c = prefix_sums(nodes, ["feature", "node"], ["n", "pos"]).join(F.broadcast(totals), "feature")  # a row a feature
+        c = c.withColumn("fall", impurity(*whole) - impurity(*left) - impurity(*right))
+        c = c.withColumn("t", (F.col("x") + F.col("next_x")) / 2).where("t is not null")
+        ok = c.where((left[0] >= min_leaf) & (right[0] >= min_leaf) & (F.col("fall") > 1e-9) & (F.col("fall") >= least))
         best = cut(ok.groupBy("feature", "node").agg(F.max_by("t", F.struct("fall", -F.col("t"))).alias("t")))
-        nodes = cut(nodes.join(F.broadcast(best), ["feature", "node"])).withColumn("node", F.col("node") * 2 + (F.col("x") > F.col("t")).cast("long")).drop("t")  # at most 2^depth rows a feature
+        # at most 2^depth rows a feature
+        lower = F.col("node") * 2 + (F.col("x") > F.col("t")).cast("long")
+        nodes = cut(nodes.join(F.broadcast(best), ["feature", "node"]).withColumn("node", lower).drop("t"))
         found = best.select("feature", "t") if found is None else found.unionByName(best.select("feature", "t"))
-    return found.select("feature", F.round("t", 10).alias("t")).distinct()
+    return found.select("feature", F.round("t", places).alias("t")).distinct()
 
 
 def measure(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -198,13 +215,16 @@ def measure(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
     return c.select("feature", "t", "nl", "nr", "gain", "lo", "hi")
 
 
-def tree_cuts(hist: DataFrame, mode: str = "dense", max_depth: int = 8, min_leaf: int = 5, min_support: int = 5, top_k: int = 20, apart: float = 0.02, edge: float = 0.0, least_fall: float = 0.0) -> DataFrame:
+def tree_cuts(
+    hist: DataFrame, mode: str = "dense", max_depth: int = 8, min_leaf: int = 5, min_support: int = 5, top_k: int = 20,
+    apart: float = 0.02, edge: float = 0.0, least_fall: float = 0.0, places: int = 10,
+) -> DataFrame:
     """feature, t, nl, nr, gain, lo, hi of a tree's thresholds with support on both sides, by mode.
 
     edge: thresholds within this share of the range of either end go (the first variant of the operator takes
-    mode two, depth 5, leaves and support of 15, edge 0.05, apart 0.12 and least_fall 0.005).
+    mode two, depth 5, leaves and support of 15, edge 0.05, apart 0.12, least_fall 0.005 and 8 places).
     """
-    c = measure(hist, tree_thresholds(hist, max_depth, min_leaf, least_fall)).where((F.col("nl") >= min_support) & (F.col("nr") >= min_support))
+    c = measure(hist, tree_thresholds(hist, max_depth, min_leaf, least_fall, places)).where((F.col("nl") >= min_support) & (F.col("nr") >= min_support))
     if edge > 0:
         margin = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8)) * edge
         c = c.where((F.col("t") > F.col("lo") + margin) & (F.col("t") < F.col("hi") - margin))
@@ -225,13 +245,16 @@ def distinct_cuts(df: DataFrame, cuts: list[Cut]) -> list[Cut]:
     repeated = lambda i: -F.shiftright(f"w{i // WORD}", i % WORD).bitwiseAND(F.lit(1)).cast("long")
     apart = rows.agg(*(F.bit_or(F.col(f"w{k}").bitwiseXOR(repeated(i))).alias(f"c{i}_{k}") for i in range(len(cuts)) for k in words if k >= i // WORD)).first()
     kept = [c for j, c in enumerate(cuts) if all((apart[f"c{i}_{j // WORD}"] or 0) >> j % WORD & 1 for i in range(j))]
-    return [Cut(i, c.feature, c.threshold, c.members) for i, c in enumerate(kept)]
+    return [Cut(i, c.feature, c.threshold, c.members, c.gain) for i, c in enumerate(kept)]
 
 
-def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5, fraction: float = 0.02, max_group: int = 3, most_cuts: int = WORD, tree: dict | None = None) -> list[Cut]:
+def fit(
+    df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str = "greedy", top_k: int = 20, min_support: int = 5,
+    fraction: float = 0.02, max_group: int = 3, tree: dict | None = None,
+) -> list[Cut]:
     """Cuts in id order: numeric features, then categorical ones; equal columns keep the lowest id.
 
-    More than most_cuts distinct ones are refused. tree: arguments of tree_cuts, whose thresholds then replace the candidates of all midpoints.
+    tree: arguments of tree_cuts, whose thresholds then replace the candidates of all midpoints.
     """
     hist = histogram(df, numeric)
     if tree is None:
@@ -244,11 +267,9 @@ def fit(df: DataFrame, numeric: list[str], categoric: list[str] = (), mode: str
     cuts = [(r["feature"], r["t"], (), r["gain"]) for r in sorted(got, key=lambda r: (place[r["feature"]], r["t"]))]
     for f in categoric:
         best = choose_members(categorical(df, f, max_group, min_support), mode, top_k).collect()
-        cuts += [(f, None, tuple(r["members"].split(",")), r["gain"]) for r in sorted(best, key=lambda r: (r["gain"], r["members"]))]
-    distinct = distinct_cuts(df, [Cut(i, f, t, m) for i, (f, t, m, _) in enumerate(cuts)])
-    if len(distinct) > most_cuts:
-        raise ValueError(f"{len(distinct)} cuts, and at most {most_cuts} fit a word: take a smaller top_k, another mode or fewer features")
-    return distinct
+        made = sorted(best, key=lambda r: (r["gain"], r["members"]))
+        cuts += [(f, None, tuple(r["members"].split(",")), r["gain"]) for r in made]
+    return distinct_cuts(df, [Cut(i, f, t, m, g) for i, (f, t, m, g) in enumerate(cuts)])
 
 
 def _word(cuts: list[Cut]) -> Column:
@@ -258,8 +279,27 @@ def _word(cuts: list[Cut]) -> Column:
     return bits.cast("long")
 
 
+def words(cuts: list[Cut]) -> Column:
+    """The bits of any number of cuts, WORD of them in a word."""
+    return F.array(*(_word(cuts[a : a + WORD]) for a in range(0, max(len(cuts), 1), WORD)))
+
+
 def transform(df: DataFrame, cuts: list[Cut]) -> DataFrame:
-    """row_id, label, bits: one bit for each cut, never null."""
-    if len(cuts) > WORD:
-        raise ValueError(f"at most {WORD} cuts fit a word")
-    return df.select("row_id", "label", _word(cuts).alias("bits"))
+    """row_id, label and one bit for each cut, never null: as `bits`, or as `words` where they don't fit one word."""
+    packed = _word(cuts).alias("bits") if len(cuts) <= WORD else words(cuts).alias("words")
+    return df.select("row_id", "label", packed)
+
+
+CUTS = "cut_id int, feature string, kind string, threshold double, members array<string>, gain double, readable string"
+
+
+def cuts_frame(spark: SparkSession, cuts: list[Cut]) -> DataFrame:
+    """Cuts as a table, which store.save() keeps and cuts_of() reads."""
+    kind = lambda c: "categorical" if c.members else "numeric"
+    rows = [(c.cut_id, c.feature, kind(c), c.threshold, list(c.members) or None, c.gain, c.readable()) for c in cuts]
+    return spark.createDataFrame(rows, CUTS)
+
+
+def cuts_of(frame: DataFrame) -> list[Cut]:
+    rows = sorted(frame.collect(), key=lambda r: r["cut_id"])  # a model's cuts
+    return [Cut(r["cut_id"], r["feature"], r["threshold"], tuple(r["members"] or ()), r["gain"]) for r in rows]

@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+WORD = 62
+
+
+def masked(rows: DataFrame, mask: int | None = None) -> Column:
+    """The bits of a mask, or all: a number, or an array of words where cuts don't fit one word."""
+    if "words" not in rows.columns:
+        return F.col("bits") if mask is None else F.col("bits").bitwiseAND(F.lit(mask))
+    if mask is None:
+        return F.col("words")
+    parts = [mask >> a & (1 << WORD) - 1 for a in range(0, max(mask.bit_length(), 1), WORD)]
+    return F.array(*(F.get("words", F.lit(k)).bitwiseAND(F.lit(m)) for k, m in enumerate(parts)))
+
+
 def pattern_table(rows: DataFrame, mask: int | None = None) -> DataFrame:
-    """bits, n0, n1, first0, first1 of every distinct pattern (of the masked bits)."""
-    bits = F.col("bits") if mask is None else F.col("bits").bitwiseAND(F.lit(mask))
-    one = F.col("label") == 1
-    return rows.groupBy(bits.alias("bits")).agg(F.count_if(~one).alias("n0"), F.count_if(one).alias("n1"), F.min(F.when(~one, F.col("row_id"))).alias("first0"), F.min(F.when(one, F.col("row_id"))).alias("first1"))
+    """bits (or words), n0, n1, first0, first1 of every distinct pattern (of the masked bits)."""
+    one, name = F.col("label") == 1, "words" if "words" in rows.columns else "bits"
+    counts = (F.count_if(~one).alias("n0"), F.count_if(one).alias("n1"))
+    first = (F.min(F.when(~one, F.col("row_id"))).alias("first0"), F.min(F.when(one, F.col("row_id"))).alias("first1"))
+    return rows.groupBy(masked(rows, mask).alias(name)).agg(*counts, *first)
 
 
 def lad_score(patterns: DataFrame, class_weight: float = 1.0) -> DataFrame:
@@ -30,14 +44,16 @@ def majority() -> Column:
 
 def remove_conflicts(rows: DataFrame, mask: int | None = None) -> DataFrame:
     """Rows whose label is their pattern's majority."""
-    key = F.col("bits") if mask is None else F.col("bits").bitwiseAND(F.lit(mask))
-    keep = pattern_table(rows, mask).select(F.col("bits").alias("_bits"), majority().alias("_label"))
-    return rows.join(keep, (key == F.col("_bits")) & (F.col("label") == F.col("_label")), "left_semi")
+    patterns = pattern_table(rows, mask)
+    keep = patterns.select(F.col(patterns.columns[0]).alias("_bits"), majority().alias("_label"))
+    return rows.join(keep, (masked(rows, mask) == F.col("_bits")) & (F.col("label") == F.col("_label")), "left_semi")
 
 
 def mutual_information(patterns: DataFrame, n_cuts: int) -> DataFrame:
     """cut_id, mi (nats) of every bit with the label."""
-    one = patterns.select("n0", "n1", F.posexplode(F.expr(f"transform(sequence(0, {n_cuts - 1}), i -> shiftright(bits, i) & 1)")).alias("cut_id", "v"))
+    bit = f"get(words, i div {WORD}), i % {WORD}" if "words" in patterns.columns else "bits, i"
+    values = F.expr(f"transform(sequence(0, {n_cuts - 1}), i -> shiftright({bit}) & 1)")
+    one = patterns.select("n0", "n1", F.posexplode(values).alias("cut_id", "v"))
     t = one.groupBy("cut_id").agg(*(F.sum(F.when(F.col("v") == v, F.col(f"n{c}")).otherwise(0)).alias(f"n{v}{c}") for v in (0, 1) for c in (0, 1)))
     n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
 

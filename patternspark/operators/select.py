@@ -27,31 +27,40 @@ class Patterns:
 
     def __init__(self, rows: DataFrame, class_weight: float = 1.0):
         self.rows, self.weight, self.memo = rows, Fraction(class_weight).limit_denominator(1000), {}
-        got = S.pattern_table(rows).select("bits", "n0", "n1").limit(MOST_PATTERNS + 1).collect()
-        self.table = np.array([tuple(r) for r in got], np.int64).reshape(-1, 3) if len(got) <= MOST_PATTERNS else None
+        key = "words" if "words" in rows.columns else "bits"
+        got = S.pattern_table(rows).select(key, "n0", "n1").limit(MOST_PATTERNS + 1).collect()
+        self.words = None
+        if len(got) <= MOST_PATTERNS:
+            self.words = np.array([r[0] if key == "words" else [r[0]] for r in got], np.int64).reshape(len(got), -1)
+            self.n = np.array([tuple(r)[1:] for r in got], np.int64).reshape(-1, 2)
         self.columns: dict[int, np.ndarray] = {}
 
+    def _column(self, i: int) -> np.ndarray:
+        if i not in self.columns:
+            self.columns[i] = self.words[:, i // S.WORD] >> i % S.WORD & 1
+        return self.columns[i]
+
     def _groups(self, mask: int) -> tuple[np.ndarray, np.ndarray]:
         """Class counts of the patterns that the cuts of a mask make."""
-        bits, n0, n1 = self.table.T
-        if mask.bit_count() <= DIRECT:
-            group = np.zeros(len(bits), np.int64)
-            for j, i in enumerate(i for i in range(mask.bit_length()) if mask >> i & 1):
-                if i not in self.columns:
-                    self.columns[i] = bits >> i & 1
-                group += self.columns[i] << j
-        else:
-            group = np.unique(bits & mask, return_inverse=True)[1]
+        group = np.zeros(len(self.n), np.int64)
+        for j, i in enumerate(i for i in range(mask.bit_length()) if mask >> i & 1):
+            if j and j % DIRECT == 0:  # few enough groups again
+                group = np.unique(group, return_inverse=True)[1] << DIRECT
+            group += self._column(i) << j % DIRECT
+        if mask.bit_count() > DIRECT:
+            group = np.unique(group, return_inverse=True)[1]
         out = np.zeros((2, int(group.max(initial=0)) + 1), np.int64)
-        for k, n in enumerate((n0, n1)):
+        for k, n in enumerate(self.n.T):
             # sums of integers in doubles are exact below 2^53, which counts of rows don't reach
             out[k] = np.bincount(group, n, out.shape[1])
         return out[0], out[1]
 
     def score(self, mask: int) -> tuple[Fraction, bool]:
         if mask not in self.memo:
-            if self.table is None:
-                rows = S.pattern_table(self.rows, mask).groupBy("n0", "n1").count().selectExpr("n0 * count as n0", "n1 * count as n1").collect()
+            if self.words is None:
+                # of equal counts one row: as many as there are different counts
+                rows = S.pattern_table(self.rows, mask).groupBy("n0", "n1").count()
+                rows = rows.selectExpr("n0 * count as n0", "n1 * count as n1").collect()
                 n0, n1 = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2).T
             else:
                 n0, n1 = self._groups(mask)

@@ -8,7 +8,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import binarize, lazy, metrics, mine, predict, score, select, split
@@ -34,6 +34,11 @@ class Config:
     class_weight: float = 1.0
     miner_args: dict = field(default_factory=dict)
     min_coverage: int | None = None  # support of the overlapping rules that the other classifiers vote with
+    vote_threshold: float = 0.5  # share of the weight that label 1 needs in the soft vote
+    partial_mode: str = "overlap_times_weight"  # of the best match where no rule fires
+    min_weight: float = predict.MIN_WEIGHT  # of rules that may match in part
+    lazy_purity: float = 0.75
+    lazy_support: int = 3
 
 
 @dataclass
@@ -42,11 +47,32 @@ class Model:
     subset: list
     rules: list
     order: list
-    train: DataFrame
+    train: DataFrame | None
     voting: list = field(default_factory=list)
+    config: Config = field(default_factory=Config)
+
+    def selected(self) -> list:
+        return [self.cuts[i] for i in self.subset]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return binarize.transform(df, [self.cuts[i] for i in self.subset])
+        return binarize.transform(df, self.selected())
+
+    def names(self) -> list[str]:
+        return [c.readable() for c in self.selected()]
+
+
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """The selected cuts, the rules and the voting rules of a model, as tables in a folder."""
+    store.save(binarize.cuts_frame(spark, model.selected()), f"{path}/cuts")
+    store.save(mine.rules_frame(spark, model.rules), f"{path}/rules")
+    store.save(mine.rules_frame(spark, model.voting), f"{path}/voting")
+
+
+def load_model(spark: SparkSession, path: str, config: Config | None = None) -> Model:
+    """A stored model, ready to be applied to raw rows."""
+    cuts = sorted(binarize.cuts_of(store.load(spark, f"{path}/cuts")), key=lambda c: c.cut_id)
+    rules, voting = (mine.rules_of(store.load(spark, f"{path}/{x}")) for x in ("rules", "voting"))
+    return Model(cuts, list(range(len(cuts))), rules, [], None, voting, config or Config())
 
 
 def choose_features(rows: DataFrame, n: int, c: Config) -> list[int]:
@@ -74,54 +100,77 @@ def fit(train: DataFrame, c: Config, reuse: dict | None = None) -> Model:
         return reuse[name][1]
 
     first = repr((c.numeric, c.categoric, c.mode, c.top_k, c.min_support, c.fraction, c.max_group, c.tree))
-    cuts = stage("cuts", (first,), lambda: binarize.fit(train, list(c.numeric), list(c.categoric), c.mode, c.top_k, c.min_support, c.fraction, c.max_group, tree=c.tree))
+    rest = (c.mode, c.top_k, c.min_support, c.fraction, c.max_group)
+    cuts = stage("cuts", (first,), lambda: binarize.fit(train, list(c.numeric), list(c.categoric), *rest, tree=c.tree))
     if not cuts:
         raise RuntimeError("no feature tells the classes apart")
     second = (first, c.selector, c.h_weight, c.expansions, c.class_weight)
-    subset = stage("subset", second, lambda: choose_features(binarize.transform(train, cuts), len(cuts), c))
-    packed = binarize.transform(train, [cuts[i] for i in subset])
-    clean = score.remove_conflicts(packed)
+    bits = stage("bits", (first,), lambda: store.cut(binarize.transform(train, cuts)))
+    subset = stage("subset", second, lambda: choose_features(bits, len(cuts), c))
+    if len(subset) > score.WORD:
+        raise ValueError(f"{len(subset)} cuts were selected, and rules are over at most {score.WORD}: set a smaller budget")
+    clean = stage("clean", second, lambda: store.cut(score.remove_conflicts(binarize.transform(train, [cuts[i] for i in subset]))))
     if c.miner == "lazy":
-        w = {r["cut_id"]: r["weight"] for r in lazy.weights(score.pattern_table(clean), len(subset)).collect()}
-        return Model(cuts, subset, [], sorted(w, key=lambda i: (-w[i], -i)), clean)
+        w = {r["cut_id"]: r["weight"] for r in lazy.weights(score.pattern_table(clean), len(subset), c.lazy_support).collect()}
+        return Model(cuts, subset, [], sorted(w, key=lambda i: (-w[i], -i)), clean, config=c)
     table = stage("table", second, lambda: mine.Table.of(clean, len(subset)))
     rules = mine.miner(c.miner, **{"purity": c.purity, "threshold": c.threshold, **c.miner_args})(table)
     voting = [] if c.min_coverage is None else mine.voting_rules(table, c.purity, c.threshold, c.min_coverage)
-    return Model(cuts, subset, rules, [], clean, voting)
+    return Model(cuts, subset, rules, [], clean, voting, c)
 
 
-def predict_with(model: Model, df: DataFrame, classifier: str = "best_match") -> DataFrame:
-    rows = model.apply(df)
-    if classifier == "lazy":
-        return lazy.predict(model.train, rows, model.order)
+def _rule_tables(model: Model, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
     if not model.rules:
         raise RuntimeError("no rules")
-    rules = mine.rules_frame(df.sparkSession, model.voting if model.voting and classifier != "best_match" else model.rules)
-    kinds = {"best_match": predict.best_match, "soft_vote": predict.soft_vote, "assume_healthy": lambda a, b: predict.assume(a, b, 0), "assume_sick": lambda a, b: predict.assume(a, b, 1)}
-    return kinds[classifier](rows, rules)
+    return mine.rules_frame(spark, model.rules), mine.rules_frame(spark, model.voting) if model.voting else None
+
+
+def predict_with(model: Model, df: DataFrame, classifier: str = "best_match") -> DataFrame:
+    """Predictions of rows by one classifier, with the model's settings."""
+    rows, c = model.apply(df), model.config
+    if classifier == "lazy":
+        return lazy.predict(model.train, rows, model.order, c.lazy_purity, c.lazy_support, model.names())
+    if classifier not in CLASSIFIERS:
+        raise ValueError(f"unknown classifier {classifier}")
+    rules, voting = _rule_tables(model, df.sparkSession)
+    if classifier == "best_match":
+        return predict.best_match(rows, rules, c.partial_mode, c.min_weight)
+    votes = rules if voting is None else voting
+    if classifier == "soft_vote":
+        return predict.soft_vote(rows, votes, c.vote_threshold, c.min_weight)
+    return predict.assume(rows, votes, int(classifier == "assume_sick"))
 
 
-CLASSIFIERS = ("best_match", "soft_vote", "assume_healthy", "assume_sick")
+CLASSIFIERS = predict.CLASSIFIERS
+
+
+def classified(model: Model, df: DataFrame) -> DataFrame:
+    """bits, label, n, classifier, pred, conf: all four classifiers on the distinct patterns of rows.
+
+    Predictions depend on the pattern alone, so what rules are matched against doesn't grow with the rows.
+    """
+    c, (rules, voting) = model.config, _rule_tables(model, df.sparkSession)
+    patterns = model.apply(df).groupBy("bits", "label").agg(F.count("*").alias("n"))
+    return predict.classify(patterns, rules, voting, c.vote_threshold, c.partial_mode, c.min_weight)
 
 
 def compare(model: Model, df: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Metrics of the four rule classifiers, one row each; with train also its accuracy and the gap.
+    """Metrics and area of the four rule classifiers, one row each; with train also its accuracy and the gap.
 
     The last three vote with the overlapping rules where the model has them.
     """
-    out = None
-    for k in CLASSIFIERS:
-        preds = predict_with(model, df, k)
-        one = metrics.metrics(preds).withColumn("classifier", F.lit(k))
-        if train is not None:
-            one = one.crossJoin(F.broadcast(metrics.overfit_gap(predict_with(model, train, k), preds).select("train_acc", "gap", "flagged")))  # one row
-        out = one if out is None else out.unionByName(one)
-    return out
+    preds, by = store.cut(classified(model, df)), ("classifier",)
+    out = metrics.metrics(preds, "n", by).join(metrics.roc_auc(preds, n="n", by=by), "classifier")  # four rows
+    if train is None:
+        return out
+    told = metrics.metrics(classified(model, train), "n", by).select("classifier", F.col("accuracy").alias("train_acc"))
+    gap = F.round(F.col("train_acc") - F.col("accuracy"), 9)
+    return out.join(told, "classifier").withColumns({"gap": gap, "flagged": F.abs(gap) > 0.1})
 
 
 def cross_validate(df: DataFrame, c: Config, k: int = 5) -> list[dict]:
     """Metrics of every fold whose model has rules; each model is fitted on the other folds."""
-    folds, out = split.kfold(df, k), []
+    folds, out = store.cut(split.kfold(df, k)), []
     for i in range(k):
         kind = "lazy" if c.miner == "lazy" else "best_match"
         model = fit(folds.where(F.col("fold") != i), c)
@@ -209,13 +258,18 @@ def trial(train: DataFrame, test: DataFrame, c: Config, reuse: dict) -> tuple:
     """One configuration: counts, metrics of its four classifiers, and the gap; reuse holds the last stages' results."""
     model = fit(train, c, reuse)
     sizes = (len(model.cuts), len(model.subset), len(model.rules))
-    kinds = ("lazy",) if c.miner == "lazy" else CLASSIFIERS
-    shared = store.cut(test)
-    m = {k: metrics.metrics(predict_with(model, shared, k)).first() for k in kinds}
+    if c.miner == "lazy":
+        kinds = ("lazy",)
+        m = {"lazy": metrics.metrics(predict_with(model, test, "lazy")).first()}
+        train_acc = metrics.metrics(predict_with(model, train, "lazy")).first()["accuracy"]
+    else:
+        kinds = CLASSIFIERS
+        m = {r["classifier"]: r for r in compare(model, test, train).collect()}
+        train_acc = m[kinds[0]]["train_acc"]
     first = m[kinds[0]]
-    train_acc = metrics.metrics(predict_with(model, train, kinds[0])).first()["accuracy"]
     others = tuple(m[k]["accuracy"] if k in m else None for k in CLASSIFIERS[1:])
-    return (*sizes, first["accuracy"], first["f1"], train_acc, train_acc - first["accuracy"], first["tp"], first["fp"], first["fn"], first["tn"], *others)
+    counts = (first["tp"], first["fp"], first["fn"], first["tn"])
+    return (*sizes, first["accuracy"], first["f1"], train_acc, train_acc - first["accuracy"], *counts, *others)
 
 
 def tune(df: DataFrame, configs: list[Config], path: str, most_seconds: float = 600) -> DataFrame:

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 NUMERIC = list(X.DOC_NUMERIC)
+LINE_NUMERIC = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 #: Fixed cuts and rules, so that every step can be checked on its own: (feature, threshold) is bit i.
 CUTS = (("letter_ratio", 0.9), ("punct_ratio", 0.02), ("n_words", 150.0), ("n_lines", 8.0), ("digit_ratio", 0.001), ("n_chars", 2000.0))
 RULES = ((1, 0b000001, 0b000000, 0.99, 200, 0.9), (0, 0b000011, 0b000001, 0.9, 30, 0.7), (1, 0b010100, 0b010000, 0.85, 60, 0.6), (0, 0b101001, 0b100001, 0.8, 12, 0.3), (1, 0b001000, 0b001000, 0.7, 20, 0.04))
@@ -39,7 +40,7 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_extendedprice") > 40000).cast("int").alias("label"), "l_quantity", "l_discount", "l_tax")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_extendedprice") > 40000).cast("int").alias("label"), *LINE_NUMERIC)
 
 
 def _query(oracle: str | None = None):
@@ -70,7 +71,8 @@ _CAND = """run AS (SELECT feature, (x + lead(x) OVER w) / 2 AS t, sum(n) OVER r
 cand AS (SELECT feature, t, nl::BIGINT AS nl, (n - nl)::BIGINT AS nr, power((pl * (n - nl) - (p - pl) * nl)::DOUBLE, 2) / (n::DOUBLE * n * nl * (n - nl)) AS gain, lo, hi
   FROM run WHERE t IS NOT NULL AND nl >= 5 AND n - nl >= 5 AND pl * (n - nl) <> (p - pl) * nl)"""
 _FIT = f"{_DOC}, {_LONG}, {_HIST}, {_CAND}"
-_LINE = "line AS (SELECT (l_extendedprice > 40000)::INT AS label, l_quantity, l_discount, l_tax FROM lineitem)"
+_LINE = f"line AS (SELECT (l_extendedprice > 40000)::INT AS label, {', '.join(LINE_NUMERIC)} FROM lineitem)"
+_LINES = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, label FROM line" for f in LINE_NUMERIC) + ")"
 _RULE = "rule(rule_rank, label, mask, vals, weight) AS (VALUES " + ", ".join(f"({i}, {r[0]}, {r[1]}::BIGINT, {r[2]}::BIGINT, {r[5]}::DOUBLE)" for i, r in enumerate(RULES)) + ")"
 _FIRE = _BIT + f""", {_RULE}, pair AS (SELECT row_id, bit.label, rule_rank, rule.label AS rl, weight, (bits & mask) = vals AS fires,
   round(1 - bit_count(xor(bits, vals) & mask) / bit_count(mask), 12) AS overlap, round((1 - bit_count(xor(bits, vals) & mask) / bit_count(mask)) * weight, 12) AS worth FROM bit, rule)"""
@@ -86,10 +88,12 @@ soft AS (SELECT vote.row_id, vote.label, CASE WHEN w > 0 THEN (round(w1 / w, 12)
   round(CASE WHEN w > 0 THEN greatest(w1 / w, 1 - w1 / w) ELSE best.conf END, 9) AS conf FROM vote JOIN best USING (row_id))"""
 
 
-@_query("SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM labels GROUP BY quality")
+_PROFILE = "3 AS n_columns, 'doc_id, quality, toxic' AS columns"
+
+
+@_query(f"SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, sum(count(*)) OVER ()::BIGINT AS n_rows, {_PROFILE} FROM labels GROUP BY quality")
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf}/labels.parquet").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("label", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+    return X.profile(spark.read.parquet(f"{sf}/labels.parquet"), "quality")
 
 
 @_query(f"WITH {_DOC} SELECT * FROM doc")
@@ -123,10 +127,9 @@ def gini_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return B.candidates(B.histogram(_docs(spark, sf), NUMERIC)).select("feature", "t", "nl", "nr", F.round("gain", 9).alias("gain"))
 
 
-@_query(f"""WITH {_LINE}, long AS (SELECT 'l_quantity' AS feature, l_quantity AS x, label FROM line UNION ALL SELECT 'l_discount', l_discount, label FROM line UNION ALL SELECT 'l_tax', l_tax, label FROM line),
-{_HIST}, {_CAND} SELECT feature, round(t, 6) AS t, nl, nr, round(gain, 9) AS gain FROM cand""")
+@_query(f"WITH {_LINE}, {_LINES}, {_HIST}, {_CAND} SELECT feature, round(t, 6) AS t, nl, nr, round(gain, 9) AS gain FROM cand")
 def gini_candidates_lines(spark: SparkSession, sf: str) -> DataFrame:
-    c = B.candidates(B.histogram(_lines(spark, sf), ["l_quantity", "l_discount", "l_tax"]))
+    c = B.candidates(B.histogram(_lines(spark, sf), LINE_NUMERIC))
     return c.select("feature", F.round("t", 6).alias("t"), "nl", "nr", F.round("gain", 9).alias("gain"))
 
 
@@ -264,41 +267,11 @@ g AS (SELECT level, bits & mask AS key, count(*) FILTER (label = 0) AS n0, count
 h AS (SELECT row_id, max(lev.level) AS level, max_by(n0, lev.level) AS n0, max_by(n1, lev.level) AS n1 FROM te, lev JOIN g ON g.level = lev.level AND g.key = bits & mask GROUP BY row_id),
 b AS (SELECT count(*) FILTER (label = 0) AS b0, count(*) FILTER (label = 1) AS b1 FROM tr)
 SELECT te.row_id, te.label, CASE WHEN level IS NULL THEN (b1 > b0)::INT ELSE (n1 > n0)::INT END AS pred, round(CASE WHEN level IS NULL THEN 0.5 ELSE greatest(n0, n1) / (n0 + n1) END, 9) AS purity,
-  CASE WHEN level IS NULL THEN b0 + b1 ELSE n0 + n1 END AS support, CASE WHEN level IS NULL THEN 'fallback' WHEN level = {len(CUTS)} THEN 'exact' ELSE 'pruned' END AS stage FROM te LEFT JOIN h USING (row_id), b""")
+  CASE WHEN level IS NULL THEN b0 + b1 ELSE n0 + n1 END AS support, CASE WHEN level IS NULL THEN 'fallback' WHEN level = {len(CUTS)} THEN 'exact' ELSE 'pruned' END AS stage,
+  CASE WHEN level IS NULL THEN '<majority class fallback>' ELSE array_to_string([{", ".join(f"CASE WHEN level > {i} THEN CASE WHEN (bits >> {i}) & 1 = 1 THEN '' ELSE 'NOT ' END || '{f} <= {t:.4f}' END" for i, (f, t) in enumerate(CUTS))}], ' AND ') END AS rule FROM te LEFT JOIN h USING (row_id), b""")
 def lazy_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _bits(spark, sf)
-    return lazy.predict(rows.where("row_id % 4 <> 0"), rows.where("row_id % 4 = 0"), list(range(len(CUTS))))
-
-
-@_query()
-def tree_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tree_thresholds(B.histogram(_docs(spark, sf), NUMERIC))
-
-
-def _mined(name: str, **kw):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        table = mine.Table.of(score.remove_conflicts(_bits(spark, sf)), len(CUTS))
-        return mine.rules_frame(spark, mine.miner(name, **kw)(table))
-
-    QUERIES[f"mine_{name}"] = run
-
-
-for _name in ("maxpatterns", "eager", "genetic", "hybrid_mp_eager", "hybrid_eager_mp"):
-    _mined(_name, purity=0.8)
-
-
-def _selected(name: str):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _bits(spark, sf)
-        subset = P.choose_features(rows, len(CUTS), P.Config(selector=name))
-        s = score.lad_score(score.pattern_table(rows, sum(1 << i for i in subset)))
-        return s.withColumn("subset", F.lit(",".join(map(str, subset))))
-
-    QUERIES[f"select_{name}"] = run
-
-
-for _name in ("greedy", "astar", "mutualinfo", "mutualinfo_astar"):
-    _selected(_name)
+    return lazy.predict(rows.where("row_id % 4 <> 0"), rows.where("row_id % 4 = 0"), list(range(len(CUTS))), names=[c.readable() for c in _cuts()])
 
 
 @_query("SELECT quality AS label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight FROM labels GROUP BY quality")
@@ -329,16 +302,6 @@ def threshold_gains(spark: SparkSession, sf: str) -> DataFrame:
     return B.measure(B.histogram(_docs(spark, sf), NUMERIC), fixed).select("feature", "t", "nl", "nr", F.round("gain", 7).alias("gain"))
 
 
-@_query()
-def tree_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tree_cuts(B.histogram(_docs(spark, sf), NUMERIC), "greedy", 4, 10).select("feature", "t", F.round("gain", 9).alias("gain"))
-
-
-@_query()
-def tree_cuts_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tree_cuts(B.histogram(_docs(spark, sf), NUMERIC), "two", 5, 15, 15, apart=0.12, edge=0.05, least_fall=0.005).select("feature", "t", F.round("gain", 9).alias("gain"))
-
-
 _MEMBERS = ORACLES["categorical_cuts"].replace("SELECT members, nl::BIGINT", ", c AS (SELECT members, nl::BIGINT", 1) + ")"
 _MADE = "len(string_split(members, ',')), members"
 
@@ -418,16 +381,16 @@ def first_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Trials as (hash, accuracy, F1, status, minute); the second row of a hash replaces the first.
 LOG = (("a", 0.9, 0.8, "ok", 0), ("b", 0.9, 0.85, "ok", 1), ("c", 0.5, 0.1, "error", 2), ("a", 0.7, 0.6, "ok", 3), ("d", 0.9, 0.85, "ok", 4), ("e", 0.2, 0.2, "timeout", 5))
-_LOG = "lg(config_hash, test_acc, test_f1, status, ts) AS (VALUES " + ", ".join(f"('{h}', {a}::DOUBLE, {f}::DOUBLE, '{s}', {m})" for h, a, f, s, m in LOG) + "), last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY ts DESC) = 1)"
+_LOG = "lg(config_hash, accuracy, f1, status, ts) AS (VALUES " + ", ".join(f"('{h}', {a}::DOUBLE, {f}::DOUBLE, '{s}', {m})" for h, a, f, s, m in LOG) + "), last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY ts DESC) = 1)"
 
 
 def _log(spark: SparkSession) -> DataFrame:
-    return store.latest(spark.createDataFrame(list(LOG), "config_hash string, test_acc double, test_f1 double, status string, ts int"))
+    return store.latest(spark.createDataFrame(list(LOG), "config_hash string, accuracy double, f1 double, status string, ts int"))
 
 
-@_query(f"WITH {_LOG} SELECT config_hash, test_acc, test_f1 FROM last WHERE status = 'ok' ORDER BY test_acc DESC, test_f1 DESC, config_hash LIMIT 20")
+@_query(f"WITH {_LOG} SELECT config_hash, accuracy, f1 FROM last WHERE status = 'ok' ORDER BY accuracy DESC, f1 DESC, config_hash LIMIT 20")
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    return store.leaderboard(_log(spark)).select("config_hash", "test_acc", "test_f1")
+    return store.leaderboard(_log(spark)).select("config_hash", "accuracy", "f1")
 
 
 @_query(f"WITH {_LOG} SELECT status, count(*) AS n FROM last GROUP BY status")
@@ -435,12 +398,6 @@ def trial_status(spark: SparkSession, sf: str) -> DataFrame:
     return store.status_counts(_log(spark))
 
 
-@_query()
-def voting_rules(spark: SparkSession, sf: str) -> DataFrame:
-    table = mine.Table.of(score.remove_conflicts(_bits(spark, sf)), len(CUTS))
-    return mine.rules_frame(spark, mine.voting_rules(table, 0.8, 1, 3))
-
-
 @_query()
 def tuned_h_weight(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(P.tune_h_weight(_bits(spark, sf), len(CUTS), [1.0, 5.0, 20.0])),)], "h_weight double")

@@ -9,17 +9,34 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TRIALS = "config_hash string, config string, n_cutpoints int, n_selected int, n_rules int, test_acc double, test_f1 double, train_acc double, overfit_gap double, tp long, fp long, fn long, tn long, sv_test_acc double, ah_test_acc double, as_test_acc double, runtime_s double, status string, error_msg string, ts timestamp"
+TRIALS = ", ".join((
+    "config_hash string, config string, cuts int, selected int, rules int, accuracy double, f1 double, train_accuracy double",
+    "gap double, tp long, fp long, fn long, tn long, soft_accuracy double, healthy_accuracy double, sick_accuracy double",
+    "seconds double, status string, error string, ts timestamp",
+))
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; with a local master and none set, a temporary folder."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="patternspark-cut-"))
+    return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the session's shared folder, so that plans of many rounds stay small and survive lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="patternspark-cut-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -28,8 +45,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table with a header; without a schema its types are inferred, which reads the files once more."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def config_hash(config: dict) -> str:
@@ -51,7 +74,7 @@ def trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaderboard(log: DataFrame, n: int = 20) -> DataFrame:
-    return log.where("status = 'ok'").orderBy(F.desc("test_acc"), F.desc("test_f1"), "config_hash").limit(n)
+    return log.where("status = 'ok'").orderBy(F.desc("accuracy"), F.desc("f1"), "config_hash").limit(n)
 
 
 def status_counts(log: DataFrame) -> DataFrame:
@@ -60,15 +83,16 @@ def status_counts(log: DataFrame) -> DataFrame:
 
 def top_configs(log: DataFrame, n: int = 5) -> DataFrame:
     """rank, json of the n best trials."""
-    best = leaderboard(log, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("test_acc"), F.desc("test_f1"), "config_hash")))  # n rows
+    best = leaderboard(log, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("f1"), "config_hash")))  # n rows
     return best.select("rank", F.to_json(F.struct(*(c for c in log.columns if c != "ts"))).alias("json"))
 
 
-def save_rules(rules: DataFrame, path: str) -> None:
-    rules.write.mode("overwrite").parquet(path)
+def save(table: DataFrame, path: str) -> None:
+    """A table of rules or cuts."""
+    table.write.mode("overwrite").parquet(path)
 
 
-def load_rules(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 

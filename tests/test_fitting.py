@@ -4,11 +4,14 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from patternspark.functions import features, places
 from patternspark.operators import binarize as B
 from patternspark.operators import metrics, mine, predict
 from patternspark.plans import pipeline as P
 from patternspark.sources import store
+from patternspark.streaming import scoring
 
 
 def plain_walk(cuts, gap):
@@ -111,14 +114,92 @@ def test_tuning_logs_and_resumes(spark, tmp_path):
     configs = P.grid([{"top_k": 2}], [{"selector": "mutualinfo"}], [{"purity": 0.9}, {"miner": "nobody"}], numeric=("x", "z"), threshold=1)
     path = f"file://{tmp_path}/trials"
     best = P.tune(df, configs, path).collect()
-    assert len(best) == 1 and best[0]["test_acc"] == 1.0 and best[0]["tp"] + best[0]["tn"] == 20
+    assert len(best) == 1 and best[0]["accuracy"] == 1.0 and best[0]["tp"] + best[0]["tn"] == 20
     assert {r["status"]: r["n"] for r in store.status_counts(store.trials(spark, path)).collect()} == {"ok": 1, "error": 1}
     P.tune(df, configs, path)
     assert spark.read.parquet(path).count() == 2
-    assert '"test_acc":1.0' in store.top_configs(store.trials(spark, path)).first()["json"]
+    assert '"accuracy":1.0' in store.top_configs(store.trials(spark, path)).first()["json"]
     assert store.stored_bytes(spark, path) > 0
 
 
 def test_stage_report_hints(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.9, 5, "exact"), (2, 0, 1, 0.5, 9, "fallback")], "row_id long, label int, pred int, purity double, support long, stage string")
     assert {r["stage"]: (r["accuracy"], r["hint"]) for r in metrics.stage_report(df).collect()} == {"exact": (1.0, False), "fallback": (0.0, True)}
+
+
+def test_places_need_no_task_that_holds_all(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(0, 500)) for i in range(700)]
+    df = spark.createDataFrame(rows, "row_id long, g string, x long")
+    got = places.place(places.quantile_bucket(df, "x", 8), ["g"], [F.col("x"), F.col("row_id")], "at").collect()
+    for g in ("a", "b", None):
+        own = sorted((r["x"], r["row_id"], r["at"], r["at_of"]) for r in got if r["g"] == g)
+        assert [(k, n) for _, _, k, n in own] == [(k, len(own)) for k in range(len(own))]
+
+
+def test_codes_follow_first_appearance(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "c"), (2, None), (4, "c"), (5, "a")], "row_id long, s string")
+    assert {r["row_id"]: r["s_code"] for r in features.factorize(df, "s").collect()} == {1: 0, 2: -1, 3: 1, 4: 0, 5: 2}
+
+
+def test_unmapped_labels_fail(spark):
+    df = spark.createDataFrame([("Cad",), ("Normal",)], "s string")
+    label = features.map_target(F.col("s"), {"Cad": 1, "Normal": 0}).alias("y")
+    assert [r["y"] for r in df.select(label).collect()] == [1, 0]
+    for other in ("Other", None):
+        with pytest.raises(Exception, match="label is not mapped"):
+            spark.createDataFrame([(other,)], "s string").select(label).collect()
+
+
+def test_pairs_are_encoded_and_others_stay(spark):
+    df = spark.createDataFrame([("Yes", "Male", "Yes", None), (None, "Female", "x", None)], "a string, b string, c string, d string")
+    assert [tuple(r) for r in features.binary_encode(df, ["a", "b", "c", "d"]).collect()] == [(1, 1, "Yes", None), (None, 0, "x", None)]
+    fixed = features.replace_cells(spark.createDataFrame([("Fmale", "Fmale ", 1)], "a string, b string, c int"), {"Fmale": "Female"})
+    assert tuple(fixed.first()) == ("Female", "Fmale ", 1)
+
+
+def test_csv_types_are_inferred_and_the_last_column_is_the_label(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    store.write_csv(spark.createDataFrame([(1.5, "x", 1), (2.0, "y", 0)], "a double, b string, target int"), path)
+    df, names = features.positional(store.read_csv(spark, path))
+    assert names == ["a", "b"] and df.dtypes == [("a", "double"), ("b", "string"), ("label", "int")] and df.count() == 2
+
+
+def test_a_stored_model_predicts_as_before(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, int(x > 5), float(x), rng.choice("pqr")) for i, x in enumerate(rng.randint(0, 10) for _ in range(80))]
+    df = spark.createDataFrame(rows, "row_id long, label int, x double, z string")
+    config = P.Config(numeric=("x",), categoric=("z",), selector="greedy", purity=0.9, threshold=1, min_coverage=2, vote_threshold=0.3, partial_mode="overlap_only")
+    model = P.fit(df, config)
+    P.save_model(spark, model, f"file://{tmp_path}/model")
+    again = P.load_model(spark, f"file://{tmp_path}/model", config)
+    for kind in P.CLASSIFIERS:
+        one, two = (sorted(map(tuple, P.predict_with(m, df, kind).collect())) for m in (model, again))
+        assert one == two and len(one) == 80
+    for r in P.compare(again, df, df).collect():
+        alone = metrics.metrics(P.predict_with(model, df, r["classifier"])).first()
+        assert all(r[k] == alone[k] for k in alone.asDict()) and r["gap"] == 0
+        assert r["auc"] == metrics.roc_auc(P.predict_with(model, df, r["classifier"])).first()["auc"]
+    assert store.stored_bytes(spark, f"file://{tmp_path}/model") > 0
+    with pytest.raises(ValueError):
+        P.predict_with(model, df, "nobody")
+
+
+def test_lazy_models_use_their_settings(spark):
+    rows = [(i, int(i % 10 < 5), float(i % 10)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, label int, x double")
+    model = P.fit(df, P.Config(numeric=("x",), miner="lazy", selector="greedy", lazy_support=1))
+    got = P.predict_with(model, df, "lazy").collect()
+    assert all(r["pred"] == r["label"] for r in got) and all(r["rule"] for r in got)
+
+
+def test_a_stream_gets_the_batch_predictions(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 2, i % 8) for i in range(40)], "row_id long, label int, bits long")
+    df.write.parquet(f"{tmp_path}/in")
+    rules = [mine.Rule(1, 1, 1, 1.0, 5, 0.9), mine.Rule(0, 6, 4, 1.0, 5, 0.5)]
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    query = scoring.score_stream(stream, rules).writeStream.format("memory").queryName("scored").start()
+    query.processAllAvailable()
+    query.stop()
+    want = {i: 1 if i % 8 & 1 else 0 if i % 8 & 6 == 4 else 1 for i in range(40)}
+    assert {r["row_id"]: r["pred"] for r in spark.table("scored").collect()} == want == {r["row_id"]: r["pred"] for r in scoring.score_stream(df, rules).collect()}

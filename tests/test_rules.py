@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patternspark.operators import binarize, lazy, metrics, mine, predict, score, select, split
 from patternspark.plans import pipeline as P
@@ -58,12 +59,14 @@ def test_value_subsets_of_more_than_twenty_values(spark):
     assert all(c.members for c in binarize.fit(df, ["row_id"], ["c"], top_k=3) if c.feature == "c")
 
 
-def test_more_cuts_than_a_word_are_refused_after_equal_ones_go(spark):
+def test_more_cuts_than_a_word_after_equal_ones_go(spark):
     df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(200)], "row_id long, label int, x double")
     cuts = [binarize.Cut(j, "x", float(t)) for j, t in enumerate([*range(40), *range(40), *range(35, 60)])]
     assert [c.threshold for c in binarize.distinct_cuts(df, cuts)] == [float(t) for t in range(60)]
-    with pytest.raises(ValueError):
-        binarize.fit(df, ["x"], mode="all", min_support=1, fraction=0)
+    cuts = binarize.fit(df, ["x"], mode="all", min_support=1, fraction=0)
+    assert len(cuts) > 62
+    words = {r["row_id"]: r["words"] for r in binarize.transform(df, cuts).collect()}
+    assert all(words[i][k // 62] >> k % 62 & 1 == int(i <= c.threshold) for i in range(200) for k, c in enumerate(cuts))
 
 
 def test_split_is_stratified(spark):
@@ -168,7 +171,7 @@ def test_eager_tries_conjunctions_of_all_sizes():
     t = mine.Table(rows[:, 0], rows[:, 1:], 6)
     rules = mine.eager(t, purity=0.9)
     assert any(r.mask == 63 for r in rules) and all(r.purity == 1 for r in rules)
-    assert np.any([t.fires(r) for r in rules], axis=0).all()
+    assert not len(t.without(rules).bits)
     assert not mine.eager(t, purity=0.9, max_size=5)
 
 
@@ -181,6 +184,117 @@ def test_redundancy_only_counts_kept_rules():
 def test_unknown_miner_is_refused():
     with pytest.raises(ValueError):
         mine.miner("nobody")
+    with pytest.raises(ValueError):
+        mine.genetic(table((1, 0, 5)), sharing="other")
+
+
+def random_rows(width, n=300, seed=11):
+    rng = np.random.default_rng(seed)
+    return [(i, int(rng.random() < (0.85 if b & 5 == 5 or b & 24 == 8 else 0.2)), int(b)) for i, b in enumerate(rng.integers(0, 1 << width, n))]
+
+
+def plain_maximal(rows, width, purity):
+    """Every pattern on its own, by lists of rows."""
+    cover = lambda attrs, bits: [y for _, y, b in rows if all((b ^ bits) >> a & 1 == 0 for a in attrs)]
+    pure = lambda y: max(sum(y), len(y) - sum(y)) / len(y)
+    found = {}
+    for bits in sorted({b for _, _, b in rows}):
+        attrs = list(range(width))
+        p = pure(cover(attrs, bits))
+        while len(attrs) > 1 and p >= purity:
+            best = None
+            for a in attrs:
+                q = pure(cover([x for x in attrs if x != a], bits))
+                if q >= purity and q >= (p if best is None else best[0]):
+                    best = (q, a)
+            if best is None:
+                break
+            p = best[0]
+            attrs.remove(best[1])
+        y = cover(attrs, bits)
+        if pure(y) >= purity:
+            mask = sum(1 << a for a in attrs)
+            found.setdefault((int(2 * sum(y) > len(y)), mask, bits & mask), (len(y), pure(y)))
+    return found
+
+
+def test_miners_match_on_arrays_and_in_spark(spark):
+    rows = random_rows(6)
+    df = frame(spark, rows)
+    local = mine.Table.of(df, 6)
+    far = mine.Frame(score.pattern_table(df).select("bits", "n0", "n1"), 6)
+    assert local.totals() == far.totals() and local.counts([(5, 5), (24, 8), (0, 0)]) == far.counts([(5, 5), (24, 8), (0, 0)])
+    told = lambda rules: [(r.label, r.mask, r.vals, round(r.purity, 9), r.repet, round(r.weight, 9)) for r in rules]
+    for p in (0.6, 0.8):
+        got = mine.max_patterns(local, p)
+        assert {(r.label, r.mask, r.vals): (r.repet, r.purity) for r in got} == plain_maximal(rows, 6, p)
+        assert told(got) == told(mine.max_patterns(far, p))
+    assert told(mine.max_patterns(local, 0.7, 1, 5)) == told(mine.max_patterns(far, 0.7, 1, 5))
+    assert told(mine.eager(local, 0.9, cap=4)) == told(mine.eager(far, 0.9, cap=4))
+
+
+def test_large_tables_stay_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(mine, "MOST_PATTERNS", 10)
+    t = mine.Table.of(frame(spark, random_rows(5)), 5)
+    assert isinstance(t, mine.Frame) and mine.max_patterns(t, 0.7)
+
+
+def test_genetic_rules_are_what_they_say():
+    rows = random_rows(6)
+    groups = {}
+    for _, y, b in rows:
+        groups.setdefault(b, [0, 0])[y] += 1
+    t = mine.Table(np.array(list(groups)), np.array(list(groups.values())), 6)
+    for args in ({}, {"sharing": "fixed"}, {"strict_swap": True}):
+        rules = mine.genetic(t, 0.7, 2, generations=15, size=40, **args)
+        assert rules == mine.genetic(t, 0.7, 2, generations=15, size=40, **args) and rules
+        for r in rules:
+            y = [y for _, y, b in rows if b & r.mask == r.vals]
+            right = sum(v == r.label for v in y)
+            assert r.repet == len(y) > 2 and r.purity == pytest.approx(right / len(y)) and r.purity >= 0.7
+            assert r.weight == pytest.approx(right / sum(v == r.label for _, v, _ in rows)) and r.mask.bit_count() <= 3
+
+
+def test_children_of_genetic_parents_share_out_their_attributes():
+    p = mine._People(table((0b111, 0, 5), (0b000, 5, 0)), 0.6, 0, np.random.default_rng(3), 3)
+    for _ in range(50):
+        one, two = p.children([[0, 1], [1, 0], 1], [[1, 2], [1, 1], 0], 1.0)
+        assert one[0] + two[0] == [0, 1, 2] and one[1] + two[1] == [1, 0, 1]
+        x = p.mutate(one, 1.0, True)
+        assert x[0] == sorted(set(x[0])) and len(x[0]) == len(x[1]) and x[2] in (0, 1)
+
+
+def test_selection_over_more_cuts_than_a_word(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(x > 50), int(x)) for i, x in enumerate(rng.integers(0, 100, 300))]
+    df = spark.createDataFrame(rows, "row_id long, label int, x long").withColumn("x", F.col("x").cast("double"))
+    cuts = [binarize.Cut(j, "x", float(j) + 0.5) for j in range(90)]
+    wide = binarize.transform(df, cuts)
+    p = select.Patterns(wide)
+    assert select.greedy(p, 90) == [50] and p.score(1 << 50) == (1, True)
+    mi = {r["cut_id"]: r["mi"] for r in score.mutual_information(score.pattern_table(wide), 90).collect()}
+    assert max(mi, key=mi.get) == 50 and len(mi) == 90
+    assert p.score((1 << 90) - 1)[1] and p.score((1 << 40) - 1)[0] < 1
+    monkey = select.Patterns(wide)
+    monkey.words = None  # as for tables that stay in Spark
+    for mask in (1 << 50, (1 << 20) | (1 << 70), (1 << 90) - 1):
+        assert monkey.score(mask) == p.score(mask)
+    assert score.remove_conflicts(wide, 1 << 70).count() < 300 == score.remove_conflicts(wide, 1 << 50).count()
+
+
+def test_classifiers_of_one_projection_agree_with_each_alone(spark):
+    rng = np.random.default_rng(8)
+    rules = [mine.Rule(int(rng.integers(2)), int(m := rng.integers(1, 64)), int(m) & int(rng.integers(64)), 0.9, 5, float(w)) for w in rng.random(9)]
+    rules = mine.rules_frame(spark, mine.ranked(rules))
+    rows = frame(spark, [(i, i % 2, i % 64) for i in range(128)])
+    for mode in predict.MODES:
+        got = {(r["row_id"], r["classifier"]): (r["pred"], r["conf"]) for r in predict.classify(rows, rules, None, 0.4, mode, 0.3).collect()}
+        alone = {"best_match": predict.best_match(rows, rules, mode, 0.3), "soft_vote": predict.soft_vote(rows, rules, 0.4, 0.3), "assume_healthy": predict.assume(rows, rules, 0), "assume_sick": predict.assume(rows, rules, 1)}
+        assert got == {(r["row_id"], k): (r["pred"], r["conf"]) for k, df in alone.items() for r in df.collect()}
+    again = rows.unionByName(rows)  # ids that repeat stay rows of their own
+    assert predict.soft_vote(again, rules).count() == 256
+    with pytest.raises(ValueError):
+        predict.facts(rows, rules, "other")
 
 
 def test_lazy_stages(spark):
@@ -189,6 +303,14 @@ def test_lazy_stages(spark):
     assert got == {1: ("exact", 1), 2: ("pruned", 1), 3: ("pruned", 0)}
 
 
+def test_lazy_rules_name_their_conditions(spark):
+    train = frame(spark, [(i, 1, 3) for i in range(4)] + [(9 + i, 0, 0) for i in range(5)])
+    got = lazy.predict(train, frame(spark, [(1, 1, 3), (2, 1, 1), (3, 0, 2), (4, 0, 7), (4, 0, 7)]), [1, 0], 0.99, 3, ["a", "b", "c"])
+    assert sorted((r["row_id"], r["stage"], r["rule"]) for r in got.collect()) == [(1, "exact", "a AND b"), (2, "pruned", "NOT b"), (3, "pruned", "b"), (4, "exact", "a AND b"), (4, "exact", "a AND b")]
+    none = lazy.predict(train, frame(spark, [(1, 1, 2)]), [0], 1.1, 3, ["a"]).first()
+    assert (none["stage"], none["rule"], none["pred"], none["purity"], none["support"]) == ("fallback", lazy.FALLBACK, 0, 0.5, 9)
+
+
 def test_soft_vote_reaches_its_threshold(spark):
     rules = mine.rules_frame(spark, [mine.Rule(1, 1, 1, 1, 3, 0.5), mine.Rule(0, 2, 2, 1, 3, 0.5)])
     rows = frame(spark, [(1, 1, 3), (2, 0, 2), (3, 0, 0)])
