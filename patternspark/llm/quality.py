@@ -1,11 +1,12 @@
 """Quality classifier on random-indexing vectors.
 
-Every word is two symbols: its letters (lower-cased, hashed into 8192 buckets) and its shape (runs of upper case,
-lower case, digits and marks, and whether the word repeats one of the two before it; 4096 buckets). A symbol's
-index vector is sparse and random; its context vector adds up the index vectors of the shapes on both sides of it,
-over the whole corpus. A document is the mean of its words' vectors (own random signs plus normalised context),
-and a two-layer network in numpy, fitted on a bounded sample of labelled rows, turns it into a probability; a
-temperature fitted on rows set aside calibrates it. All tables that go to the executors have a fixed size.
+Every word is two symbols: its letters (lower-cased, hashed into 32,768 buckets) and its shape (runs of upper case, lower
+case, digits and marks, and whether the word repeats one of the two before it; 4096 buckets). A symbol's index vector is
+sparse and random; its context vector adds up the index vectors of the symbols of its kind on both sides of it, over the
+whole corpus: words by their neighbouring words, shapes by neighbouring shapes. A document is the mean of its words'
+vectors (own random signs plus normalised context), and a two-layer network in numpy, fitted on a bounded sample of
+labelled rows (TRAIN_ROWS, of lowest id hash), turns it into a probability; a temperature fitted on rows set aside
+calibrates it. All tables that go to the executors have a fixed size.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .scratch import Scratch, bound_batches
 
-WORD_BUCKETS, WORD_DIMS = 8192, 24
+WORD_BUCKETS, WORD_DIMS = 32_768, 24
 SHAPE_BUCKETS, SHAPE_DIMS = 4096, 64
 FEATURES = WORD_DIMS + SHAPE_DIMS + 2
 #: Labelled rows that the network is fitted on, at most.
@@ -62,38 +63,42 @@ def symbols(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return word, (shape >> np.uint64(40)).astype(np.int64) % SHAPE_BUCKETS
 
 
-def _index(dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places and two signs of every shape's index vector."""
+def index_vectors(buckets: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places and two signs of the index vector of every symbol of a kind."""
     rng = np.random.default_rng(20240 + dims)
-    return rng.integers(0, dims, (SHAPE_BUCKETS, 2)), rng.choice([-1.0, 1.0], (SHAPE_BUCKETS, 2))
+    return rng.integers(0, dims, (buckets, 2)), rng.choice([-1.0, 1.0], (buckets, 2))
+
+
+KINDS = ((WORD_BUCKETS, WORD_DIMS), (SHAPE_BUCKETS, SHAPE_DIMS))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word_sum, shape_sum = np.zeros(WORD_BUCKETS * WORD_DIMS), np.zeros(SHAPE_BUCKETS * SHAPE_DIMS)
-    tables = [(word_sum, WORD_DIMS, _index(WORD_DIMS)), (shape_sum, SHAPE_DIMS, _index(SHAPE_DIMS))]
+    sums = [np.zeros(buckets * dims) for buckets, dims in KINDS]
+    index = [index_vectors(*kind) for kind in KINDS]
     for batch in batches:
         for _, _, raw, offs in K.chunks(batch.column(0)):
             w = K.Words(raw, offs)
-            word, shape = symbols(w)
             doc = w.doc
             same = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) > 1 else np.zeros(0, np.int64)
-            for (total, dims, (places, signs)), own in zip(tables, (word, shape), strict=True):
+            for total, (_, dims), (places, signs), own in zip(sums, KINDS, index, symbols(w), strict=True):
                 for a, b in ((same, same + 1), (same + 1, same)):
                     for k in (0, 1):
-                        total += np.bincount(own[a] * dims + places[shape[b], k], signs[shape[b], k], len(total))
-    both = np.concatenate([word_sum, shape_sum]).reshape(SLICES, -1)
+                        np.add.at(total, own[a] * dims + places[own[b], k], signs[own[b], k])
+    both = np.concatenate(sums).astype(np.float32).reshape(SLICES, -1)
     part = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(SLICES, part)), pa.array(np.arange(SLICES)), pa.array([x.tobytes() for x in both], pa.binary())], ["part", "slice", "sums"])
+    columns = [pa.array(np.full(SLICES, part)), pa.array(np.arange(SLICES)), pa.array([x.tobytes() for x in both], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["part", "slice", "sums"])
 
 
 SUMS = "part long, slice long, sums binary"
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = 0
+    total = 0.0
     for x in table.column("sums").to_pylist():
-        total = total + np.frombuffer(x)
-    return pa.Table.from_pydict({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+        total = total + np.frombuffer(x, np.float32).astype(float)
+    keys = {k: pa.array([table.column(k)[0].as_py()], pa.int64()) for k in ("part", "slice")}
+    return pa.Table.from_pydict({**keys, "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +108,15 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
     fan = max(1, math.isqrt(docs.rdd.getNumPartitions()))
     some = sums.withColumn("part", F.col("part") % fan).groupBy("part", "slice").applyInArrow(_add_up, SUMS)
     rows = some.groupBy("slice").applyInArrow(_add_up, SUMS).collect()  # SLICES rows of fixed size
-    flat = np.zeros((SLICES, (WORD_BUCKETS * WORD_DIMS + SHAPE_BUCKETS * SHAPE_DIMS) // SLICES))
+    sizes = [buckets * dims for buckets, dims in KINDS]
+    flat = np.zeros((SLICES, sum(sizes) // SLICES))
     for r in rows:
-        flat[r["slice"]] = np.frombuffer(bytes(r["sums"]))
-    flat = flat.ravel()
+        flat[r["slice"]] = np.frombuffer(bytes(r["sums"]), np.float32)
     out = []
-    for k, (part, buckets, dims) in enumerate(((flat[: WORD_BUCKETS * WORD_DIMS], WORD_BUCKETS, WORD_DIMS), (flat[WORD_BUCKETS * WORD_DIMS :], SHAPE_BUCKETS, SHAPE_DIMS))):
-        m = part.reshape(buckets, dims)
+    for k, part in enumerate(np.split(flat.ravel(), sizes[:1])):
+        m = part.reshape(KINDS[k])
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-        own = np.random.default_rng(777 + k).choice([-1.0, 1.0], (buckets, dims)) / math.sqrt(dims)
+        own = np.random.default_rng(777 + k).choice([-1.0, 1.0], KINDS[k]) / math.sqrt(KINDS[k][1])
         out.append((own + m).astype(np.float32))
     return out[0], out[1]
 
