@@ -368,6 +368,7 @@ def score(docs: DataFrame, subwords: str, mod: int = 7, rest: int = 2, id_col: s
     tasks = min(tasks, max(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     scored = words.select("slice", "part", "hashes", "counts", "words").repartition(tasks, "slice", "part")
     scored = scratch.written(scored.mapInArrow(_scores(subwords, math.log(new), a_count), SCORED), "scored")
+    scratch.drop(words)
     asked = own.select("chunk", "slice", "hashes", "docs").repartitionById(slices, F.col("slice")).groupBy("slice")
     told = scored.repartitionById(slices, F.col("slice")).groupBy("slice")
     answers = asked.cogroup(told).applyInArrow(_answer, ANSWERS)

@@ -21,20 +21,20 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def exponent(shares: Column, repetition: float | None = None, entropy: float | None = None) -> Column:
-    """The bisected exponent for an array of positive token shares, rounded to six places.
+    """The bisected exponent for an array of structs (share, sources) of positive token shares, rounded to six places.
 
-    With `repetition`: the least exponent at which the largest ratio of weight to share is no more than that many
-    times the smallest. With `entropy` (nats): the largest exponent at which the weights have that entropy.
+    With `repetition`: the least exponent at which the largest ratio of weight to share is no more than that many times
+    the smallest; the least and the largest share decide that, so two entries do. With `entropy` (nats): the largest
+    exponent at which the weights have that entropy; sources of equal shares are one entry with their number.
     """
 
     def fine(t: Column) -> Column:
-        power = lambda x, y: F.pow(x, y)
         if repetition is not None:
-            gain = F.transform(shares, lambda p: power(p, t - 1))
+            gain = F.transform(shares, lambda s: F.pow(s["share"], t - 1))
             return F.array_max(gain) <= F.array_min(gain) * repetition
-        weights = F.transform(shares, lambda p: power(p, t))
-        z = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-        h = F.aggregate(weights, F.lit(0.0), lambda a, x: a - x / z * F.ln(x / z))
+        weights = F.transform(shares, lambda s: F.struct(F.pow(s["share"], t).alias("w"), s["sources"].alias("n")))
+        z = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["w"] * x["n"])
+        h = F.aggregate(weights, F.lit(0.0), lambda a, x: a - x["n"] * (x["w"] / z * F.ln(x["w"] / z)))
         return h < entropy
 
     def step(s: Column, _: Column) -> Column:
@@ -68,20 +68,29 @@ def _block(doc_id: Column, seed: int) -> Column:
 def plan(rows: DataFrame, repetition: float | None = 2.0, entropy: float | None = None, seed: int = 42) -> DataFrame:
     """Blocks and epochs to take: _mix_source, block, epoch, weight, repeats, position.
 
-    rows: _mix_source, block, n_tokens. Sources are grouped into one row of shares: their number is taken to fit a
-    task, that of their documents isn't.
+    rows: _mix_source, block, n_tokens. A repetition limit is met by the least and the largest share; an entropy takes the
+    distinct token counts of sources into one row, which are far fewer than sources where these are many.
     """
     blocks = rows.groupBy("_mix_source", "block").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     sources = blocks.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens"))
-    total = sources.agg(F.sum("tokens").alias("total"), F.array_sort(F.collect_list(F.when(F.col("tokens") > 0, F.col("tokens")))).alias("all"))
-    total = total.withColumn("shares", F.transform("all", lambda x: x / F.col("total"))).withColumn("t", exponent(F.col("shares"), repetition, entropy))
-    total = total.withColumn("z", F.aggregate("shares", F.lit(0.0), lambda a, p: a + F.pow(p, F.col("t")))).withColumn("least", F.array_min(F.transform("shares", lambda p: F.pow(p, F.col("t") - 1))))
+    some = sources.where("tokens > 0")
+    ends = some.agg(F.sum("tokens").alias("total"), F.min("tokens").alias("lo"), F.max("tokens").alias("hi"))
+    if repetition is None:
+        counted = some.groupBy("tokens").agg(F.count("*").alias("n"))
+        ends = ends.crossJoin(F.broadcast(counted.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("all"))))  # one row each
+    else:
+        ends = ends.withColumn("all", F.array(*(F.struct(F.col(x).alias("tokens"), F.lit(1).alias("n")) for x in ("lo", "hi"))))
+    shares = F.transform("all", lambda x: F.struct((x["tokens"] / F.col("total")).alias("share"), x["n"].alias("sources")))
+    found = ends.withColumn("t", exponent(shares, repetition, entropy)).withColumn("least", F.pow(F.col("hi") / F.col("total"), F.col("t") - 1))
     share = F.col("tokens") / F.col("total")
-    # total is one row
-    weighed = sources.crossJoin(F.broadcast(total.select("total", "t", "z", "least")))
-    weighed = weighed.withColumn("weight", F.when(F.col("tokens") > 0, F.round(F.pow(share, F.col("t")) / F.col("z"), 9)).otherwise(0.0))
-    weighed = weighed.withColumn("repeats", F.when(F.col("tokens") > 0, F.greatest(F.lit(1.0), F.round(F.pow(share, F.col("t") - 1) / F.col("least"), 6))).otherwise(1.0))
-    weighed = weighed.select("_mix_source", F.col("tokens").alias("source_tokens"), "weight", "repeats")
+    # one row, here and below
+    powers = some.crossJoin(F.broadcast(found.select("total", "t"))).agg(F.sum(F.pow(share, F.col("t"))).alias("z"))
+    told = found.select("total", "t", "least").crossJoin(F.broadcast(powers))
+    weighed = sources.join(F.broadcast(told), F.lit(True), "left")
+    holds = F.col("tokens") > 0
+    weight = F.when(holds, F.round(F.pow(share, F.col("t")) / F.col("z"), 9)).otherwise(0.0)
+    repeats = F.when(holds, F.greatest(F.lit(1.0), F.round(F.pow(share, F.col("t") - 1) / F.col("least"), 6))).otherwise(1.0)
+    weighed = weighed.select("_mix_source", F.col("tokens").alias("source_tokens"), weight.alias("weight"), repeats.alias("repeats"))
     each = blocks.join(weighed, "_mix_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)))
     each = each.withColumn("turn", _digest(F.lit(seed), F.col("epoch"), F.col("_mix_source"), F.col("block")))
     order = Window.partitionBy("_mix_source", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)

@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     full = wanted.select("doc_id", "text").mapInArrow(K.tidied(_digests(shingle, True)), DIGEST)
     sets = full.join(sized(suspects.select("cid", "check", "copies")), ["cid", "check"]).groupBy("cid", "check").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
     sets = scratch.written(sets.drop("check"), "sets")
+    scratch.drop(suspects)
 
     t = percent / 100
     s, k = F.least("n", F.lit(SKETCH)), t * SKETCH
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     cross_links = scratch.written(cross.unionByName(near_links), "cross-links")
     root_links = cross_links.unionByName(star_links)
     final = scratch.written(components(root_links, scratch), "components")
-    scratch.drop(sets, frequency, listed, hubs, joined, roots)
+    scratch.drop(sets, frequency, listed, hubs, joined, roots, star, near_links, cross_links)
 
     member = classes.select("cid", "check", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "check", "rep", F.coalesce("root", "cid").alias("root"))
     member = scratch.written(member, "members")

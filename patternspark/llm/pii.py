@@ -315,6 +315,7 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         owner = scratch.written(owner, "owners")
         again = (F.col("owner") != F.col("norm")) | F.coalesce("real", F.lit(False))
         checked = scratch.written(drawn.join(owner, ["kind", "met"]).withColumn("again", again), "checked")
+        scratch.drop(drawn, owner)
         if checked.where("again").isEmpty():
             return checked.select("kind", "norm", "new")
         now = checked.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))

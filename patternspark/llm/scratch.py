@@ -42,18 +42,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Bounds for what Python workers get at once; they hold for the session, as plans read them when they run."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
-    """A folder of written tables: losing an executor loses none of them, and lineage ends there."""
+    """A folder of written tables: losing an executor loses none of them, and lineage ends there.
+
+    Operators delete tables that nothing reads any more. Those that a result still reads stay until clear().
+    """
+
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Scratch.made.append(self.path)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -65,5 +77,10 @@ class Scratch:
         """Delete written tables that no later plan reads."""
         for table in tables:
             for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-                jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+                _delete(self.spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders of all operators that this process has run: to be called when their results are written."""
+    while Scratch.made:
+        _delete(spark, Scratch.made.pop())

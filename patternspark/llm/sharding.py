@@ -58,14 +58,16 @@ def shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str
     # at most MOST_RANGES splitters in 4096 rows
     placed = rows.join(F.broadcast(table), F.substring("k", 1, 3) == F.col("top"))
     placed = placed.withColumn("rng", (F.col("before") + F.size(F.filter("near", lambda s: s <= F.struct("k", "h")))).cast("long")).drop("top", "before", "near")
-    placed = scratch.written(placed, "placed")
+    placed = whole_order = scratch.written(placed, "placed")
     full = placed.groupBy("rng").agg(F.sum("size").alias("b"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     full = full.withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("b") / (OVERFULL * total / ranges))).cast("long")).where("parts > 1")
     low, high = _digits("lo", 13), _digits("hi", 13)
     along = F.when(F.col("lo") == F.col("hi"), _digits("h", 13) / float(1 << 52)).otherwise((_digits("k", 13) - low) / (high - low + 1))
     # every overfull range takes OVERFULL shares of the bytes at least, so there are fewer of them than ranges
     placed = placed.join(F.broadcast(full.select("rng", "lo", "hi", "parts")), "rng", "left").withColumn("sub", F.coalesce(F.least(F.floor(along * F.col("parts")), F.col("parts") - 1), F.lit(0)).cast("long"))
-    placed = scratch.written(placed.select("doc_id", "size", "text_crc32", "k", "h", "rng", "sub"), "ranges")
+    ranged = scratch.written(placed.select("doc_id", "size", "text_crc32", "k", "h", "rng", "sub"), "ranges")
+    scratch.drop(whole_order, splitters)
+    placed = ranged
     sums = placed.groupBy("rng", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     before = Window.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.written(sums.select("rng", "sub", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0")), "starts")
@@ -76,5 +78,5 @@ def shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str
     one = scratch.written(one.select("doc_id", "size", "text_crc32", F.least("shard", F.lit(n_shards - 1)).alias("shard"), "rank"), "ranked")
     heads = one.groupBy("shard").agg(F.min("rank").alias("head"))
     out = one.join(F.broadcast(heads), "shard")  # a row for each shard
-    scratch.drop(rows)
+    scratch.drop(rows, ranged)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("head")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -146,6 +146,67 @@ def test_quality_separates_held_out_rows(spark):
     assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} & set(range(400)) == {i for i in range(400) if i % 4}
 
 
+def test_vectors_of_documents_against_a_plain_version():
+    """Contexts and pooling word by word, by dictionaries."""
+    from patternspark.llm import textkernel as K
+
+    import pyarrow as pa
+
+    said = ["Aa bb Aa cc 12 bb", "bb cc!", "", "x Y2 z", "Aa"]
+    raw, offs = K.text_buffers(pa.array(said))
+    w = K.Words(raw, offs)
+    word, shape = quality.symbols(w)
+    assert word[0] == word[2] and word[1] == word[5] == word[6] and word[0] != word[1] and shape[0] != shape[2]  # the third repeats the first
+    index = [quality.index_vectors(*kind) for kind in quality.KINDS]
+    sums = []
+    for (buckets, dims), (places, signs), own in zip(quality.KINDS, index, (word, shape), strict=True):
+        total = {}
+        for d in range(len(said)):
+            mine = own[w.off[d] : w.off[d + 1]]
+            for i, s in enumerate(mine):
+                for j in (i - 1, i + 1):
+                    if 0 <= j < len(mine):
+                        v = total.setdefault(int(s), np.zeros(dims))
+                        for k in (0, 1):
+                            v[places[mine[j], k]] += signs[mine[j], k]
+        sums.append(total)
+    old, quality.TaskContext = quality.TaskContext, type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)})())})
+    try:
+        out = next(quality._contexts(iter([pa.RecordBatch.from_arrays([pa.array(said)], ["text"])])))
+    finally:
+        quality.TaskContext = old
+    flat = np.concatenate([np.frombuffer(x, np.float32) for x in out.column("sums").to_pylist()])
+    at = 0
+    for (buckets, dims), total in zip(quality.KINDS, sums, strict=True):
+        m = flat[at : at + buckets * dims].reshape(buckets, dims)
+        at += buckets * dims
+        assert {int(k): m[k].tolist() for k in np.flatnonzero(m.any(axis=1))} == {k: v.tolist() for k, v in total.items() if v.any()}
+    rng = np.random.default_rng(1)
+    words, shapes = (rng.normal(size=kind).astype(np.float32) for kind in quality.KINDS)
+    got = [np.frombuffer(v, np.float32) for b in quality._pooled(words, shapes)(iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(said)], ["doc_id", "text"])])) for v in b.column("vector").to_pylist()]
+    for d, t in enumerate(said):
+        a, b = w.off[d], w.off[d + 1]
+        want = np.concatenate([words[word[a:b]].mean(0), shapes[shape[a:b]].mean(0)]) if b > a else np.zeros(88)
+        assert np.allclose(got[d][:-2], want, atol=1e-5) and got[d][-2] == pytest.approx(np.log1p(b - a))
+
+
+def test_temperature_calibrates():
+    """Labels that no network can tell: without calibration it is too sure of itself."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(1500, 30)), rng.integers(0, 2, 1500)
+    y[x[:, 0] > 1] = 1
+    net = quality.Network(x, y, epochs=200)
+    test_x, test_y = rng.normal(size=(4000, 30)), rng.integers(0, 2, 4000)
+    test_y[test_x[:, 0] > 1] = 1
+    loss = lambda p: -np.mean(np.where(test_y == 1, np.log(p), np.log(1 - p)))
+    sure = net.probability(test_x)
+    net.temperature, tempered = 1.0, net.temperature
+    assert tempered > 1 and loss(np.clip(sure, 1e-9, 1 - 1e-9)) < loss(np.clip(net.probability(test_x), 1e-9, 1 - 1e-9))
+    for lo, hi in ((0.4, 0.6), (0.6, 0.8)):
+        own = (sure >= lo) & (sure < hi)
+        assert abs(test_y[own].mean() - sure[own].mean()) < 0.15
+
+
 def test_surrogates(spark):
     rows = [(1, "write to Jo.Do@Mail.example.com or jo.do@mail.example.com, +1 (988) 555-2485"), (2, "card 4111 1111 1111 1111 and 4111111111111111, host 10.1.2.3"), (3, None), (4, "nothing here"), (5, "Mrs Smith met Herr Braun and Mrs Smith")]
     got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "test").collect()}
@@ -309,7 +370,7 @@ def test_mixture_takes_everything_within_its_limit(spark, docs):
     out = mixing.mix(docs)
     n = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert set(n) == {r["doc_id"] for r in docs.collect()} and max(n.values()) <= 4
-    shares = spark.sql("select array(0.7D, 0.2D, 0.1D) s")
+    shares = spark.sql("select array(named_struct('share', 0.7D, 'sources', 1), named_struct('share', 0.2D, 'sources', 1), named_struct('share', 0.1D, 'sources', 1)) s")
     t = shares.select(mixing.exponent(F.col("s"), None, 1.0)).first()[0]
     w = np.array([0.7, 0.2, 0.1]) ** t
     assert -(w / w.sum() * np.log(w / w.sum())).sum() == pytest.approx(1.0, abs=1e-4)
@@ -575,6 +636,104 @@ def test_filters_keep_all_columns_of_any_kind(spark):
     assert one.columns == df.drop("item_id").columns and one.count() == 6  # the map differs
 
 
+def test_entropy_of_many_equal_sources(spark):
+    """Sources of equal shares count each."""
+    counts = [5] * 30 + [50] * 3 + [400]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), f"s{i}") for i, n in enumerate(counts)], "doc_id long, text string, source string")
+    out = {r["source"]: r["_mix_weight"] for r in mixing.mix(df, None, 2.5).collect()}
+    w = np.array(list(out.values()))
+    assert w.sum() == pytest.approx(1, abs=1e-6) and -(w * np.log(w)).sum() == pytest.approx(2.5, abs=1e-4)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A small corpus as files: good and bad documents, copies, near copies, benchmark passages, nulls."""
+    folder, rows = tmp_path_factory.mktemp("tables"), []
+    for i in range(200):
+        bad = i % 5 == 0
+        t = " ".join(w.upper() + "!!" for w in sentence(i).split()) if bad else sentence(i)
+        rows.append((i, t, "en", f"s{i % 3}", len(t)))
+    rows += [(300, rows[1][1], "en", "s0", 1), (301, rows[1][1] + " more", "de", "s1", 2), (302, rows[2][1] + " " + sentence(900, 30), None, None, 3)]
+    rows += [(303, None, "en", "s0", None), (None, sentence(902), "en", "s1", 4), (304, "", "en", "s2", 0), (1, rows[1][1], "en", "s1", rows[1][4])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, sentence(900, 30)), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder), rows
+
+
+def test_pipeline_stages_against_plain_versions(spark, tables):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    folder, rows = tables
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    assert list(steps) == ["quality", "near-duplicates", "decontamination", "mixture", "tokens"]
+    good = steps["quality"](spark, kept, folder)
+    assert good.schema == kept.schema
+    good = spark.createDataFrame(good.collect(), kept.schema)
+    score = {r["doc_id"]: r["score"] for r in quality.scores(kept, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    plain = [r for r in rows if score[r[0]] >= 0.7]
+    assert sorted(map(tuple, good.collect()), key=repr) == sorted(plain, key=repr)
+    assert {r[0] for r in plain} >= {i for i in range(200) if i % 5} and not {r[0] for r in plain} & {i for i in range(200) if i % 5 == 0}
+
+    one = spark.createDataFrame(steps["near-duplicates"](spark, good, folder).collect(), kept.schema)
+    sets = [shingle_set(r[1], 5) for r in plain]
+    label = list(range(len(plain)))
+    for _ in range(3):
+        for i in range(len(plain)):
+            for j in range(len(plain)):
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {}
+    for r, k in zip(plain, label, strict=True):
+        if r[0] is not None:
+            least[k] = min(least.get(k, r[0]), r[0])
+    plain = list(dict.fromkeys(r for r, k in zip(plain, label, strict=True) if r[0] is None or r[0] == least[k]))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(plain, key=repr)
+
+    clean = spark.createDataFrame(steps["decontamination"](spark, one, folder).collect(), kept.schema)
+    plain = [r for r in plain if sentence(900, 30) not in (r[1] or "")]
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted(plain, key=repr)
+
+    mixed = spark.createDataFrame(steps["mixture"](spark, clean, folder).collect(), kept.schema)
+    got = sorted(map(tuple, mixed.collect()), key=repr)
+    assert set(got) == set(plain) and all(1 <= got.count(r) <= 2 for r in plain)
+
+    t, at, want = Tokenizer.from_file(token_codes.vocabulary(BPE)), 0, []
+    for r in sorted(got, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    out = steps["tokens"](spark, mixed, folder)
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == want
+    whole = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, whole), key=repr) == sorted(((k, n, c) for k, _, n, c in want), key=repr)
+
+
+def test_pipeline_stages_take_empty_tables(spark, tables):
+    import corpus_pipeline
+
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from patternspark.llm import scratch
+
+    mine = Scratch(spark, "cleared")
+    df = mine.written(spark.range(3), "x")
+    assert df.count() == 3
+    path = mine.path
+    keep, Scratch.made = [p for p in Scratch.made if p != path], [path]
+    scratch.clear(spark)
+    Scratch.made = keep
+    with pytest.raises(Exception, match="does not exist|FileNotFound|PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/001-x").count()
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     items = spark.createDataFrame([], "item_id long, text string")
