@@ -90,7 +90,9 @@ class Items:
         for b in range(BLOCKS):
             keys = (self.prints[:, b][:, None] ^ _LISTED[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
-            self.index.append((np.searchsorted(keys[order], np.arange(65537)).astype(np.int32), (order // len(_LISTED)).astype(np.int32)))
+            self.index.append(
+                (np.searchsorted(keys[order], np.arange(65537)).astype(np.int32), (order // len(_LISTED)).astype(np.int32))
+            )
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (fingerprint, item) within the radius."""
@@ -121,7 +123,9 @@ class Items:
         shared = int(np.minimum(counts[ok], own_counts[at[ok]]).sum())
         return shared / (len(h) + int(own_counts.sum()) - shared)
 
-    def _windows(self, k: int, found: np.ndarray, off: np.ndarray, spot: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _windows(self, k: int, found: np.ndarray, off: np.ndarray, spot: np.ndarray, least: float) -> tuple[
+        np.ndarray, np.ndarray, np.ndarray
+    ]:
         """Starts, ends and sizes of the windows of the k-th size that hold enough shingles of items of that size.
 
         found: places of shingles of any item; spot: their places in the vocabulary; off: where documents begin.
@@ -138,7 +142,9 @@ class Items:
         full = held * (1 + least) >= least * (ends - starts + size) - 1e-9
         return starts[full], ends[full], np.full(int(full.sum()), size)
 
-    def matches(self, raw: np.ndarray, offs: np.ndarray, shingle: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
+    def matches(self, raw: np.ndarray, offs: np.ndarray, shingle: int, least: float) -> Iterator[
+        tuple[int, int, int, int, float]
+    ]:
         """(document, item, first word, words, similarity), the best window of each pair, of a chunk."""
         words = K.Words(raw, offs)
         h, doc, at = K.shingles(words, shingle)
@@ -229,7 +235,15 @@ def _chosen(docs: DataFrame, touched: Touched, keep: bool) -> DataFrame:
 
 
 HITS = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+_HITS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("item_id", pa.int64()),
+        ("first_word", pa.int64()),
+        ("n_words", pa.int64()),
+        ("similarity", pa.float64()),
+    ]
+)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -168,7 +168,19 @@ def _numbers(x: bytes) -> np.ndarray:
 
 
 LISTS = "chunk long, slice int, hashes binary, tf binary, words binary, docs binary, doc_ids array<long>, n_words binary, held binary"
-_LISTS = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("hashes", pa.binary()), ("tf", pa.binary()), ("words", pa.binary()), ("docs", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("held", pa.binary())])
+_LISTS = pa.schema(
+    [
+        ("chunk", pa.int64()),
+        ("slice", pa.int32()),
+        ("hashes", pa.binary()),
+        ("tf", pa.binary()),
+        ("words", pa.binary()),
+        ("docs", pa.binary()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("n_words", pa.binary()),
+        ("held", pa.binary()),
+    ]
+)
 
 
 def _held_out(ids: list[int | None], mod: int, rest: int) -> np.ndarray:
@@ -202,7 +214,17 @@ def _listing(slices: int, mod: int, rest: int):
             u, where, trained = u[order], where[order], trained[order]
             number += 1
             chunk = (part << 32) | number
-            row = {"chunk": [chunk], "slice": [-1], "hashes": [None], "tf": [None], "words": [None], "docs": [_three(place[back])], "doc_ids": [ids], "n_words": [_three(n_words)], "held": [held.tobytes()]}
+            row = {
+                "chunk": [chunk],
+                "slice": [-1],
+                "hashes": [None],
+                "tf": [None],
+                "words": [None],
+                "docs": [_three(place[back])],
+                "doc_ids": [ids],
+                "n_words": [_three(n_words)],
+                "held": [held.tobytes()],
+            }
             yield pa.RecordBatch.from_pydict(row, _LISTS)
             data = raw.tobytes()
             of = (u >> np.uint64(20)) % np.uint64(slices)
@@ -211,7 +233,17 @@ def _listing(slices: int, mod: int, rest: int):
                 if len(at):
                     words = [data[a:b] for a, b in zip(start[where[at]].tolist(), end[where[at]].tolist(), strict=True)]
                     docs = np.ascontiguousarray(at.astype("<u4")).tobytes()
-                    row = {"chunk": [chunk], "slice": [s], "hashes": [u[at].tobytes()], "tf": [_three(trained[at])], "words": [zlib.compress(b"\n".join(words), 1)], "docs": [zlib.compress(docs, 1)], "doc_ids": [None], "n_words": [None], "held": [None]}
+                    row = {
+                        "chunk": [chunk],
+                        "slice": [s],
+                        "hashes": [u[at].tobytes()],
+                        "tf": [_three(trained[at])],
+                        "words": [zlib.compress(b"\n".join(words), 1)],
+                        "docs": [zlib.compress(docs, 1)],
+                        "doc_ids": [None],
+                        "n_words": [None],
+                        "held": [None],
+                    }
                     yield pa.RecordBatch.from_pydict(row, _LISTS)
 
     return run
@@ -262,7 +294,9 @@ def _merge(table: pa.Table) -> pa.Table:
         c = counts[a:b]
         facts = (int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))
         rows.append((s, part, *facts, h[a:b].tobytes(), c.tobytes(), zlib.compress(b"\n".join(words[a:b]), 1)))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _VOCABULARY.types, strict=True)], schema=_VOCABULARY)
+    return pa.Table.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _VOCABULARY.types, strict=True)], schema=_VOCABULARY
+    )
 
 
 SCORED = "slice int, part int, hashes binary, counts binary, logs binary"
@@ -296,7 +330,15 @@ def _answer(key: tuple, lists: pa.Table, vocabulary: pa.Table) -> pa.Table:
     for x in lists.column("hashes").to_pylist():
         at = np.searchsorted(h, np.frombuffer(x, np.uint64))
         out.append((_three(counts[at]), logs[at].astype(np.float32).tobytes()))
-    return pa.Table.from_pydict({"chunk": lists.column("chunk"), "docs": lists.column("docs"), "counts": [a for a, _ in out], "logs": [b for _, b in out]}, _ANSWERS)
+    return pa.Table.from_pydict(
+        {
+            "chunk": lists.column("chunk"),
+            "docs": lists.column("docs"),
+            "counts": [a for a, _ in out],
+            "logs": [b for _, b in out],
+        },
+        _ANSWERS,
+    )
 
 
 ANSWERS = "chunk long, docs binary, counts binary, logs binary"
@@ -337,7 +379,9 @@ def _finish(n: int, v: int, ends: int, log_end: float):
     return run
 
 
-def score(docs: DataFrame, subwords: str, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, subwords: str, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Score every whole text (null: empty), learning from rows whose crc32(id as text) mod `mod` is not `rest`.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word counts) and score (log10 of the

@@ -62,7 +62,11 @@ def _source(source: Column) -> Column:
 
 
 def _block(doc_id: Column, seed: int) -> Column:
-    return (F.conv(F.substring(_digest(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 6), 16, 10).cast("long") % BLOCKS).cast("int")
+    return (
+        F.conv(
+            F.substring(_digest(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 6), 16, 10
+        ).cast("long") % BLOCKS
+    ).cast("int")
 
 
 def plan(rows: DataFrame, repetition: float | None = 2.0, entropy: float | None = None, seed: int = 42) -> DataFrame:
@@ -77,11 +81,14 @@ def plan(rows: DataFrame, repetition: float | None = 2.0, entropy: float | None
     ends = some.agg(F.sum("tokens").alias("total"), F.min("tokens").alias("lo"), F.max("tokens").alias("hi"))
     if repetition is None:
         counted = some.groupBy("tokens").agg(F.count("*").alias("n"))
-        ends = ends.crossJoin(F.broadcast(counted.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("all"))))  # one row each
+        # one row each
+        ends = ends.crossJoin(F.broadcast(counted.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("all"))))
     else:
         ends = ends.withColumn("all", F.array(*(F.struct(F.col(x).alias("tokens"), F.lit(1).alias("n")) for x in ("lo", "hi"))))
     shares = F.transform("all", lambda x: F.struct((x["tokens"] / F.col("total")).alias("share"), x["n"].alias("sources")))
-    found = ends.withColumn("t", exponent(shares, repetition, entropy)).withColumn("least", F.pow(F.col("hi") / F.col("total"), F.col("t") - 1))
+    found = ends.withColumn("t", exponent(shares, repetition, entropy)).withColumn(
+        "least", F.pow(F.col("hi") / F.col("total"), F.col("t") - 1)
+    )
     share = F.col("tokens") / F.col("total")
     # one row, here and below
     powers = some.crossJoin(F.broadcast(found.select("total", "t"))).agg(F.sum(F.pow(share, F.col("t"))).alias("z"))
@@ -90,8 +97,12 @@ def plan(rows: DataFrame, repetition: float | None = 2.0, entropy: float | None
     holds = F.col("tokens") > 0
     weight = F.when(holds, F.round(F.pow(share, F.col("t")) / F.col("z"), 9)).otherwise(0.0)
     repeats = F.when(holds, F.greatest(F.lit(1.0), F.round(F.pow(share, F.col("t") - 1) / F.col("least"), 6))).otherwise(1.0)
-    weighed = weighed.select("_mix_source", F.col("tokens").alias("source_tokens"), weight.alias("weight"), repeats.alias("repeats"))
-    each = blocks.join(weighed, "_mix_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)))
+    weighed = weighed.select(
+        "_mix_source", F.col("tokens").alias("source_tokens"), weight.alias("weight"), repeats.alias("repeats")
+    )
+    each = blocks.join(weighed, "_mix_source").withColumn(
+        "epoch", F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1))
+    )
     each = each.withColumn("turn", _digest(F.lit(seed), F.col("epoch"), F.col("_mix_source"), F.col("block")))
     order = Window.partitionBy("_mix_source", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
@@ -112,7 +123,26 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     clash = [c for c in docs.columns if c.startswith("_mix_")]
     if clash:
         raise ValueError(f"documents already have {clash}")
-    keyed = docs.withColumns({"_mix_source": _source(F.col("source")), "_mix_block": _block(F.col("doc_id"), seed), "_mix_tokens": n_tokens(F.col("text"))})
-    turns = plan(keyed.select("_mix_source", F.col("_mix_block").alias("block"), F.col("_mix_tokens").alias("n_tokens")), repetition, entropy, seed)
-    turns = turns.select("_mix_source", F.col("block").alias("_mix_block"), F.col("epoch").alias("_mix_epoch"), F.col("weight").alias("_mix_weight"), F.col("position").alias("_mix_position"))
-    return keyed.join(turns, ["_mix_source", "_mix_block"]).select(*docs.columns, "_mix_epoch", "_mix_block", "_mix_tokens", "_mix_weight", "_mix_position")
+    keyed = docs.withColumns(
+        {
+            "_mix_source": _source(F.col("source")),
+            "_mix_block": _block(F.col("doc_id"), seed),
+            "_mix_tokens": n_tokens(F.col("text")),
+        }
+    )
+    turns = plan(
+        keyed.select("_mix_source", F.col("_mix_block").alias("block"), F.col("_mix_tokens").alias("n_tokens")),
+        repetition,
+        entropy,
+        seed,
+    )
+    turns = turns.select(
+        "_mix_source",
+        F.col("block").alias("_mix_block"),
+        F.col("epoch").alias("_mix_epoch"),
+        F.col("weight").alias("_mix_weight"),
+        F.col("position").alias("_mix_position"),
+    )
+    return keyed.join(turns, ["_mix_source", "_mix_block"]).select(
+        *docs.columns, "_mix_epoch", "_mix_block", "_mix_tokens", "_mix_weight", "_mix_position"
+    )

@@ -157,7 +157,9 @@ def _to_hub(percent: int):
             flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
             facts = ((n, pa.int64()), (linked, pa.bool_()), (low, pa.float64()), (high, pa.float64()))
             columns = [batch.column("a"), batch.column("b"), *(pa.array(x, t) for x, t in facts)]
-            yield pa.RecordBatch.from_arrays([*columns, K.list_array(flat, np.array(size), pa.int64())], ["a", "b", "n", "linked", "low", "high", "diff"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, K.list_array(flat, np.array(size), pa.int64())], ["a", "b", "n", "linked", "low", "high", "diff"]
+            )
 
     return run
 
@@ -173,12 +175,16 @@ def _far_apart(a: np.ndarray, b: np.ndarray) -> tuple[float, float] | None:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
-        return sets.join(pairs.select(F.col(x).alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias(x), F.col("values").alias(f"{x}_set"))
+        return sets.join(pairs.select(F.col(x).alias("cid")).distinct(), "cid", "left_semi").select(
+            F.col("cid").alias(x), F.col("values").alias(f"{x}_set")
+        )
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
     Returns one row per input row: doc_id, n_shingles, component_id, kept. Words are lower-cased (A-Z) runs
@@ -207,27 +213,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     scratch.drop(shared)
     # few suspects go to the texts; beyond the bound both sides are shuffled
     sized = F.broadcast if suspects.count() <= BROADCAST_ROWS else (lambda df: df)
-    wanted = source.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(sized(suspects.select("rep").distinct()), "rep", "left_semi")
+    wanted = source.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(
+        sized(suspects.select("rep").distinct()), "rep", "left_semi"
+    )
     full = wanted.select("doc_id", "text").mapInArrow(K.tidied(_digests(shingle, True)), DIGEST)
-    sets = full.join(sized(suspects.select("cid", "check", "copies")), ["cid", "check"]).groupBy("cid", "check").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values"))
+    sets = full.join(sized(suspects.select("cid", "check", "copies")), ["cid", "check"]).groupBy("cid", "check").agg(
+        F.first("copies").alias("copies"), F.first("n_shingles").alias("n"), F.first("values").alias("values")
+    )
     sets = scratch.written(sets.drop("check"), "sets")
     scratch.drop(suspects)
 
     t = percent / 100
     s, k = F.least("n", F.lit(SKETCH)), t * SKETCH
-    must = F.when(F.col("n") <= int(k), F.ceil(F.col("n") * percent / F.lit(100))).otherwise(F.floor(F.least(F.lit(k - ERRORS * math.sqrt(t * (1 - t) * SKETCH)), F.lit(t) * s)))
+    must = F.when(F.col("n") <= int(k), F.ceil(F.col("n") * percent / F.lit(100))).otherwise(
+        F.floor(F.least(F.lit(k - ERRORS * math.sqrt(t * (1 - t) * SKETCH)), F.lit(t) * s))
+    )
     retained = sets.select("cid", "n", "copies", F.explode(F.slice("values", 1, SKETCH)).alias("value"))
     frequency = scratch.written(retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
     # a value of one class alone ranks first and lists nothing: only how many there are counts
-    ranked = retained.join(frequency, "value").groupBy("cid", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked"))
+    ranked = retained.join(frequency, "value").groupBy("cid", "n", "copies").agg(
+        F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked")
+    )
     alone = s - F.size("ranked")
     rare = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), s - must + 1 - alone).cast("int"))
     listed = ranked.select("cid", "n", "copies", F.transform(rare, lambda x: x["value"]).alias("rare"))
     listed = scratch.written(listed.where(F.size("rare") > 0), "listed")
     entries = listed.select("cid", "n", "copies", F.explode("rare").alias("value"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    hubs = scratch.written(entries.groupBy("value").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("value", "h.hub", "h.hub_n"), "hubs")
-    pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = scratch.written(
+        entries.groupBy("value").agg(
+            F.min(F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"))).alias("h"),
+            F.count("*").alias("k"),
+        ).where("k > 1").select("value", "h.hub", "h.hub_n"),
+        "hubs",
+    )
+    pairs = entries.join(hubs, "value").where(F.col("cid") != F.col("hub")).select(
+        F.col("cid").alias("a"), F.col("hub").alias("b")
+    ).distinct()
     pairs = scratch.written(pairs, "pairs")
     star = scratch.written(_with_sets(pairs, sets).mapInArrow(K.tidied(_to_hub(percent)), STAR), "star")
     scratch.drop(pairs)
@@ -246,7 +268,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     def side(x: str, df: DataFrame) -> DataFrame:
         keys = ("own", "other") if x == "x" else ("other", "own")
         named = [F.col(k).alias(f"block{i}_{x}") for i, k in enumerate(keys)]
-        return df.select(F.col("b").alias(f"hub_{x}"), *named, *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "linked", "diff", "root")))
+        return df.select(
+            F.col("b").alias(f"hub_{x}"), *named, *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "linked", "diff", "root"))
+        )
 
     room = (F.col("n_x") + F.col("n_y")) * (100 - percent)
     apart = F.size("diff_x") + F.size("diff_y") - 2 * F.size(F.array_intersect("diff_x", "diff_y"))
@@ -265,8 +289,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     left = joined.select("value", *(F.col(x).alias(f"{x}_a") for x in ("cid", "n", "rare", "root", "low", "high")))
     right = joined.select("value", *(F.col(x).alias(f"{x}_b") for x in ("cid", "n", "rare", "root", "low", "high")))
     step = 1 - t + 1e-9
-    lies = (F.greatest("high_a", "high_b") > NEAR) & (F.col("low_a") - F.col("high_b") <= step) & (F.col("low_b") - F.col("high_a") <= step)
-    cross = left.join(right, (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & (F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]))
+    near_enough = (F.col("low_a") - F.col("high_b") <= step) & (F.col("low_b") - F.col("high_a") <= step)
+    lies = (F.greatest("high_a", "high_b") > NEAR) & near_enough
+    listed_first = F.array_min(F.array_intersect("rare_a", "rare_b")) == left["value"]
+    apart = (left["value"] == right["value"]) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
+    cross = left.join(right, apart & fits("n_a", "n_b") & fits("n_b", "n_a") & lies & listed_first)
     cross = scratch.written(cross.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "cross")
     cross = _with_sets(cross, sets).mapInArrow(K.tidied(_verify(percent)), "a long, b long")
     cross_links = scratch.written(cross.unionByName(near_links), "cross-links")
@@ -274,13 +301,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     final = scratch.written(components(root_links, scratch), "components")
     scratch.drop(sets, frequency, listed, hubs, joined, roots, star, near_links, cross_links)
 
-    member = classes.select("cid", "check", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "check", "rep", F.coalesce("root", "cid").alias("root"))
+    member = classes.select("cid", "check", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "cid", "check", "rep", F.coalesce("root", "cid").alias("root")
+    )
     member = scratch.written(member, "members")
     lowest = scratch.written(member.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
     named = scratch.written(member.join(lowest, "root").select("cid", "check", "component_id"), "named")
     out = digests.select("doc_id", "cid", "check", "n_shingles").join(named, ["cid", "check"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -296,7 +330,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     found = scratch.written(found, "found")
     own = docs["doc_id"].cast("long")
-    dropped = scratch.written(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_dedup_id")), "dropped")
+    dropped = scratch.written(
+        found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_dedup_id")), "dropped"
+    )
     left = docs.join(dropped, own == dropped["_dedup_id"], "left_anti")
     many = found.where("doc_id is not null and kept and n > 1").select(F.col("doc_id").alias("_dedup_id"))
     if many.isEmpty():

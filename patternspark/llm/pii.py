@@ -306,7 +306,9 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     # draws cost far more than their bytes tell, so the number of tasks is given
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(MOST_ROUNDS):
-        keyed = now.repartition(tasks, "kind", "norm").withColumn("stream", stream_of(F.col("kind"), F.col("norm"), key, F.col("attempt")))
+        keyed = now.repartition(tasks, "kind", "norm").withColumn(
+            "stream", stream_of(F.col("kind"), F.col("norm"), key, F.col("attempt"))
+        )
         new = surrogate(F.col("kind"), F.col("norm"), F.col("stream"), F.col("attempt"))
         drawn = keyed.select("kind", "norm", "attempt", new.alias("new")).withColumn("met", plain("new"))
         drawn = scratch.written(drawn, "drawn")
@@ -384,7 +386,9 @@ def _renamed(value: Column, words: Column, key: str) -> Column:
         return F.when(p.endswith("."), _initial(p, key)).otherwise(F.coalesce(_like(p, found), p))
 
     given = F.split(F.substr(value, F.length(_titles(value)) + 2), " ")
-    told = F.zip_with(given, _each_word(value, new), lambda w, x: F.when(x.isNull(), _particle(w, key)).otherwise(_joined(x, "-")))
+    told = F.zip_with(
+        given, _each_word(value, new), lambda w, x: F.when(x.isNull(), _particle(w, key)).otherwise(_joined(x, "-"))
+    )
     return F.concat(_titles(value), F.lit(" "), _joined(told, " "))
 
 
@@ -424,7 +428,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     seen = hits.select("_pii_row", F.posexplode("_pii_found").alias("at", "value")).withColumn("kind", _kind(F.col("value")))
     other = seen.where("kind <> 'name'").withColumn("norm", _norm(F.col("kind"), F.col("value")))
     real = _real(F.col("kind"), F.col("norm"))
-    words = seen.where("kind = 'name'").select("_pii_row", "kind", F.explode(_name_words(F.col("value"))).alias("norm")).distinct()
+    words = seen.where("kind = 'name'").select(
+        "_pii_row", "kind", F.explode(_name_words(F.col("value"))).alias("norm")
+    ).distinct()
     entities = other.where(real).select("kind", "norm").unionByName(words.select("kind", "norm")).distinct()
     names = assign(scratch.written(entities, "entities"), key, scratch)
     at = F.struct("at", _rendered(F.col("kind"), F.col("value"), F.col("new")).alias("new"), "kind")
@@ -434,15 +440,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     told = told.unionByName(other.where(~real).select("_pii_row", kept.alias("x")))
     told = told.groupBy("_pii_row").agg(F.collect_list("x").alias("_pii_new"))
     # as many words as a document's own names have
-    own = words.join(names, ["kind", "norm"]).groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_pii_words"))
+    own = words.join(names, ["kind", "norm"]).groupBy("_pii_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_pii_words")
+    )
     told = scratch.written(told.join(own, "_pii_row", "full"), "told")
     fresh = hits.join(told, "_pii_row", "left")
-    named = F.transform("_pii_found", lambda v, i: F.struct(i.alias("at"), _renamed(v, F.col("_pii_words"), key).alias("new"), F.lit("name").alias("kind")))
+    named = F.transform(
+        "_pii_found",
+        lambda v, i: F.struct(i.alias("at"), _renamed(v, F.col("_pii_words"), key).alias("new"), F.lit("name").alias("kind")),
+    )
     named = F.when(F.col("_pii_words").isNotNull(), F.filter(named, lambda x: _kind(F.get("_pii_found", x["at"])) == "name"))
     nothing = F.array().cast(_FOUND)
     all_new = F.array_sort(F.concat(F.coalesce("_pii_new", nothing), F.coalesce(named, nothing)))
     fresh = fresh.withColumn("_pii_all", all_new)
-    gaps = F.when(F.col("_pii_words").isNull(), F.col("_pii_gaps")).otherwise(F.transform("_pii_gaps", lambda g: _coreferent(g, F.col("_pii_words"))))
+    gaps = F.when(F.col("_pii_words").isNull(), F.col("_pii_gaps")).otherwise(
+        F.transform("_pii_gaps", lambda g: _coreferent(g, F.col("_pii_words")))
+    )
     both = F.zip_with(gaps, "_pii_all", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit(""))))
     kinds = F.array_compact(F.transform("_pii_all", lambda x: x["kind"]))
     fresh = fresh.withColumns({text_col: _joined(both, ""), "_pii_count": F.size(kinds), "_pii_kinds": _joined(kinds, ",")})

@@ -136,7 +136,9 @@ def _pooled(word_vectors: np.ndarray, shape_vectors: np.ndarray):
                     out[full] /= n[full, None]
                 out[:, -2] = np.log1p(n)
                 out[:, -1] = np.log1p(np.diff(offs)) - np.log1p(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "vector"]
+                )
 
     return run
 
@@ -155,7 +157,12 @@ class Network:
         self.shift, self.scale = x.mean(0), x.std(0) + 1e-6
         z = (x - self.shift) / self.scale
         d = z.shape[1]
-        p = [rng.normal(0, 1 / math.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, 1)), np.zeros(1)]
+        p = [
+            rng.normal(0, 1 / math.sqrt(d), (d, HIDDEN)),
+            np.zeros(HIDDEN),
+            rng.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, 1)),
+            np.zeros(1),
+        ]
         m, v, t = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p], 0
         tz, ty = z[~aside], y[~aside].astype(float)[:, None]
         for epoch in range(epochs):
@@ -201,24 +208,40 @@ def _scoring(net: Network, mod: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held_out(batch.column("doc_id").to_pylist(), mod, rest)), pa.array(net.probability(x))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(held_out(batch.column("doc_id").to_pylist(), mod, rest)),
+                    pa.array(net.probability(x)),
+                ],
+                ["doc_id", "held_out", "score"],
+            )
 
     return run
 
 
-def labelled_sample(labels: DataFrame, mod: int = 4, rest: int = 2, label_col: str = "quality", most: int = TRAIN_ROWS) -> DataFrame:
+def labelled_sample(
+    labels: DataFrame, mod: int = 4, rest: int = 2, label_col: str = "quality", most: int = TRAIN_ROWS
+) -> DataFrame:
     """doc_id, y of labelled ids outside the held-out part: all, or the `most` of lowest id hash.
 
     Labels other than 0 and 1 count for nothing; of several labels of an id the lowest counts.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(key % mod != rest)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
+        "y in (0, 1) and doc_id is not null"
+    ).where(key % mod != rest)
     return known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def train(vectors: DataFrame, sample: DataFrame, most: int = TRAIN_ROWS) -> Network:
     """Fit on the vectors of a labelled sample."""
-    rows = sorted((r["doc_id"], bytes(r["vector"]), r["y"]) for r in vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "vector", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect())
+    rows = sorted(
+        (r["doc_id"], bytes(r["vector"]), r["y"])
+        for r in vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "vector", "y").orderBy(
+            F.xxhash64("doc_id"), "doc_id"
+        ).limit(most).collect()
+    )
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
     return Network(x, np.array([r[2] for r in rows], int))
 
@@ -232,7 +255,9 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, labe
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     word_vectors, shape_vectors = context_vectors(docs)
-    pooled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(K.tidied(_pooled(word_vectors, shape_vectors)), "doc_id long, vector binary")
+    pooled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
+        K.tidied(_pooled(word_vectors, shape_vectors)), "doc_id long, vector binary"
+    )
     pooled = scratch.written(pooled, "vectors")
     return pooled.mapInArrow(K.tidied(_scoring(train(pooled, labelled_sample(labels, mod, rest, label_col)), mod, rest)), SCORES)
 
@@ -245,7 +270,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
     pool = _pooled(word_vectors, shape_vectors)
     sample = scratch.written(labelled_sample(labels), "sample")
     # no more than TRAIN_ROWS ids
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"
+    )
     net = train(scratch.written(labelled.mapInArrow(K.tidied(pool), "doc_id long, vector binary"), "vectors"), sample)
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
 

@@ -56,7 +56,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), repetition=2.0)
-    names = {"_mix_tokens": "n_tokens", "_mix_weight": "weight", "_mix_epoch": "epoch", "_mix_block": "block", "_mix_position": "position"}
+    names = {
+        "_mix_tokens": "n_tokens",
+        "_mix_weight": "weight",
+        "_mix_epoch": "epoch",
+        "_mix_block": "block",
+        "_mix_position": "position",
+    }
     return mixed.select("doc_id", "source", *(F.col(a).alias(b) for a, b in names.items()))
 
 

@@ -164,7 +164,9 @@ def _folds(items) -> bool:
     for op, value in items:
         if op is C.SUBPATTERN and value[1] & re.IGNORECASE:
             return True
-        inner = [value[3]] if op is C.SUBPATTERN else [value[2]] if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) else []
+        inner = [value[3]] if op is C.SUBPATTERN else [value[2]] if op in (
+            C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT
+        ) else []
         inner += value[1] if op is C.BRANCH else [value] if op is C.ATOMIC_GROUP else []
         if any(map(_folds, inner)):
             return True

@@ -101,14 +101,18 @@ def spans(text: Column, rule: Rule) -> Column:
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+        return F.struct(
+            end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out")
+        )
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
     out = F.aggregate(pairs, zero, add, lambda s: s["out"])
     if rule.kind in SHORT_CUT or not rule.least:
         return out
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    long_enough = F.transform(F.arrays_zip(out.alias("s"), groups.alias("g")), lambda z: F.when(F.length(z["g"]) >= rule.least, z["s"]))
+    long_enough = F.transform(
+        F.arrays_zip(out.alias("s"), groups.alias("g")), lambda z: F.when(F.length(z["g"]) >= rule.least, z["s"])
+    )
     return F.array_compact(long_enough)
 
 
@@ -118,7 +122,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     Texts are keyed by hash in the index: equal texts share their postings, and two texts that share a hash only
     verify each other's candidates. Rows that repeat are scanned and returned each; null ids stay null.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    ).withColumn("key", F.xxhash64("text"))
     # written, so that its size is known: small hits are broadcast, others joined with hot keys split
     hits = Scratch(docs.sparkSession, "secrets").written(candidates(postings(rows, rules), rules), "hits")
     joined = rows.join(hits, "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
@@ -136,13 +142,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 def _written_out(rules: tuple[Rule, ...]) -> Column:
     def tagged(place: int, kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("kind"), F.concat_ws(":", F.lit(kind), s["start"], s["end"]).alias("said")))
+        return F.transform(
+            F.col(kind),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                F.lit(place).alias("kind"),
+                F.concat_ws(":", F.lit(kind), s["start"], s["end"]).alias("said"),
+            ),
+        )
 
-    return F.array_join(F.transform(F.array_sort(F.concat(*(tagged(i, r.kind) for i, r in enumerate(rules)))), lambda x: x["said"]), ",")
+    return F.array_join(
+        F.transform(F.array_sort(F.concat(*(tagged(i, r.kind) for i, r in enumerate(rules)))), lambda x: x["said"]), ","
+    )
 
 
 def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of scan()'s rows."""
     base = tuple(r for r in rules if r.base)
     counts = [F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in base]
-    return scanned.select("doc_id", *counts, F.sha2(_written_out(base).cast("binary"), 256).alias("base_sha256"), _written_out(rules).alias("spans"))
+    return scanned.select(
+        "doc_id", *counts, F.sha2(_written_out(base).cast("binary"), 256).alias("base_sha256"), _written_out(rules).alias("spans")
+    )

@@ -122,7 +122,9 @@ def cut(raw: np.ndarray, offs: np.ndarray, whole: np.ndarray) -> tuple[np.ndarra
         wide = np.flatnonzero(_WIDE[raw])
         if len(wide):
             two, three = raw[np.maximum(wide - 1, 0)], raw[np.maximum(wide - 2, 0)]
-            seen[wide] = ~((two == 0xC2) | (three == 0xC2) | np.isin(two, (0xE1, 0xE2, 0xE3)) | np.isin(three, (0xE1, 0xE2, 0xE3)))
+            seen[wide] = ~(
+                (two == 0xC2) | (three == 0xC2) | np.isin(two, (0xE1, 0xE2, 0xE3)) | np.isin(three, (0xE1, 0xE2, 0xE3))
+            )
         rule = _BLANK[c] & seen[:-1]
         rule |= (_LETTER[p] & _MARK[c]) | (_MARK[p] & _LETTER[c])
         line = np.flatnonzero(_LINE[p] & _SEEN[c])
@@ -215,9 +217,15 @@ class Encoder:
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)]
+            texts = [
+                data[a:b].decode("utf-8", "replace")
+                for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist(), strict=True)
+            ]
             n = len(self.first)
-            coded = [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
+            coded = [
+                e.ids for a in range(0, len(texts), BATCH)
+                for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)
+            ]
             self._keep(new, coded)
             entry[miss] = n + back
         entry = np.insert(entry, np.searchsorted(starts, offs[1:]), 0)
@@ -249,9 +257,16 @@ def _encode(path: str, end: int):
         held = 0
 
         def close() -> pa.RecordBatch:
-            row = [[part], [segment], [first], [held], pa.concat_arrays(ids), np.concatenate(lengths), pack(np.concatenate(found))]
+            row = [
+                [part], [segment], [first], [held], pa.concat_arrays(ids), np.concatenate(lengths), pack(np.concatenate(found))
+            ]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in row[4:6]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row[:4], _ARROW.types[:4], strict=True)] + lists + [pa.array([row[6]], pa.binary())], schema=_ARROW)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(row[:4], _ARROW.types[:4], strict=True)] + lists + [
+                    pa.array([row[6]], pa.binary())
+                ],
+                schema=_ARROW,
+            )
 
         for batch in batches:
             for a, b, raw, offs in K.chunks(batch.column(1)):
@@ -270,10 +285,22 @@ def _encode(path: str, end: int):
 
 
 SEGMENTS = "part int, segment int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
-_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+_ARROW = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("segment", pa.int32()),
+        ("first", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("lengths", pa.list_(pa.int64())),
+        ("codes", pa.binary()),
+    ]
+)
+
+
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> None:
     """Encode every whole text (null: empty), append the end id, and write segments in ascending id order.
 
     tokenizer: a path, or the name of a public vocabulary file, which is then looked up where a task runs. Bytes
@@ -285,7 +312,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
-    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(
+        F.col("doc_id").asc_nulls_first(), tie
+    )
     sorted_rows.mapInArrow(_encode(tokenizer, end), SEGMENTS).write.parquet(path)
 
 
@@ -299,7 +328,10 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
             start = row["part_start"].as_py() + row["first"].as_py() + ends - lengths
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())],
+                ["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -320,7 +352,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_at(spark: SparkSession, path: str, position: int) -> int:
     """The id at a position of the whole table: one segment is picked by its bounds, and no block decoded."""
     at = F.col("part_start") + F.col("first")
-    row = _segments(spark, path).where((at <= position) & (at + F.col("n_tokens") > position)).select(at.alias("at"), "codes").first()
+    row = _segments(spark, path).where((at <= position) & (at + F.col("n_tokens") > position)).select(
+        at.alias("at"), "codes"
+    ).first()
     if row is None:
         raise IndexError(position)
     return Codes(bytes(row["codes"]))[position - row["at"]]

@@ -68,7 +68,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = np.trim_zeros(v / np.sqrt((v * v).sum()), "b")
             units.append(v.tobytes())
             keys.append(int(K.polynomial(K.mix(v.view(np.uint64)), np.array([0]), np.array([len(v)])).view(np.int64)[0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "cid", "unit"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(keys, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "cid", "unit"]
+        )
 
 
 def _stack(units: list[bytes], dims: int) -> np.ndarray:
@@ -147,12 +149,16 @@ def _dealt(c: Centres, dims: int, n: int):
                 part = batch.slice(a, 1024)
                 near = c.nearest(_stack(part.column("unit").to_pylist(), dims), n)
                 homes = pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("copies"), part.column("unit"), homes], ["cid", "copies", "unit", "homes"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("cid"), part.column("copies"), part.column("unit"), homes], ["cid", "copies", "unit", "homes"]
+                )
 
     return run
 
 
-def robust_prune(x: np.ndarray, here: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+def robust_prune(
+    x: np.ndarray, here: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA
+) -> np.ndarray:
     """Kept candidates of the nodes `here`, -1 where none: nearest first, each kept one hiding what it is nearer to."""
     m, n = candidates.shape
     far = lambda s: np.sqrt(np.maximum(2 - 2 * s, 0))
@@ -246,7 +252,12 @@ class Search:
             new = visit(*self._neighbours(grow // m, grow % m))
             grow = new[sim.ravel()[new] >= least - MARGIN]
         q, node = np.nonzero(sim >= least - 1e-4)
-        exact = np.concatenate([np.einsum("ij,ij->i", self.x[queries[q[a : a + 200_000]]], self.x[node[a : a + 200_000]]) for a in range(0, len(q), 200_000)]) if len(q) else np.zeros(0)
+        exact = np.concatenate(
+            [
+                np.einsum("ij,ij->i", self.x[queries[q[a : a + 200_000]]], self.x[node[a : a + 200_000]])
+                for a in range(0, len(q), 200_000)
+            ]
+        ) if len(q) else np.zeros(0)
         ok = (exact >= least) & (queries[q] != node)
         return q[ok], node[ok]
 
@@ -256,7 +267,9 @@ def _members(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, np.nda
     table = table.take(pa.array(order))
     homes = table.column("homes").to_pylist()
     wide = max(map(len, homes))
-    return table.column("cid").to_numpy(), table.column("copies").to_numpy(), _stack(table.column("unit").to_pylist(), dims), np.array([h + [-1] * (wide - len(h)) for h in homes])
+    return table.column("cid").to_numpy(), table.column("copies").to_numpy(), _stack(
+        table.column("unit").to_pylist(), dims
+    ), np.array([h + [-1] * (wide - len(h)) for h in homes])
 
 
 def _build(dims: int):
@@ -321,22 +334,30 @@ def _unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _linked(classes: DataFrame, c: Centres, dims: int, near: int, least: float, scratch: Scratch) -> DataFrame:
     """cid, n_links, component_id of every class of equal vectors."""
-    dealt = classes.select("cid", "copies", "unit").mapInArrow(K.tidied(_dealt(c, dims, near)), "cid long, copies long, unit binary, homes array<int>")
+    dealt = classes.select("cid", "copies", "unit").mapInArrow(
+        K.tidied(_dealt(c, dims, near)), "cid long, copies long, unit binary, homes array<int>"
+    )
     dealt = scratch.written(dealt, "dealt")
     each = dealt.withColumn("home", F.explode("homes"))
     # one row for each centre
-    sizes = scratch.written(each.groupBy("home").count().select("home", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "sizes")
+    sizes = scratch.written(
+        each.groupBy("home").count().select("home", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "sizes"
+    )
     members = each.join(F.broadcast(sizes), "home").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     members = scratch.written(members.select("home", *pair, "block", "cid", "copies", "unit", "homes"), "members")
     lists = members.groupBy("home", "i", "j").applyInArrow(_build(dims), "cid long, near array<long>")
     graph = scratch.written(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    found = members.join(graph, "cid").groupBy("home", "i", "j").applyInArrow(_search(dims, least), "cid long, links long, to long")
+    found = members.join(graph, "cid").groupBy("home", "i", "j").applyInArrow(
+        _search(dims, least), "cid long, links long, to long"
+    )
     found = scratch.written(found, "found")
     linked = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = scratch.written(components(found.select(F.col("cid").alias("a"), F.col("to").alias("b")), scratch), "roots")
-    named = classes.select("cid", "rep", "copies").join(linked, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    named = classes.select("cid", "rep", "copies").join(linked, "cid", "left").join(
+        roots.withColumnRenamed("node", "cid"), "cid", "left"
+    )
     links = F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1
     named = scratch.written(named.select("cid", "rep", links.alias("n_links"), F.coalesce("root", "cid").alias("root")), "named")
     lowest = scratch.written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
@@ -377,7 +398,9 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         final = _linked(classes, c, dims, overlap(len(c), max(spread, 1)), least, scratch)
         out = rows.select("vec_id", "cid").join(final, "cid", "left")
         kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
-        out = out.select("vec_id", links.alias("n_links"), component.alias("component_id"), kept.alias("kept"), (links > 0).alias("reached"))
+        out = out.select(
+            "vec_id", links.alias("n_links"), component.alias("component_id"), kept.alias("kept"), (links > 0).alias("reached")
+        )
         recall = _recall(usable, out, AUDITED, least)
         if recall >= LEAST_RECALL:
             return out.withColumn("recall", F.lit(recall))
@@ -409,7 +432,14 @@ def _recall(rows: DataFrame, result: DataFrame, queries: int, least: float) -> f
     return sum(min(got[k], x) for k, x in true.items()) / total if total else 1.0
 
 
-def audit(vectors: DataFrame, result: DataFrame, queries: int = AUDITED, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+def audit(
+    vectors: DataFrame,
+    result: DataFrame,
+    queries: int = AUDITED,
+    least: float = 0.9,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> float:
     """Recall of links of a bounded sample of vectors, against brute force over all rows; 1.0 without links."""
     bound_batches(vectors.sparkSession)
     return _recall(_unit_rows(vectors, id_col, vector_col).where("cid is not null"), result, queries, least)
