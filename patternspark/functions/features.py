@@ -18,9 +18,22 @@ def doc_features(spark: SparkSession, sf_dir: str, label: str = "quality") -> Da
     """Labelled documents: row_id, label, six numeric features and the language."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     text = F.col("text")
-    cols = [_share(text, "a-zA-Z ").alias("letter_ratio"), _share(text, ".!?").alias("punct_ratio"), _share(text, "0-9").alias("digit_ratio")]
-    cols += [(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) + 1).cast("double").alias(n) for x, n in ((" ", "n_words"), ("\n", "n_lines"))]
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), F.col(label).cast("int").alias("label"), *cols, F.col("n_chars").cast("double").alias("n_chars"), "lang")
+    cols = [
+        _share(text, "a-zA-Z ").alias("letter_ratio"),
+        _share(text, ".!?").alias("punct_ratio"),
+        _share(text, "0-9").alias("digit_ratio"),
+    ]
+    cols += [
+        (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) + 1).cast("double").alias(n)
+        for x, n in ((" ", "n_words"), ("\n", "n_lines"))
+    ]
+    return docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("row_id"),
+        F.col(label).cast("int").alias("label"),
+        *cols,
+        F.col("n_chars").cast("double").alias("n_chars"),
+        "lang",
+    )
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -39,12 +39,16 @@ class Cut:
     def readable(self) -> str:
         if not self.members:
             return f"{self.feature} <= {self.threshold:.4f}"
-        return f"{self.feature} == {self.members[0]}" if len(self.members) == 1 else f"{self.feature} IN {{{', '.join(map(str, self.members))}}}"
+        if len(self.members) == 1:
+            return f"{self.feature} == {self.members[0]}"
+        return f"{self.feature} IN {{{', '.join(map(str, self.members))}}}"
 
 
 def histogram(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """feature, x, n, pos for every distinct value; nulls and NaN take no part in fits."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("p")
+    pairs = F.explode(
+        F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))
+    ).alias("p")
     long = df.select(label, pairs).select("p.feature", "p.x", label).where("x is not null and not isnan(x)")
     return long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
@@ -88,9 +92,20 @@ def candidates(hist: DataFrame, min_support: int = 5) -> DataFrame:
     """feature, t, nl, nr, gain: midpoints of neighbouring values with support on both sides and a gain."""
     # written once: the plan below reads it three times
     c = prefix_sums(cut(hist), ["feature"], ["n", "pos"]).where("next_x is not null")
-    c = c.select("feature", ((F.col("x") + F.col("next_x")) / 2).alias("t"), F.col("l_n").alias("nl"), (F.col("t_n") - F.col("l_n")).alias("nr"), F.col("l_pos").alias("pl"), (F.col("t_pos") - F.col("l_pos")).alias("pr"), "lo", "hi")
+    c = c.select(
+        "feature",
+        ((F.col("x") + F.col("next_x")) / 2).alias("t"),
+        F.col("l_n").alias("nl"),
+        (F.col("t_n") - F.col("l_n")).alias("nr"),
+        F.col("l_pos").alias("pl"),
+        (F.col("t_pos") - F.col("l_pos")).alias("pr"),
+        "lo",
+        "hi",
+    )
     c = c.withColumn("gain", gain(F.col("pl"), F.col("nl"), F.col("pr"), F.col("nr")))
-    return c.where((F.col("nl") >= min_support) & (F.col("nr") >= min_support) & (F.col("gain") > 0)).select("feature", "t", "nl", "nr", "gain", "lo", "hi")
+    return c.where((F.col("nl") >= min_support) & (F.col("nr") >= min_support) & (F.col("gain") > 0)).select(
+        "feature", "t", "nl", "nr", "gain", "lo", "hi"
+    )
 
 
 def distance_prune(cands: DataFrame, fraction: float = 0.02) -> DataFrame:
@@ -106,13 +121,17 @@ def distance_prune(cands: DataFrame, fraction: float = 0.02) -> DataFrame:
     # growing frames both ways: Spark works off a frame that shrinks from the front in quadratic time
     before = F.max("gain").over(cell.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
     after = F.max("gain").over(cell.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1))
-    told = cands.withColumn("_before", before).withColumn("_after", after).where("_before is null or _after is null or gain > _before or gain >= _after")
+    told = cands.withColumn("_before", before).withColumn("_after", after).where(
+        "_before is null or _after is null or gain > _before or gain >= _after"
+    )
     kept = "array<struct<t:double,gain:double>>"
     walk = f"""aggregate(cuts, cast(array() as {kept}), (acc, c) -> CASE
         WHEN size(acc) = 0 OR NOT (c.t - element_at(acc, -1).t < gap) THEN concat(acc, array(c))
         WHEN c.gain > element_at(acc, -1).gain THEN concat(slice(acc, 1, size(acc) - 1), array(c))
         ELSE acc END)"""
-    grouped = told.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("t", "gain"))).alias("cuts"), ((F.max("hi") - F.max("lo")) * fraction).alias("gap"))
+    grouped = told.groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("t", "gain"))).alias("cuts"), ((F.max("hi") - F.max("lo")) * fraction).alias("gap")
+    )
     return grouped.select("feature", F.explode(F.expr(walk)).alias("c")).select("feature", "c.t", "c.gain")
 
 
@@ -128,8 +147,14 @@ def choose(cuts: DataFrame, mode: str = "greedy", top_k: int = 20, apart: DataFr
     best = F.row_number().over(w.orderBy(F.desc("gain"), F.asc("t")))
     if mode == "two":
         gaps = cuts.select("feature").distinct().withColumn("gap", F.lit(0.0)) if apart is None else apart
-        c = cuts.join(F.broadcast(gaps), "feature").withColumn("a", F.min("t").over(w)).withColumn("b", F.max("t").over(w)).withColumn("r", best)
-        return c.where(F.when(F.col("b") - F.col("a") < F.col("gap"), F.col("r") == 1).otherwise((F.col("t") == F.col("a")) | (F.col("t") == F.col("b")))).drop("a", "b", "gap", "r")
+        c = cuts.join(F.broadcast(gaps), "feature").withColumn("a", F.min("t").over(w)).withColumn(
+            "b", F.max("t").over(w)
+        ).withColumn("r", best)
+        return c.where(
+            F.when(F.col("b") - F.col("a") < F.col("gap"), F.col("r") == 1).otherwise(
+                (F.col("t") == F.col("a")) | (F.col("t") == F.col("b"))
+            )
+        ).drop("a", "b", "gap", "r")
     if mode == "greedy":
         best = F.row_number().over(w.orderBy(F.desc("gain"), F.desc("t")))
     return cuts.withColumn("r", best).where(F.col("r") <= (1 if mode == "one" else top_k)).drop("r")
@@ -151,14 +176,22 @@ def choose_members(cuts: DataFrame, mode: str = "greedy", top_k: int = 20) -> Da
 
 def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: int = 5, label: str = "label") -> DataFrame:
     """members, gain of value subsets of size 1 to max_group, the full set left out."""
-    values = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("v")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    values = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("v")).agg(
+        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
+    )
     # one row: every value of the feature with its counts; written once, as every size of subsets reads it
-    packed = cut(values.agg(F.array_sort(F.collect_list(F.struct("v", "n", "pos"))).alias("vs"), F.sum("n").alias("n"), F.sum("pos").alias("p")))
+    packed = cut(
+        values.agg(
+            F.array_sort(F.collect_list(F.struct("v", "n", "pos"))).alias("vs"), F.sum("n").alias("n"), F.sum("pos").alias("p")
+        )
+    )
     each = packed.select(F.posexplode("vs").alias("i", "value"))
     made = size = each.select(F.col("i").alias("last"), F.array("value").alias("own"))
     for _ in range(1, max_group):
         # subsets grow by a value after their last
-        size = size.join(F.broadcast(each), F.col("i") > F.col("last")).select(F.col("i").alias("last"), F.concat("own", F.array("value")).alias("own"))
+        size = size.join(F.broadcast(each), F.col("i") > F.col("last")).select(
+            F.col("i").alias("last"), F.concat("own", F.array("value")).alias("own")
+        )
         made = made.unionByName(size)
     whole = F.broadcast(packed.select(F.size("vs").alias("k"), "n", "p"))  # one row
     own = made.crossJoin(whole).where(F.size("own") < F.col("k"))
@@ -169,7 +202,9 @@ def categorical(df: DataFrame, feature: str, max_group: int = 3, min_support: in
     return held.select(F.array_join(F.transform("own", lambda v: v["v"]), ",").alias("members"), "nl", "gain")
 
 
-def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, least_fall: float = 0.0, places: int = 10) -> DataFrame:
+def tree_thresholds(
+    hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, least_fall: float = 0.0, places: int = 10
+) -> DataFrame:
     """feature, t: thresholds of a one-column tree with balanced classes, grown level by level by prefix sums.
 
     A node is an interval of values; each level splits every interval at its best weighted Gini gain. Sums are of whole
@@ -178,7 +213,9 @@ def tree_thresholds(hist: DataFrame, max_depth: int = 4, min_leaf: int = 5, leas
     totals = hist.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
     twice = lambda n: F.col("tn") / (2 * n)  # noqa: E731  each class weighs this squared
     squared = lambda n: F.when(n > 0, twice(n) * twice(n)).otherwise(0.0)
-    totals = totals.select("feature", squared(F.col("tp")).alias("w1"), squared(F.col("tn") - F.col("tp")).alias("w0"), "tn", "tp")
+    totals = totals.select(
+        "feature", squared(F.col("tp")).alias("w1"), squared(F.col("tn") - F.col("tp")).alias("w0"), "tn", "tp"
+    )
     nodes = hist.select("feature", "x", "n", "pos", F.lit(1).cast("long").alias("node"))
     found = None
 
@@ -206,12 +243,28 @@ def measure(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
     """feature, t, nl, nr, gain (times n; 0 with fewer than two rows on a side), lo, hi of given thresholds."""
     lists = thresholds.groupBy("feature").agg(F.array_sort(F.collect_set("t")).alias("ts"))  # at most 2^depth a feature
     at = hist.join(F.broadcast(lists), "feature").withColumn("k", F.size(F.filter("ts", lambda t: t < F.col("x"))))
-    parts = at.groupBy("feature", "k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    parts = at.groupBy("feature", "k").agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    )
     w = Window.partitionBy("feature")
     upto = w.orderBy("k")
     # every threshold lies between two values, so every k from 0 to their number has rows
-    c = parts.join(F.broadcast(lists), "feature").select("feature", F.expr("get(ts, k)").alias("t"), F.sum("n").over(upto).alias("nl"), F.sum("pos").over(upto).alias("pl"), F.sum("n").over(w).alias("n"), F.sum("pos").over(w).alias("p"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")).where("t is not null")
-    c = c.withColumn("nr", F.col("n") - F.col("nl")).withColumn("gain", F.when((F.col("nl") < 2) | (F.col("nr") < 2), 0.0).otherwise(F.col("n") * gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("nr"))))
+    c = parts.join(F.broadcast(lists), "feature").select(
+        "feature",
+        F.expr("get(ts, k)").alias("t"),
+        F.sum("n").over(upto).alias("nl"),
+        F.sum("pos").over(upto).alias("pl"),
+        F.sum("n").over(w).alias("n"),
+        F.sum("pos").over(w).alias("p"),
+        F.min("lo").over(w).alias("lo"),
+        F.max("hi").over(w).alias("hi"),
+    ).where("t is not null")
+    c = c.withColumn("nr", F.col("n") - F.col("nl")).withColumn(
+        "gain",
+        F.when((F.col("nl") < 2) | (F.col("nr") < 2), 0.0).otherwise(
+            F.col("n") * gain(F.col("pl"), F.col("nl"), F.col("p") - F.col("pl"), F.col("nr"))
+        ),
+    )
     return c.select("feature", "t", "nl", "nr", "gain", "lo", "hi")
 
 
@@ -224,7 +277,9 @@ def tree_cuts(
     edge: thresholds within this share of the range of either end go (the first variant of the operator takes
     mode two, depth 5, leaves and support of 15, edge 0.05, apart 0.12, least_fall 0.005 and 8 places).
     """
-    c = measure(hist, tree_thresholds(hist, max_depth, min_leaf, least_fall, places)).where((F.col("nl") >= min_support) & (F.col("nr") >= min_support))
+    c = measure(hist, tree_thresholds(hist, max_depth, min_leaf, least_fall, places)).where(
+        (F.col("nl") >= min_support) & (F.col("nr") >= min_support)
+    )
     if edge > 0:
         margin = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8)) * edge
         c = c.where((F.col("t") > F.col("lo") + margin) & (F.col("t") < F.col("hi") - margin))
@@ -243,7 +298,12 @@ def distinct_cuts(df: DataFrame, cuts: list[Cut]) -> list[Cut]:
     words = range((len(cuts) + WORD - 1) // WORD)
     rows = df.select(*(_word(cuts[k * WORD : (k + 1) * WORD]).alias(f"w{k}") for k in words))
     repeated = lambda i: -F.shiftright(f"w{i // WORD}", i % WORD).bitwiseAND(F.lit(1)).cast("long")
-    apart = rows.agg(*(F.bit_or(F.col(f"w{k}").bitwiseXOR(repeated(i))).alias(f"c{i}_{k}") for i in range(len(cuts)) for k in words if k >= i // WORD)).first()
+    apart = rows.agg(
+        *(
+            F.bit_or(F.col(f"w{k}").bitwiseXOR(repeated(i))).alias(f"c{i}_{k}") for i in range(len(cuts)) for k in words
+            if k >= i // WORD
+        )
+    ).first()
     kept = [c for j, c in enumerate(cuts) if all((apart[f"c{i}_{j // WORD}"] or 0) >> j % WORD & 1 for i in range(j))]
     return [Cut(i, c.feature, c.threshold, c.members, c.gain) for i, c in enumerate(kept)]
 

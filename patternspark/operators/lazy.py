@@ -35,7 +35,9 @@ def _rule(order: list[int], names: list[str], found: Column) -> Column:
     return F.when(found, F.array_join(parts, " AND ")).otherwise(FALLBACK)
 
 
-def predict(train: DataFrame, test: DataFrame, order: list[int], purity: float = 0.75, min_support: int = 3, names: list[str] = ()) -> DataFrame:
+def predict(
+    train: DataFrame, test: DataFrame, order: list[int], purity: float = 0.75, min_support: int = 3, names: list[str] = ()
+) -> DataFrame:
     """row_id, label, pred, purity, support, stage of every test row; `order`: cut ids by falling weight.
 
     With names, what cut i means, also rule: the conditions that decided.
@@ -58,4 +60,12 @@ def predict(train: DataFrame, test: DataFrame, order: list[int], purity: float =
     sure = F.round(F.when(found, F.greatest("c.n0", "c.n1") / total).otherwise(0.5), 9)
     stage = F.when(~found, "fallback").when(F.col("level") == len(order), "exact").otherwise("pruned")
     said = [_rule(order, list(names), found).alias("rule")] if names else []
-    return out.select("row_id", "label", pred.alias("pred"), sure.alias("purity"), total.cast("long").alias("support"), stage.alias("stage"), *said)
+    return out.select(
+        "row_id",
+        "label",
+        pred.alias("pred"),
+        sure.alias("purity"),
+        total.cast("long").alias("support"),
+        stage.alias("stage"),
+        *said,
+    )

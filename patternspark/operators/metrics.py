@@ -56,7 +56,9 @@ def roc_auc(preds: DataFrame, score: str = "conf", n: str | None = None, by: tup
 def run_statistics(preds: DataFrame, seconds: float | None = None) -> DataFrame:
     """Share of rows that an exact rule decided, and the mean confidence; of a timed run also milliseconds a row."""
     exact = F.avg(F.col("is_exact").cast("double"))
-    out = preds.agg(F.count("*").alias("n"), F.round(exact, 9).alias("coverage"), F.round(F.avg("conf"), 9).alias("mean_confidence"))
+    out = preds.agg(
+        F.count("*").alias("n"), F.round(exact, 9).alias("coverage"), F.round(F.avg("conf"), 9).alias("mean_confidence")
+    )
     return out if seconds is None else out.withColumn("ms_a_row", F.lit(seconds * 1000) / F.greatest("n", F.lit(1)))
 
 
@@ -66,7 +68,9 @@ def overfit_gap(train: DataFrame, test: DataFrame) -> DataFrame:
     both = acc(train, "train_acc").crossJoin(F.broadcast(acc(test, "test_acc")))  # one row each
     gap = F.col("train_acc") - F.col("test_acc")
     flagged = F.abs(F.round(gap, 9)) > 0.1
-    return both.select(*(F.round(x, 9).alias(x) for x in ("train_acc", "test_acc")), F.round(gap, 9).alias("gap"), flagged.alias("flagged"))
+    return both.select(
+        *(F.round(x, 9).alias(x) for x in ("train_acc", "test_acc")), F.round(gap, 9).alias("gap"), flagged.alias("flagged")
+    )
 
 
 def stage_report(lazy_preds: DataFrame) -> DataFrame:

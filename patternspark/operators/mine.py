@@ -171,7 +171,9 @@ class Frame:
         while part := [m for _, m in zip(range(MASKS_A_JOB), masks, strict=False)]:
             ok = self._grouped(part).where((n >= least) & (n > threshold) & (pure >= purity))
             order = (pure.desc(), n.desc(), attrs, said)
-            r = ok.select("mask", "vals", "n0", "n1", pure.alias("p"), attrs.alias("attrs"), said.alias("said")).orderBy(*order).first()
+            r = ok.select(
+                "mask", "vals", "n0", "n1", pure.alias("p"), attrs.alias("attrs"), said.alias("said")
+            ).orderBy(*order).first()
             if r is not None:
                 total = r["n0"] + r["n1"]
                 key = (-r["p"], -total, r["attrs"], r["said"])
@@ -193,17 +195,23 @@ class Frame:
     def maximal(self, purity: float, threshold: int) -> Iterator[Rule]:
         """Rounds of DataFrames: a round drops one attribute of every pattern that can lose one."""
         n = F.col("n0") + F.col("n1")
-        own = self.patterns.select(F.col("bits").alias("pid"), F.lit((1 << self.width) - 1).cast("long").alias("mask"), "n0", "n1")
+        own = self.patterns.select(
+            F.col("bits").alias("pid"), F.lit((1 << self.width) - 1).cast("long").alias("mask"), "n0", "n1"
+        )
         state = cut(own.select("pid", "mask", (F.greatest("n0", "n1") / n).alias("p"), F.lit(True).alias("open")))
         for _ in range(self.width - 1):
             open_ = state.where(F.col("open") & (F.bit_count("mask") > 1) & (F.col("p") >= purity))
-            tries = open_.withColumn("a", F.explode(F.expr(f"filter(sequence(0, {self.width - 1}), i -> shiftright(mask, i) & 1 = 1)")))
+            tries = open_.withColumn(
+                "a", F.explode(F.expr(f"filter(sequence(0, {self.width - 1}), i -> shiftright(mask, i) & 1 = 1)"))
+            )
             tries = cut(tries.withColumn("less", F.expr("mask & ~shiftleft(1L, a)")))
             if tries.isEmpty():
                 break
             sums = self._sums(tries.select(F.col("less").alias("mask")))
             told = sums.select(F.col("mask").alias("less"), "vals", (F.greatest("n0", "n1") / n).alias("q"))
-            q = tries.join(told, (tries["less"] == told["less"]) & (F.col("pid").bitwiseAND(tries["less"]) == told["vals"])).drop(told["less"])
+            q = tries.join(
+                told, (tries["less"] == told["less"]) & (F.col("pid").bitwiseAND(tries["less"]) == told["vals"])
+            ).drop(told["less"])
             best = q.where((F.col("q") >= purity) & (F.col("q") >= F.col("p"))).groupBy("pid")
             best = best.agg(F.max_by(F.struct("less", "q"), F.struct("q", "a")).alias("to"))
             moved = state.join(best, "pid", "left").select(
@@ -211,10 +219,14 @@ class Frame:
             )
             state = cut(moved)
         ends = state.select("pid", "mask", F.col("pid").bitwiseAND(F.col("mask")).alias("vals"))
-        ends = ends.groupBy("mask", "vals").agg(F.min("pid").alias("pid")).join(self._sums(state.select("mask")), ["mask", "vals"])
+        ends = ends.groupBy("mask", "vals").agg(F.min("pid").alias("pid")).join(
+            self._sums(state.select("mask")), ["mask", "vals"]
+        )
         kept = ends.where((F.greatest("n0", "n1") / n >= purity) & (n > threshold)).orderBy("pid")
         for r in kept.toLocalIterator():
-            yield Rule(int(r["n1"] > r["n0"]), r["mask"], r["vals"], max(r["n0"], r["n1"]) / (r["n0"] + r["n1"]), r["n0"] + r["n1"])
+            yield Rule(
+                int(r["n1"] > r["n0"]), r["mask"], r["vals"], max(r["n0"], r["n1"]) / (r["n0"] + r["n1"]), r["n0"] + r["n1"]
+            )
 
     def without(self, rules: list[Rule]) -> Frame:
         left = self.patterns
@@ -395,7 +407,10 @@ def miner(name: str, **kw):
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(i, r.label, r.mask, r.vals, round(float(r.purity), 9), r.repet, round(float(r.weight), 9), r.source) for i, r in enumerate(rules)]
+    rows = [
+        (i, r.label, r.mask, r.vals, round(float(r.purity), 9), r.repet, round(float(r.weight), 9), r.source)
+        for i, r in enumerate(rules)
+    ]
     return spark.createDataFrame(rows, RULES)
 
 

@@ -28,7 +28,9 @@ def match(rows: DataFrame, rules: DataFrame, name: str = "rules") -> DataFrame:
     return rows.crossJoin(F.broadcast(packed))  # one row that holds all rules
 
 
-def facts(rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight", min_weight: float = MIN_WEIGHT, name: str = "rules") -> DataFrame:
+def facts(
+    rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight", min_weight: float = MIN_WEIGHT, name: str = "rules"
+) -> DataFrame:
     """rows with what classifiers ask for: <name>, <name>_fired, and <name>_part, the best overlap.
 
     A part holds s, the mode's score, k, the rank below zero, l, the label, and o, the raw overlap.
@@ -72,10 +74,14 @@ def _assume(name: str, default: int) -> tuple[Column, Column]:
     return F.when(some, 1 - default).otherwise(default), F.round(F.when(some, hit["weight"]).otherwise(1.0), 9)
 
 
-def best_match(rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight", min_weight: float = MIN_WEIGHT) -> DataFrame:
+def best_match(
+    rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight", min_weight: float = MIN_WEIGHT
+) -> DataFrame:
     """row_id, label, pred, conf, is_exact."""
     pred, conf, exact = _best("rules")
-    return facts(rows, rules, mode, min_weight).select("row_id", "label", pred.alias("pred"), conf.alias("conf"), exact.alias("is_exact"))
+    return facts(rows, rules, mode, min_weight).select(
+        "row_id", "label", pred.alias("pred"), conf.alias("conf"), exact.alias("is_exact")
+    )
 
 
 def soft_vote(rows: DataFrame, rules: DataFrame, threshold: float = 0.5, min_weight: float = MIN_WEIGHT) -> DataFrame:
@@ -114,7 +120,10 @@ def classify(
     if votes == "voting":
         m = facts(m, rules if voting is None else voting, min_weight=min_weight, name="voting")
     said = [_best("rules")[:2], _soft(votes, threshold), _assume(votes, 0), _assume(votes, 1)]
-    each = (F.struct(F.lit(c).alias("classifier"), p.cast("int").alias("pred"), s.alias("conf")) for c, (p, s) in zip(CLASSIFIERS, said, strict=True))
+    each = (
+        F.struct(F.lit(c).alias("classifier"), p.cast("int").alias("pred"), s.alias("conf"))
+        for c, (p, s) in zip(CLASSIFIERS, said, strict=True)
+    )
     return m.select(*rows.columns, F.inline(F.array(*each)))
 
 
@@ -128,7 +137,11 @@ def justify(rows: DataFrame, rules: DataFrame, mode: str = "overlap_times_weight
     m = facts(rows, rules, mode).withColumns({"pred": pred, "score": score, "is_exact": exact})
     why = F.expr(f"get(filter(rules, r -> r.rule_label = pred AND round({OVERLAP}, 12) = score), 0)")
     m = m.withColumn("r", F.coalesce(why, F.get("rules", F.lit(0))))
-    reason = (F.col("r.rule_rank").alias("rule_rank"), F.round(F.expr(OVERLAP), 9).alias("overlap"), F.round("r.weight", 9).alias("weight"))
+    reason = (
+        F.col("r.rule_rank").alias("rule_rank"),
+        F.round(F.expr(OVERLAP), 9).alias("overlap"),
+        F.round("r.weight", 9).alias("weight"),
+    )
     return m.select("row_id", "label", "pred", F.round("score", 9).alias("score"), "is_exact", *reason)
 
 
@@ -152,4 +165,6 @@ def rule_statistics(patterns: DataFrame, rules: DataFrame) -> DataFrame:
     c = rules.select("rule_rank").join(c, "rule_rank", "left").fillna(0, ["n0", "n1"])
     n = F.col("n0") + F.col("n1")
     purity = F.round(F.when(n > 0, F.greatest("n0", "n1") / n).otherwise(0.0), 9)
-    return c.select("rule_rank", n.alias("support"), purity.alias("purity"), (F.col("n1") > F.col("n0")).cast("int").alias("majority"))
+    return c.select(
+        "rule_rank", n.alias("support"), purity.alias("purity"), (F.col("n1") > F.col("n0")).cast("int").alias("majority")
+    )

@@ -30,7 +30,11 @@ def pattern_table(rows: DataFrame, mask: int | None = None) -> DataFrame:
 def lad_score(patterns: DataFrame, class_weight: float = 1.0) -> DataFrame:
     boost = F.when(F.col("n1") > F.col("n0"), class_weight).otherwise(1.0)
     score = F.sum(boost * F.greatest("n0", "n1")) / F.sum(boost * (F.col("n0") + F.col("n1")))
-    return patterns.agg(F.round(F.coalesce(score, F.lit(0.0)), 9).alias("score"), F.count("*").alias("patterns"), (F.coalesce(F.max(F.least("n0", "n1")), F.lit(0)) == 0).alias("consistent"))
+    return patterns.agg(
+        F.round(F.coalesce(score, F.lit(0.0)), 9).alias("score"),
+        F.count("*").alias("patterns"),
+        (F.coalesce(F.max(F.least("n0", "n1")), F.lit(0)) == 0).alias("consistent"),
+    )
 
 
 def inconsistent(patterns: DataFrame) -> DataFrame:
@@ -39,7 +43,9 @@ def inconsistent(patterns: DataFrame) -> DataFrame:
 
 def majority() -> Column:
     """Larger class of a pattern; a tie goes to the label met first."""
-    return F.when(F.col("n1") > F.col("n0"), 1).when(F.col("n0") > F.col("n1"), 0).otherwise(F.when(F.col("first1") < F.col("first0"), 1).otherwise(0))
+    return F.when(F.col("n1") > F.col("n0"), 1).when(F.col("n0") > F.col("n1"), 0).otherwise(
+        F.when(F.col("first1") < F.col("first0"), 1).otherwise(0)
+    )
 
 
 def remove_conflicts(rows: DataFrame, mask: int | None = None) -> DataFrame:
@@ -54,7 +60,9 @@ def mutual_information(patterns: DataFrame, n_cuts: int) -> DataFrame:
     bit = f"get(words, i div {WORD}), i % {WORD}" if "words" in patterns.columns else "bits, i"
     values = F.expr(f"transform(sequence(0, {n_cuts - 1}), i -> shiftright({bit}) & 1)")
     one = patterns.select("n0", "n1", F.posexplode(values).alias("cut_id", "v"))
-    t = one.groupBy("cut_id").agg(*(F.sum(F.when(F.col("v") == v, F.col(f"n{c}")).otherwise(0)).alias(f"n{v}{c}") for v in (0, 1) for c in (0, 1)))
+    t = one.groupBy("cut_id").agg(
+        *(F.sum(F.when(F.col("v") == v, F.col(f"n{c}")).otherwise(0)).alias(f"n{v}{c}") for v in (0, 1) for c in (0, 1))
+    )
     n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
 
     def term(v: int, c: int) -> Column:
@@ -68,4 +76,7 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     """label, weight = n / (classes * rows of the class)."""
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
     whole = n.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return n.crossJoin(F.broadcast(whole)).select("label", F.round(F.col("total") / (F.col("classes") * F.col("n")), 9).alias("weight"))  # one row
+    # one row
+    return n.crossJoin(F.broadcast(whole)).select(
+        "label", F.round(F.col("total") / (F.col("classes") * F.col("n")), 9).alias("weight")
+    )

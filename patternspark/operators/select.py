@@ -107,7 +107,14 @@ def mi_greedy(p: Patterns, order: list[int]) -> list[int]:
     return subset
 
 
-def astar(p: Patterns, n: int, h_weight: float = 5.0, most: int | None = None, most_features: int | None = None, order: list[int] | None = None) -> list[int]:
+def astar(
+    p: Patterns,
+    n: int,
+    h_weight: float = 5.0,
+    most: int | None = None,
+    most_features: int | None = None,
+    order: list[int] | None = None,
+) -> list[int]:
     """Best-first search over subsets; f = size/n + h_weight*(1 - the parent's score), and with an order of mutual
     information a tenth of the last feature's rank. The first consistent subset popped is final: its score is 1,
     and nothing later can be better. Without any, the best subset of the budget (EXPANSIONS or MI_EXPANSIONS).

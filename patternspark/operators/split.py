@@ -15,7 +15,9 @@ def _placed(df: DataFrame, seed: int, label: str, row_id: str) -> DataFrame:
     return place(keyed, [label], [F.col("_digest"), F.col(row_id)], "_place").drop("_digest")
 
 
-def stratified_split(df: DataFrame, test_size: float = 0.25, seed: int = 42, label: str = "label", row_id: str = "row_id") -> DataFrame:
+def stratified_split(
+    df: DataFrame, test_size: float = 0.25, seed: int = 42, label: str = "label", row_id: str = "row_id"
+) -> DataFrame:
     """Adds is_test: the first round(test_size * n) rows of every class in a digest order."""
     placed = _placed(df, seed, label, row_id)
     return placed.withColumn("is_test", F.col("_place") < F.round(F.col("_place_of") * test_size)).drop("_place", "_place_of")

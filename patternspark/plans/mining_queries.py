@@ -39,9 +39,15 @@ def _tree(depth: int, leaf: int, least: float = 0.0, places: int = 10) -> str:
   (sum(n) OVER a)::BIGINT AS n, (sum(pos) OVER a)::BIGINT AS p FROM node{k}
   WINDOW o AS (PARTITION BY feature, node ORDER BY x), r AS (PARTITION BY feature, node ORDER BY x ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, node))""")
         fall = f"{impure('n', 'p')} - {impure('ln', 'lp')} - {impure('(n - ln)', '(p - lp)')}"
-        out.append(f"fall{k} AS (SELECT feature, node, t, {fall} AS fall, {least} * (tp * w1 + (tn - tp) * w0) / 2 AS least FROM run{k} JOIN wt USING (feature) WHERE t IS NOT NULL AND ln >= {leaf} AND n - ln >= {leaf})")
-        out.append(f"best{k} AS (SELECT feature, node, t FROM (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY fall DESC, t) AS r FROM fall{k} WHERE fall > 1e-9 AND fall >= least) WHERE r = 1)")
-        out.append(f"node{k + 1} AS (SELECT feature, x, n, pos, node * 2 + (x > t)::BIGINT AS node FROM node{k} JOIN best{k} USING (feature, node))")
+        out.append(
+            f"fall{k} AS (SELECT feature, node, t, {fall} AS fall, {least} * (tp * w1 + (tn - tp) * w0) / 2 AS least FROM run{k} JOIN wt USING (feature) WHERE t IS NOT NULL AND ln >= {leaf} AND n - ln >= {leaf})"
+        )
+        out.append(
+            f"best{k} AS (SELECT feature, node, t FROM (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY fall DESC, t) AS r FROM fall{k} WHERE fall > 1e-9 AND fall >= least) WHERE r = 1)"
+        )
+        out.append(
+            f"node{k + 1} AS (SELECT feature, x, n, pos, node * 2 + (x > t)::BIGINT AS node FROM node{k} JOIN best{k} USING (feature, node))"
+        )
     both = " UNION ".join(f"SELECT feature, round(t, {places}) AS t FROM best{k}" for k in range(depth))
     return ", ".join([*out, f"th AS ({both})"])
 
@@ -56,9 +62,13 @@ def tree_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return B.tree_thresholds(B.histogram(R._docs(spark, sf), R.NUMERIC))
 
 
-@R._query(f"WITH {_tree(4, 10)}, {_GAINS} SELECT feature, t, round(gain, 7) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t DESC) AS r FROM gains WHERE nl >= 5 AND nr >= 5) WHERE r <= 3")
+@R._query(
+    f"WITH {_tree(4, 10)}, {_GAINS} SELECT feature, t, round(gain, 7) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t DESC) AS r FROM gains WHERE nl >= 5 AND nr >= 5) WHERE r <= 3"
+)
 def tree_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tree_cuts(B.histogram(R._docs(spark, sf), R.NUMERIC), "greedy", 4, 10, top_k=3).select("feature", "t", F.round("gain", 7).alias("gain"))
+    return B.tree_cuts(B.histogram(R._docs(spark, sf), R.NUMERIC), "greedy", 4, 10, top_k=3).select(
+        "feature", "t", F.round("gain", 7).alias("gain")
+    )
 
 
 @R._query(f"""WITH {_tree(5, 15, 0.005, 8)}, {_GAINS}, kept AS (SELECT *, min(t) OVER w AS a, max(t) OVER w AS b, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) AS r FROM gains

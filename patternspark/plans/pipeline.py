@@ -109,7 +109,9 @@ def fit(train: DataFrame, c: Config, reuse: dict | None = None) -> Model:
     subset = stage("subset", second, lambda: choose_features(bits, len(cuts), c))
     if len(subset) > score.WORD:
         raise ValueError(f"{len(subset)} cuts were selected, and rules are over at most {score.WORD}: set a smaller budget")
-    clean = stage("clean", second, lambda: store.cut(score.remove_conflicts(binarize.transform(train, [cuts[i] for i in subset]))))
+    clean = stage(
+        "clean", second, lambda: store.cut(score.remove_conflicts(binarize.transform(train, [cuts[i] for i in subset])))
+    )
     if c.miner == "lazy":
         w = {r["cut_id"]: r["weight"] for r in lazy.weights(score.pattern_table(clean), len(subset), c.lazy_support).collect()}
         return Model(cuts, subset, [], sorted(w, key=lambda i: (-w[i], -i)), clean, config=c)
@@ -175,7 +177,9 @@ def cross_validate(df: DataFrame, c: Config, k: int = 5) -> list[dict]:
         kind = "lazy" if c.miner == "lazy" else "best_match"
         model = fit(folds.where(F.col("fold") != i), c)
         if model.rules or kind == "lazy":
-            out.append({"fold": i, **metrics.metrics(predict_with(model, folds.where(F.col("fold") == i), kind)).first().asDict()})
+            out.append(
+                {"fold": i, **metrics.metrics(predict_with(model, folds.where(F.col("fold") == i), kind)).first().asDict()}
+            )
     return out
 
 
@@ -202,7 +206,9 @@ def tune_h_weight(rows: DataFrame, n: int, candidates: list[float], expansions:
     return best[1]
 
 
-def tune_purity(rows: DataFrame, n: int, candidates: list[float], miner: str = "maxpatterns", threshold: int = 0, k: int = 5) -> tuple[float, float]:
+def tune_purity(
+    rows: DataFrame, n: int, candidates: list[float], miner: str = "maxpatterns", threshold: int = 0, k: int = 5
+) -> tuple[float, float]:
     """(purity, mean accuracy over k folds), the lowest purity of the best; a fold without rules counts 0.
 
     rows: row_id, label, bits of n selected cuts.
@@ -214,7 +220,12 @@ def tune_purity(rows: DataFrame, n: int, candidates: list[float], miner: str = "
         scores = []
         for i, t in enumerate(tables):
             rules = mine.miner(miner, purity=purity, threshold=threshold)(t)
-            scores.append(metrics.metrics(predict.best_match(folds.where(F.col("fold") == i), mine.rules_frame(rows.sparkSession, rules))).first()["accuracy"] if rules else 0.0)
+            scores.append(
+                metrics.metrics(
+                    predict.best_match(folds.where(F.col("fold") == i), mine.rules_frame(rows.sparkSession, rules))
+                ).first()["accuracy"]
+                if rules else 0.0
+            )
         if best is None or statistics.fmean(scores) > best[1]:
             best = (purity, statistics.fmean(scores))
     return best
@@ -277,7 +288,9 @@ def tune(df: DataFrame, configs: list[Config], path: str, most_seconds: float =
     spark = df.sparkSession
     marked = store.cut(split.stratified_split(df))
     train, test = marked.where("not is_test"), marked.where("is_test")
-    done = {r["config_hash"] for r in store.trials(spark, path).select("config_hash").collect()} if store.exists(spark, path) else set()
+    done = {
+        r["config_hash"] for r in store.trials(spark, path).select("config_hash").collect()
+    } if store.exists(spark, path) else set()
     reuse: dict = {}
     for c in configs:
         key = store.config_hash(vars(c))

@@ -19,8 +19,21 @@ ORACLES: dict[str, str] = {}
 NUMERIC = list(X.DOC_NUMERIC)
 LINE_NUMERIC = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 #: Fixed cuts and rules, so that every step can be checked on its own: (feature, threshold) is bit i.
-CUTS = (("letter_ratio", 0.9), ("punct_ratio", 0.02), ("n_words", 150.0), ("n_lines", 8.0), ("digit_ratio", 0.001), ("n_chars", 2000.0))
-RULES = ((1, 0b000001, 0b000000, 0.99, 200, 0.9), (0, 0b000011, 0b000001, 0.9, 30, 0.7), (1, 0b010100, 0b010000, 0.85, 60, 0.6), (0, 0b101001, 0b100001, 0.8, 12, 0.3), (1, 0b001000, 0b001000, 0.7, 20, 0.04))
+CUTS = (
+    ("letter_ratio", 0.9),
+    ("punct_ratio", 0.02),
+    ("n_words", 150.0),
+    ("n_lines", 8.0),
+    ("digit_ratio", 0.001),
+    ("n_chars", 2000.0),
+)
+RULES = (
+    (1, 0b000001, 0b000000, 0.99, 200, 0.9),
+    (0, 0b000011, 0b000001, 0.9, 30, 0.7),
+    (1, 0b010100, 0b010000, 0.85, 60, 0.6),
+    (0, 0b101001, 0b100001, 0.8, 12, 0.3),
+    (1, 0b001000, 0b001000, 0.7, 20, 0.04),
+)
 
 
 def _cuts() -> list[B.Cut]:
@@ -40,7 +53,9 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_extendedprice") > 40000).cast("int").alias("label"), *LINE_NUMERIC)
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        (F.col("l_extendedprice") > 40000).cast("int").alias("label"), *LINE_NUMERIC
+    )
 
 
 def _query(oracle: str | None = None):
@@ -60,7 +75,9 @@ _DOC = """doc AS (SELECT d.doc_id AS row_id, l.quality AS label,
   (length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS n_words,
   (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS n_lines, n_chars::DOUBLE AS n_chars, lang
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
-_BIT = _DOC + ", bit AS (SELECT row_id, label, (" + " + ".join(f"CASE WHEN {f} <= {t} THEN {1 << i} ELSE 0 END" for i, (f, t) in enumerate(CUTS)) + ")::BIGINT AS bits FROM doc)"
+_BIT = _DOC + ", bit AS (SELECT row_id, label, (" + " + ".join(
+    f"CASE WHEN {f} <= {t} THEN {1 << i} ELSE 0 END" for i, (f, t) in enumerate(CUTS)
+) + ")::BIGINT AS bits FROM doc)"
 _PAT = _BIT + """, pat AS (SELECT bits, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1,
   min(row_id) FILTER (label = 0) AS first0, min(row_id) FILTER (label = 1) AS first1 FROM bit GROUP BY bits)"""
 _LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, label FROM doc" for f in NUMERIC) + ")"
@@ -73,7 +90,9 @@ cand AS (SELECT feature, t, nl::BIGINT AS nl, (n - nl)::BIGINT AS nr, power((pl
 _FIT = f"{_DOC}, {_LONG}, {_HIST}, {_CAND}"
 _LINE = f"line AS (SELECT (l_extendedprice > 40000)::INT AS label, {', '.join(LINE_NUMERIC)} FROM lineitem)"
 _LINES = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, label FROM line" for f in LINE_NUMERIC) + ")"
-_RULE = "rule(rule_rank, label, mask, vals, weight) AS (VALUES " + ", ".join(f"({i}, {r[0]}, {r[1]}::BIGINT, {r[2]}::BIGINT, {r[5]}::DOUBLE)" for i, r in enumerate(RULES)) + ")"
+_RULE = "rule(rule_rank, label, mask, vals, weight) AS (VALUES " + ", ".join(
+    f"({i}, {r[0]}, {r[1]}::BIGINT, {r[2]}::BIGINT, {r[5]}::DOUBLE)" for i, r in enumerate(RULES)
+) + ")"
 _FIRE = _BIT + f""", {_RULE}, pair AS (SELECT row_id, bit.label, rule_rank, rule.label AS rl, weight, (bits & mask) = vals AS fires,
   round(1 - bit_count(xor(bits, vals) & mask) / bit_count(mask), 12) AS overlap, round((1 - bit_count(xor(bits, vals) & mask) / bit_count(mask)) * weight, 12) AS worth FROM bit, rule)"""
 
@@ -91,7 +110,9 @@ soft AS (SELECT vote.row_id, vote.label, CASE WHEN w > 0 THEN (round(w1 / w, 12)
 _PROFILE = "3 AS n_columns, 'doc_id, quality, toxic' AS columns"
 
 
-@_query(f"SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, sum(count(*)) OVER ()::BIGINT AS n_rows, {_PROFILE} FROM labels GROUP BY quality")
+@_query(
+    f"SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, sum(count(*)) OVER ()::BIGINT AS n_rows, {_PROFILE} FROM labels GROUP BY quality"
+)
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return X.profile(spark.read.parquet(f"{sf}/labels.parquet"), "quality")
 
@@ -106,25 +127,35 @@ c AS (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS cod
 SELECT doc_id AS row_id, source, lang_map, coalesce(code, -1)::INT AS source_code FROM v LEFT JOIN c USING (source)""")
 def clean_encode(spark: SparkSession, sf: str) -> DataFrame:
     d = X.trim_all(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "lang", "source"))
-    return X.factorize(d.withColumn("lang_map", X.map_values(F.col("lang"), {"en": 1, "de": 0}, F.lit(-1))), "source").select("row_id", "source", "lang_map", "source_code")
+    return X.factorize(d.withColumn("lang_map", X.map_values(F.col("lang"), {"en": 1, "de": 0}, F.lit(-1))), "source").select(
+        "row_id", "source", "lang_map", "source_code"
+    )
 
 
 _ORDERED = "row_number() OVER (PARTITION BY quality ORDER BY md5('42-' || doc_id), doc_id)"
 
 
-@_query(f"SELECT doc_id AS row_id, quality AS label, {_ORDERED} <= round(count(*) OVER (PARTITION BY quality) * 0.25) AS is_test FROM labels")
+@_query(
+    f"SELECT doc_id AS row_id, quality AS label, {_ORDERED} <= round(count(*) OVER (PARTITION BY quality) * 0.25) AS is_test FROM labels"
+)
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    return split.stratified_split(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")))
+    return split.stratified_split(
+        spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    )
 
 
 @_query(f"SELECT doc_id AS row_id, quality AS label, (({_ORDERED} - 1) % 5)::INT AS fold FROM labels")
 def kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return split.kfold(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")))
+    return split.kfold(
+        spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    )
 
 
 @_query(f"WITH {_FIT} SELECT feature, t, nl, nr, round(gain, 9) AS gain FROM cand")
 def gini_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return B.candidates(B.histogram(_docs(spark, sf), NUMERIC)).select("feature", "t", "nl", "nr", F.round("gain", 9).alias("gain"))
+    return B.candidates(B.histogram(_docs(spark, sf), NUMERIC)).select(
+        "feature", "t", "nl", "nr", F.round("gain", 9).alias("gain")
+    )
 
 
 @_query(f"WITH {_LINE}, {_LINES}, {_HIST}, {_CAND} SELECT feature, round(t, 6) AS t, nl, nr, round(gain, 9) AS gain FROM cand")
@@ -133,18 +164,26 @@ def gini_candidates_lines(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("feature", F.round("t", 6).alias("t"), "nl", "nr", F.round("gain", 9).alias("gain"))
 
 
-@_query(f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t DESC) <= 5")
+@_query(
+    f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t DESC) <= 5"
+)
 def topk_cuts(spark: SparkSession, sf: str) -> DataFrame:
     c = B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "greedy", 5)
     return c.select("feature", "t", F.round("gain", 9).alias("gain"))
 
 
-@_query(f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) = 1")
+@_query(
+    f"WITH {_FIT} SELECT feature, t, round(gain, 9) AS gain FROM cand QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) = 1"
+)
 def mode_one_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "one").select("feature", "t", F.round("gain", 9).alias("gain"))
+    return B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "one").select(
+        "feature", "t", F.round("gain", 9).alias("gain")
+    )
 
 
-@_query(f"WITH {_FIT} SELECT feature, t FROM cand QUALIFY t = min(t) OVER (PARTITION BY feature) OR t = max(t) OVER (PARTITION BY feature)")
+@_query(
+    f"WITH {_FIT} SELECT feature, t FROM cand QUALIFY t = min(t) OVER (PARTITION BY feature) OR t = max(t) OVER (PARTITION BY feature)"
+)
 def mode_two_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return B.choose(B.candidates(B.histogram(_docs(spark, sf), NUMERIC)), "two").select("feature", "t")
 
@@ -155,7 +194,9 @@ walk AS (SELECT feature, i, t AS last, gain AS g, i AS slot, gap FROM num WHERE
     CASE WHEN n.t - w.last < w.gap THEN w.slot ELSE n.i END, w.gap FROM walk w JOIN num n ON n.feature = w.feature AND n.i = w.i + 1)
 SELECT feature, max_by(last, i) AS t, round(max_by(g, i), 9) AS gain FROM walk GROUP BY feature, slot""")
 def distance_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return B.distance_prune(B.candidates(B.histogram(_docs(spark, sf), NUMERIC))).select("feature", "t", F.round("gain", 9).alias("gain"))
+    return B.distance_prune(B.candidates(B.histogram(_docs(spark, sf), NUMERIC))).select(
+        "feature", "t", F.round("gain", 9).alias("gain")
+    )
 
 
 @_query(f"""WITH {_DOC}, v AS (SELECT lang AS v, count(*) AS n, sum(label) AS pos, row_number() OVER (ORDER BY lang) - 1 AS i FROM doc GROUP BY lang),
@@ -197,7 +238,9 @@ def inconsistent_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return score.inconsistent(score.pattern_table(_bits(spark, sf)))
 
 
-@_query(f"WITH {_PAT} SELECT bit.row_id, bit.label, bit.bits FROM bit JOIN pat USING (bits) WHERE bit.label = CASE WHEN n1 > n0 THEN 1 WHEN n0 > n1 THEN 0 WHEN first1 < first0 THEN 1 ELSE 0 END")
+@_query(
+    f"WITH {_PAT} SELECT bit.row_id, bit.label, bit.bits FROM bit JOIN pat USING (bits) WHERE bit.label = CASE WHEN n1 > n0 THEN 1 WHEN n0 > n1 THEN 0 WHEN first1 < first0 THEN 1 ELSE 0 END"
+)
 def remove_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return score.remove_conflicts(_bits(spark, sf))
 
@@ -271,21 +314,29 @@ SELECT te.row_id, te.label, CASE WHEN level IS NULL THEN (b1 > b0)::INT ELSE (n1
   CASE WHEN level IS NULL THEN '<majority class fallback>' ELSE array_to_string([{", ".join(f"CASE WHEN level > {i} THEN CASE WHEN (bits >> {i}) & 1 = 1 THEN '' ELSE 'NOT ' END || '{f} <= {t:.4f}' END" for i, (f, t) in enumerate(CUTS))}], ' AND ') END AS rule FROM te LEFT JOIN h USING (row_id), b""")
 def lazy_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _bits(spark, sf)
-    return lazy.predict(rows.where("row_id % 4 <> 0"), rows.where("row_id % 4 = 0"), list(range(len(CUTS))), names=[c.readable() for c in _cuts()])
+    return lazy.predict(
+        rows.where("row_id % 4 <> 0"), rows.where("row_id % 4 = 0"), list(range(len(CUTS))), names=[c.readable() for c in _cuts()]
+    )
 
 
-@_query("SELECT quality AS label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight FROM labels GROUP BY quality")
+@_query(
+    "SELECT quality AS label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight FROM labels GROUP BY quality"
+)
 def balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     return score.balanced_weights(spark.read.parquet(f"{sf}/labels.parquet").select(F.col("quality").alias("label")))
 
 
 @_query("SELECT event_id AS row_id, coalesce(try_cast(substr(props, 7, 2) AS DOUBLE), 0.0) AS x FROM events")
 def safe_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("row_id"), F.substring("props", 7, 2).alias("k"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("row_id"), F.substring("props", 7, 2).alias("k")
+    )
     return e.select("row_id", X.to_number("k").alias("x"))
 
 
-@_query(f"WITH {_FIT}, a AS (SELECT feature, t, gain, max(hi - lo) OVER w * 0.3 AS gap, min(t) OVER w AS t0, max(t) OVER w AS t1, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) AS r FROM cand WINDOW w AS (PARTITION BY feature)) SELECT feature, t FROM a WHERE CASE WHEN t1 - t0 < gap THEN r = 1 ELSE t = t0 OR t = t1 END")
+@_query(
+    f"WITH {_FIT}, a AS (SELECT feature, t, gain, max(hi - lo) OVER w * 0.3 AS gap, min(t) OVER w AS t0, max(t) OVER w AS t1, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, t) AS r FROM cand WINDOW w AS (PARTITION BY feature)) SELECT feature, t FROM a WHERE CASE WHEN t1 - t0 < gap THEN r = 1 ELSE t = t0 OR t = t1 END"
+)
 def mode_two_apart(spark: SparkSession, sf: str) -> DataFrame:
     hist = B.histogram(_docs(spark, sf), NUMERIC)
     gaps = hist.groupBy("feature").agg(((F.max("x") - F.min("x")) * 0.3).alias("gap"))
@@ -299,7 +350,9 @@ _THRESHOLDS = "th(feature, t) AS (VALUES " + ", ".join(f"('{f}', {t}::DOUBLE)" f
 SELECT feature, t, nl, nr, round(CASE WHEN nl < 2 OR nr < 2 THEN 0 ELSE power((pl * nr - pr * nl)::DOUBLE, 2) / (n::DOUBLE * nl * nr) END, 7) AS gain FROM s""")
 def threshold_gains(spark: SparkSession, sf: str) -> DataFrame:
     fixed = spark.createDataFrame(list(CUTS), "feature string, t double")
-    return B.measure(B.histogram(_docs(spark, sf), NUMERIC), fixed).select("feature", "t", "nl", "nr", F.round("gain", 7).alias("gain"))
+    return B.measure(B.histogram(_docs(spark, sf), NUMERIC), fixed).select(
+        "feature", "t", "nl", "nr", F.round("gain", 7).alias("gain")
+    )
 
 
 _MEMBERS = ORACLES["categorical_cuts"].replace("SELECT members, nl::BIGINT", ", c AS (SELECT members, nl::BIGINT", 1) + ")"
@@ -326,7 +379,9 @@ t(i, feature, threshold) AS (VALUES {", ".join(f"({i}, '{f}', {t}::DOUBLE)" for
 SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS cut_id, feature, threshold FROM t WHERE i NOT IN (SELECT i FROM twin)""")
 def duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
     kept = B.distinct_cuts(_docs(spark, sf), [B.Cut(i, f, t) for i, (f, t) in enumerate(TWINS)])
-    return spark.createDataFrame([(c.cut_id, c.feature, c.threshold) for c in kept], "cut_id int, feature string, threshold double")
+    return spark.createDataFrame(
+        [(c.cut_id, c.feature, c.threshold) for c in kept], "cut_id int, feature string, threshold double"
+    )
 
 
 @_query(f"""WITH {_FIRE}, {_best('overlap')}, v AS (SELECT row_id, label, round(coalesce(sum(weight) FILTER (fires AND rl = 1), 0), 12) AS w1, round(coalesce(sum(weight) FILTER (fires AND rl = 0), 0), 12) AS w0, min_by(rl, rule_rank) FILTER (fires) AS one FROM pair GROUP BY row_id, label)
@@ -358,18 +413,24 @@ def rule_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return predict.rule_statistics(score.pattern_table(_bits(spark, sf)), _rules(spark))
 
 
-@_query(f"WITH {_FIRE}, {_best('worth')}, a AS (SELECT avg((pred = label)::INT) FILTER (row_id % 4 <> 0) AS x, avg((pred = label)::INT) FILTER (row_id % 4 = 0) AS y FROM best) SELECT round(x, 9) AS train_acc, round(y, 9) AS test_acc, round(x - y, 9) AS gap, abs(round(x - y, 9)) > 0.1 AS flagged FROM a")
+@_query(
+    f"WITH {_FIRE}, {_best('worth')}, a AS (SELECT avg((pred = label)::INT) FILTER (row_id % 4 <> 0) AS x, avg((pred = label)::INT) FILTER (row_id % 4 = 0) AS y FROM best) SELECT round(x, 9) AS train_acc, round(y, 9) AS test_acc, round(x - y, 9) AS gap, abs(round(x - y, 9)) > 0.1 AS flagged FROM a"
+)
 def overfit_gap(spark: SparkSession, sf: str) -> DataFrame:
     p = best_match(spark, sf)
     return metrics.overfit_gap(p.where("row_id % 4 <> 0"), p.where("row_id % 4 = 0"))
 
 
-@_query(f"WITH {_FIRE}, {_best('worth')} SELECT count(*) AS n, round(avg(is_exact::INT), 9) AS coverage, round(avg(round(conf, 9)), 9) AS mean_confidence FROM best")
+@_query(
+    f"WITH {_FIRE}, {_best('worth')} SELECT count(*) AS n, round(avg(is_exact::INT), 9) AS coverage, round(avg(round(conf, 9)), 9) AS mean_confidence FROM best"
+)
 def run_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.run_statistics(best_match(spark, sf))
 
 
-@_query(f"WITH z AS ({ORACLES['lazy_predict']}), s AS (SELECT stage, count(*) AS n, round(avg((pred = label)::INT), 9) AS accuracy, round(avg(purity), 9) AS mean_purity, round(avg(support), 9) AS mean_support FROM z GROUP BY stage) SELECT *, round(n / sum(n) OVER (), 9) AS share, stage = 'fallback' AND round(n / sum(n) OVER (), 9) > 0.3 AS hint FROM s")
+@_query(
+    f"WITH z AS ({ORACLES['lazy_predict']}), s AS (SELECT stage, count(*) AS n, round(avg((pred = label)::INT), 9) AS accuracy, round(avg(purity), 9) AS mean_purity, round(avg(support), 9) AS mean_support FROM z GROUP BY stage) SELECT *, round(n / sum(n) OVER (), 9) AS share, stage = 'fallback' AND round(n / sum(n) OVER (), 9) > 0.3 AS hint FROM s"
+)
 def lazy_stages(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.stage_report(lazy_predict(spark, sf))
 
@@ -380,15 +441,26 @@ def first_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Trials as (hash, accuracy, F1, status, minute); the second row of a hash replaces the first.
-LOG = (("a", 0.9, 0.8, "ok", 0), ("b", 0.9, 0.85, "ok", 1), ("c", 0.5, 0.1, "error", 2), ("a", 0.7, 0.6, "ok", 3), ("d", 0.9, 0.85, "ok", 4), ("e", 0.2, 0.2, "timeout", 5))
-_LOG = "lg(config_hash, accuracy, f1, status, ts) AS (VALUES " + ", ".join(f"('{h}', {a}::DOUBLE, {f}::DOUBLE, '{s}', {m})" for h, a, f, s, m in LOG) + "), last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY ts DESC) = 1)"
+LOG = (
+    ("a", 0.9, 0.8, "ok", 0),
+    ("b", 0.9, 0.85, "ok", 1),
+    ("c", 0.5, 0.1, "error", 2),
+    ("a", 0.7, 0.6, "ok", 3),
+    ("d", 0.9, 0.85, "ok", 4),
+    ("e", 0.2, 0.2, "timeout", 5),
+)
+_LOG = "lg(config_hash, accuracy, f1, status, ts) AS (VALUES " + ", ".join(
+    f"('{h}', {a}::DOUBLE, {f}::DOUBLE, '{s}', {m})" for h, a, f, s, m in LOG
+) + "), last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY ts DESC) = 1)"
 
 
 def _log(spark: SparkSession) -> DataFrame:
     return store.latest(spark.createDataFrame(list(LOG), "config_hash string, accuracy double, f1 double, status string, ts int"))
 
 
-@_query(f"WITH {_LOG} SELECT config_hash, accuracy, f1 FROM last WHERE status = 'ok' ORDER BY accuracy DESC, f1 DESC, config_hash LIMIT 20")
+@_query(
+    f"WITH {_LOG} SELECT config_hash, accuracy, f1 FROM last WHERE status = 'ok' ORDER BY accuracy DESC, f1 DESC, config_hash LIMIT 20"
+)
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return store.leaderboard(_log(spark)).select("config_hash", "accuracy", "f1")
 
@@ -405,14 +477,22 @@ def tuned_h_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def tuned_purity(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([P.tune_purity(_bits(spark, sf), len(CUTS), [0.7, 0.85, 0.95], k=3)], "purity double, accuracy double")
+    return spark.createDataFrame(
+        [P.tune_purity(_bits(spark, sf), len(CUTS), [0.7, 0.85, 0.95], k=3)], "purity double, accuracy double"
+    )
 
 
 @_query()
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
-    folds = P.cross_validate(_docs(spark, sf), P.Config(numeric=tuple(NUMERIC), categoric=("lang",), top_k=4, selector="mutualinfo", purity=0.9, threshold=1), k=3)
+    folds = P.cross_validate(
+        _docs(spark, sf),
+        P.Config(numeric=tuple(NUMERIC), categoric=("lang",), top_k=4, selector="mutualinfo", purity=0.9, threshold=1),
+        k=3,
+    )
     s = P.summary(folds)
-    return spark.createDataFrame([tuple(s.values())], "folds int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double")
+    return spark.createDataFrame(
+        [tuple(s.values())], "folds int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double"
+    )
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

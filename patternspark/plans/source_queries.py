@@ -35,12 +35,18 @@ def positional_label(spark: SparkSession, sf: str) -> DataFrame:
     return X.positional(_read(spark, sf, "labels"))[0]
 
 
-@R._query("SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSE' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@R._query(
+    "SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSE' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS c_mktsegment FROM customer"
+)
 def replaced_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return X.replace_cells(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"BUILDING": "HOUSE", "MACHINERY": "TOOLS"})
+    return X.replace_cells(
+        _read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"BUILDING": "HOUSE", "MACHINERY": "TOOLS"}
+    )
 
 
-@R._query("SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 END AS label FROM orders")
+@R._query(
+    "SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 END AS label FROM orders"
+)
 def mapped_target(spark: SparkSession, sf: str) -> DataFrame:
     label = X.map_target(F.col("o_orderstatus"), {"F": 1, "O": 0, "P": 0})
     return _read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), label.alias("label"))
@@ -52,7 +58,9 @@ def encoded_pairs(spark: SparkSession, sf: str) -> DataFrame:
     yes = F.when(F.col("c_acctbal") > 0, "Yes").otherwise("No")
     male = F.when(F.col("c_nationkey") % 2 == 0, "Male").otherwise("Female")
     other = F.when(F.col("c_nationkey") < 5, "Yes").otherwise("Maybe")
-    said = _read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), yes.alias("yes"), male.alias("male"), other.alias("other"))
+    said = _read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), yes.alias("yes"), male.alias("male"), other.alias("other")
+    )
     return X.binary_encode(said, ["yes", "male", "other"])
 
 
@@ -73,17 +81,23 @@ def top_configs(spark: SparkSession, sf: str) -> DataFrame:
 # cuts
 
 MEMBERS = (("lang", ("de", "en")), ("lang", ("fr",)), ("source", ("src0", "src1", "src10")))
-_MEMBER_BITS = " + ".join(f"CASE WHEN {f} IN ({', '.join(repr(v) for v in vs)}) THEN {1 << i} ELSE 0 END" for i, (f, vs) in enumerate(MEMBERS))
+_MEMBER_BITS = " + ".join(
+    f"CASE WHEN {f} IN ({', '.join(repr(v) for v in vs)}) THEN {1 << i} ELSE 0 END" for i, (f, vs) in enumerate(MEMBERS)
+)
 
 
 def _members() -> list[B.Cut]:
     return [B.Cut(i, f, None, vs, 0.5) for i, (f, vs) in enumerate(MEMBERS)]
 
 
-@R._query(f"SELECT d.doc_id AS row_id, quality AS label, ({_MEMBER_BITS})::BIGINT AS bits FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+@R._query(
+    f"SELECT d.doc_id AS row_id, quality AS label, ({_MEMBER_BITS})::BIGINT AS bits FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+)
 def member_bits(spark: SparkSession, sf: str) -> DataFrame:
     rows = _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id")
-    return B.transform(rows.select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"), "lang", "source"), _members())
+    return B.transform(
+        rows.select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"), "lang", "source"), _members()
+    )
 
 
 def _listed(c: B.Cut) -> str:
@@ -94,7 +108,14 @@ def _listed(c: B.Cut) -> str:
 _ALL_CUTS = [*R._cuts(), *(B.Cut(len(R.CUTS) + c.cut_id, c.feature, None, c.members, c.gain) for c in _members())]
 
 
-@R._query("SELECT * FROM (VALUES " + ", ".join(f"({c.cut_id}, '{c.feature}', '{'categorical' if c.members else 'numeric'}', {'NULL' if c.threshold is None else c.threshold}::DOUBLE, '{_listed(c)}')" for c in _ALL_CUTS) + ") t(cut_id, feature, kind, threshold, readable)")
+@R._query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({c.cut_id}, '{c.feature}', '{'categorical' if c.members else 'numeric'}', {'NULL' if c.threshold is None else c.threshold}::DOUBLE, '{_listed(c)}')"
+        for c in _ALL_CUTS
+    )
+    + ") t(cut_id, feature, kind, threshold, readable)"
+)
 def cut_listing(spark: SparkSession, sf: str) -> DataFrame:
     """A stored table of cuts, read again."""
     path = f"{store.shared_folder(spark)}/cuts-{uuid.uuid4().hex}"
@@ -158,7 +179,9 @@ def best_match_heavy(spark: SparkSession, sf: str) -> DataFrame:
     return predict.best_match(R._bits(spark, sf), R._rules(spark), min_weight=0.5)
 
 
-_THIRD = R._SOFT.replace(">= 0.5", ">= 0.3").replace("greatest(w1 / w, 1 - w1 / w)", "CASE WHEN round(w1 / w, 12) >= 0.3 THEN w1 / w ELSE 1 - w1 / w END")
+_THIRD = R._SOFT.replace(">= 0.5", ">= 0.3").replace(
+    "greatest(w1 / w, 1 - w1 / w)", "CASE WHEN round(w1 / w, 12) >= 0.3 THEN w1 / w ELSE 1 - w1 / w END"
+)
 
 
 @R._query(f"WITH {R._FIRE}, {R._best('worth')}, {_THIRD} SELECT * FROM soft")

@@ -83,7 +83,10 @@ def status_counts(log: DataFrame) -> DataFrame:
 
 def top_configs(log: DataFrame, n: int = 5) -> DataFrame:
     """rank, json of the n best trials."""
-    best = leaderboard(log, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("f1"), "config_hash")))  # n rows
+    # n rows
+    best = leaderboard(log, n).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("f1"), "config_hash"))
+    )
     return best.select("rank", F.to_json(F.struct(*(c for c in log.columns if c != "ts"))).alias("json"))
 
 

@@ -32,7 +32,9 @@ def test_distance_walk_matches_a_plain_walk(spark):
         rows += [(f"f{f}", t, g, 0.0, 100.0) for t, g in cuts]
         want[f"f{f}"] = plain_walk(cuts, 6.25)
     got = {f: [] for f in want}
-    for r in B.distance_prune(spark.createDataFrame(rows, "feature string, t double, gain double, lo double, hi double"), 0.0625).collect():
+    for r in B.distance_prune(
+        spark.createDataFrame(rows, "feature string, t double, gain double, lo double, hi double"), 0.0625
+    ).collect():
         got[r["feature"]].append((r["t"], r["gain"]))
     assert {f: sorted(c) for f, c in got.items()} == want
 
@@ -40,7 +42,9 @@ def test_distance_walk_matches_a_plain_walk(spark):
 def test_running_sums_cross_ranges(spark):
     rng = random.Random(4)
     rows = [("a", float(x), rng.randint(1, 5)) for x in rng.sample(range(10_000), 700)] + [("b", 1.0, 3)]
-    got = B.prefix_sums(spark.createDataFrame(rows, "feature string, x double, n long"), ["feature"], ["n"]).orderBy("feature", "x").collect()
+    got = B.prefix_sums(
+        spark.createDataFrame(rows, "feature string, x double, n long"), ["feature"], ["n"]
+    ).orderBy("feature", "x").collect()
     total = 0
     xs = sorted(x for f, x, _ in rows if f == "a")
     for r, x, after in zip(got, xs, [*xs[1:], None], strict=False):
@@ -61,7 +65,9 @@ def plain_tree(pts, depth, leaf, w):
         fall = impure(pts) - impure(left) - impure(right)
         if min(len(left), len(right)) >= leaf and fall > 1e-9 and (best is None or fall > best[0] + 1e-12):
             best = (fall, t, left, right)
-    return {round(best[1], 10)} | plain_tree(best[2], depth - 1, leaf, w) | plain_tree(best[3], depth - 1, leaf, w) if best else set()
+    return {round(best[1], 10)} | plain_tree(best[2], depth - 1, leaf, w) | plain_tree(
+        best[3], depth - 1, leaf, w
+    ) if best else set()
 
 
 def test_tree_matches_a_plain_tree(spark):
@@ -111,7 +117,9 @@ def test_tuning_logs_and_resumes(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, int(x > 5), float(x), rng.random()) for i, x in enumerate(rng.randint(0, 10) for _ in range(80))]
     df = spark.createDataFrame(rows, "row_id long, label int, x double, z double")
-    configs = P.grid([{"top_k": 2}], [{"selector": "mutualinfo"}], [{"purity": 0.9}, {"miner": "nobody"}], numeric=("x", "z"), threshold=1)
+    configs = P.grid(
+        [{"top_k": 2}], [{"selector": "mutualinfo"}], [{"purity": 0.9}, {"miner": "nobody"}], numeric=("x", "z"), threshold=1
+    )
     path = f"file://{tmp_path}/trials"
     best = P.tune(df, configs, path).collect()
     assert len(best) == 1 and best[0]["accuracy"] == 1.0 and best[0]["tp"] + best[0]["tn"] == 20
@@ -123,8 +131,13 @@ def test_tuning_logs_and_resumes(spark, tmp_path):
 
 
 def test_stage_report_hints(spark):
-    df = spark.createDataFrame([(1, 1, 1, 0.9, 5, "exact"), (2, 0, 1, 0.5, 9, "fallback")], "row_id long, label int, pred int, purity double, support long, stage string")
-    assert {r["stage"]: (r["accuracy"], r["hint"]) for r in metrics.stage_report(df).collect()} == {"exact": (1.0, False), "fallback": (0.0, True)}
+    df = spark.createDataFrame(
+        [(1, 1, 1, 0.9, 5, "exact"), (2, 0, 1, 0.5, 9, "fallback")],
+        "row_id long, label int, pred int, purity double, support long, stage string",
+    )
+    assert {r["stage"]: (r["accuracy"], r["hint"]) for r in metrics.stage_report(df).collect()} == {
+        "exact": (1.0, False), "fallback": (0.0, True)
+    }
 
 
 def test_places_need_no_task_that_holds_all(spark):
@@ -152,9 +165,15 @@ def test_unmapped_labels_fail(spark):
 
 
 def test_pairs_are_encoded_and_others_stay(spark):
-    df = spark.createDataFrame([("Yes", "Male", "Yes", None), (None, "Female", "x", None)], "a string, b string, c string, d string")
-    assert [tuple(r) for r in features.binary_encode(df, ["a", "b", "c", "d"]).collect()] == [(1, 1, "Yes", None), (None, 0, "x", None)]
-    fixed = features.replace_cells(spark.createDataFrame([("Fmale", "Fmale ", 1)], "a string, b string, c int"), {"Fmale": "Female"})
+    df = spark.createDataFrame(
+        [("Yes", "Male", "Yes", None), (None, "Female", "x", None)], "a string, b string, c string, d string"
+    )
+    assert [tuple(r) for r in features.binary_encode(df, ["a", "b", "c", "d"]).collect()] == [
+        (1, 1, "Yes", None), (None, 0, "x", None)
+    ]
+    fixed = features.replace_cells(
+        spark.createDataFrame([("Fmale", "Fmale ", 1)], "a string, b string, c int"), {"Fmale": "Female"}
+    )
     assert tuple(fixed.first()) == ("Female", "Fmale ", 1)
 
 
@@ -169,7 +188,16 @@ def test_a_stored_model_predicts_as_before(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, int(x > 5), float(x), rng.choice("pqr")) for i, x in enumerate(rng.randint(0, 10) for _ in range(80))]
     df = spark.createDataFrame(rows, "row_id long, label int, x double, z string")
-    config = P.Config(numeric=("x",), categoric=("z",), selector="greedy", purity=0.9, threshold=1, min_coverage=2, vote_threshold=0.3, partial_mode="overlap_only")
+    config = P.Config(
+        numeric=("x",),
+        categoric=("z",),
+        selector="greedy",
+        purity=0.9,
+        threshold=1,
+        min_coverage=2,
+        vote_threshold=0.3,
+        partial_mode="overlap_only",
+    )
     model = P.fit(df, config)
     P.save_model(spark, model, f"file://{tmp_path}/model")
     again = P.load_model(spark, f"file://{tmp_path}/model", config)
@@ -202,4 +230,6 @@ def test_a_stream_gets_the_batch_predictions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     want = {i: 1 if i % 8 & 1 else 0 if i % 8 & 6 == 4 else 1 for i in range(40)}
-    assert {r["row_id"]: r["pred"] for r in spark.table("scored").collect()} == want == {r["row_id"]: r["pred"] for r in scoring.score_stream(df, rules).collect()}
+    assert {r["row_id"]: r["pred"] for r in spark.table("scored").collect()} == want == {
+        r["row_id"]: r["pred"] for r in scoring.score_stream(df, rules).collect()
+    }

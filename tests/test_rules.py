@@ -32,12 +32,17 @@ def test_conflict_tie_keeps_first_label(spark):
 
 
 def test_distance_walk_drops_and_replaces(spark):
-    c = spark.createDataFrame([("f", 1.0, 0.1, 0.0, 100.0), ("f", 1.5, 0.3, 0.0, 100.0), ("f", 1.9, 0.2, 0.0, 100.0), ("f", 9.0, 0.1, 0.0, 100.0)], "feature string, t double, gain double, lo double, hi double")
+    c = spark.createDataFrame(
+        [("f", 1.0, 0.1, 0.0, 100.0), ("f", 1.5, 0.3, 0.0, 100.0), ("f", 1.9, 0.2, 0.0, 100.0), ("f", 9.0, 0.1, 0.0, 100.0)],
+        "feature string, t double, gain double, lo double, hi double",
+    )
     assert sorted(r["t"] for r in binarize.distance_prune(c, 0.02).collect()) == [1.5, 9.0]
 
 
 def test_nulls_and_unseen_values_are_bit_zero(spark):
-    df = spark.createDataFrame([(1, 0, None, "a"), (2, 1, float("nan"), "z"), (3, 1, 1.0, None)], "row_id long, label int, x double, c string")
+    df = spark.createDataFrame(
+        [(1, 0, None, "a"), (2, 1, float("nan"), "z"), (3, 1, 1.0, None)], "row_id long, label int, x double, c string"
+    )
     got = binarize.transform(df, [binarize.Cut(0, "x", 2.0), binarize.Cut(1, "c", None, ("a", "b"))])
     assert {r["row_id"]: r["bits"] for r in got.collect()} == {1: 2, 2: 0, 3: 1}
 
@@ -101,13 +106,21 @@ def plain_astar(score, n, h_weight, most, order):
             best, best_subset = s, subset
         for i in order or range(n):
             if i not in subset and tuple(sorted([*subset, i])) not in seen:
-                heapq.heappush(heap, ((len(subset) + 1) / n + h_weight * float(1 - s) + (order.index(i) / n * 0.1 if order else 0.0), [*subset, i]))
+                heapq.heappush(
+                    heap,
+                    (
+                        (len(subset) + 1) / n + h_weight * float(1 - s) + (order.index(i) / n * 0.1 if order else 0.0),
+                        [*subset, i],
+                    ),
+                )
     return best_subset
 
 
 def test_astar_pops_as_a_heap_of_all_children(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, int(y), int(b)) for i, (y, b) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 1 << 9, 300), strict=True))]
+    rows = [
+        (i, int(y), int(b)) for i, (y, b) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 1 << 9, 300), strict=True))
+    ]
     p = select.Patterns(frame(spark, rows), 1.5)
 
     def plain(key):
@@ -115,7 +128,9 @@ def test_astar_pops_as_a_heap_of_all_children(spark):
         for _, y, b in rows:
             groups.setdefault(tuple(b >> i & 1 for i in key), [0, 0])[y] += 1
         w = [Fraction(3, 2) if b > a else Fraction(1) for a, b in groups.values()]
-        s = sum(w * max(g) for w, g in zip(w, groups.values(), strict=True)) / sum(w * sum(g) for w, g in zip(w, groups.values(), strict=True))
+        s = sum(w * max(g) for w, g in zip(w, groups.values(), strict=True)) / sum(
+            w * sum(g) for w, g in zip(w, groups.values(), strict=True)
+        )
         return (s if key else Fraction(0)), bool(key) and all(min(g) == 0 for g in groups.values())
 
     for order in (None, [3, 1, 4, 0, 5, 8, 2, 6, 7]):
@@ -190,7 +205,10 @@ def test_unknown_miner_is_refused():
 
 def random_rows(width, n=300, seed=11):
     rng = np.random.default_rng(seed)
-    return [(i, int(rng.random() < (0.85 if b & 5 == 5 or b & 24 == 8 else 0.2)), int(b)) for i, b in enumerate(rng.integers(0, 1 << width, n))]
+    return [
+        (i, int(rng.random() < (0.85 if b & 5 == 5 or b & 24 == 8 else 0.2)), int(b))
+        for i, b in enumerate(rng.integers(0, 1 << width, n))
+    ]
 
 
 def plain_maximal(rows, width, purity):
@@ -284,12 +302,23 @@ def test_selection_over_more_cuts_than_a_word(spark):
 
 def test_classifiers_of_one_projection_agree_with_each_alone(spark):
     rng = np.random.default_rng(8)
-    rules = [mine.Rule(int(rng.integers(2)), int(m := rng.integers(1, 64)), int(m) & int(rng.integers(64)), 0.9, 5, float(w)) for w in rng.random(9)]
+    rules = [
+        mine.Rule(int(rng.integers(2)), int(m := rng.integers(1, 64)), int(m) & int(rng.integers(64)), 0.9, 5, float(w))
+        for w in rng.random(9)
+    ]
     rules = mine.rules_frame(spark, mine.ranked(rules))
     rows = frame(spark, [(i, i % 2, i % 64) for i in range(128)])
     for mode in predict.MODES:
-        got = {(r["row_id"], r["classifier"]): (r["pred"], r["conf"]) for r in predict.classify(rows, rules, None, 0.4, mode, 0.3).collect()}
-        alone = {"best_match": predict.best_match(rows, rules, mode, 0.3), "soft_vote": predict.soft_vote(rows, rules, 0.4, 0.3), "assume_healthy": predict.assume(rows, rules, 0), "assume_sick": predict.assume(rows, rules, 1)}
+        got = {
+            (r["row_id"], r["classifier"]): (r["pred"], r["conf"])
+            for r in predict.classify(rows, rules, None, 0.4, mode, 0.3).collect()
+        }
+        alone = {
+            "best_match": predict.best_match(rows, rules, mode, 0.3),
+            "soft_vote": predict.soft_vote(rows, rules, 0.4, 0.3),
+            "assume_healthy": predict.assume(rows, rules, 0),
+            "assume_sick": predict.assume(rows, rules, 1),
+        }
         assert got == {(r["row_id"], k): (r["pred"], r["conf"]) for k, df in alone.items() for r in df.collect()}
     again = rows.unionByName(rows)  # ids that repeat stay rows of their own
     assert predict.soft_vote(again, rules).count() == 256
@@ -299,14 +328,21 @@ def test_classifiers_of_one_projection_agree_with_each_alone(spark):
 
 def test_lazy_stages(spark):
     train = frame(spark, [(i, 1, 3) for i in range(4)] + [(9 + i, 0, 0) for i in range(5)])
-    got = {r["row_id"]: (r["stage"], r["pred"]) for r in lazy.predict(train, frame(spark, [(1, 1, 3), (2, 1, 1), (3, 0, 2)]), [0, 1]).collect()}
+    got = {
+        r["row_id"]: (r["stage"], r["pred"])
+        for r in lazy.predict(train, frame(spark, [(1, 1, 3), (2, 1, 1), (3, 0, 2)]), [0, 1]).collect()
+    }
     assert got == {1: ("exact", 1), 2: ("pruned", 1), 3: ("pruned", 0)}
 
 
 def test_lazy_rules_name_their_conditions(spark):
     train = frame(spark, [(i, 1, 3) for i in range(4)] + [(9 + i, 0, 0) for i in range(5)])
-    got = lazy.predict(train, frame(spark, [(1, 1, 3), (2, 1, 1), (3, 0, 2), (4, 0, 7), (4, 0, 7)]), [1, 0], 0.99, 3, ["a", "b", "c"])
-    assert sorted((r["row_id"], r["stage"], r["rule"]) for r in got.collect()) == [(1, "exact", "a AND b"), (2, "pruned", "NOT b"), (3, "pruned", "b"), (4, "exact", "a AND b"), (4, "exact", "a AND b")]
+    got = lazy.predict(
+        train, frame(spark, [(1, 1, 3), (2, 1, 1), (3, 0, 2), (4, 0, 7), (4, 0, 7)]), [1, 0], 0.99, 3, ["a", "b", "c"]
+    )
+    assert sorted((r["row_id"], r["stage"], r["rule"]) for r in got.collect()) == [
+        (1, "exact", "a AND b"), (2, "pruned", "NOT b"), (3, "pruned", "b"), (4, "exact", "a AND b"), (4, "exact", "a AND b")
+    ]
     none = lazy.predict(train, frame(spark, [(1, 1, 2)]), [0], 1.1, 3, ["a"]).first()
     assert (none["stage"], none["rule"], none["pred"], none["purity"], none["support"]) == ("fallback", lazy.FALLBACK, 0, 0.5, 9)
 
