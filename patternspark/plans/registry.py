@@ -497,7 +497,7 @@ def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Split, binarize, select, mine and compare the four classifiers on the documents' quality."""
-    rows = split.stratified_split(_docs(spark, sf))
+    rows = store.cut(split.stratified_split(_docs(spark, sf)))  # features without texts, read by every step of a fit
     model = P.fit(rows.where("not is_test"), P.Config(numeric=tuple(NUMERIC), categoric=("lang",), purity=0.9, threshold=1))
     return P.compare(model, rows.where("is_test"))
 
