@@ -10,30 +10,26 @@ from .places import place, quantile_bucket
 DOC_NUMERIC = ("letter_ratio", "punct_ratio", "digit_ratio", "n_words", "n_lines", "n_chars")
 
 
-def _share(text: Column, keep: str) -> Column:
-    return F.round(F.length(F.regexp_replace(text, f"[^{keep}]", "")) / F.greatest(F.length(text), F.lit(1)), 6)
+def _share(text: Column, keep: str, rare: bool = True) -> Column:
+    """Share of the characters of a class; what is rare is counted, the class or the others."""
+    size = F.length(text)
+    kept = F.regexp_count(text, F.lit(f"[{keep}]")) if rare else size - F.regexp_count(text, F.lit(f"[^{keep}]"))
+    return F.round(kept / F.greatest(size, F.lit(1)), 6)
 
 
 def doc_features(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    """Labelled documents: row_id, label, six numeric features and the language."""
+    """Labelled documents: row_id, label, six numeric features and the language.
+
+    Features are taken before labels are joined, so texts are scanned where they lie and never shuffled.
+    """
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     text = F.col("text")
-    cols = [
-        _share(text, "a-zA-Z ").alias("letter_ratio"),
-        _share(text, ".!?").alias("punct_ratio"),
-        _share(text, "0-9").alias("digit_ratio"),
-    ]
-    cols += [
-        (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) + 1).cast("double").alias(n)
-        for x, n in ((" ", "n_words"), ("\n", "n_lines"))
-    ]
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("row_id"),
-        F.col(label).cast("int").alias("label"),
-        *cols,
-        F.col("n_chars").cast("double").alias("n_chars"),
-        "lang",
-    )
+    shares = {"letter_ratio": _share(text, "a-zA-Z ", False), "punct_ratio": _share(text, ".!?"), "digit_ratio": _share(text, "0-9")}
+    counts = {n: (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) + 1) for x, n in ((" ", "n_words"), ("\n", "n_lines"))}
+    columns = [v.alias(k) for k, v in shares.items()] + [v.cast("double").alias(k) for k, v in counts.items()]
+    told = docs.select("doc_id", *columns, F.col("n_chars").cast("double").alias("n_chars"), "lang")
+    named = labels.select("doc_id", F.col(label).cast("int").alias("label"))
+    return told.join(named, "doc_id").select(F.col("doc_id").alias("row_id"), "label", *DOC_NUMERIC, "lang")
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
