@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..sources.store import cut
 
 MODES = ("one", "two", "all", "dense", "greedy")
-#: Ranges into which the values of a feature are cut for running sums.
-RANGES = 16
+#: Ranges into which the values of a feature are cut for running sums, at least and at most, and values for one more.
+RANGES, MOST_RANGES, RANGE_VALUES = 16, 4096, 50_000
 #: Cuts whose bits fit a word.
 WORD = 62
 
@@ -59,6 +59,11 @@ def gain(pl: Column, nl: Column, pr: Column, nr: Column) -> Column:
     return diff * diff / (n * n * nl * nr)
 
 
+def ranges_for(values: int) -> int:
+    """Ranges for a histogram of so many rows, so that no range grows with it."""
+    return min(MOST_RANGES, max(RANGES, values // RANGE_VALUES))
+
+
 def prefix_sums(hist: DataFrame, by: list[str], sums: list[str], ranges: int = RANGES) -> DataFrame:
     """Adds next_x, the following value of x, lo and hi, its range, and for every column in sums l_<column>, its sum up
     to x, and t_<column>.
@@ -68,7 +73,7 @@ def prefix_sums(hist: DataFrame, by: list[str], sums: list[str], ranges: int = R
     """
     quantiles = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     # a row a group
-    splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, 1000)).alias("_splits"))
+    splits = hist.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", quantiles, max(1000, 10 * ranges))).alias("_splits"))
     at = F.size(F.filter("_splits", lambda s: s < F.col("x")))
     placed = hist.join(F.broadcast(splits), by).withColumn("_range", at).drop("_splits")
     ends = (F.min("x").alias("_first"), F.max("x").alias("_last"))
@@ -91,7 +96,8 @@ def prefix_sums(hist: DataFrame, by: list[str], sums: list[str], ranges: int = R
 def candidates(hist: DataFrame, min_support: int = 5) -> DataFrame:
     """feature, t, nl, nr, gain: midpoints of neighbouring values with support on both sides and a gain."""
     # written once: the plan below reads it three times
-    c = prefix_sums(cut(hist), ["feature"], ["n", "pos"]).where("next_x is not null")
+    hist = cut(hist)
+    c = prefix_sums(hist, ["feature"], ["n", "pos"], ranges_for(hist.count())).where("next_x is not null")
     c = c.select(
         "feature",
         ((F.col("x") + F.col("next_x")) / 2).alias("t"),
@@ -210,6 +216,8 @@ def tree_thresholds(
     A node is an interval of values; each level splits every interval at its best weighted Gini gain. Sums are of whole
     numbers and weighed at the end, so equal splits tie exactly. places: decimals that thresholds are rounded to.
     """
+    hist = cut(hist)
+    ranges = ranges_for(hist.count())
     totals = hist.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
     twice = lambda n: F.col("tn") / (2 * n)  # noqa: E731  each class weighs this squared
     squared = lambda n: F.when(n > 0, twice(n) * twice(n)).otherwise(0.0)
@@ -227,7 +235,7 @@ def tree_thresholds(
     right = (whole[0] - left[0], whole[1] - left[1])
     least = F.greatest(F.lit(1e-9), least_fall * (F.col("tp") * F.col("w1") + (F.col("tn") - F.col("tp")) * F.col("w0")) / 2)
     for _ in range(max_depth):
-        c = prefix_sums(nodes, ["feature", "node"], ["n", "pos"]).join(F.broadcast(totals), "feature")  # a row a feature
+        c = prefix_sums(nodes, ["feature", "node"], ["n", "pos"], ranges).join(F.broadcast(totals), "feature")  # a row a feature
         c = c.withColumn("fall", impurity(*whole) - impurity(*left) - impurity(*right))
         c = c.withColumn("t", (F.col("x") + F.col("next_x")) / 2).where("t is not null")
         ok = c.where((left[0] >= min_leaf) & (right[0] >= min_leaf) & (F.col("fall") > 1e-9) & (F.col("fall") >= least))
