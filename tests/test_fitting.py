@@ -3,12 +3,13 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patternspark.functions import features, places
 from patternspark.operators import binarize as B
-from patternspark.operators import metrics, mine, predict
+from patternspark.operators import metrics, mine, predict, select, split
 from patternspark.plans import pipeline as P
 from patternspark.sources import store
 from patternspark.streaming import scoring
@@ -233,3 +234,56 @@ def test_a_stream_gets_the_batch_predictions(spark, tmp_path):
     assert {r["row_id"]: r["pred"] for r in spark.table("scored").collect()} == want == {
         r["row_id"]: r["pred"] for r in scoring.score_stream(df, rules).collect()
     }
+
+
+def test_tuned_weight_is_the_first_of_the_best(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, rng.randint(0, 1), rng.randint(0, 63)) for i in range(200)], "row_id long, label int, bits long")
+    p, best = select.Patterns(rows), None
+    for w in (0.5, 5.0, 20.0):
+        subset = select.astar(p, 6, w, 10)
+        worth, good = p.score(select.mask_of(subset))
+        key = (1, -len(subset)) if good else (0, worth)
+        if best is None or key > best[0]:
+            best = (key, w)
+    assert P.tune_h_weight(rows, 6, [0.5, 5.0, 20.0], 10) == best[1]
+
+
+def test_tuned_purity_is_the_lowest_of_the_best(spark):
+    rng = random.Random(7)
+    rows = [(i, int((b & 3 == 3) != (rng.random() < 0.1)), b) for i, b in enumerate(rng.randint(0, 31) for _ in range(240))]
+    df = spark.createDataFrame(rows, "row_id long, label int, bits long")
+    folds = {r["row_id"]: r["fold"] for r in split.kfold(df, 3).collect()}
+    want = []
+    for purity in (0.6, 0.9, 1.1):
+        scores = []
+        for k in range(3):
+            counts = {}
+            for i, y, b in rows:
+                if folds[i] != k:
+                    counts.setdefault(b, [0, 0])[y] += 1
+            bits = sorted(counts)
+            rules = mine.max_patterns(mine.Table(np.array(bits), np.array([counts[b] for b in bits]), 5), purity)
+            own = [(y, b) for i, y, b in rows if folds[i] == k]
+            right = 0
+            for y, b in own if rules else []:
+                fired = [r.label for r in rules if b & r.mask == r.vals]
+                over = lambda r, b=b: 1 - ((b ^ r.vals) & r.mask).bit_count() / r.mask.bit_count()
+                near = max((r for r in rules if r.weight >= 0.05), key=lambda r: round(over(r) * round(r.weight, 9), 12), default=rules[0])
+                right += (fired[0] if fired else near.label) == y
+            scores.append(round(right / len(own), 9))
+        want.append(sum(scores) / 3)
+    got = P.tune_purity(df, 5, [0.6, 0.9, 1.1], k=3)
+    assert got == ([0.6, 0.9, 1.1][want.index(max(want))], pytest.approx(max(want)))
+
+
+def test_folds_without_rules_are_left_out(spark):
+    rows = [(i, int(i % 10 < 5), float(i % 10)) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, label int, x double")
+    config = P.Config(numeric=("x",), selector="greedy", purity=0.9, threshold=1)
+    folds = P.cross_validate(df, config, 3)
+    assert [f["fold"] for f in folds] == [0, 1, 2] and all(f["accuracy"] == 1.0 for f in folds)
+    assert sum(f["tp"] + f["tn"] for f in folds) == 90
+    assert P.summary([{"accuracy": 0.5, "f1": 0.2}, {"accuracy": 1.0, "f1": 0.4}]) == {"folds": 2, "accuracy_mean": 0.75, "accuracy_std": 0.25, "f1_mean": pytest.approx(0.3), "f1_std": pytest.approx(0.1)}
+    assert P.cross_validate(df, P.Config(numeric=("x",), selector="greedy", purity=1.1), 3) == []
+    assert P.summary([])["accuracy_mean"] is None
