@@ -52,6 +52,8 @@ RULES = BASE + ADDED
 #: A run of 16 hex digits is found with the bound in the expression, which matches the same runs: a run is
 #: maximal, so every shorter one fails and hides nothing.
 SHORT_CUT = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
+#: Matches of a text whose places are summed up together.
+BLOCK = 256
 
 
 def _terms(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
@@ -91,22 +93,51 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "ke
     return got.select(key, bits.alias("rules")).where("rules > 0")
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of the leftmost non-overlapping matches that pass, in code points, end exclusive."""
-    pattern = F.lit(SHORT_CUT.get(rule.kind, rule.pattern))
-    gaps = F.split(text, SHORT_CUT.get(rule.kind, rule.pattern), -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+def _placed(runs: Column) -> Column:
+    """Starts and ends of hits from the lengths of gaps and hits.
+
+    Arrays that grow by one are copied at each step. Running sums are therefore taken in blocks and over blocks, so the
+    time of a text follows its matches, however many they are.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        start = s["at"] + x["gap"]
+        end = start + x["hit"]
         return F.struct(
             end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out")
         )
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    out = F.aggregate(pairs, zero, add, lambda s: s["out"])
+    def block(b: Column) -> Column:
+        return F.aggregate(F.slice(runs, b + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), add)
+
+    def next_block(s: Column, b: Column) -> Column:
+        return F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before"))
+
+    def moved(b: Column, before: Column) -> Column:
+        return F.transform(
+            b["out"], lambda s: F.struct((s["start"] + before).alias("start"), (s["end"] + before).alias("end"))
+        )
+
+    def joined(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.flatten(F.zip_with(blocks, F.aggregate(blocks, zero, next_block, lambda s: s["before"]), moved))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(runs) - 1, F.lit(BLOCK)), block)
+    return F.when(F.size(runs) == 0, none).otherwise(F.get(F.transform(F.array(blocks), joined), F.lit(0)))
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """array<struct<start, end>> of the leftmost non-overlapping matches that pass, in code points, end exclusive."""
+    pattern = F.lit(SHORT_CUT.get(rule.kind, rule.pattern))
+    gaps = F.split(text, SHORT_CUT.get(rule.kind, rule.pattern), -1)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    runs = F.transform(
+        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit")),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit")),
+    )
+    # bound to a name by an array of one, so that the text is matched once and not once a block
+    out = F.get(F.transform(F.array(runs), _placed), F.lit(0))
     if rule.kind in SHORT_CUT or not rule.least:
         return out
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found

@@ -420,6 +420,20 @@ def test_secrets_match_a_plain_scan(spark):
     assert got[2, 0]["spans"] == "" and got[3, 0]["spans"] == "hex:5:22" and got[4, 0]["spans"].startswith("github:0:44")
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9, 50])
+def test_places_of_many_secrets_in_one_text(spark, monkeypatch, n):
+    """Numbers of matches below, at and above blocks of four, against a plain scan; failing ones lie between."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 4)
+    text = " ".join(f"\U0001f511é{i:016x} token={'x' * (9 + i % 5)} AKIA{'Z' * (12 + i % 4)}" for i in range(n))
+    want = []
+    for place, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.least:
+                want.append((m.start(), place, f"{rule.kind}:{m.start()}:{m.end()}"))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.digest(secret_scan.scan(rows)).first()["spans"] == ",".join(x[2] for x in sorted(want))
+
+
 @pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
 def test_every_match_satisfies_the_query_of_its_rule(rule):
     query, fold = rule.query()
