@@ -107,6 +107,8 @@ MOST_ROUNDS = 24
 #: Rounds after which surrogates grow where their kind allows it: e-mail addresses and names.
 LONGER_AFTER = 5
 
+#: Parts of a document's list of names.
+BUCKETS = 256
 _FOUND = "array<struct<at:int,new:string,kind:string>>"
 
 
@@ -324,6 +326,35 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     raise RuntimeError("too many entities for distinct surrogates of their format")
 
 
+def _listed(pairs: Column) -> Column:
+    """map<bucket, map<norm, new>> of an array of (norm, new): a map is searched from its start, so long ones are split."""
+    placed = F.transform(
+        pairs, lambda x: F.struct(_bucket(x["norm"]).alias("bucket"), x["norm"].alias("norm"), x["new"].alias("new"))
+    )
+
+    def grouped(all_: Column) -> Column:
+        buckets = F.array_distinct(F.transform(all_, lambda x: x["bucket"]))
+
+        def own(b: Column) -> Column:
+            return F.transform(
+                F.filter(all_, lambda x: x["bucket"] == b), lambda x: F.struct(x["norm"].alias("norm"), x["new"].alias("new"))
+            )
+
+        return F.map_from_entries(F.transform(buckets, lambda b: F.struct(b.alias("bucket"), F.map_from_entries(own(b)).alias("of"))))
+
+    # bound to a name by an array of one, so that buckets are found once
+    return F.get(F.transform(F.array(placed), grouped), F.lit(0))
+
+
+def _bucket(norm: Column) -> Column:
+    return F.pmod(F.xxhash64(norm), F.lit(BUCKETS)).cast("int")
+
+
+def _told(words: Column, norm: Column) -> Column:
+    """The surrogate of an entity in _listed(), or null."""
+    return F.try_element_at(F.try_element_at(words, _bucket(norm)), norm)
+
+
 def _word(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, "’", "'"))
 
@@ -379,10 +410,10 @@ def _particle(word: Column, key: str) -> Column:
 
 
 def _renamed(value: Column, words: Column, key: str) -> Column:
-    """A name with its titles and separators, and surrogates by the map `words`."""
+    """A name with its titles and separators, and surrogates by `words`, as _listed() makes them."""
 
     def new(p: Column, sort: Column) -> Column:
-        found = F.try_element_at(words, F.concat_ws("|", sort, _word(p)))
+        found = _told(words, F.concat_ws("|", sort, _word(p)))
         return F.when(p.endswith("."), _initial(p, key)).otherwise(F.coalesce(_like(p, found), p))
 
     given = F.split(F.substr(value, F.length(_titles(value)) + 2), " ")
@@ -399,7 +430,7 @@ def _coreferent(gap: Column, words: Column) -> Column:
     sorts = ("family", "given-m", "given-f", "given-x")
 
     def new(w: Column) -> Column:
-        told = F.coalesce(*(F.try_element_at(words, F.concat(F.lit(f"{s}|"), _word(w))) for s in sorts))
+        told = F.coalesce(*(_told(words, F.concat(F.lit(f"{s}|"), _word(w))) for s in sorts))
         return F.when(F.length(w) > 1, F.coalesce(_like(w, told), w)).otherwise(w)
 
     both = F.zip_with(between, F.transform(found, new), lambda b, w: F.concat(b, F.coalesce(w, F.lit(""))))
@@ -440,9 +471,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     told = told.unionByName(other.where(~real).select("_pii_row", kept.alias("x")))
     told = told.groupBy("_pii_row").agg(F.collect_list("x").alias("_pii_new"))
     # as many words as a document's own names have
-    own = words.join(names, ["kind", "norm"]).groupBy("_pii_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_pii_words")
-    )
+    own = words.join(names, ["kind", "norm"]).groupBy("_pii_row").agg(F.collect_list(F.struct("norm", "new")).alias("pairs"))
+    own = own.select("_pii_row", _listed(F.col("pairs")).alias("_pii_words"))
     told = scratch.written(told.join(own, "_pii_row", "full"), "told")
     fresh = hits.join(told, "_pii_row", "left")
     named = F.transform(

@@ -341,6 +341,17 @@ def test_names_are_one_in_every_form(spark):
     assert re.fullmatch(r"Г-жа (\w+а)\. \1", got[6])
 
 
+def test_a_text_of_many_names_keeps_each_apart(spark):
+    """More names than parts of the list that they are looked up in; every bare mention follows its own."""
+    names = ["Q" + "".join("aeiou"[i // 5**k % 5] for k in range(4)) + "sen" for i in range(600)]
+    text = " ".join(f"Mr {x} came," for x in names) + " then " + " ".join(f"{x}." for x in names)
+    out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    titled, bare = out["text"].split(" then ")
+    new = re.findall(r"Mr (\S+) came,", titled)
+    assert out["_pii_count"] == 600 and len(set(new)) == 600 and not set(new) & set(names)
+    assert bare == " ".join(f"{x}." for x in new)
+
+
 def test_numbers_keep_their_checks_and_meet_in_every_form(spark):
     rows = [
         (1, "+1 (988) 555-2485, 988-555-2485, (988) 555-2485, +49 89 1234 5678"),
